@@ -61,3 +61,402 @@ def report_row(df: DataFrame, ts: str, actual: str | None = None, top: str = "to
         cells.append(F.coalesce(F.col(actual), F.lit("?")))
         widths.append(LABEL_COLUMN[1])
     return F.concat_ws(" | ", *[pad(c, w) for c, w in zip(cells, widths)])
+
+
+def table_header(labelled: bool) -> list[str]:
+    cols = [*TABLE_COLUMNS, *([LABEL_COLUMN] if labelled else [])]
+    return [" | ".join(n.ljust(w) for n, w in cols), "-+-".join("-" * w for _, w in cols)]
+
+
+def table_lines(
+    scored: DataFrame, report: str, file: str, order: str, ts: str, actual: str | None = None
+) -> DataFrame:
+    """(report, file, seq, line): the table header and a line for each flow of every report file."""
+    body = scored.select(report, file, F.col(order).cast("double").alias("seq"), report_row(scored, ts, actual).alias("line"))
+    heads = F.array(
+        *[F.struct(F.lit(float(i - 10**18)).alias("seq"), F.lit(t).alias("line")) for i, t in enumerate(table_header(bool(actual)))]
+    )
+    files = scored.select(report, file).distinct().select(report, file, F.inline(heads))
+    return files.unionByName(body)
+
+
+def write_lines(lines: DataFrame, path: str, report: str = "report", file: str = "file") -> None:
+    """Lines below report=<name>/file=<name>/, in order.
+
+    A range shuffle on (report, file, seq) spreads a long report over several part files whose names sort
+    in line order.
+    """
+    ordered = lines.repartitionByRange(report, file, "seq").sortWithinPartitions(report, file, "seq")
+    ordered.select(report, file, "line").write.mode("append").partitionBy(report, file).text(path)
+
+
+def write_texts(texts: DataFrame, path: str, report: str = "report", file: str = "file", text: str = "text") -> None:
+    """One whole text for each report file."""
+    texts.select(report, file, text).write.mode("append").partitionBy(report, file).text(path)
+
+
+def _rule(c: str, n: int) -> str:
+    return c * n
+
+
+def summary_texts(
+    minutes: DataFrame,
+    precision: DataFrame,
+    report: str = "report",
+    title: str = "SESSION SUMMARY",
+    labelled: bool = False,
+    totals: bool = True,
+    minute_section: bool = True,
+    seconds: str | None = None,
+) -> DataFrame:
+    """(report, text): session summaries from a minute rollup and per-class counts of each report.
+
+    A text grows with the minutes of its session, not with its flows.
+    """
+    m = F.col("m")
+    block = F.format_string(
+        "  Minute %s: %s\n    File:       minute_%s.txt\n    Flows:      %d\n    Threats:    %d\n    Suspicious: %d\n    Clean:      %d\n",
+        m["no"].cast("string"), F.date_format(m["minute"], "HH:mm"), F.date_format(m["minute"], "HH-mm"),
+        m["total"], m["threats"], m["suspicious"], m["clean"],
+    )
+    order = W.partitionBy(report).orderBy("minute")
+    blocks = (
+        minutes.withColumn("no", F.row_number().over(order))
+        .select(report, F.struct("no", "minute", "total", "threats", "suspicious", "clean").alias("m"))
+        .select(report, m["no"].alias("no"), block.alias("block"), m)
+        .groupBy(report)
+        .agg(
+            F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("no", "block"))), lambda b: b["block"]), "\n").alias("blocks"),
+            *[F.sum(F.col("m")[c]).alias(c) for c in ("total", "threats", "suspicious", "clean")],
+        )
+    )
+    of_class = W.partitionBy(report)
+    share = percent(F.col("predicted"), F.sum("predicted").over(of_class))
+    rows = precision.select(
+        report, "class", "predicted", "correct",
+        F.format_string("    %-20s: %6.2f%% (%d/%d)  |  Predicted: %6d", "class", F.round("precision_pct", 2), "correct", "labelled", "predicted").alias("hit_line"),
+        F.format_string("    %-20s: %6d (%5.1f%%)", "class", "predicted", F.round(share, 1)).alias("share_line"),
+    )
+    per_class = rows.groupBy(report).agg(
+        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("class", "hit_line"))), lambda r: r["hit_line"]), "\n").alias("hit_lines"),
+        F.array_join(
+            F.transform(F.array_sort(F.collect_list(F.struct((-F.col("predicted")).alias("o"), "class", "share_line"))), lambda r: r["share_line"]), "\n"
+        ).alias("share_lines"),
+        F.sum("correct").alias("hits"),
+    )
+    joined = blocks.join(per_class, report)
+    if seconds:
+        joined = joined.join(minutes.groupBy(report).agg(F.max(seconds).alias("seconds__")), report)
+    wide, dash = _rule("=", 100), "  " + _rule("-", 96)
+    parts = [F.lit(f"{wide}\n  FLOW CLASSIFICATION - {title}\n{wide}\n")]
+    parts.append(F.format_string("  Report Folder:     %s", F.col(report)))
+    if seconds:
+        parts.append(F.format_string("  Actual Duration:   %ds", F.col("seconds__")))
+    if minute_section:
+        parts += [F.lit(f"\n  MINUTE-BY-MINUTE BREAKDOWN\n{dash}\n"), F.col("blocks"), F.lit(dash)]
+    parts += [F.lit(f"\n  FULL SESSION SUMMARY\n{dash}\n"), F.format_string("  Total Flows Classified: %d", F.col("total"))]
+    if totals:
+        for name, c in (("Threats Detected:", "threats"), ("Suspicious Flows:", "suspicious"), ("Clean Flows:", "clean")):
+            parts.append(F.format_string(f"  {name:24s}%d", F.col(c)))
+    if labelled:
+        accuracy = F.round(percent(F.col("hits"), F.col("total")), 2)
+        parts.append(F.format_string("\n  Accuracy:               %.2f%% (%d/%d)\n", accuracy, F.col("hits"), F.col("total")))
+        parts += [F.lit("  Per-Class Precision (of predicted, how many correct):"), F.col("hit_lines")]
+    parts += [F.lit("\n  Classification Breakdown:"), F.col("share_lines"), F.lit("\n" + wide)]
+    return joined.select(report, F.concat_ws("\n", *parts).alias("text"))
+
+
+# Folder-name forms and text patterns of stored reports.
+FOLDER_NAME = r"^([a-z]+)_(default|all)((?:_(?!\d{4}-)[^_]+)*)_(\d{4}-\d{2}-\d{2})_(\d{2}-\d{2}-\d{2})$"
+LEGACY_DATE = r"(\d{4}-\d{2}-\d{2}|\d{8}[_-]\d{6})"
+TYPE_PREFIXES = ("simulation", "training", "batch", "live", "simul")
+MINUTE_FILE = r"^minute_(\d{2}-\d{2})\.txt$"
+SUMMARY_FILES = ("session_summary.txt", "batch_summary.txt")
+TOTAL_PATTERNS = {
+    "flows": r"(?i)Total Flows Classified[:\s]+(\d[\d,]*)",
+    "threats": r"(?i)Threats Detected[:\s]+(\d[\d,]*)",
+    "suspicious": r"(?i)Suspicious Flows[:\s]+(\d[\d,]*)",
+    "clean": r"(?i)Clean Flows[:\s]+(\d[\d,]*)",
+}
+MINUTE_PATTERNS = {
+    "threats": r"(?m)^\s{4,}Threats:\s+(\d+)",
+    "suspicious": r"(?m)^\s{4,}Suspicious:\s+(\d+)",
+    "clean": r"(?m)^\s{4,}Clean:\s+(\d+)",
+}
+CLASS_LINE = r"(?m)^\s+([^\n:]+?)\s*:\s*[\d.]+%\s*\((\d+)/\d+\)\s*\|\s*Predicted:\s*(\d+)"
+BREAKDOWN_LINE = r"(?m)^\s{2,}(\S[^\n:]+?)\s*:\s*([\d,]+)\s*\(\s*([\d.]+)%\s*\)"
+ACCURACY = r"(?i)Accuracy:\s+([\d.]+)%"
+ACCURACY_COUNTS = r"(?i)Accuracy:\s+([\d.]+)%\s*\((\d+)/(\d+)\)"
+DURATION = r"(?i)Actual Duration[:\s]+(\S+)"
+METRIC_KEYS = ("accuracy", "f1_score", "model_variant", "total_flows", "threat_percentage", "model_accuracy")
+
+STAGE_PATTERNS = {
+    "exploration": {
+        "total_rows": r"(?i)Total Rows:\s+([\d,]+)",
+        "total_columns": r"(?i)Total Columns:\s+(\d+)",
+        "original_classes": r"(?i)Total Classes:\s+(\d+)",
+        "consolidated_classes": r"(?s)AFTER Consolidation.*?Classes:\s+(\d+)",
+        "gini_coefficient": r"(?i)Gini Coefficient:\s+([\d.]+)",
+        "imbalance_severity": r"(?i)Imbalance Severity:\s+(\w+)",
+        "memory_usage": r"(?i)Memory Usage:\s+([\d.]+ \w+)",
+    },
+    "preprocessing": {
+        "initial_rows": r"(?is)Initial Dataset:.*?Rows:\s+([\d,]+)",
+        "final_rows": r"(?is)Final Clean Dataset:.*?Rows:\s+([\d,]+)",
+        "rows_removed": r"(?i)Total removed:\s+([\d,]+)\s+rows\s*\([\d.]+%\)",
+        "data_loss_pct": r"(?i)Total removed:\s+[\d,]+\s+rows\s*\(([\d.]+)%\)",
+        "training_samples": r"(?i)Samples after:\s+([\d,]+)",
+        "test_samples": r"(?i)Test set:\s+([\d,]+)\s+samples",
+        "smote_samples": r"(?i)Synthetic samples:\s+([\d,]+)",
+        "features_selected": r"(?i)Features selected:\s+(\d+)",
+    },
+    "training": {
+        "cv_f1_score": r"(?i)Macro F1-Score:\s+([\d.]+)",
+        "tuning_time": r"(?i)Hyperparameter Tuning:\s+([\d.]+ minutes?)",
+        "training_time": r"(?i)Final Model Training:\s+([\d.]+ minutes?)",
+        "total_time": r"(?i)Total Training Time:\s+([\d.]+ minutes?)",
+        "trees": r"(?i)Number of Trees:\s+(\d+)",
+        "avg_depth": r"(?i)Average Tree Depth:\s+([\d.]+)",
+        "features": r"(?is)Training Configuration.*?Features:\s+(\d+)",
+        "top10_importance": r"(?i)Top 10 features:\s+([\d.]+%)\s+of total importance",
+        "top_feature": r"(?m)^\s+1\s+\|\s+(.+?)\s+\|\s+[\d.]+\s+\|",
+        "top_feature_importance": r"(?m)^\s+1\s+\|\s+.+?\s+\|\s+([\d.]+)\s+\|",
+    },
+    "testing": {
+        "accuracy": r"(?m)^Accuracy:\s+([\d.]+)",
+        "macro_f1": r"(?m)^Macro F1-Score:\s+([\d.]+)",
+        "inference_speed": r"(?i)Inference speed:\s+([^\n]+)",
+        "mean_confidence": r"(?i)Mean confidence:\s+([\d.]+)",
+        "binary_accuracy": r"(?ms)4\. BINARY.*?^Accuracy:\s+([\d.]+)",
+        "binary_precision": r"(?ms)4\. BINARY.*?^Precision:\s+([\d.]+)",
+        "binary_recall": r"(?ms)4\. BINARY.*?^Recall \(TPR\):\s+([\d.]+)",
+        "binary_specificity": r"(?ms)4\. BINARY.*?^Specificity \(TNR\):\s+([\d.]+)",
+        "binary_auc": r"(?ms)4\. BINARY.*?^Binary AUC:\s+([\d.]+)",
+        "binary_f1": r"(?ms)4\. BINARY.*?^F1-Score:\s+([\d.]+)",
+    },
+}
+CLASS_SECTION = r"(?s)Per-Class Performance:(.*?)(?:\n\n|\n\d+\.)"
+CLASS_ROW = r"(?m)^([A-Za-z][A-Za-z\s]+?)\s{2,}([\d.]+)\s+([\d.]+)\s+([\d.]+)\s+([\d.]+)\s+([\d,]+)\s*$"
+
+
+def _found(text: Column, pattern: str, group: int = 1) -> Column:
+    """The group of the first match, NULL without a match."""
+    return F.when(F.regexp_like(text, F.lit(pattern)), F.trim(F.regexp_extract(text, pattern, group)))
+
+
+def _whole(text: Column) -> Column:
+    return F.regexp_replace(text, ",", "").try_cast("long")
+
+
+def name_from_path(path: Column, part: str) -> Column:
+    """Report or file name from ``.../<report>/<file>`` or ``.../report=<report>/file=<file>/part-...``."""
+    keyed = F.url_decode(F.regexp_extract(path, rf"/{part}=([^/]+)/", 1))
+    plain = F.element_at(F.split(path, "/"), -2 if part == "report" else -1)
+    return F.when(keyed != "", keyed).otherwise(F.url_decode(plain))
+
+
+def _files(spark, folder: str, whole: bool) -> DataFrame:
+    path = F.col("_metadata.file_path")
+    return (
+        spark.read.text(folder, wholetext=whole, recursiveFileLookup=True)
+        .select(
+            name_from_path(path, "report").alias("report"),
+            name_from_path(path, "file").alias("file"),
+            F.col("_metadata.file_size").alias("bytes"),
+            path.alias("path"),
+            "value",
+        )
+    )
+
+
+def read_summaries(spark, folder: str) -> DataFrame:
+    """(report, text): the session summary of each report, else its batch summary."""
+    texts = _files(spark, folder, True).filter(F.col("file").isin(*SUMMARY_FILES))
+    first = F.min_by("value", F.col("file") != SUMMARY_FILES[0])
+    return texts.groupBy("report").agg(first.alias("text"))
+
+
+def read_lines(spark, folder: str) -> DataFrame:
+    """(report, file, line) of minute and batch result files; line by line, so long files are split."""
+    tables = F.regexp_like("file", F.lit(MINUTE_FILE)) | (F.col("file") == "batch_results.txt")
+    return _files(spark, folder, False).filter(tables).select("report", "file", F.col("value").alias("line"))
+
+
+def report_sizes(spark, folder: str) -> DataFrame:
+    """Bytes of each report's files, from the listing alone."""
+    files = (
+        spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder).select("path", "length")
+    )
+    return files.groupBy(name_from_path(F.col("path"), "report").alias("report")).agg(F.sum("length").alias("size"))
+
+
+def parse_folder_name(name: str) -> list[Column]:
+    """type, model, date, date_iso and is_labeled of a report folder name, older forms included."""
+    c, lower = F.col(name), F.lower(F.col(name))
+    known = F.regexp_like(c, F.lit(FOLDER_NAME))
+
+    def group(i: int) -> Column:
+        return F.regexp_extract(c, FOLDER_NAME, i)
+
+    prefix = F.lit("unknown")
+    for p in reversed(TYPE_PREFIXES):
+        prefix = F.when(lower.startswith(p), p).otherwise(prefix)
+    model = F.when(lower.contains("_default"), "default").when(lower.contains("_all"), "all")
+    date = _found(c, LEGACY_DATE)
+    iso = F.concat(group(4), F.lit("T"), F.replace(group(5), F.lit("-"), F.lit(":")))
+    return [
+        F.when(known, group(1)).otherwise(prefix).alias("type"),
+        F.when(known, group(2)).otherwise(model).alias("model"),
+        F.when(known, group(4)).otherwise(date).alias("date"),
+        F.when(known, iso).otherwise(F.replace(date, F.lit("_"), F.lit("T"))).alias("date_iso"),
+        F.when(known, F.lower(group(3)).contains("labeled")).otherwise(lower.contains("labeled")).alias("is_labeled"),
+    ]
+
+
+def summary_totals(text: str) -> list[Column]:
+    return [_whole(_found(F.col(text), p)).alias(c) for c, p in TOTAL_PATTERNS.items()]
+
+
+def minute_sums(text: str) -> list[Column]:
+    """Sums of the per-minute counts inside a summary; NULL where it has none."""
+
+    def total(pattern: str) -> Column:
+        hits = F.regexp_extract_all(F.col(text), F.lit(pattern), F.lit(1))
+        return F.when(F.size(hits) > 0, F.aggregate(hits, F.lit(0).cast("long"), lambda a, x: a + x.cast("long")))
+
+    return [total(p).alias(f"minute_{c}") for c, p in MINUTE_PATTERNS.items()]
+
+
+def class_lines(summaries: DataFrame, text: str = "text") -> DataFrame:
+    """(report, class, correct, predicted, wrong) from the per-class precision lines."""
+    groups = [F.regexp_extract_all(F.col(text), F.lit(CLASS_LINE), F.lit(i)) for i in (1, 2, 3)]
+    rows = summaries.select("report", F.explode(F.arrays_zip(*[g.alias(n) for g, n in zip(groups, ("class", "correct", "predicted"))])).alias("r"))
+    correct, predicted = F.col("r.correct").cast("long"), F.col("r.predicted").cast("long")
+    return rows.select(
+        "report", F.trim("r.class").alias("class"), correct.alias("correct"), predicted.alias("predicted"),
+        (predicted - correct).alias("wrong"),
+    )
+
+
+def threats_from_classes(classes: DataFrame) -> DataFrame:
+    attack = F.lower("class") != "benign"
+    return classes.groupBy("report").agg(F.sum(F.when(attack, F.col("predicted")).otherwise(0)).alias("class_threats"))
+
+
+def breakdown_lines(summaries: DataFrame, text: str = "text") -> DataFrame:
+    """(report, name, count, pct) from the class breakdown; summaries without one use their per-class lines."""
+    groups = [F.regexp_extract_all(F.col(text), F.lit(BREAKDOWN_LINE), F.lit(i)) for i in (1, 2, 3)]
+    zipped = F.arrays_zip(*[g.alias(n) for g, n in zip(groups, ("name", "count", "pct"))])
+    listed = summaries.select("report", text, zipped.alias("rows"), _whole(_found(F.col(text), TOTAL_PATTERNS["flows"])).alias("flows"))
+    direct = listed.filter(F.size("rows") > 0).select("report", F.explode("rows").alias("r")).select(
+        "report", F.trim("r.name").alias("name"), _whole(F.col("r.count")).alias("count"), F.col("r.pct").cast("double").alias("pct")
+    )
+    lacking = listed.filter(F.size("rows") == 0).select("report", text, "flows")
+    of_report = F.sum("predicted").over(W.partitionBy("report"))
+    derived = class_lines(lacking, text).join(lacking.select("report", "flows"), "report").select(
+        "report", F.col("class").alias("name"), F.col("predicted").alias("count"),
+        F.round(percent(F.col("predicted"), F.coalesce("flows", of_report)), 1).alias("pct"),
+    )
+    return direct.unionByName(derived)
+
+
+def session_facts(text: str) -> list[Column]:
+    """Duration text, accuracy in percent and correct rows of a summary."""
+    c = F.col(text)
+    return [
+        _found(c, DURATION).alias("duration"),
+        _found(c, ACCURACY_COUNTS, 1).cast("double").alias("accuracy_pct"),
+        _found(c, ACCURACY_COUNTS, 2).cast("long").alias("accuracy_correct"),
+    ]
+
+
+def parse_table_rows(lines: DataFrame) -> DataFrame:
+    """Thirteen columns of the table lines; confidences become fractions, other lines drop out.
+
+    A data line has at least twelve cells and is neither the heading nor a rule. Each line is judged by
+    itself, so a file of any length is read in parallel.
+    """
+    cells = F.transform(F.split("line", r"\|"), lambda x: F.trim(x))
+    head = F.ltrim("line")
+    rows = lines.withColumn("cells", cells).filter(
+        (F.size("cells") >= 12) & ~head.startswith("-") & ~head.startswith("=") & ~F.col("line").contains("Timestamp")
+    )
+
+    def cell(i: int) -> Column:
+        return F.get("cells", F.lit(i))
+
+    def confidence(i: int) -> Column:
+        return F.round(F.trim(F.replace(cell(i), F.lit("%"), F.lit(""))).try_cast("double") / 100, 6)
+
+    names = ("timestamp", "src_ip", "src_port", "dst_ip", "dst_port", "protocol", "class1", "conf1", "class2", "conf2", "class3", "conf3")
+    label = F.when(~cell(12).isin("", "-"), cell(12))
+    return rows.select(
+        "report", "file",
+        *[(confidence(i) if n.startswith("conf") else cell(i)).alias(n) for i, n in enumerate(names)],
+        label.alias("actual_label"),
+    )
+
+
+def counts_from_rows(rows: DataFrame) -> DataFrame:
+    """Flows and threats of a report from its minute files."""
+    minutes = rows.filter(F.regexp_like("file", F.lit(MINUTE_FILE)))
+    return minutes.groupBy("report").agg(
+        F.count(F.lit(1)).alias("row_flows"), F.count_if(F.col("class1") != "Benign").alias("row_threats")
+    )
+
+
+def metric_lines(summaries: DataFrame, text: str = "text") -> DataFrame:
+    """(report, key, value) of the known key=value lines."""
+    line = summaries.select("report", F.explode(F.split(text, "\n")).alias("line")).filter(F.col("line").contains("="))
+    key, at = F.trim(F.split("line", "=", 2)[0]), F.instr("line", "=")
+    return line.select(
+        "report", key.alias("key"), F.trim(F.substring("line", at + 1, F.length("line"))).alias("value")
+    ).filter(F.col("key").isin(*METRIC_KEYS))
+
+
+def stage_metrics(texts: DataFrame, stage: str, text: str = "text") -> DataFrame:
+    """One row of metrics for each exploration, preprocessing, training or testing report."""
+    return texts.select("report", *[_found(F.col(text), p).alias(c) for c, p in STAGE_PATTERNS[stage].items()])
+
+
+def testing_classes(texts: DataFrame, text: str = "text") -> DataFrame:
+    """Per-class rows of testing reports."""
+    section = F.regexp_extract(F.col(text), CLASS_SECTION, 1)
+    names = ("class", "precision", "recall", "f1", "auc", "support")
+    groups = [F.regexp_extract_all(section, F.lit(CLASS_ROW), F.lit(i + 1)).alias(n) for i, n in enumerate(names)]
+    rows = texts.select("report", F.explode(F.arrays_zip(*groups)).alias("r"))
+    return rows.select("report", *[F.trim(F.col("r")[n]).alias(n) for n in names]).filter(F.col("class") != "Class")
+
+
+def report_index(spark, folder: str) -> DataFrame:
+    """One row for each report folder: name parts, totals with their fallbacks, accuracy and size.
+
+    Labelled summaries without totals take threats from their per-class lines and the rest from their
+    minute section; reports without a summary are counted from their minute rows.
+    """
+    sizes = report_sizes(spark, folder)
+    summaries = read_summaries(spark, folder)
+    facts = summaries.select(
+        "report", *summary_totals("text"), *minute_sums("text"), _found(F.col("text"), ACCURACY).alias("accuracy_text"),
+        F.lit(True).alias("has_summary"), F.substring("text", 1, 200).alias("preview"),
+    )
+    classes = threats_from_classes(class_lines(summaries))
+    counted = counts_from_rows(parse_table_rows(read_lines(spark, folder)))
+    rows = sizes.select("report", "size", *parse_folder_name("report"))
+    for part in (facts, classes, counted):
+        rows = rows.join(part, "report", "left")
+    labelled, bare = F.col("is_labeled"), F.col("has_summary").isNull()
+    use_rows = labelled | bare
+    return rows.select(
+        F.col("report").alias("name"), "type", "model", "date", "date_iso", "is_labeled",
+        F.when(labelled, F.col("accuracy_text")).alias("accuracy"),
+        F.coalesce("flows", F.when(use_rows, F.col("row_flows"))).alias("flows"),
+        F.coalesce(
+            "threats",
+            F.when(labelled, F.coalesce("class_threats", "row_threats", "minute_threats")),
+            F.when(bare, F.col("row_threats")),
+        ).alias("threats"),
+        F.coalesce("suspicious", F.when(labelled, F.col("minute_suspicious"))).alias("suspicious"),
+        F.coalesce("clean", F.when(labelled, F.col("minute_clean"))).alias("clean"),
+        "size", "preview",
+    )

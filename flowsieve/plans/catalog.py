@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from flowsieve.plans import registry
-from flowsieve.plans import profiles, relational, rows, streams, training  # noqa: F401
+from flowsieve.plans import profiles, relational, rows, stored_reports, streams, tables, training  # noqa: F401
 
 
 def queries() -> dict[str, registry.Query]:

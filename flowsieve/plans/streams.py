@@ -4,8 +4,18 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from pyspark.sql import types as T
+
 from flowsieve.operators.flows import assemble_flows
+from flowsieve.operators.score import add_ranking
+from flowsieve.plans.fixtures import CLASSES, SCORED, weigh
+from flowsieve.plans.profiles import MINUTES
 from flowsieve.plans.registry import query, rounded, table
+from flowsieve.session import scratch_path
+from flowsieve.sources.replay import replay_csv, stream_table, typed_or_rejected
+from flowsieve.streaming.assembly import assemble_stream, finish_flows, open_flows, rocksdb_state
+from flowsieve.streaming.detection import alerts, class_totals, level_totals, minute_totals
+from flowsieve.streaming.runs import latest, progress_table, run_to_end, run_versions
 
 CHAIN = """packets AS (SELECT user_id, ts, value, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS rn FROM events),
     chain AS (SELECT user_id, rn, ts, value, ts AS flow_start FROM packets WHERE rn = 1
@@ -33,3 +43,123 @@ def flow_rows(df):
 @query("h3_assemble_flows", FLOW_SQL)
 def _(spark, d):
     return flow_rows(assemble_flows(table(spark, d, "events"), ["user_id"], "ts", "value", 3600, 4 * 3600))
+
+
+def event_files(spark, d, parts=3):
+    """The events as files of growing time, written one after the other as a capture would."""
+    e = table(spark, d, "events")
+    path = scratch_path(spark, "events")
+    cuts = e.select(F.unix_micros(F.col("ts").cast("timestamp")).cast("double").alias("t")).approxQuantile(
+        "t", [i / parts for i in range(1, parts)], 0.01
+    )
+    t = F.unix_micros(F.col("ts").cast("timestamp"))
+    edges = [float("-inf"), *cuts, float("inf")]
+    for low, high in zip(edges, edges[1:]):
+        e.filter((t > F.lit(low)) & (t <= F.lit(high))).write.mode("append").parquet(path)
+    return e.schema, path
+
+
+def event_stream(spark, d, files_per_trigger=8):
+    schema, path = event_files(spark, d)
+    return stream_table(spark, path, schema, files_per_trigger=files_per_trigger)
+
+
+@query("h1_stream_flow_assembly", FLOW_SQL)
+def _(spark, d):
+    """Closed flows of the stream and, as at shutdown, those still open in its state."""
+    schema, path = event_files(spark, d)
+    packets = stream_table(spark, path, schema, files_per_trigger=1)
+    with rocksdb_state(spark):
+        run = run_to_end(assemble_stream(packets, "user_id", "ts", "value", 3600, 4 * 3600), "assembly")
+    closed = spark.read.parquet(run.output).drop("closed")
+    return flow_rows(finish_flows(closed.unionByName(open_flows(spark, run.checkpoint, "user_id")), "user_id"))
+
+
+def scored_stream(spark, d):
+    return add_ranking(weigh(event_stream(spark, d)), CLASSES)
+
+
+@query("h5_stream_scores", f"""WITH {SCORED} SELECT event_id, c1 AS predicted_class, round(q1, 6) AS confidence, level AS threat_level FROM scored""")
+def _(spark, d):
+    rows = scored_stream(spark, d).select("event_id", "predicted_class", "confidence", "threat_level")
+    return rounded(spark.read.parquet(run_to_end(rows, "scores").output))
+
+
+@query("h6_stream_alerts", f"""WITH {SCORED} SELECT event_id, c1 AS predicted_class, level AS threat_level FROM scored WHERE level <> 'GREEN'""")
+def _(spark, d):
+    rows = alerts(scored_stream(spark, d)).select("event_id", "predicted_class", "threat_level")
+    return spark.read.parquet(run_to_end(rows, "alerts").output)
+
+
+@query("h6_stream_level_counts", f"""WITH {SCORED} SELECT level AS threat_level, count(*) AS n FROM scored GROUP BY 1""")
+def _(spark, d):
+    run = run_versions(level_totals(scored_stream(spark, d)), "levels")
+    return latest(spark, run, ["threat_level"])
+
+
+@query("h7_stream_minute_totals", f"""WITH {SCORED}, {MINUTES} SELECT minute, total, threats, suspicious, clean FROM minutes""")
+def _(spark, d):
+    run = run_versions(minute_totals(scored_stream(spark, d), "ts", lateness="1 day"), "minutes")
+    rows = latest(spark, run, ["minute"])
+    return rows.withColumn("minute", F.date_format("minute", "yyyy-MM-dd HH:mm"))
+
+
+@query("h8_stream_session_totals", f"""WITH {SCORED} SELECT strftime(ts, '%Y-%m-%d') AS session, c1 AS class, count(*) AS n FROM scored GROUP BY 1, 2""")
+def _(spark, d):
+    rows = scored_stream(spark, d).withColumn("session", F.date_format("ts", "yyyy-MM-dd"))
+    run = run_versions(class_totals(rows, ["session"]), "sessions")
+    return latest(spark, run, ["session", "class"])
+
+
+LINE_HEADER = ["event_id", "Src IP", "Label", "value"]
+
+
+def line_files(spark, d):
+    """Events as CSV lines: most fit the header, some are short, some long, some hold a word for a number."""
+    n = F.col("event_id")
+    head = F.concat_ws(",", n.cast("string"), F.col("user_id").cast("string"))
+    kind = F.concat(F.lit(" "), F.col("event_type"), F.lit(" "))
+    cents = F.round(F.col("value") * 100).cast("long").cast("string")
+    line = (
+        F.when(n % 50 == 7, F.concat_ws(",", head, "event_type"))
+        .when(n % 50 == 9, F.concat_ws(",", head, F.col("event_type"), F.lit("1.5,surplus")))
+        .when(n % 50 == 11, F.concat_ws(",", head, kind, F.lit("many")))
+        .otherwise(F.concat_ws(",", head, kind, cents))
+    )
+    path = scratch_path(spark, "lines")
+    rows = table(spark, d, "events").select(line.alias(",".join(LINE_HEADER)))
+    rows.write.option("header", "true").option("sep", "\u0001").option("quote", "").csv(path)
+    return path
+
+
+@query("a17_replay_labelled_csv", """SELECT CAST(event_id AS VARCHAR) AS event_id, CAST(user_id AS VARCHAR) AS src_ip, event_type AS actual_label FROM events
+    WHERE event_id % 50 NOT IN (7, 9)""")
+def _(spark, d):
+    rows = replay_csv(spark, line_files(spark, d), LINE_HEADER)
+    out = run_to_end(rows.select("event_id", F.col("identifiers")["Src IP"].alias("src_ip"), "actual_label"), "replay")
+    return spark.read.parquet(out.output)
+
+
+@query("h10_dead_letters", """SELECT CASE WHEN event_id % 50 = 11 THEN 'rejected' ELSE 'good' END AS status,
+    CASE WHEN event_id % 50 = 11 THEN 'value: not readable: many' END AS reason, event_id, CASE WHEN event_id % 50 = 11 THEN NULL ELSE CAST(round(value * 100) AS DOUBLE) END AS value
+    FROM events WHERE event_id % 50 NOT IN (7, 9)""")
+def _(spark, d):
+    rows = replay_csv(spark, line_files(spark, d), LINE_HEADER)
+    checked = typed_or_rejected(rows.drop("identifiers"), {"event_id": T.LongType(), "value": T.DoubleType()})
+    out = run_to_end(checked, "letters")
+    return spark.read.parquet(out.output).select("status", "reason", "event_id", "value")
+
+
+@query("h11_stream_progress", "SELECT count(*) AS input_rows, CAST(0 AS BIGINT) AS late_rows FROM events")
+def _(spark, d):
+    run = run_to_end(scored_stream(spark, d).select("event_id", "threat_level"), "progress")
+    return progress_table(spark, run.query).agg(
+        F.sum("input_rows").alias("input_rows"), F.sum("late_rows").alias("late_rows")
+    )
+
+
+@query("a16_stream_flow_sink", """SELECT event_id, user_id, event_type, value FROM events""")
+def _(spark, d):
+    rows = event_stream(spark, d).select("event_id", "user_id", "event_type", "value")
+    run = run_to_end(rows, "flowfile", fmt="csv", options={"header": "true"})
+    return spark.read.schema(rows.schema).option("header", "true").csv(run.output)

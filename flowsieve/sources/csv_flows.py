@@ -81,8 +81,10 @@ def scan_csv_dir(spark: SparkSession, folder: str, threads: int = 16) -> ParsedF
         rows = _reader(spark, header, "PERMISSIVE").csv(members)
         too_long = F.coalesce(field_count(F.col(RAW_LINE)) > len(header), F.lit(False))
         part = rows.filter(~too_long).select(*[F.col(f"`{c}`").alias(c.strip()) for c in header])
-        bad = rows.filter(too_long).select(
-            F.col(RAW_LINE).alias("line"), F.lit(len(header)).alias("expected_fields")
+        bad = (
+            spark.read.text(members)
+            .filter(field_count(F.col("value")) > len(header))
+            .select(F.col("value").alias("line"), F.lit(len(header)).alias("expected_fields"))
         )
         good = part if good is None else good.unionByName(part, allowMissingColumns=True)
         rejected = bad if rejected is None else rejected.unionByName(bad)
