@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from flowsieve.functions.bands import correlation_band
 
-ROWS_PER_BLOCK = 8192
+TASKS_PER_CORE = 4
 
 
 def feature_pairs(df: DataFrame, features: list[str]) -> DataFrame:
@@ -56,9 +56,9 @@ def _moments(features: list[str], center: list[float]):
 def correlation_pairs(df: DataFrame, features: list[str]) -> DataFrame:
     """(i, j, f1, f2, n, r) over the rows where both values are finite; r is NULL without variance.
 
-    Each partition reduces its rows to one row of sums for each pair with dense matrix products, so
-    the shuffle carries partitions x pairs rows whatever the table holds. Centring by the column means
-    first keeps the sums of squares accurate.
+    Each task reduces its rows to one row of sums for each pair with dense matrix products, and inputs
+    are coalesced to a few tasks for each core, so the shuffle carries cores x pairs rows whatever the
+    table holds. Centring by the column means first keeps the sums of squares accurate.
     """
     finite = [
         F.when(F.abs(F.col(f"`{f}`").cast("double")) < F.lit(float("inf")), F.col(f"`{f}`").cast("double"))
@@ -66,8 +66,9 @@ def correlation_pairs(df: DataFrame, features: list[str]) -> DataFrame:
     ]
     means = df.agg(*[F.coalesce(F.avg(c), F.lit(0.0)).alias(f"m{i}") for i, c in enumerate(finite)]).first()
     numeric = df.select(*[F.col(f"`{f}`").cast("double").alias(f"c{i}") for i, f in enumerate(features)])
+    tasks = TASKS_PER_CORE * df.sparkSession.sparkContext.defaultParallelism
     sums = (
-        numeric.mapInPandas(
+        numeric.coalesce(tasks).mapInPandas(
             _moments(features, list(means)),
             "i int, j int, n double, sx double, sy double, sxx double, syy double, sxy double",
         )

@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 
 from flowsieve.schema import PROTOCOL_CODES
 
+MAX_CATEGORIES = 1000
+
 
 def class_table(df: DataFrame, label: str = "Label") -> DataFrame:
     """(class, class_index) in order of the class name; the window runs over distinct classes only."""
@@ -17,9 +19,17 @@ def class_table(df: DataFrame, label: str = "Label") -> DataFrame:
     return names.select("class", (F.row_number().over(W.orderBy("class")) - 1).alias("class_index"))
 
 
+def few_values(df: DataFrame, column: str, most: int = MAX_CATEGORIES) -> list:
+    """The distinct values of a categorical column, sorted; an error if there are more than ``most``."""
+    rows = df.select(F.col(f"`{column}`").alias("v")).where(F.col("v").isNotNull()).distinct().limit(most + 1).collect()
+    if len(rows) > most:
+        raise ValueError(f"{column} has more than {most} distinct values; it is no category")
+    return sorted(r["v"] for r in rows)
+
+
 def class_list(df: DataFrame, label: str = "Label") -> list[str]:
-    """The sorted class names; metadata of a table with few classes."""
-    return [r["class"] for r in class_table(df, label).orderBy("class_index").collect()]
+    """The sorted class names, as metadata."""
+    return few_values(df, label)
 
 
 def encode_label(df: DataFrame, classes: Sequence[str], label: str = "Label", out: str = "label_index") -> DataFrame:
@@ -39,7 +49,7 @@ def protocol_values(df: DataFrame, protocol: str = "Protocol") -> DataFrame:
 
 def one_hot_all(df: DataFrame, protocol: str = "Protocol") -> DataFrame:
     """A 0/1 column for each protocol in the table, in text order, none dropped."""
-    values = [r.protocol for r in protocol_values(df, protocol).collect() if r.protocol is not None]
+    values = few_values(df.select(F.col(f"`{protocol}`").cast("string").alias(protocol)), protocol)
     text = F.col(f"`{protocol}`").cast("string")
     flags = {f"{protocol}_{v}": F.coalesce((text == v).cast("int"), F.lit(0)) for v in values}
     return df.withColumns(flags).drop(protocol)

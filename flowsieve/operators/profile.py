@@ -10,6 +10,7 @@ from pyspark.sql import types as T
 from flowsieve.functions.bands import imbalance_severity
 from flowsieve.functions.values import all_rows, any_inf, any_missing, is_inf, is_missing, percent, ratio, total_of
 from flowsieve.operators.clean import consolidate, drop_identifiers
+from flowsieve.operators.running import exact_quantiles
 from flowsieve.schema import (
     DROP_CLASS,
     RAW_LABEL_CLASS,
@@ -239,16 +240,16 @@ def describe(df: DataFrame, features: list[str], exact: bool = False, accuracy:
     """Moments and quartiles of each feature, in one pass.
 
     Deviation, skewness and kurtosis carry the sample (bias-corrected) form. Quartiles come from a
-    mergeable sketch by default. ``exact`` keeps every distinct value of a feature in the aggregation
-    state: right for tables whose distinct values fit an executor, see ``exact_quantiles`` beyond that.
+    mergeable sketch by default; ``exact`` ranks the distinct values of each feature instead.
     """
 
+    quartiles = [0.25, 0.5, 0.75]
+
     def entry(name: str) -> Column:
         raw = F.col(f"`{name}`").cast("double")
         c = F.when(~F.isnan(raw) & (F.abs(raw) != F.lit(float("inf"))), raw)
         n = F.count(c).cast("double")
-        cuts = F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))
-        q = F.percentile(c, cuts) if exact else F.percentile_approx(c, cuts, accuracy)
+        q = F.percentile_approx(c, quartiles, accuracy)
         g1, g2 = F.skewness(c), F.kurtosis(c)
         return F.struct(
             F.lit(name).alias("feature"),
@@ -256,15 +257,19 @@ def describe(df: DataFrame, features: list[str], exact: bool = False, accuracy:
             F.avg(c).alias("mean"),
             F.stddev_samp(c).alias("std"),
             F.min(c).alias("min"),
-            q[0].alias("q25"),
-            q[1].alias("median"),
-            q[2].alias("q75"),
+            *([] if exact else [q[0].alias("q25"), q[1].alias("median"), q[2].alias("q75")]),
             F.max(c).alias("max"),
             F.when(n > 2, g1 * F.sqrt(n * (n - 1)) / (n - 2)).alias("skewness"),
             F.when(n > 3, (n - 1) / ((n - 2) * (n - 3)) * ((n + 1) * g2 + 6)).alias("kurtosis"),
         )
 
-    return df.agg(F.array(*[entry(f) for f in features]).alias("d")).select(F.inline("d"))
+    moments = df.agg(F.array(*[entry(f) for f in features]).alias("d")).select(F.inline("d"))
+    if not exact:
+        return moments
+    ranked = exact_quantiles(df, features, quartiles).groupBy(F.col("name").alias("feature")).agg(
+        *[F.max(F.when(F.col("p") == p, F.col("value"))).alias(n) for p, n in zip(quartiles, ("q25", "median", "q75"))]
+    )
+    return moments.join(ranked, "feature", "left")
 
 
 def consolidation_impact(

@@ -7,6 +7,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from flowsieve.session import materialise
+
 BLOCK_ROWS = 1_000_000
 MAX_BLOCKS = 20_000
 
@@ -18,8 +20,10 @@ def running_sums(
 
     ``order`` is numeric and distinct within a part. A window over a part would sort all its rows in
     one task; here the range of ``order`` is cut into blocks of about ``block_rows`` rows, sums run
-    inside a block, and the totals of the earlier blocks are added.
+    inside a block, and the totals of the earlier blocks are added. The input is read several times, so
+    it is written to the shared folder first.
     """
+    df = materialise(df, "running")
     rows = df.count()
     blocks = min(MAX_BLOCKS, rows // block_rows + 1)
     cut = df.withColumn("o__", F.col(order).cast("double"))
@@ -65,7 +69,7 @@ def exact_quantiles(
         .agg(F.count(F.lit(1)).alias("n"))
     )
     ranked = running_sums(values, ["name"], "value", ["n"], block_rows)
-    totals = values.groupBy("name").agg(F.sum("n").alias("total"))
+    totals = ranked.groupBy("name").agg(F.max("run_n").alias("total"))
     probes = F.array(*[F.lit(float(p)) for p in probabilities])
     position = F.col("p") * (F.col("total") - 1)
     asked = totals.select("name", "total", F.explode(probes).alias("p")).select(

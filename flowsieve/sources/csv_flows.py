@@ -129,29 +129,15 @@ def load_flows(spark: SparkSession, folder: str) -> tuple[DataFrame, str, str |
 
 
 def estimate_rows(spark: SparkSession, folder: str, sample_lines: int = 200) -> DataFrame:
-    """Rows of each file from its length and the mean length of its first lines; no full read.
-
-    ``limit`` on one file stops after the sampled lines.
-    """
-    parts = None
-    for r in list_files(spark, folder).collect():
-        header_bytes = F.max(F.when(F.col("n") == 0, F.octet_length("value") + 1))
-        lines = (
-            spark.read.text(r.path)
-            .limit(sample_lines + 1)
-            .select("value", F.monotonically_increasing_id().alias("n"))
-        )
-        one = lines.agg(
-            header_bytes.alias("header_bytes"),
-            F.avg(F.when(F.col("n") > 0, F.octet_length("value") + 1)).alias("mean_bytes"),
-        ).select(
-            F.lit(r.path).alias("path"),
-            F.coalesce(
-                F.floor(F.try_divide(F.lit(r.length) - F.col("header_bytes"), F.col("mean_bytes"))), F.lit(0)
-            ).alias("estimated_rows"),
-        )
-        parts = one if parts is None else parts.unionByName(one)
-    return parts
+    """(path, estimated_rows) from file lengths and the mean length of the first file's first lines."""
+    files = list_files(spark, folder)
+    first = files.orderBy("path").first()
+    lines = spark.read.text(first.path).limit(sample_lines + 1).select(F.octet_length("value") + 1).collect()
+    header, rows = lines[0][0] if lines else 0, [r[0] for r in lines[1:]]
+    if not rows:
+        return files.select("path", F.lit(0).cast("long").alias("estimated_rows"))
+    mean = sum(rows) / len(rows)
+    return files.select("path", F.floor((F.col("length") - header) / F.lit(mean)).alias("estimated_rows"))
 
 
 def file_shapes(rows: DataFrame, path_column: str = "path") -> DataFrame:
