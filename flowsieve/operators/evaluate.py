@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from flowsieve.functions.values import all_rows, everything, percent, ratio
 from flowsieve.operators.running import BLOCK_ROWS, exact_quantiles, running_sums
+from flowsieve.operators.score import attack_score
 from flowsieve.schema import BENIGN
 
 
@@ -31,8 +32,9 @@ def five_numbers(df: DataFrame, value: str, block_rows: int = BLOCK_ROWS) -> Dat
         F.min(c).alias("min"),
         F.max(c).alias("max"),
         F.count_if(c < 0.5).alias("below_half"),
-    ).withColumn("name", F.lit(value))
-    return moments.join(cuts, "name", "left")
+    )
+    both = moments.unionByName(cuts.drop("name"), allowMissingColumns=True)
+    return both.agg(*[F.max(c).alias(c) for c in both.columns])
 
 
 def confidence_summary(df: DataFrame, confidence: str = "confidence", block_rows: int = BLOCK_ROWS) -> DataFrame:
@@ -130,6 +132,16 @@ def class_scores(df: DataFrame, actual: str, classes: Sequence[str], probabiliti
     return df.select(F.inline(F.array(*entries)))
 
 
+def attack_scores(df: DataFrame, actual: str, probabilities: str = "probabilities", benign: str = BENIGN) -> DataFrame:
+    """Binary form: the score of the class ``attack`` is 1 minus the first probability."""
+    entry = F.struct(
+        F.lit("attack").alias("class"),
+        attack_score(probabilities).alias("score"),
+        F.coalesce(F.col(actual) != benign, F.lit(False)).alias("positive"),
+    )
+    return df.select(F.inline(F.array(entry)))
+
+
 def roc_points(scores: DataFrame, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """(class, score, tps, fps, tpr, fpr): a point for each distinct score, all rows at or above it positive.
 

@@ -381,11 +381,7 @@ def _(spark, d):
     SELECT round(score, 6) AS threshold, round(tpr, 6) AS tpr, round(fpr, 6) AS fpr, round(tpr - fpr, 6) AS youden_j,
       (SELECT round(sum(neg * (tps - pos / 2.0)) / (CAST(max(np) AS DOUBLE) * max(nn)), 6) FROM points) AS auc FROM best""")
 def _(spark, d):
-    from flowsieve.operators.score import attack_score
-
-    scores = probabilities(spark, d).select(
-        F.lit("attack").alias("class"), attack_score().alias("score"), (F.col("actual_label") != "Benign").alias("positive")
-    )
+    scores = evaluate.attack_scores(probabilities(spark, d), "actual_label")
     points = evaluate.roc_points(scores)
     return rounded(
         evaluate.best_threshold(points).join(evaluate.auc_by_class(points).select("class", "auc"), "class").drop("class")
