@@ -109,6 +109,23 @@ def nearest_in_class(points: DataFrame, k: int, seed: int = 42, block_rows: int
     sizes = {r["c"]: r["n"] for r in points.groupBy("c").agg(all_rows().alias("n")).collect()}
     id_type = points.schema["id"].dataType
     class_type = points.schema["c"].dataType
+    result = T.StructType(
+        [
+            T.StructField("c", class_type),
+            T.StructField("id", id_type),
+            T.StructField("neighbour", id_type),
+            T.StructField("distance", T.DoubleType()),
+            T.StructField("copies", T.LongType()),
+        ]
+    )
+
+    def search(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        near = _nearest_block(left, right, k)
+        c = left["c"].iat[0] if len(left) else None
+        return near.assign(c=c)[result.names]
+
+    if max(sizes.values(), default=0) <= block_rows:
+        return _ranked(points.groupBy("c").applyInPandas(lambda g: search(g, g), result), k)
     order = seeded_hash(["id"], seed)
 
     pivots: dict = {}
@@ -140,9 +157,6 @@ def nearest_in_class(points: DataFrame, k: int, seed: int = 42, block_rows: int
         cells.setdefault(r["c"], {})[r["cell"]] = (ceil(r["n"] / block_rows), r["radius"])
     splits = {c: max(1, ceil(n / block_rows)) for c, n in sizes.items()}
 
-    def blocks_of(c, cell: int) -> int:
-        return cells[c][cell][0]
-
     block_count = F.create_map(
         *[x for c, by in cells.items() for cell, (n, _) in by.items() for x in (F.lit(f"{c}\x1f{cell}"), F.lit(n))]
     )
@@ -150,28 +164,15 @@ def nearest_in_class(points: DataFrame, k: int, seed: int = 42, block_rows: int
     cell_key = F.concat(F.col("c").cast("string"), F.lit("\x1f"), F.col("cell").cast("string"))
     blocked = placed.withColumn("block", (spread % F.try_element_at(block_count, cell_key)).cast("int"))
 
-    result = T.StructType(
-        [
-            T.StructField("c", class_type),
-            T.StructField("id", id_type),
-            T.StructField("neighbour", id_type),
-            T.StructField("distance", T.DoubleType()),
-            T.StructField("copies", T.LongType()),
-        ]
-    )
-    several = any(len(by) > 1 or blocks_of(c, cell) > 1 for c, by in cells.items() for cell in by)
-    if several:
-        bounded_schema = T.StructType(blocked.schema.fields + [T.StructField("bound", T.DoubleType())])
+    bounded_schema = T.StructType(blocked.schema.fields + [T.StructField("bound", T.DoubleType())])
 
-        def first_bound(group: pd.DataFrame) -> pd.DataFrame:
-            near = _nearest_block(group, group, k)
-            far = near.groupby("id")["distance"].agg(["max", "size"])
-            full = far["max"].where(far["size"] >= k, np.inf)
-            return group.assign(bound=group["id"].map(full).fillna(np.inf))
+    def first_bound(group: pd.DataFrame) -> pd.DataFrame:
+        near = _nearest_block(group, group, k)
+        far = near.groupby("id")["distance"].agg(["max", "size"])
+        full = far["max"].where(far["size"] >= k, np.inf)
+        return group.assign(bound=group["id"].map(full).fillna(np.inf))
 
-        queries = blocked.groupBy("c", "cell", "block").applyInPandas(first_bound, bounded_schema)
-    else:
-        queries = blocked.withColumn("bound", F.lit(float("inf")))
+    queries = blocked.groupBy("c", "cell", "block").applyInPandas(first_bound, bounded_schema)
 
     def targets(batches):
         for batch in batches:
@@ -205,13 +206,13 @@ def nearest_in_class(points: DataFrame, k: int, seed: int = 42, block_rows: int
         F.explode(F.sequence(F.lit(0), F.try_element_at(group_of, F.col("c").cast("string")) - 1)).alias("lane"),
     )
 
-    def search(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        near = _nearest_block(left, right, k)
-        c = left["c"].iat[0] if len(left) else None
-        return near.assign(c=c)[["c", "id", "neighbour", "distance", "copies"]]
-
     place = ["c", "place", "lane"]
     found = searches.groupBy(*place).cogroup(stores.groupBy(*place)).applyInPandas(search, result)
+    return _ranked(found, k)
+
+
+def _ranked(found: DataFrame, k: int) -> DataFrame:
+    """The k nearest of what the searched blocks found for each point, at most k from each."""
     best = F.slice(F.array_sort(F.collect_list(F.struct("distance", "neighbour", "copies"))), 1, k)
     merged = found.groupBy("c", "id").agg(best.alias("best"))
     return merged.select("c", "id", F.posexplode("best").alias("pos", "b")).select(

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from math import ceil
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -13,6 +15,7 @@ from flowsieve.functions.values import all_rows
 IDLE_SECONDS = 15.0
 AGE_SECONDS = 30.0
 CHUNK_ROWS = 2_000_000
+LANE_ROWS = 500_000
 NEVER = np.iinfo(np.int64).max
 
 
@@ -20,17 +23,22 @@ def micros(ts: str) -> Column:
     return F.unix_micros(F.col(ts).cast("timestamp"))
 
 
-def _starts_after(t: np.ndarray, idle: int, age: int) -> tuple[np.ndarray, np.ndarray]:
-    """(next, last): for a flow that starts at packet i, the packet that starts the next flow in the chunk
-    (len(t) if none), and the start time of the chunk's last flow."""
+def _starts_after(t: np.ndarray, idle: int, age: int) -> np.ndarray:
+    """For a flow that starts at packet i: the packet that starts the next flow, len(t) if none does."""
     n = len(t)
     gaps = np.flatnonzero(np.diff(t) >= idle) + 1
     by_gap = np.append(gaps, n)[np.searchsorted(gaps, np.arange(n), side="right")]
-    following = np.minimum(by_gap, np.searchsorted(t, t + age, side="left"))
-    last = np.empty(n, dtype=np.int64)
+    return np.minimum(by_gap, np.searchsorted(t, t + age, side="left"))
+
+
+def _last_starts(t: np.ndarray, following: np.ndarray) -> list[int]:
+    """For a flow that starts at packet i: the start time of the last flow it leads to."""
+    times, nxt, n = t.tolist(), following.tolist(), len(t)
+    last = times[:]
     for i in range(n - 1, -1, -1):
-        last[i] = t[i] if following[i] == n else last[following[i]]
-    return following, last
+        if nxt[i] < n:
+            last[i] = last[nxt[i]]
+    return last
 
 
 def _summarise(t: np.ndarray, begin: int, idle: int, age: int) -> tuple[list[int], list[int], int]:
@@ -40,7 +48,7 @@ def _summarise(t: np.ndarray, begin: int, idle: int, age: int) -> tuple[list[int
     Returned are the cut times that matter and the start of the flow that is open afterwards, and the
     latter for a flow that starts at the chunk's first packet.
     """
-    _, last = _starts_after(t, idle, age)
+    last = _last_starts(t, _starts_after(t, idle, age))
     gaps = np.flatnonzero(np.diff(t) >= idle) + 1
     stop = int(gaps[0]) if len(gaps) else len(t)
     reach = min(stop, int(np.searchsorted(t, begin + age, side="left")) + 1)
@@ -50,26 +58,29 @@ def _summarise(t: np.ndarray, begin: int, idle: int, age: int) -> tuple[list[int
             times[-1] = int(t[j])
         else:
             times.append(int(t[j]))
-            exits.append(int(last[j]))
+            exits.append(last[j])
     if len(gaps):
         times.append(int(NEVER))
-        exits.append(int(last[stop]))
-    return times, exits, int(last[0])
+        exits.append(last[stop])
+    return times, exits, last[0]
+
 
+def chunk_width(packets: DataFrame, key: list[str], age: int, chunk_rows: int) -> int | None:
+    """Widest multiple of the age limit for which no key has more than ``chunk_rows`` packets in a chunk.
 
-def chunk_width(packets: DataFrame, key: list[str], age: int, chunk_rows: int) -> int:
-    """Widest multiple of the age limit for which no key has more than ``chunk_rows`` packets in a chunk."""
+    None if no key has more than that in all, which needs no chunks.
+    """
     fine = packets.groupBy(*key, F.floor(F.col("t__") / age).alias("b")).agg(all_rows().alias("n")).persist()
-    width = 1
-    for factor in (4096, 512, 64, 8):
-        worst = (
-            fine.groupBy(*key, F.floor(F.col("b") / factor).alias("w")).agg(F.sum("n").alias("n")).agg(F.max("n")).first()[0]
-        )
-        if (worst or 0) <= chunk_rows:
-            width = factor
-            break
+
+    def worst(*more) -> int:
+        return fine.groupBy(*key, *more).agg(F.sum("n").alias("n")).agg(F.max("n")).first()[0] or 0
+
+    width = None
+    if worst() > chunk_rows:
+        fits = (f for f in (4096, 512, 64, 8) if worst(F.floor(F.col("b") / f).alias("w")) <= chunk_rows)
+        width = next(fits, 1) * age
     fine.unpersist()
-    return width * age
+    return width
 
 
 def mark_flows(
@@ -84,47 +95,88 @@ def mark_flows(
 
     A packet opens a flow when it comes ``idle_seconds`` or more after the key's last packet, or
     ``age_seconds`` or more after the start of the open flow. The second rule chains through all of a
-    key's packets, yet no task holds a key: time is cut into chunks, each chunk is reduced to what it
-    does to an open flow, those small summaries are folded for each key, and the chunks are then marked
-    independently of each other.
+    key's packets, yet no task holds a large key: its time is cut into chunks, each chunk is reduced to
+    what it does to an open flow, those small summaries are folded for each key, and the chunks are then
+    marked independently of each other. Many small keys share a task and are marked in one go.
     """
     idle, age = int(idle_seconds * 1e6), int(age_seconds * 1e6)
     rows = packets.withColumn("t__", micros(ts))
     width = chunk_width(rows.select(*key, "t__"), key, age, chunk_rows)
-    chunked = rows.withColumn("chunk__", F.floor(F.col("t__") / width))
-    group = [*key, "chunk__"]
-    key_fields = [rows.schema[k] for k in key]
-    chunk_field = T.StructField("chunk__", T.LongType())
-
-    summary = T.StructType(
-        [
-            *key_fields,
-            chunk_field,
-            T.StructField("first", T.LongType()),
-            T.StructField("last", T.LongType()),
-            T.StructField("times", T.ArrayType(T.LongType())),
-            T.StructField("exits", T.ArrayType(T.LongType())),
-            T.StructField("fresh", T.LongType()),
-        ]
-    )
+    chunk = F.lit(0).cast("long") if width is None else F.floor(F.col("t__") / width)
+    segment = [*key, "chunk__"]
+    lanes = max(rows.sparkSession.sparkContext.defaultParallelism, ceil(rows.count() / LANE_ROWS))
+    lane = F.pmod(F.xxhash64(*segment), F.lit(lanes)).cast("int")
+    placed = rows.withColumn("chunk__", chunk).withColumn("lane__", lane)
+    marked = T.StructType([*rows.schema.fields, T.StructField("start__", T.LongType()), T.StructField("iat", T.LongType())])
+
+    def mark(left: pd.DataFrame, entry: pd.DataFrame | None) -> pd.DataFrame:
+        seg = left.groupby(segment, sort=False, dropna=False).ngroup().to_numpy()
+        order = np.lexsort((left["t__"].to_numpy(), seg))
+        pdf = left.iloc[order].reset_index(drop=True)
+        t, seg = pdf["t__"].to_numpy(), seg[order]
+        n = len(t)
+        heads = np.flatnonzero(np.diff(seg, prepend=-1))
+        # All segments on one axis: an idle gap, whatever its length, and a change of segment count as idle.
+        steps = np.minimum(np.diff(t, prepend=t[0]), idle)
+        steps[heads] = idle
+        line = np.cumsum(steps)
+        following = _starts_after(line, idle, age).tolist()
+        ends = np.append(heads[1:], n).tolist()
+        open_start, open_last = np.full(len(heads), NEVER), np.full(len(heads), NEVER)
+        first = heads.copy()
+        if entry is not None and len(entry):
+            known = pdf.loc[heads, segment].merge(entry, on=segment, how="left")
+            has = known["open_start"].notna().to_numpy()
+            open_start[has] = known.loc[has, "open_start"].astype("int64")
+            open_last[has] = known.loc[has, "open_last"].astype("int64")
+            has &= t[heads] - np.where(has, open_last, 0) < idle
+            open_start[~has] = NEVER
+            for s in np.flatnonzero(has):
+                lo, hi = heads[s], ends[s]
+                gap = np.flatnonzero(np.diff(t[lo:hi]) >= idle)
+                cut = int(np.searchsorted(t[lo:hi], open_start[s] + age, side="left"))
+                first[s] = lo + min(int(gap[0]) + 1 if len(gap) else hi - lo, cut)
+        starts = []
+        for at, end in zip(first.tolist(), ends):
+            while at < end:
+                starts.append(at)
+                at = following[at]
+        is_start = np.zeros(n, dtype=bool)
+        is_start[starts] = True
+        which = np.searchsorted(heads, np.arange(n), side="right") - 1
+        origin = np.maximum.accumulate(np.where(is_start, np.arange(n), -1))
+        inside = origin >= heads[which]
+        start = np.where(inside, t[np.maximum(origin, 0)], open_start[which])
+        before = np.concatenate([[0], t[:-1]])
+        before[heads] = open_last
+        iat = pd.array(t - before, dtype="Int64")
+        iat[is_start] = pd.NA
+        return pdf.drop(columns=["chunk__", "lane__"]).assign(start__=start, iat=iat)
+
+    if width is None:
+        done = placed.groupBy("lane__").applyInPandas(lambda pdf: mark(pdf, None), marked)
+    else:
+        entries = _entries(placed, key, segment, width, idle, age).withColumn("lane__", lane)
+        done = placed.groupBy("lane__").cogroup(entries.groupBy("lane__")).applyInPandas(
+            lambda left, right: mark(left, right) if len(left) else left.assign(start__=0, iat=0)[marked.names], marked
+        )
+    start = F.timestamp_micros("start__").cast(packets.schema[ts].dataType)
+    return done.withColumn("flow_start", start).drop("t__", "start__")
+
+
+def _entries(placed: DataFrame, key: list[str], segment: list[str], width: int, idle: int, age: int) -> DataFrame:
+    """(key, chunk, open_start, open_last): the flow that is open when a chunk begins."""
+    longs = [T.StructField(c, T.LongType()) for c in ("chunk__", "first", "last", "fresh")]
+    arrays = [T.StructField(c, T.ArrayType(T.LongType())) for c in ("times", "exits")]
+    keys = [placed.schema[k] for k in key]
 
     def summarise(pdf: pd.DataFrame) -> pd.DataFrame:
-        t = np.sort(pdf["t__"].to_numpy())
-        chunk = int(pdf["chunk__"].iat[0])
-        times, exits, fresh = _summarise(t, chunk * width, idle, age)
-        head = pdf[[*key, "chunk__"]].iloc[:1].reset_index(drop=True)
-        return head.assign(first=t[0], last=t[-1], times=[times], exits=[exits], fresh=fresh)
-
-    summaries = chunked.select(*group, "t__").groupBy(*group).applyInPandas(summarise, summary)
-
-    entry = T.StructType(
-        [
-            *key_fields,
-            chunk_field,
-            T.StructField("open_start", T.LongType()),
-            T.StructField("open_last", T.LongType()),
-        ]
-    )
+        out = []
+        for values, part in pdf.groupby(segment, sort=False, dropna=False)["t__"]:
+            t = np.sort(part.to_numpy())
+            times, exits, fresh = _summarise(t, int(values[-1]) * width, idle, age)
+            out.append((*values, t[0], t[-1], fresh, times, exits))
+        return pd.DataFrame(out, columns=[*segment, "first", "last", "fresh", "times", "exits"])
 
     def fold(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("chunk__", ignore_index=True)
@@ -140,41 +192,15 @@ def mark_flows(
                 if at < len(times):
                     start = int(exits[at])
             last = end
-        out = pdf[[*key, "chunk__"]]
-        return out.assign(
+        return pdf[segment].assign(
             open_start=pd.array(starts, dtype="Int64"), open_last=pd.array(lasts, dtype="Int64")
         )
 
-    entries = summaries.groupBy(*key).applyInPandas(fold, entry)
-
-    marked = T.StructType([*rows.schema.fields, T.StructField("start__", T.LongType()), T.StructField("iat", T.LongType())])
-
-    def mark(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        pdf = left.sort_values("t__", ignore_index=True, kind="stable")
-        t = pdf["t__"].to_numpy()
-        following, _ = _starts_after(t, idle, age)
-        n = len(t)
-        is_start = np.zeros(n, dtype=bool)
-        entry_start = right["open_start"].iat[0] if len(right) else None
-        continues = entry_start is not None and not pd.isna(entry_start) and t[0] - right["open_last"].iat[0] < idle
-        if continues:
-            gaps = np.flatnonzero(np.diff(t) >= idle) + 1
-            at = min(int(gaps[0]) if len(gaps) else n, int(np.searchsorted(t, entry_start + age, side="left")))
-        else:
-            at = 0
-        while at < n:
-            is_start[at] = True
-            at = int(following[at])
-        origin = np.maximum.accumulate(np.where(is_start, np.arange(n), -1))
-        start = np.where(origin >= 0, t[np.maximum(origin, 0)], entry_start if continues else 0)
-        iat = np.diff(t, prepend=right["open_last"].iat[0] if continues else t[0])
-        return pdf.drop(columns="chunk__").assign(
-            start__=start.astype("int64"), iat=pd.array(np.where(is_start, pd.NA, iat), dtype="Int64")
-        )
-
-    done = chunked.groupBy(*group).cogroup(entries.groupBy(*group)).applyInPandas(mark, marked)
-    start = F.timestamp_micros("start__").cast(packets.schema[ts].dataType)
-    return done.withColumn("flow_start", start).drop("t__", "start__")
+    summaries = placed.select(*segment, "t__", "lane__").groupBy("lane__").applyInPandas(
+        summarise, T.StructType([*keys, *longs, *arrays])
+    )
+    opened = [T.StructField(c, T.LongType()) for c in ("chunk__", "open_start", "open_last")]
+    return summaries.groupBy(*key).applyInPandas(fold, T.StructType([*keys, *opened]))
 
 
 def flow_features(marked: DataFrame, key: list[str], ts: str, value: str) -> DataFrame:

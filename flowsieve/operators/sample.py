@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 from flowsieve.functions.hashing import HASH_BITS, seeded_hash
 from flowsieve.functions.values import any_of
 
-BUCKET_BITS = 16
+MAX_BITS = 16
+RANK_ROWS = 100_000
 
 
 def stratified_quota(counts: dict, total: int) -> dict:
@@ -35,43 +36,43 @@ def mark_stratified(
     seed: int = 42,
     portable: bool = False,
     flag: str = "picked",
+    rank_rows: int = RANK_ROWS,
 ) -> DataFrame:
     """Adds a boolean column: exactly ``take`` rows (a share, a number, or a number for each class).
 
-    Rows are picked in the order of a seeded hash of their unique key. Instead of ranking a class, its
-    hashes are counted in 2^16 buckets: whole buckets below the cut are in, above it are out, and only
-    rows of the one bucket that holds the cut are counted again in 2^16 finer ones and at last ranked
-    (about n / 2^32 rows of a class). The table itself is never shuffled.
+    Rows are picked in the order of a seeded hash of their unique key. A large class is never ranked:
+    its hashes are counted in up to 2^16 buckets, whole buckets below the cut are in, above it are out,
+    and only the bucket that holds the cut is looked at again, until it is small enough
+    (``rank_rows``) to be ranked. The table itself is never shuffled.
     """
     keys = [f"k{i}" for i in range(len(key))]
     order = F.struct(
         seeded_hash(key, seed, portable).alias("h"), *[F.col(f"`{k}`").alias(n) for k, n in zip(key, keys)]
     )
     rows = df.select(F.col(f"`{label}`").alias("c"), order.alias("o")).select("c", "o.*")
-
-    width = HASH_BITS - BUCKET_BITS
-    buckets = _bucket_counts(rows, width).persist()
-    counts = {r["c"]: r["n"] for r in buckets.groupBy("c").agg(F.sum("n").alias("n")).collect()}
+    counts = {r["c"]: r["n"] for r in rows.groupBy("c").agg(F.count(F.lit(1)).alias("n")).collect()}
     if isinstance(take, dict):
         quota = {c: min(n, counts.get(c, 0)) for c, n in take.items()}
     else:
         total = ceil(take * sum(counts.values())) if isinstance(take, float) else take
         quota = stratified_quota(counts, min(total, sum(counts.values())))
-    wanted = {c: n for c, n in quota.items() if n > 0}
-    if not wanted:
-        buckets.unpersist()
-        return df.withColumn(flag, F.lit(False))
-
-    cuts = _cut_buckets(buckets, wanted)
-    buckets.unpersist()
-    finer = width - BUCKET_BITS
-    cuts = _cut_buckets(_bucket_counts(rows.filter(_inside(cuts, width)), finer), {c: left for c, (_, left) in cuts.items()})
+
+    # Per class: the bucket that holds the last picked row, rows still to pick in it, rows it holds.
+    cuts = {c: (0, n, counts[c]) for c, n in quota.items() if n > 0}
+    width = HASH_BITS
+    while cuts and max(held for _, _, held in cuts.values()) > rank_rows and width > 0:
+        bits = min(MAX_BITS, width, (max(held for _, _, held in cuts.values()) // rank_rows).bit_length() + 1)
+        inside = rows.filter(_inside(cuts, width))
+        width -= bits
+        cuts = _cut_buckets(inside.groupBy("c", F.shiftright("h", width).alias("b")).agg(F.count(F.lit(1)).alias("n")), cuts)
     rank = F.row_number().over(W.partitionBy("c").orderBy("h", *keys))
     last = (
-        rows.filter(_inside(cuts, finer))
+        rows.filter(_inside(cuts, width))
         .withColumn("rank", rank)
-        .filter(any_of([_is(c) & (F.col("rank") == left) for c, (_, left) in cuts.items()]))
+        .filter(any_of([_is(c) & (F.col("rank") == left) for c, (_, left, _) in cuts.items()]))
         .collect()
+        if cuts
+        else []
     )
 
     types = dict(rows.dtypes)
@@ -87,20 +88,16 @@ def _is(c):
 
 
 def _inside(cuts: dict, width: int):
-    return any_of([_is(c) & (F.shiftright("h", width) == b) for c, (b, _) in cuts.items()])
-
-
-def _bucket_counts(rows: DataFrame, width: int) -> DataFrame:
-    return rows.groupBy("c", F.shiftright("h", width).alias("b")).agg(F.count(F.lit(1)).alias("n"))
+    return any_of([_is(c) & (F.shiftright("h", width) == b) for c, (b, _, _) in cuts.items()])
 
 
-def _cut_buckets(buckets: DataFrame, wanted: dict) -> dict:
-    """For each class the bucket that holds its n-th row, and how many of its rows are still wanted."""
+def _cut_buckets(buckets: DataFrame, cuts: dict) -> dict:
+    """The bucket that holds the last picked row of each class; the window runs over bucket counts."""
     upto = F.sum("n").over(W.partitionBy("c").orderBy("b"))
     reached = buckets.withColumn("upto", upto).filter(
-        any_of([_is(c) & (F.col("upto") >= n) & (F.col("upto") - F.col("n") < n) for c, n in wanted.items()])
+        any_of([_is(c) & (F.col("upto") >= n) & (F.col("upto") - F.col("n") < n) for c, (_, n, _) in cuts.items()])
     )
-    return {r["c"]: (r["b"], wanted[r["c"]] - (r["upto"] - r["n"])) for r in reached.collect()}
+    return {r["c"]: (r["b"], cuts[r["c"]][1] - (r["upto"] - r["n"]), r["n"]) for r in reached.collect()}
 
 
 def stratified_split(

@@ -17,7 +17,7 @@ REPORTED = f"""reported AS (SELECT *, CASE {KIND} WHEN 0 THEN 'simul_default_lab
       WHEN 1 THEN 'batch_all_batch_3_' || strftime(ts, '%Y-%m-%d') || '_10-20-30'
       WHEN 2 THEN 'simul_all_labeled_' || strftime(ts, '%Y-%m-%d') || '_01-02-03'
       ELSE 'live_default_' || strftime(ts, '%Y-%m-%d') || '_05-06-07' END AS report,
-    CASE {KIND} WHEN 1 THEN 'batch_results.txt' ELSE 'minute_' || strftime(ts, '%H') || '-00.txt' END AS file, {KIND} AS kind FROM scored)"""
+    CASE {KIND} WHEN 1 THEN 'batch_results.txt' ELSE 'minute_' || printf('%02d', CAST(hour(ts) // 6 * 6 AS INT)) || '-00.txt' END AS file, {KIND} AS kind FROM scored)"""
 
 
 def reported(spark, d):
@@ -36,7 +36,7 @@ def reported(spark, d):
             .when(kind == 2, named("simul_all_labeled_", "_01-02-03"))
             .otherwise(named("live_default_", "_05-06-07")),
             "file": F.when(kind == 1, "batch_results.txt").otherwise(
-                F.concat(F.lit("minute_"), F.date_format("ts", "HH"), F.lit("-00.txt"))
+                F.format_string("minute_%02d-00.txt", (F.floor(F.hour("ts") / 6) * 6).cast("int"))
             ),
             "Src IP": F.concat(F.lit("10.0.0."), F.col("user_id").cast("string")),
         }

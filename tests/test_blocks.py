@@ -104,6 +104,8 @@ def test_split_is_exact_stable_and_disjoint(spark):
     train, test = stratified_split(df, "label", ["id"], 0.2, seed=7)
     a, b = {r.id for r in train.collect()}, {r.id for r in test.collect()}
     assert len(b) == 201 and not a & b and len(a | b) == 1003
+    small = mark_stratified(df, "label", ["id"], 0.2, seed=7, rank_rows=5).filter("picked")
+    assert {r.id for r in small.collect()} == b
     again = stratified_split(df.repartition(13), "label", ["id"], 0.2, seed=7)[1]
     assert {r.id for r in again.collect()} == b
     assert {r.id for r in stratified_split(df, "label", ["id"], 0.2, seed=8)[1].collect()} != b
