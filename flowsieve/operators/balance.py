@@ -66,25 +66,29 @@ def _nearest_block(queries: pd.DataFrame, points: pd.DataFrame, k: int) -> pd.Da
     Squared distances by the dot-product expansion only preselect; every pair that rounding could bring
     into the first k is measured again from the differences.
     """
-    out: list[tuple] = []
+    columns = ["id", "neighbour", "distance", "copies"]
+    parts = []
     if len(points) and len(queries):
-        x, ids = _matrix(points["v"]), points["id"].to_numpy()
+        x, ids, copies = _matrix(points["v"]), points["id"].to_numpy(), points["copies"].to_numpy()
+        names = np.argsort(np.argsort(ids, kind="stable"), kind="stable")
         norms = (x * x).sum(axis=1)
+        all_q, all_id = _matrix(queries["v"]), queries["id"].to_numpy()
         for start in range(0, len(queries), QUERY_CHUNK):
-            part = queries.iloc[start : start + QUERY_CHUNK]
-            q, qid = _matrix(part["v"]), part["id"].to_numpy()
-            qn = (q * q).sum(axis=1)
-            rough = qn[:, None] + norms[None, :] - 2.0 * (q @ x.T)
-            slack = 1e-9 * (qn[:, None] + norms[None, :]) + 1e-12
+            q, qid = all_q[start : start + QUERY_CHUNK], all_id[start : start + QUERY_CHUNK]
+            scale = (q * q).sum(axis=1)[:, None] + norms[None, :]
+            rough = scale - 2.0 * (q @ x.T)
+            slack = 1e-9 * scale + 1e-12
             rough[qid[:, None] == ids[None, :]] = np.inf
             kth = min(k, len(ids)) - 1
             limit = np.partition(rough + slack, kth, axis=1)[:, kth]
-            for i in range(len(part)):
-                near = np.flatnonzero((rough[i] - slack[i] <= limit[i]) & np.isfinite(rough[i]))
-                d = np.sqrt(((x[near] - q[i]) ** 2).sum(axis=1))
-                for o in np.lexsort((ids[near], d))[:k]:
-                    out.append((qid[i], ids[near[o]], d[o], points["copies"].iat[near[o]]))
-    return pd.DataFrame(out, columns=["id", "neighbour", "distance", "copies"])
+            row, col = np.nonzero((rough - slack <= limit[:, None]) & np.isfinite(rough))
+            d = np.sqrt(((x[col] - q[row]) ** 2).sum(axis=1))
+            order = np.lexsort((names[col], d, row))
+            row, col, d = row[order], col[order], d[order]
+            place = np.arange(len(row)) - np.searchsorted(row, row)
+            row, col, d = row[place < k], col[place < k], d[place < k]
+            parts.append(pd.DataFrame({"id": qid[row], "neighbour": ids[col], "distance": d, "copies": copies[col]}))
+    return pd.concat(parts, ignore_index=True) if parts else pd.DataFrame([], columns=columns)
 
 
 def distinct_points(df: DataFrame, label: str, key: str, features: list[str]) -> DataFrame:
@@ -94,12 +98,15 @@ def distinct_points(df: DataFrame, label: str, key: str, features: list[str]) ->
         df.select(F.col(f"`{label}`").alias("c"), v.alias("v"), F.col(key).alias("id"))
         .groupBy("c", "v")
         .agg(F.min("id").alias("id"), all_rows().alias("copies"))
+        .withColumn("asks", F.lit(True))
     )
 
 
 def nearest_in_class(points: DataFrame, k: int, seed: int = 42, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """(c, id, neighbour, distance, copies, rank): exact k nearest other points of the same class.
 
+    Every point may be a neighbour; those with ``asks`` are given theirs.
+
     A class is cut into the cells of a few pivot points and large cells into blocks of bounded size.
     Each query gets a first bound from its own block. A cell is then searched only if the triangle
     inequality lets it hold something closer; queries and points meet in tasks of at most
@@ -125,7 +132,7 @@ def nearest_in_class(points: DataFrame, k: int, seed: int = 42, block_rows: int
         return near.assign(c=c)[result.names]
 
     if max(sizes.values(), default=0) <= block_rows:
-        return _ranked(points.groupBy("c").applyInPandas(lambda g: search(g, g), result), k)
+        return _ranked(points.groupBy("c").applyInPandas(lambda g: search(g[g["asks"]], g), result), k)
     order = seeded_hash(["id"], seed)
 
     pivots: dict = {}
@@ -167,10 +174,11 @@ def nearest_in_class(points: DataFrame, k: int, seed: int = 42, block_rows: int
     bounded_schema = T.StructType(blocked.schema.fields + [T.StructField("bound", T.DoubleType())])
 
     def first_bound(group: pd.DataFrame) -> pd.DataFrame:
-        near = _nearest_block(group, group, k)
+        asking = group[group["asks"]]
+        near = _nearest_block(asking, group, k)
         far = near.groupby("id")["distance"].agg(["max", "size"])
         full = far["max"].where(far["size"] >= k, np.inf)
-        return group.assign(bound=group["id"].map(full).fillna(np.inf))
+        return asking.assign(bound=asking["id"].map(full).astype(float).fillna(np.inf))
 
     queries = blocked.groupBy("c", "cell", "block").applyInPandas(first_bound, bounded_schema)
 
@@ -261,7 +269,8 @@ def synthetic_rows(
         ),
         "smote-points",
     )
-    near = nearest_in_class(points.select("c", "v", "id", "copies"), k, seed, block_rows)
+    asking = points.select("c", "v", "id", "copies", (F.col("quota") > 0).alias("asks"))
+    near = nearest_in_class(asking, k, seed, block_rows)
     ladder = near.groupBy("c", "id").agg(
         F.array_sort(F.collect_list(F.struct("rank", "neighbour", "copies"))).alias("ladder")
     )

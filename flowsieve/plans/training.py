@@ -86,6 +86,7 @@ def train_scorer(
     return Scorer(prepared.scaler, chosen, prepared.classes, model), importances
 
 
+LINE_FEATURES = ["l_linenumber", "l_quantity", "l_extendedprice", "l_discount", "l_tax"]
 SMALL = learn.ForestParams(n_estimators=10, max_depth=6)
 
 
@@ -189,3 +190,19 @@ def _(spark, d):
     return out.select("event_id", "predicted_class", F.round("confidence", 6).alias("confidence"), "threat_level").join(
         rows.select("event_id", "Label"), "event_id"
     )
+
+
+def lineitem_scorer(spark, d, params=SMALL) -> Scorer:
+    """A forest that tells the return flag of an order line from its numbers, trained on all lines."""
+    rows = table(spark, d, "lineitem").select("l_returnflag", *LINE_FEATURES)
+    classes = encode.class_list(rows, "l_returnflag")
+    coded = encode.encode_label(rows, classes, "l_returnflag", "y")
+    scaler = encode.scaler_rows(encode.fit_scaler(coded, LINE_FEATURES))
+    model = learn.fit_forest(encode.apply_scaler(coded, scaler), LINE_FEATURES, "y", params)
+    return Scorer(scaler, LINE_FEATURES, classes, model)
+
+
+@query("e10_scored_lineitem")
+def _(spark, d):
+    out = lineitem_scorer(spark, d).score(table(spark, d, "lineitem"))
+    return out.groupBy("l_returnflag", "predicted_class").agg(F.count(F.lit(1)).alias("n"))
