@@ -13,7 +13,7 @@ from pyspark.sql import types as T
 
 from flowsieve.functions.hashing import seeded_hash, unit
 from flowsieve.functions.values import all_rows, everything
-from flowsieve.operators.profile import class_counts
+from flowsieve.operators.profile import class_counts, class_sizes
 from flowsieve.operators.sample import mark_stratified
 from flowsieve.session import materialise
 
@@ -109,11 +109,12 @@ def nearest_in_class(points: DataFrame, k: int, seed: int = 42, block_rows: int
 
     A class is cut into the cells of a few pivot points and large cells into blocks of bounded size.
     Each query gets a first bound from its own block. A cell is then searched only if the triangle
-    inequality lets it hold something closer; queries and points meet in tasks of at most
-    ``block_rows`` each (published as the pivot-based kNN join).
+    inequality lets it hold something closer (published as the pivot-based kNN join). The queries of a
+    block travel together and meet a block of points only if one of them needs it, so a task holds at
+    most about ``block_rows`` of each.
     """
     spark = points.sparkSession
-    sizes = {r["c"]: r["n"] for r in points.groupBy("c").agg(all_rows().alias("n")).collect()}
+    sizes = class_sizes(points, "c")
     id_type = points.schema["id"].dataType
     class_type = points.schema["c"].dataType
     result = T.StructType(
@@ -162,8 +163,6 @@ def nearest_in_class(points: DataFrame, k: int, seed: int = 42, block_rows: int
     cells: dict = {}
     for r in placed.groupBy("c", "cell").agg(all_rows().alias("n"), F.max("reach").alias("radius")).collect():
         cells.setdefault(r["c"], {})[r["cell"]] = (ceil(r["n"] / block_rows), r["radius"])
-    splits = {c: max(1, ceil(n / block_rows)) for c, n in sizes.items()}
-
     block_count = F.create_map(
         *[x for c, by in cells.items() for cell, (n, _) in by.items() for x in (F.lit(f"{c}\x1f{cell}"), F.lit(n))]
     )
@@ -198,22 +197,27 @@ def nearest_in_class(points: DataFrame, k: int, seed: int = 42, block_rows: int
                         continue
                     hits += [cell * 1_000_000 + b for b in range(n)]
                 wanted.append(hits)
-            yield batch[["c", "id", "v"]].assign(hits=wanted)
+            yield batch[["c", "id", "v", "lane"]].assign(hits=wanted)
 
     asked = T.StructType(
-        [points.schema["c"], points.schema["id"], points.schema["v"], T.StructField("hits", T.ArrayType(T.LongType()))]
+        [
+            points.schema["c"],
+            points.schema["id"],
+            points.schema["v"],
+            T.StructField("lane", T.LongType()),
+            T.StructField("hits", T.ArrayType(T.LongType())),
+        ]
     )
-    group_of = F.create_map(*[x for c, n in splits.items() for x in (F.lit(str(c)), F.lit(n))])
-    lane = (seeded_hash(["id"], seed + 2) % F.try_element_at(group_of, F.col("c").cast("string"))).cast("int")
-    searches = queries.mapInPandas(targets, asked).select(
-        "c", "id", "v", F.explode("hits").alias("place"), lane.alias("lane")
+    place_of = F.col("cell").cast("long") * 1_000_000 + F.col("block")
+    searches = (
+        queries.withColumn("lane", place_of)
+        .mapInPandas(targets, asked)
+        .select("c", "id", "v", "lane", F.explode("hits").alias("place"))
     )
-    stores = blocked.select(
-        "c", "id", "v", "copies",
-        (F.col("cell").cast("long") * 1_000_000 + F.col("block")).alias("place"),
-        F.explode(F.sequence(F.lit(0), F.try_element_at(group_of, F.col("c").cast("string")) - 1)).alias("lane"),
+    needed = searches.groupBy("c", "place", F.col("lane").alias("asker")).agg(all_rows().alias("queries"))
+    stores = blocked.select("c", "id", "v", "copies", place_of.alias("place")).join(
+        needed.select("c", "place", (F.col("asker") + 0).alias("lane")), ["c", "place"]
     )
-
     place = ["c", "place", "lane"]
     found = searches.groupBy(*place).cogroup(stores.groupBy(*place)).applyInPandas(search, result)
     return _ranked(found, k)
@@ -248,7 +252,7 @@ def synthetic_rows(
     """
     if not extra:
         raise ValueError("no class to enlarge")
-    sizes = {r["class"]: r["n"] for r in class_counts(df, label).collect()}
+    sizes = class_sizes(df, label)
     for c in extra:
         if sizes.get(c, 0) <= k:
             raise ValueError(f"class {c!r} has {sizes.get(c, 0)} rows; {k} neighbours need more than {k}")
@@ -313,11 +317,15 @@ def synthetic_rows(
 def oversample(
     train: DataFrame, label: str, key: str, features: list[str], strategy: str = "dynamic", k: int = 5, seed: int = 42, **rule
 ) -> DataFrame:
-    """The training rows with their synthetic ones; ``synthetic`` tells them apart."""
+    """The training rows with their synthetic ones; ``synthetic`` tells them apart.
+
+    The key becomes text: a synthetic row is named by its seed and its number among the seed's rows.
+    """
     extra = {r["class"]: r["extra"] for r in oversampling_targets(train, label, strategy, **rule).collect()}
     columns = [F.col(f"`{label}`"), *[F.col(f"`{f}`").cast("double").alias(f) for f in features]]
-    real = train.select(*columns, F.lit(False).alias("synthetic"))
+    real = train.select(F.col(key).cast("string").alias(key), *columns, F.lit(False).alias("synthetic"))
     if not extra:
         return real
     made = synthetic_rows(train, label, key, features, extra, k, seed)
-    return real.unionByName(made.select(*columns, F.lit(True).alias("synthetic")))
+    name = F.concat_ws("#", F.col("seed_id").cast("string"), F.col("draw").cast("string"))
+    return real.unionByName(made.select(name.alias(key), *columns, F.lit(True).alias("synthetic")))

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from flowsieve.functions.hashing import seeded_hash
 from flowsieve.operators.evaluate import class_metrics, confusion_counts, importance_table, overall_metrics
-from flowsieve.operators.profile import class_counts
+from flowsieve.operators.profile import class_sizes
 from flowsieve.operators.sample import stratified_sample
 from flowsieve.operators.score import Scorer
 
@@ -72,7 +72,7 @@ class ForestParams:
 
 def with_class_weight(df: DataFrame, label: str, out: str = "weight__") -> DataFrame:
     """rows / (classes x class rows), from one count by class."""
-    counts = {r["class"]: r["n"] for r in class_counts(df, label).collect()}
+    counts = class_sizes(df, label)
     total = sum(counts.values())
     weights = F.create_map(
         *[x for c, n in counts.items() for x in (F.lit(c), F.lit(total / (len(counts) * n)))]

@@ -25,6 +25,17 @@ def class_counts(df: DataFrame, label: str = "Label") -> DataFrame:
     return df.groupBy(F.col(f"`{label}`").alias("class")).agg(all_rows().alias("n"))
 
 
+MAX_CLASSES = 1000
+
+
+def class_sizes(df: DataFrame, label: str = "Label") -> dict:
+    """Rows of each class as metadata; an error for a column with too many values to be a label."""
+    rows = class_counts(df, label).limit(MAX_CLASSES + 1).collect()
+    if len(rows) > MAX_CLASSES:
+        raise ValueError(f"{label} has more than {MAX_CLASSES} classes")
+    return {r["class"]: r["n"] for r in rows}
+
+
 def class_distribution(df: DataFrame, label: str = "Label") -> DataFrame:
     """Count, share and imbalance ratio of each class; the windows run over the class counts."""
     everything = W.partitionBy()

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from flowsieve.functions.hashing import HASH_BITS, seeded_hash
 from flowsieve.functions.values import any_of
+from flowsieve.operators.profile import class_sizes
 
 MAX_BITS = 16
 RANK_ROWS = 100_000
@@ -50,7 +51,7 @@ def mark_stratified(
         seeded_hash(key, seed, portable).alias("h"), *[F.col(f"`{k}`").alias(n) for k, n in zip(key, keys)]
     )
     rows = df.select(F.col(f"`{label}`").alias("c"), order.alias("o")).select("c", "o.*")
-    counts = {r["c"]: r["n"] for r in rows.groupBy("c").agg(F.count(F.lit(1)).alias("n")).collect()}
+    counts = class_sizes(rows, "c")
     if isinstance(take, dict):
         quota = {c: min(n, counts.get(c, 0)) for c, n in take.items()}
     else:

@@ -27,7 +27,7 @@ class Scorer:
         """Input columns plus a struct of the scaled, selected features; the same for batch and stream."""
         trained = [r.feature for r in self.scaler]
         raw = df.withColumn("input__", F.struct(*[F.col(f"`{c}`") for c in df.columns]))
-        names = [c for c in {*trained, protocol} if c in df.columns]
+        names = [c for c in dict.fromkeys([*trained, protocol]) if c in df.columns]
         numbers = one_hot_fixed(zero_fill(raw, names), protocol)
         aligned = align_features(numbers, trained, keep=["input__"])
         scaled = apply_scaler(aligned, self.scaler)

@@ -15,7 +15,7 @@ from flowsieve.session import scratch_path
 from flowsieve.sources.replay import replay_csv, stream_table, typed_or_rejected
 from flowsieve.streaming.assembly import assemble_stream, finish_flows, open_flows, rocksdb_state
 from flowsieve.streaming.detection import alerts, class_totals, level_totals, minute_totals
-from flowsieve.streaming.runs import latest, progress_table, run_to_end, run_versions
+from flowsieve.streaming.runs import drain, latest, progress_table, run_to_end, run_versions, start_live
 
 CHAIN = """packets AS (SELECT user_id, ts, value, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS rn FROM events),
     chain AS (SELECT user_id, rn, ts, value, ts AS flow_start FROM packets WHERE rn = 1
@@ -64,17 +64,31 @@ def event_stream(spark, d, files_per_trigger=8):
     return stream_table(spark, path, schema, files_per_trigger=files_per_trigger)
 
 
-@query("h1_stream_flow_assembly", FLOW_SQL)
-def _(spark, d):
-    """Closed flows of the stream and, as at shutdown, those still open in its state."""
+def assembly_run(spark, d):
     schema, path = event_files(spark, d)
     packets = stream_table(spark, path, schema, files_per_trigger=1)
     with rocksdb_state(spark):
-        run = run_to_end(assemble_stream(packets, "user_id", "ts", "value", 3600, 4 * 3600), "assembly")
+        return run_to_end(assemble_stream(packets, "user_id", "ts", "value", 3600, 4 * 3600), "assembly")
+
+
+@query("h1_stream_flow_assembly", FLOW_SQL)
+def _(spark, d):
+    """Closed flows of the stream and, as at shutdown, those still open in its state."""
+    run = assembly_run(spark, d)
     closed = spark.read.parquet(run.output).drop("closed")
     return flow_rows(finish_flows(closed.unionByName(open_flows(spark, run.checkpoint, "user_id")), "user_id"))
 
 
+@query("h2_stream_sweep", f"""WITH RECURSIVE {CHAIN}, flows AS (SELECT user_id, flow_start, max(ts) AS flow_end, count(*) AS packets FROM gaps GROUP BY 1, 2),
+    swept AS (SELECT *, flow_start < max(flow_start) OVER (PARTITION BY user_id) AS followed,
+      least(flow_end + INTERVAL 1 HOUR, flow_start + INTERVAL 4 HOUR) <= max(flow_end) OVER () - INTERVAL 5 SECOND AS expired FROM flows)
+    SELECT user_id, strftime(flow_start, '%Y-%m-%d %H:%M:%S.%f') AS flow_start, packets FROM swept WHERE followed OR expired""")
+def _(spark, d):
+    """What packets and timers have closed when the input ends; open flows stay in the state."""
+    closed = finish_flows(spark.read.parquet(assembly_run(spark, d).output), "user_id")
+    return closed.select("user_id", F.date_format("flow_start", "yyyy-MM-dd HH:mm:ss.SSSSSS").alias("flow_start"), "packets")
+
+
 def scored_stream(spark, d):
     return add_ranking(weigh(event_stream(spark, d)), CLASSES)
 
@@ -85,6 +99,25 @@ def _(spark, d):
     return rounded(spark.read.parquet(run_to_end(rows, "scores").output))
 
 
+@query("h4_micro_batches", f"""WITH {SCORED} SELECT level AS threat_level, count(*) AS n, 3 AS batches FROM scored GROUP BY 1""")
+def _(spark, d):
+    """One file for each micro-batch gives the same rows as any other batch size."""
+    schema, path = event_files(spark, d)
+    rows = add_ranking(weigh(stream_table(spark, path, schema, files_per_trigger=1)), CLASSES)
+    run = run_to_end(rows.select("event_id", "threat_level"), "micro")
+    batches = progress_table(spark, run.query).filter("input_rows > 0").count()
+    out = spark.read.parquet(run.output).groupBy("threat_level").agg(F.count(F.lit(1)).alias("n"))
+    return out.withColumn("batches", F.lit(batches))
+
+
+@query("h9_live_run_and_drain", f"""WITH {SCORED} SELECT event_id, level AS threat_level FROM scored""")
+def _(spark, d):
+    """A timed query that is drained and stopped leaves every row that had arrived."""
+    out, checkpoint = scratch_path(spark, "live-out"), scratch_path(spark, "live-ckpt")
+    drain(start_live(scored_stream(spark, d).select("event_id", "threat_level"), out, checkpoint, every="500 milliseconds"))
+    return spark.read.parquet(out)
+
+
 @query("h6_stream_alerts", f"""WITH {SCORED} SELECT event_id, c1 AS predicted_class, level AS threat_level FROM scored WHERE level <> 'GREEN'""")
 def _(spark, d):
     rows = alerts(scored_stream(spark, d)).select("event_id", "predicted_class", "threat_level")

@@ -64,8 +64,6 @@ def prepare(
     left = [f for f in features if f not in correlated]
     if balance:
         full = oversample(train, "y", key, features, "dynamic", seed=seed)
-        # Synthetic rows have no key of their own; a hash of the row stands in for sampling.
-        full = full.withColumn(key, F.xxhash64(*[F.col(f"`{f}`") for f in features], "y"))
         train = materialise(full.select(key, "y", *[F.col(f"`{f}`") for f in left], "synthetic"), "balanced")
     return Prepared(train, test, classes, scaler, left, correlated)
 

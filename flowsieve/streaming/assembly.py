@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
-from flowsieve.operators.flows import AGE_SECONDS, IDLE_SECONDS
+from flowsieve.operators.flows import AGE_SECONDS, IDLE_SECONDS, _starts_after
 
 STATE = T.StructType(
     [
@@ -56,6 +56,20 @@ class FlowAssembler(StatefulProcessor):
     def _close(self, key, flow: list) -> tuple:
         return (*key, *flow, pd.Timestamp(flow[1], unit="us"))
 
+    @staticmethod
+    def _extend(flow: list | None, t: np.ndarray, v: np.ndarray) -> list:
+        """A new flow of these packets, or the open one with them added."""
+        gaps = np.diff(t) if flow is None else np.diff(t, prepend=flow[1])
+        if flow is None:
+            flow = [int(t[0]), int(t[0]), 0, 0.0, 0.0, float(v[0]), float(v[0]), float(v[0]), None, None]
+        d = v - flow[5]
+        low, high = (int(gaps.min()), int(gaps.max())) if len(gaps) else (None, None)
+        lows, highs = [x for x in (flow[8], low) if x is not None], [x for x in (flow[9], high) if x is not None]
+        return [
+            flow[0], int(t[-1]), flow[2] + len(t), flow[3] + float(d.sum()), flow[4] + float((d * d).sum()), flow[5],
+            min(flow[6], float(v.min())), max(flow[7], float(v.max())), min(lows, default=None), max(highs, default=None),
+        ]
+
     def _frame(self, rows: list[tuple]) -> pd.DataFrame:
         return pd.DataFrame(rows, columns=[self.key, *STATE_NAMES, "closed"])
 
@@ -64,22 +78,24 @@ class FlowAssembler(StatefulProcessor):
         order = np.argsort(batch["t"].to_numpy(), kind="stable")
         times, values = batch["t"].to_numpy()[order], batch["v"].to_numpy(dtype=float)[order]
         flow = list(self.flow.get()) if self.flow.exists() else None
+        if flow is not None:
+            times = np.maximum(times, flow[1])
+        n = len(times)
+        following = _starts_after(times, self.idle, self.age)
+        at = 0
+        if flow is not None and times[0] - flow[1] < self.idle:
+            gaps = np.flatnonzero(np.diff(times) >= self.idle)
+            cut = int(np.searchsorted(times, flow[0] + self.age, side="left"))
+            at = min(int(gaps[0]) + 1 if len(gaps) else n, cut)
+        if at > 0:
+            flow = self._extend(flow, times[:at], values[:at])
         closed = []
-        for t, v in zip(times.tolist(), values.tolist()):
-            if flow is not None and (t - flow[1] >= self.idle or t - flow[0] >= self.age):
+        while at < n:
+            if flow is not None:
                 closed.append(self._close(key, flow))
-                flow = None
-            if flow is None:
-                flow = [t, t, 1, 0.0, 0.0, v, v, v, None, None]
-                continue
-            gap, d = t - flow[1], v - flow[5]
-            flow[2] += 1
-            flow[3] += d
-            flow[4] += d * d
-            flow[6], flow[7] = min(flow[6], v), max(flow[7], v)
-            flow[8] = gap if flow[8] is None else min(flow[8], gap)
-            flow[9] = gap if flow[9] is None else max(flow[9], gap)
-            flow[1] = max(flow[1], t)
+            end = int(following[at])
+            flow = self._extend(None, times[at:end], values[at:end])
+            at = end
         self.flow.update(tuple(flow))
         for timer in list(self.handle.listTimers()):
             self.handle.deleteTimer(timer)
