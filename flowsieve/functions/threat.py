@@ -13,7 +13,7 @@ from flowsieve.schema import BENIGN, SUSPICIOUS_CONFIDENCE
 def top_classes(probabilities: Column, classes: Sequence[str], k: int = 3) -> Column:
     """ARRAY<STRUCT<class, conf>>: the k likeliest classes, ties by class index."""
     names = F.array(*[F.lit(c) for c in classes])
-    ranked = F.array_sort(
+    ranked = F.sort_array(
         F.transform(
             probabilities,
             lambda p, i: F.struct((-p).alias("order"), i.alias("idx"), names[i].alias("class"), p.alias("conf")),

@@ -225,7 +225,7 @@ def nearest_in_class(points: DataFrame, k: int, seed: int = 42, block_rows: int
 
 def _ranked(found: DataFrame, k: int) -> DataFrame:
     """The k nearest of what the searched blocks found for each point, at most k from each."""
-    best = F.slice(F.array_sort(F.collect_list(F.struct("distance", "neighbour", "copies"))), 1, k)
+    best = F.slice(F.sort_array(F.collect_list(F.struct("distance", "neighbour", "copies"))), 1, k)
     merged = found.groupBy("c", "id").agg(best.alias("best"))
     return merged.select("c", "id", F.posexplode("best").alias("pos", "b")).select(
         "c", "id", F.col("b.neighbour").alias("neighbour"), F.col("b.distance").alias("distance"),
@@ -276,7 +276,7 @@ def synthetic_rows(
     asking = points.select("c", "v", "id", "copies", (F.col("quota") > 0).alias("asks"))
     near = nearest_in_class(asking, k, seed, block_rows)
     ladder = near.groupBy("c", "id").agg(
-        F.array_sort(F.collect_list(F.struct("rank", "neighbour", "copies"))).alias("ladder")
+        F.sort_array(F.collect_list(F.struct("rank", "neighbour", "copies"))).alias("ladder")
     )
     # A point with many copies is a seed many times: its repetitions are dealt out in bounded runs.
     runs = points.join(ladder, ["c", "id"], "left").select(

@@ -152,7 +152,7 @@ def roc_points(scores: DataFrame, block_rows: int = BLOCK_ROWS) -> DataFrame:
     )
     down = counts.withColumn("down", -F.col("score"))
     run = running_sums(down, ["class"], "down", ["pos", "neg"], block_rows)
-    totals = counts.groupBy("class").agg(F.sum("pos").alias("p"), F.sum("neg").alias("n"))
+    totals = run.groupBy("class").agg(F.sum("pos").alias("p"), F.sum("neg").alias("n"))
     return run.join(totals, "class").select(
         "class", "score", "pos", "neg", "p", "n",
         F.col("run_pos").alias("tps"),

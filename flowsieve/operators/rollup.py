@@ -92,7 +92,7 @@ def minute_rollup(
     )
     return by_class.groupBy(*keys).agg(
         *[F.sum(c).alias(c) for c in ("total", "threats", "suspicious", "clean")],
-        F.map_from_entries(F.array_sort(F.collect_list(F.struct("class", "total")))).alias("by_class"),
+        F.map_from_entries(F.sort_array(F.collect_list(F.struct("class", "total")))).alias("by_class"),
         F.sum("correct").alias("correct"),
         percent(F.sum("correct"), F.sum("labelled")).alias("accuracy_pct"),
     )

@@ -48,14 +48,17 @@ def _written(app: str, d: str) -> str:
     spark = SparkSession.active()
     path = scratch_path(spark, "reports")
     rows = reported(spark, d)
-    for kinds, actual in (((0, 2), "actual_label"), ((1, 3), None)):
-        part = rows.filter(F.col("kind").isin(*kinds))
-        reports.write_lines(reports.table_lines(part, "report", "file", "event_id", "ts", actual), path)
+    lines = [
+        reports.table_lines(rows.filter(F.col("kind").isin(*kinds)), "report", "file", "event_id", "ts", actual)
+        for kinds, actual in (((0, 2), "actual_label"), ((1, 3), None))
+    ]
+    reports.write_lines(lines[0].unionByName(lines[1]), path)
     styles = {
         0: ("session_summary.txt", dict(labelled=True)),
         1: ("batch_summary.txt", dict(title="BATCH SUMMARY", minute_section=False)),
         2: ("session_summary.txt", dict(labelled=True, totals=False)),
     }
+    summaries = None
     for kind, (file, style) in styles.items():
         part = rows.filter(F.col("kind") == kind)
         minutes = rollup.minute_rollup(part, "ts", session=["report"], actual="actual_label")
@@ -67,7 +70,9 @@ def _written(app: str, d: str) -> str:
             F.count_if(F.col("predicted_class") == F.col("actual_label")).alias("correct"),
         ).withColumn("precision_pct", F.col("correct") * 100.0 / F.col("labelled"))
         texts = reports.summary_texts(minutes.join(spans, "report"), precision, seconds="seconds", **style)
-        reports.write_texts(texts.withColumn("file", F.lit(file)), path)
+        named = texts.withColumn("file", F.lit(file))
+        summaries = named if summaries is None else summaries.unionByName(named)
+    reports.write_texts(summaries, path)
     return path
 
 
