@@ -6,9 +6,14 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from flowsieve.llm import languages
 from flowsieve.llm.leaks import find_leaks, leaks_sql
+from flowsieve.llm.licences import licence_digest, licences_sql, scan_licences
+from flowsieve.llm.secrets import scan_history, span_digest
 from flowsieve.llm.token_counts import count_tokens
+from flowsieve.session import scratch_path
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 
@@ -21,13 +26,28 @@ def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(_documents(spark, sf_dir), TOKENIZER)
 
 
+def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licence_digest(scan_licences(_documents(spark, sf_dir)))
+
+
+def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return span_digest(scan_history(_documents(spark, sf_dir), scratch_path(spark, "ledger")))
+
+
+def op7_language_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "lang")
+    model = languages.train(documents.filter(~languages.held_out(F.col("doc_id"))))
+    found = languages.identify(documents, model)
+    return found.select("doc_id", languages.held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
+
+
 def op10_benchmark_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_leaks(_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_token_counts, op10_benchmark_leaks)}
+    return {f.__name__: f for f in (op2_token_counts, op5_license_scan, op6_secret_scan, op7_language_mixture, op10_benchmark_leaks)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op10_benchmark_leaks": leaks_sql()}
+    return {"op5_license_scan": licences_sql(), "op10_benchmark_leaks": leaks_sql()}
