@@ -12,6 +12,7 @@ from flowsieve.llm import languages
 from flowsieve.llm.leaks import find_leaks, leaks_sql
 from flowsieve.llm.licences import licence_digest, licences_sql, scan_licences
 from flowsieve.llm.secrets import scan_history, span_digest
+from flowsieve.llm.simhash import fingerprint_groups
 from flowsieve.llm.token_counts import count_tokens
 from flowsieve.session import scratch_path
 
@@ -26,6 +27,11 @@ def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(_documents(spark, sf_dir), TOKENIZER)
 
 
+def op4_simhash_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = fingerprint_groups(_documents(spark, sf_dir))
+    return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
 def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licence_digest(scan_licences(_documents(spark, sf_dir)))
 
@@ -46,7 +52,7 @@ def op10_benchmark_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_token_counts, op5_license_scan, op6_secret_scan, op7_language_mixture, op10_benchmark_leaks)}
+    return {f.__name__: f for f in (op2_token_counts, op4_simhash_groups, op5_license_scan, op6_secret_scan, op7_language_mixture, op10_benchmark_leaks)}
 
 
 def oracle_sql() -> dict[str, str]:
