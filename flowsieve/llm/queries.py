@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from flowsieve.llm import languages
+from flowsieve.llm import language_model, languages
 from flowsieve.llm.leaks import find_leaks, leaks_sql
 from flowsieve.llm.licences import licence_digest, licences_sql, scan_licences
 from flowsieve.llm.secrets import scan_history, span_digest
@@ -23,6 +23,13 @@ def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
 
 
+def op1_log_bilinear_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = _documents(spark, sf_dir)
+    scored = language_model.score_texts(documents, ~language_model.held_out(F.col("doc_id")))
+    held_out = language_model.held_out(F.col("doc_id")).alias("held_out")
+    return scored.select("doc_id", held_out, "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(_documents(spark, sf_dir), TOKENIZER)
 
@@ -52,7 +59,7 @@ def op10_benchmark_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_token_counts, op4_simhash_groups, op5_license_scan, op6_secret_scan, op7_language_mixture, op10_benchmark_leaks)}
+    return {f.__name__: f for f in (op1_log_bilinear_scores, op2_token_counts, op4_simhash_groups, op5_license_scan, op6_secret_scan, op7_language_mixture, op10_benchmark_leaks)}
 
 
 def oracle_sql() -> dict[str, str]:
