@@ -9,8 +9,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from flowsieve.llm import language_model, languages
+from flowsieve.llm.collision_search import nearest
 from flowsieve.llm.leaks import find_leaks, leaks_sql
 from flowsieve.llm.licences import licence_digest, licences_sql, scan_licences
+from flowsieve.llm.packing import pack
 from flowsieve.llm.secrets import scan_history, span_digest
 from flowsieve.llm.simhash import fingerprint_groups
 from flowsieve.llm.token_counts import count_tokens
@@ -34,6 +36,11 @@ def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(_documents(spark, sf_dir), TOKENIZER)
 
 
+def op3_collision_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", "embedding")
+    return nearest(vectors, F.col("vec_id") % 50 == 0)
+
+
 def op4_simhash_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = fingerprint_groups(_documents(spark, sf_dir))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
@@ -54,12 +61,27 @@ def op7_language_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", languages.held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
 
 
+def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "source"))
+
+
 def op10_benchmark_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_leaks(_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_log_bilinear_scores, op2_token_counts, op4_simhash_groups, op5_license_scan, op6_secret_scan, op7_language_mixture, op10_benchmark_leaks)}
+    found = (
+        op1_log_bilinear_scores,
+        op2_token_counts,
+        op3_collision_neighbours,
+        op4_simhash_groups,
+        op5_license_scan,
+        op6_secret_scan,
+        op7_language_mixture,
+        op9_best_fit_packing,
+        op10_benchmark_leaks,
+    )
+    return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
