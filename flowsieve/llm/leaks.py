@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterable, Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -126,17 +127,17 @@ def find_leaks(
             T.StructField("containment", T.DoubleType()),
         ]
     )
-    total = own.agg(F.sum(F.size(F.split("text", " ")))).head()[0] or 0
+    parts = [docs.mapInArrow(_searcher(rows, width, threshold, miss, schema), schema) for rows in _blocks(own)]
+    return reduce(DataFrame.unionAll, parts) if parts else spark.createDataFrame([], schema)
+
+
+def _blocks(items: DataFrame) -> Iterator[list[tuple[int, bytes]]]:
+    """The items in blocks of about ``BLOCK_WORDS`` words, each small enough to go to every task."""
+    total = items.agg(F.sum(F.size(F.split("text", " ")))).head()[0] or 0
     blocks = math.ceil(total / BLOCK_WORDS)
     key = F.pmod(F.xxhash64("item_id", "text"), F.lit(max(blocks, 1)))
-    parts = []
     for block in range(blocks):
-        rows = [(r[0], (r[1] or "").encode()) for r in own.filter(key == block).collect()]
-        parts.append(docs.mapInArrow(_searcher(rows, width, threshold, miss, schema), schema))
-    out = spark.createDataFrame([], schema)
-    for p in parts:
-        out = p if out is None or len(parts) == 1 else out.unionAll(p)
-    return out
+        yield [(r[0], (r[1] or "").encode()) for r in items.filter(key == block).collect()]
 
 
 def _searcher(rows: list[tuple[int, bytes]], width: int, threshold: float, miss: float, schema: T.StructType):
@@ -158,10 +159,19 @@ def _searcher(rows: list[tuple[int, bytes]], width: int, threshold: float, miss:
     return search
 
 
-def without_leaks(documents: DataFrame, items: DataFrame, doc_id: str = "doc_id", **options) -> DataFrame:
-    """Documents that contain no item, with all their columns. Rows with a NULL id that contain one stay."""
-    hit = find_leaks(documents, items, doc_id, **options).select(F.col("doc_id").alias("_hit")).distinct()
-    return documents.join(hit, documents[doc_id] == hit["_hit"], "left_anti")
+def without_leaks(
+    documents: DataFrame, items: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text", width: int = 5, threshold: float = 0.8, miss: float = 1e-6
+) -> DataFrame:
+    """Documents that contain no item, with all their columns, by the same search; rows stay in their partitions."""
+    for rows in _blocks(items.select(items[item_id].alias("item_id"), items[item_text].alias("text"))):
+
+        def keep(batches: Iterable[pa.RecordBatch], rows=rows) -> Iterator[pa.RecordBatch]:
+            index = ItemIndex(rows, width, threshold, miss)
+            for part in slices(batches, text):
+                yield part.filter(pa.array([not index.search(raw) for raw in raw_texts(part, text)], pa.bool_()))
+
+        documents = documents.mapInArrow(keep, documents.schema)
+    return documents
 
 
 def leaks_sql(width: int = 5, threshold: float = 0.8) -> str:

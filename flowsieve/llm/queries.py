@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import corpus_pipeline
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -13,6 +14,7 @@ from flowsieve.llm.collision_search import nearest
 from flowsieve.llm.leaks import find_leaks, leaks_sql
 from flowsieve.llm.licences import licence_digest, licences_sql, scan_licences
 from flowsieve.llm.packing import pack
+from flowsieve.llm.pii import find_pii, pii_digest
 from flowsieve.llm.secrets import scan_history, span_digest
 from flowsieve.llm.simhash import fingerprint_groups
 from flowsieve.llm.token_counts import count_tokens
@@ -61,6 +63,10 @@ def op7_language_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", languages.held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
 
 
+def op8_pii_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii_digest(find_pii(_documents(spark, sf_dir)))
+
+
 def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "source"))
 
@@ -78,11 +84,13 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         op5_license_scan,
         op6_secret_scan,
         op7_language_mixture,
+        op8_pii_spans,
         op9_best_fit_packing,
         op10_benchmark_leaks,
     )
-    return {f.__name__: f for f in found}
+    return {f.__name__: f for f in found} | {"pipeline": corpus_pipeline.run}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_license_scan": licences_sql(), "op10_benchmark_leaks": leaks_sql()}
+    own = {"op5_license_scan": licences_sql(), "op10_benchmark_leaks": leaks_sql()}
+    return own | ({"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {})
