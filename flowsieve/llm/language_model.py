@@ -133,6 +133,7 @@ class Encoder:
 
     def __init__(self, vocabulary: Vocabulary):
         self.index, self.cls, self.base, self.share, self.size = vocabulary.tables()
+        self.known = vocabulary.counts > 0  # all but the end, where nothing was learned
         self.frequent, self.classes = vocabulary.frequent, vocabulary.classes
 
     def encode(self, raws: list[bytes]) -> tuple[list[bytes], np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -244,7 +245,7 @@ def score_texts(documents: DataFrame, training: Column, doc_id: str = "doc_id",
                     pa.array(np.arange(key, key + part.num_rows)),
                     part.column("doc_id"),
                     pa.array(np.diff(np.append(starts, len(tokens)))),
-                    pa.array(np.add.reduceat((~lost).astype(np.int64), starts)),
+                    pa.array(np.add.reduceat((~lost & encoder.known[at]).astype(np.int64), starts)),
                     pa.array(np.add.reduceat(base, starts)),
                     pa.array(np.add.reduceat(own.astype(np.float64), starts)),
                     pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pairs).cast(tail),
