@@ -54,6 +54,19 @@ def percent(a: Column, b: Column) -> Column:
     return ratio(a * F.lit(100.0), b)
 
 
+def ordered_bits(c: Column) -> Column:
+    """A double as a long of the same order: exponent and fraction, negative for negative numbers; 0 for both zeros."""
+    a = F.abs(c)
+    guess = F.greatest(F.floor(F.log2(a)), F.lit(-1022))
+    low, high = F.pow(F.lit(2.0), guess), F.pow(F.lit(2.0), guess + 1)
+    exponent = F.when(a >= high, guess + 1).when((a < low) & (guess > -1022), guess - 1).otherwise(guess).cast("long")
+    fraction = ((a / F.pow(F.lit(2.0), exponent) - 1) * F.lit(2.0**52)).cast("long")
+    normal = F.shiftleft(exponent + 1023, 52) + fraction
+    small = (a * F.lit(2.0**1022) * F.lit(2.0**52)).cast("long")
+    code = F.when(a < F.lit(2.0**-1022), small).otherwise(normal)
+    return F.when(c < 0, -code).otherwise(code)
+
+
 def all_rows() -> Column:
     return F.count(F.lit(1))
 

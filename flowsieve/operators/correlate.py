@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from flowsieve.functions.bands import correlation_band
 
-TASKS_PER_CORE = 4
+SALTS = 64
 
 
 def feature_pairs(df: DataFrame, features: list[str]) -> DataFrame:
@@ -56,9 +56,9 @@ def _moments(features: list[str], center: list[float]):
 def correlation_pairs(df: DataFrame, features: list[str]) -> DataFrame:
     """(i, j, f1, f2, n, r) over the rows where both values are finite; r is NULL without variance.
 
-    Each task reduces its rows to one row of sums for each pair with dense matrix products, and inputs
-    are coalesced to a few tasks for each core, so the shuffle carries cores x pairs rows whatever the
-    table holds. Centring by the column means first keeps the sums of squares accurate.
+    Each task reduces its rows to one row of sums for each pair with dense matrix products. The sums are added in two
+    steps, first within salts and then over them, so that a pair is not one task's work however many tasks there are.
+    Centring by the column means first keeps the sums of squares accurate.
     """
     finite = [
         F.when(F.abs(F.col(f"`{f}`").cast("double")) < F.lit(float("inf")), F.col(f"`{f}`").cast("double"))
@@ -66,15 +66,13 @@ def correlation_pairs(df: DataFrame, features: list[str]) -> DataFrame:
     ]
     means = df.agg(*[F.coalesce(F.avg(c), F.lit(0.0)).alias(f"m{i}") for i, c in enumerate(finite)]).first()
     numeric = df.select(*[F.col(f"`{f}`").cast("double").alias(f"c{i}") for i, f in enumerate(features)])
-    tasks = TASKS_PER_CORE * df.sparkSession.sparkContext.defaultParallelism
-    sums = (
-        numeric.coalesce(tasks).mapInPandas(
-            _moments(features, list(means)),
-            "i int, j int, n double, sx double, sy double, sxx double, syy double, sxy double",
-        )
-        .groupBy("i", "j")
-        .agg(*[F.sum(c).alias(c) for c in ("n", "sx", "sy", "sxx", "syy", "sxy")])
+    parts = numeric.mapInPandas(
+        _moments(features, list(means)),
+        "i int, j int, n double, sx double, sy double, sxx double, syy double, sxy double",
     )
+    added = [F.sum(c).alias(c) for c in ("n", "sx", "sy", "sxx", "syy", "sxy")]
+    salted = parts.groupBy("i", "j", (F.spark_partition_id() % SALTS).alias("salt")).agg(*added)
+    sums = salted.groupBy("i", "j").agg(*added)
     n = F.col("n")
     vx = F.col("sxx") - F.col("sx") * F.try_divide(F.col("sx"), n)
     vy = F.col("syy") - F.col("sy") * F.try_divide(F.col("sy"), n)
@@ -112,15 +110,16 @@ def pairs_within(pairs: DataFrame, present: DataFrame, feature: str = "feature")
 
 
 def correlated_pairs(pairs: DataFrame, threshold: float) -> DataFrame:
-    """Pairs with abs(r) above the threshold, strongest first."""
+    """Pairs with abs(r) above the threshold, strongest first; r to nine digits, then by place."""
     strong = pairs.filter(F.abs("r") > threshold).withColumn("band", correlation_band(F.col("r")))
-    return strong.orderBy(F.desc(F.abs("r")), "i", "j")
+    return strong.orderBy(F.desc(F.round(F.abs("r"), 9)), "i", "j")
 
 
 def strongest(pairs: DataFrame, sign: str, n: int = 10) -> DataFrame:
+    """The n strongest pairs of a sign; what is equal to nine digits is in order of place, not of the last bits."""
     if sign == "positive":
-        return pairs.filter(F.col("r") > 0).orderBy(F.desc("r"), "i", "j").limit(n)
-    return pairs.filter(F.col("r") < 0).orderBy("r", "i", "j").limit(n)
+        return pairs.filter(F.col("r") > 0).orderBy(F.desc(F.round("r", 9)), "i", "j").limit(n)
+    return pairs.filter(F.col("r") < 0).orderBy(F.round("r", 9), "i", "j").limit(n)
 
 
 def correlated_features_to_drop(pairs: DataFrame, threshold: float = 0.99) -> list[str]:

@@ -14,16 +14,16 @@ from flowsieve.operators.score import attack_score
 from flowsieve.schema import BENIGN
 
 
-
-def five_numbers(df: DataFrame, value: str, block_rows: int = BLOCK_ROWS) -> DataFrame:
-    """Mean, population deviation, extremes and exact quartiles of one column in one row."""
-    quartiles = exact_quantiles(df, [value], [0.25, 0.5, 0.75], block_rows)
+def five_numbers(df: DataFrame, value: str) -> DataFrame:
+    """Mean, deviations, extremes and exact quartiles of the finite values of one column, in one row."""
+    quartiles = exact_quantiles(df, [value], [0.25, 0.5, 0.75])
 
     def at(p: float) -> Column:
         return F.max(F.when(F.col("p") == p, F.col("value")))
 
     cuts = quartiles.groupBy("name").agg(at(0.25).alias("q25"), at(0.5).alias("median"), at(0.75).alias("q75"))
     c = F.col(f"`{value}`").cast("double")
+    c = F.when(F.abs(c) < F.lit(float("inf")), c)
     moments = df.agg(
         F.count(c).alias("n"),
         F.avg(c).alias("mean"),
@@ -37,8 +37,8 @@ def five_numbers(df: DataFrame, value: str, block_rows: int = BLOCK_ROWS) -> Dat
     return both.agg(*[F.max(c).alias(c) for c in both.columns])
 
 
-def confidence_summary(df: DataFrame, confidence: str = "confidence", block_rows: int = BLOCK_ROWS) -> DataFrame:
-    row = five_numbers(df, confidence, block_rows)
+def confidence_summary(df: DataFrame, confidence: str = "confidence") -> DataFrame:
+    row = five_numbers(df, confidence)
     return row.select(
         "mean", "median", F.col("std_pop").alias("std"), "min", "max", "q25", "q75",
         F.col("below_half").alias("low_confidence"),
@@ -248,9 +248,9 @@ def parameter_effect(results: DataFrame, parameter: str, score: str) -> DataFram
     return grouped.withColumn("is_best", best)
 
 
-def score_distribution(df: DataFrame, score: str, block_rows: int = BLOCK_ROWS) -> DataFrame:
+def score_distribution(df: DataFrame, score: str) -> DataFrame:
     """Summary of scores with the 95 % interval mean +- 1.96 deviations."""
-    row = five_numbers(df, score, block_rows)
+    row = five_numbers(df, score)
     half = F.col("std_samp") * 1.96
     return row.select(
         "mean", "median", F.col("std_samp").alias("std"), "min", "max",

@@ -129,9 +129,8 @@ def running_accuracy(
     block_rows: int = BLOCK_ROWS,
 ) -> DataFrame:
     """Accuracy in percent after each result of a session, in the order of its sequence number."""
-    hits = df.withColumns(
-        {"hit": (F.col(predicted) == F.col(actual)).cast("long"), "one": F.lit(1).cast("long")}
-    ).withColumn("hit", F.coalesce("hit", F.lit(0).cast("long")))
+    hit = F.coalesce((F.col(predicted) == F.col(actual)).cast("long"), F.lit(0).cast("long"))
+    hits = df.select(*session, seq, hit.alias("hit"), F.lit(1).cast("long").alias("one"))
     run = running_sums(hits, list(session), seq, ["hit", "one"], block_rows)
     return run.select(
         *session, seq, F.col("run_hit").alias("correct"), F.col("run_one").alias("seen"),

@@ -1,16 +1,19 @@
-"""Running sums and exact quantiles of large groups, computed block by block."""
+"""Running sums and exact quantiles of large groups, without a group in one task."""
 
 from __future__ import annotations
 
-from pyspark.ml.feature import Bucketizer
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from flowsieve.functions.values import any_of, ordered_bits
 from flowsieve.session import materialise
 
 BLOCK_ROWS = 1_000_000
-MAX_BLOCKS = 20_000
+#: Bits by which a bucket is refined in a pass, and the values of a bucket that are ranked at last.
+BUCKET_BITS = 10
+RANK_ROWS = 100_000
 
 
 def running_sums(
@@ -18,84 +21,96 @@ def running_sums(
 ) -> DataFrame:
     """Adds ``run_<c>``: the sum of c over the rows of the same part up to and including this one.
 
-    ``order`` is numeric and distinct within a part. A window over a part would sort all its rows in
-    one task; here the range of ``order`` is cut into blocks of about ``block_rows`` rows, sums run
-    inside a block, and the totals of the earlier blocks are added. The input is read several times, so
-    it is written to the shared folder first.
+    ``order`` is distinct within a part. A window over a part would sort all its rows in one task; here Spark's range
+    partitioning deals (part, order) to blocks of about ``block_rows`` rows, however large a part is. Sums run inside
+    a block, and the totals of a part's earlier blocks are added; that table has a row for each part and block. The
+    dealt rows are read twice, so they are written to the shared folder.
     """
-    df = materialise(df, "running")
     rows = df.count()
-    blocks = min(MAX_BLOCKS, rows // block_rows + 1)
-    cut = df.withColumn("o__", F.col(order).cast("double"))
-    bounds: list[float] = []
-    if blocks > 1:
-        probes = [i / blocks for i in range(1, blocks)]
-        bounds = sorted(set(cut.approxQuantile("o__", probes, 1.0 / (4 * blocks))))
-    if not bounds:
-        cut = cut.withColumn("b__", F.lit(0.0))
-    else:
-        splits = [float("-inf"), *bounds, float("inf")]
-        cut = Bucketizer(splits=splits, inputCol="o__", outputCol="b__", handleInvalid="keep").transform(cut)
-
+    dealt = df.repartitionByRange(rows // block_rows + 1, *part, order).withColumn("b__", F.spark_partition_id())
+    dealt = materialise(dealt, "running")
     inside = W.partitionBy(*part, "b__").orderBy(order).rowsBetween(W.unboundedPreceding, 0)
-    local = cut.withColumns({f"run_{c}": F.sum(c).over(inside) for c in sums}).drop("o__")
-    if not bounds:
-        return local.drop("b__")
-
     earlier = W.partitionBy(*part).orderBy("b__").rowsBetween(W.unboundedPreceding, -1)
     offsets = (
-        cut.groupBy(*part, "b__")
+        dealt.groupBy(*part, "b__")
         .agg(*[F.sum(c).alias(f"t_{c}") for c in sums])
         .select(*part, "b__", *[F.coalesce(F.sum(f"t_{c}").over(earlier), F.lit(0)).alias(f"before_{c}") for c in sums])
     )
-    joined = local.join(offsets, [*part, "b__"])
+    renamed = offsets.select(*[F.col(c).alias(f"{c}__") for c in (*part, "b__")], *[f"before_{c}" for c in sums])
+    local = dealt.withColumns({f"run_{c}": F.sum(c).over(inside) for c in sums})
+    same = [local[c].eqNullSafe(renamed[f"{c}__"]) for c in (*part, "b__")]
+    joined = local.join(renamed, same)
     return joined.withColumns({f"run_{c}": F.col(f"run_{c}") + F.col(f"before_{c}") for c in sums}).drop(
-        "b__", *[f"before_{c}" for c in sums]
+        "b__", *[f"{c}__" for c in (*part, "b__")], *[f"before_{c}" for c in sums]
     )
 
 
 def exact_quantiles(
-    df: DataFrame, columns: list[str], probabilities: list[float], block_rows: int = BLOCK_ROWS
+    df: DataFrame, columns: list[str], probabilities: list[float], rank_rows: int = RANK_ROWS
 ) -> DataFrame:
-    """(name, p, value): linearly interpolated quantiles of finite values, without holding a column in one task.
+    """(name, p, value): linearly interpolated quantiles of the finite values of each column.
 
-    Equal values are counted first; the ranks come from running counts over the distinct values.
+    No value is shuffled but by its count. Doubles map to integers of the same order; these are counted in buckets by
+    their leading bits, for all columns in one pass, and only the buckets that hold an asked rank are looked at again
+    under more bits. A bucket of at most ``rank_rows`` values is ranked by itself, with equal values counted first.
+    What goes to the driver is a few bucket counts for each column and probability. A column without values is absent.
     """
-    pairs = [F.struct(F.lit(c).alias("name"), F.col(f"`{c}`").cast("double").alias("value")) for c in columns]
-    values = (
-        df.select(F.inline(F.array(*pairs)))
-        .filter(F.abs("value") < F.lit(float("inf")))
-        .groupBy("name", "value")
-        .agg(F.count(F.lit(1)).alias("n"))
-    )
-    ranked = running_sums(values, ["name"], "value", ["n"], block_rows)
-    totals = ranked.groupBy("name").agg(F.max("run_n").alias("total"))
-    probes = F.array(*[F.lit(float(p)) for p in probabilities])
-    position = F.col("p") * (F.col("total") - 1)
-    asked = totals.select("name", "total", F.explode(probes).alias("p")).select(
-        "name", "p", F.floor(position).alias("lo"), (position - F.floor(position)).alias("part")
-    )
-    # One row of limits for each name keeps the ranked values unmultiplied.
-    limits = asked.groupBy("name").agg(F.collect_list(F.struct("p", "lo", "part")).alias("asked"))
-    picks = (
-        ranked.join(limits, "name")
-        .select(
-            "name",
-            "value",
-            F.explode(
-                F.filter(
-                    "asked",
-                    lambda a: (F.col("run_n") > a["lo"]) & (F.col("run_n") - F.col("n") <= a["lo"] + 1),
-                )
-            ).alias("a"),
-            "run_n",
+    spark = df.sparkSession
+    value = {c: F.col(f"`{c}`").cast("double") for c in columns}
+    finite = {c: F.when(F.abs(v) < F.lit(float("inf")), v) for c, v in value.items()}
+    sizes = df.agg(*[F.count(v).alias(f"n{i}") for i, v in enumerate(finite.values())]).head() if columns else []
+    asked = {}
+    for c, n in zip(columns, sizes):
+        for p in probabilities if n else []:
+            low, part = divmod(p * (n - 1), 1)
+            asked[c, p] = (int(low), min(int(low) + 1, n - 1), part)
+    # For each asked rank of a column: leading bits of its bucket, rank inside, values inside.
+    at = {(c, r): (0, r, n) for c, n in zip(columns, sizes) for (d, _), (lo, hi, _) in asked.items() if d == c for r in (lo, hi)}
+    known: int | None = None  # bits that the buckets leave open
+
+    def inside() -> DataFrame:
+        """The values in the buckets of the asked ranks."""
+        entries = []
+        for c in dict.fromkeys(c for c, _ in at):
+            code, buckets = ordered_bits(finite[c]), {b for (d, _), (b, _, _) in at.items() if d == c}
+            held = F.lit(True) if known is None else F.shiftright(code, known).isin(*buckets)
+            entry = F.struct(F.lit(c).alias("name"), code.alias("code"), finite[c].alias("value"))
+            entries.append(F.when(finite[c].isNotNull() & held, entry))
+        return df.select(F.explode(F.array_compact(F.array(*entries))).alias("e")).select("e.*")
+
+    for width in (52, *range(52 - BUCKET_BITS, 0, -BUCKET_BITS), 0):
+        if max((held for _, _, held in at.values()), default=0) <= rank_rows:
+            break
+        counted = inside().groupBy("name", F.shiftright("code", width).alias("b")).agg(F.count(F.lit(1)).alias("n")).collect()
+        for (c, r), (bucket, rank, _) in list(at.items()):
+            for b, n in sorted((x["b"], x["n"]) for x in counted if x["name"] == c):
+                if known is not None and b >> (known - width) != bucket:
+                    continue
+                if rank < n:
+                    at[c, r] = (b, rank, n)
+                    break
+                rank -= n
+        known = width
+    found = {}
+    if at:
+        order = W.partitionBy("name", "b").orderBy("code")
+        ranked = (
+            inside()
+            .groupBy("name", (F.lit(0).cast("long") if known is None else F.shiftright("code", known)).alias("b"), "code")
+            .agg(F.count(F.lit(1)).alias("n"), F.min("value").alias("value"))
+            .withColumn("upto", F.sum("n").over(order))
         )
-        .groupBy("name", F.col("a.p").alias("p"), F.col("a.lo").alias("lo"), F.col("a.part").alias("part"))
-        .agg(
-            F.min("value").alias("low"),
-            F.min(F.when(F.col("run_n") > F.col("a.lo") + 1, F.col("value"))).alias("high"),
+        hits = any_of(
+            [
+                (F.col("name") == c) & (F.col("b") == b) & (F.col("upto") > rank) & (F.col("upto") - F.col("n") <= rank)
+                for (c, _), (b, rank, _) in at.items()
+            ]
         )
-    )
-    return picks.select(
-        "name", "p", (F.col("low") + F.col("part") * (F.coalesce("high", "low") - F.col("low"))).alias("value")
-    )
+        for r in ranked.filter(hits).collect():
+            for (c, rank_of), (b, rank, _) in at.items():
+                if c == r["name"] and b == r["b"] and r["upto"] - r["n"] <= rank < r["upto"]:
+                    found[c, rank_of] = r["value"]
+    rows = [(c, float(p), found[c, lo] + part * (found[c, hi] - found[c, lo])) for (c, p), (lo, hi, part) in asked.items()]
+    schema = T.StructType().add("name", T.StringType()).add("p", T.DoubleType()).add("value", T.DoubleType())
+    return spark.createDataFrame(rows, schema)
+

@@ -234,8 +234,8 @@ def _(spark, d):
 
 
 @query("d12_strongest_pairs", f"""WITH {WIDE}, {PAIRS} SELECT * FROM (
-    SELECT 'positive' AS sign, {R6} FROM (SELECT * FROM pairs WHERE r > 0 ORDER BY r DESC, i, j LIMIT 10)
-    UNION ALL SELECT 'negative', {R6} FROM (SELECT * FROM pairs WHERE r < 0 ORDER BY r, i, j LIMIT 10))""")
+    SELECT 'positive' AS sign, {R6} FROM (SELECT * FROM pairs WHERE r > 0 ORDER BY round(r, 9) DESC, i, j LIMIT 10)
+    UNION ALL SELECT 'negative', {R6} FROM (SELECT * FROM pairs WHERE r < 0 ORDER BY round(r, 9), i, j LIMIT 10))""")
 def _(spark, d):
     p = pairs(spark, d)
     both = [correlate.strongest(p, s).select(F.lit(s).alias("sign"), "*") for s in ("positive", "negative")]

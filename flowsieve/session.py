@@ -28,21 +28,36 @@ def local_session(cpus: str | int = "*", app: str = "flowsieve") -> SparkSession
     return spark
 
 
+_made: dict[str, str] = {}
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir; a temporary one only in local mode."""
+    """The folder named by spark.checkpoint.dir; a temporary one only in local mode, the same for all of a session."""
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured:
         return configured
     if not spark.sparkContext.master.startswith("local"):
         raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    made = tempfile.mkdtemp(prefix="flowsieve-")
-    spark.conf.set("spark.checkpoint.dir", made)
-    return made
+    app = spark.sparkContext.applicationId
+    if app not in _made:
+        _made[app] = tempfile.mkdtemp(prefix="flowsieve-")
+    return _made[app]
+
+
+def own_scratch(spark: SparkSession) -> str:
+    """The folder of all scratch tables of this application."""
+    return f"{shared_dir(spark).rstrip('/')}/flowsieve/{spark.sparkContext.applicationId}"
+
+
+def release_scratch(spark: SparkSession) -> None:
+    """Deletes this application's scratch tables; results that still read them must be stored first."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(own_scratch(spark))
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A path under the shared folder that no other run uses."""
-    return f"{shared_dir(spark).rstrip('/')}/flowsieve/{name}-{uuid.uuid4().hex}"
+    return f"{own_scratch(spark)}/{name}-{uuid.uuid4().hex}"
 
 
 def materialise(df: DataFrame, name: str) -> DataFrame:

@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from flowsieve.functions.values import ordered_bits
 from flowsieve.operators.balance import distinct_points, nearest_in_class, synthetic_rows
 from flowsieve.operators.evaluate import auc_by_class, roc_points
 from flowsieve.operators.running import exact_quantiles, running_sums
@@ -20,18 +21,28 @@ def test_running_sums_in_many_blocks(spark):
         assert got[p, o] == sum(v for q, x, v in rows if q == p and x <= o)
 
 
-@pytest.mark.parametrize("block_rows", [7, 1_000_000])
-def test_exact_quantiles(spark, block_rows):
+@pytest.mark.parametrize("rank_rows", [0, 7, 1_000_000])
+def test_exact_quantiles(spark, rank_rows):
     values = [0.0] * 40 + np.random.default_rng(2).normal(size=61).tolist() + [float("inf"), None, float("nan")]
-    df = spark.createDataFrame([(v,) for v in values], "x double")
+    values += [-0.0, 5e-324, -2.5e-310, 1.7e308, -1.7e308, 4.0, 8.0, 7.999999999999999, 1e-300]
+    df = spark.createDataFrame([(v, None) for v in values], "x double, y double")
     finite = [v for v in values if v is not None and np.isfinite(v)]
     probes = [0.0, 0.1, 0.25, 0.5, 0.75, 0.9, 1.0]
-    got = {r.p: r.value for r in exact_quantiles(df, ["x"], probes, block_rows).collect()}
+    got = {r.p: r.value for r in exact_quantiles(df, ["x", "y"], probes, rank_rows).collect()}
     assert set(got) == set(probes)
     for p in probes:
         assert got[p] == pytest.approx(float(np.quantile(finite, p)))
 
 
+def test_ordered_bits_keep_the_order(spark):
+    rng = np.random.default_rng(7)
+    values = np.concatenate([rng.normal(size=300) * 10.0 ** rng.integers(-320, 300, 300), 2.0 ** np.arange(-1074, 1024, 7), [0.0, 5e-324, 1.7976931348623157e308]])
+    values = np.unique(np.concatenate([values, -values, np.nextafter(values, 0)]))
+    rows = spark.createDataFrame([(float(v),) for v in values], "x double").select("x", ordered_bits(F.col("x")).alias("b")).collect()
+    bits = [r.b for r in sorted(rows, key=lambda r: r.x)]
+    assert all(a < b for a, b in zip(bits, bits[1:]))
+
+
 def test_auc_in_many_blocks(spark):
     rng = np.random.default_rng(3)
     rows = [(("a", "b")[i % 2], float(round(s, 2)), bool(y)) for i, (s, y) in enumerate(zip(rng.random(300), rng.random(300) < 0.4))]
