@@ -111,8 +111,8 @@ LEVELS = """CAST(count(*) AS BIGINT) AS flows, CAST(count_if(level = 'RED') AS B
 @query("j2_summary_totals", f"""WITH {SCORED}, {REPORTED} SELECT report, {LEVELS} FROM reported WHERE kind IN (0, 1) GROUP BY report
     UNION ALL SELECT report, count(*), NULL, NULL, NULL FROM reported WHERE kind = 2 GROUP BY report""")
 def _(spark, d):
-    summaries = reports.read_summaries(spark, report_folder(spark, d))
-    return summaries.select("report", *reports.summary_totals("text"))
+    facts = reports.summary_facts(reports.read_summaries(spark, report_folder(spark, d)))
+    return facts.select("report", *reports.TOTAL_LABELS)
 
 
 def fraction(q):
@@ -150,7 +150,7 @@ def _(spark, d):
     CASE WHEN kind = 1 THEN NULL ELSE CAST(count_if(level = 'YELLOW') AS BIGINT) END AS minute_suspicious,
     CASE WHEN kind = 1 THEN NULL ELSE CAST(count_if(level = 'GREEN') AS BIGINT) END AS minute_clean FROM reported WHERE kind < 3 GROUP BY report, kind""")
 def _(spark, d):
-    return reports.read_summaries(spark, report_folder(spark, d)).select("report", *reports.minute_sums("text"))
+    return reports.summary_facts(reports.read_summaries(spark, report_folder(spark, d))).select("report", *reports.MINUTE_LABELS)
 
 
 INDEX_SQL = f"""SELECT report AS name, CASE kind WHEN 0 THEN 'simul' WHEN 1 THEN 'batch' WHEN 2 THEN 'simul' ELSE 'live' END AS type,
@@ -163,7 +163,7 @@ INDEX_SQL = f"""SELECT report AS name, CASE kind WHEN 0 THEN 'simul' WHEN 1 THEN
 
 @query("j7_report_index", f"WITH {SCORED}, {REPORTED} {INDEX_SQL}")
 def _(spark, d):
-    return reports.report_index(spark, report_folder(spark, d)).drop("size", "preview")
+    return reports.report_index(spark, report_folder(spark, d)).drop("size")
 
 
 @query("j7_report_page", f"""WITH {SCORED}, {REPORTED}, listed AS ({INDEX_SQL}) SELECT name, type, flows, threats FROM listed WHERE type = 'simul' ORDER BY name DESC LIMIT 5 OFFSET 2""")
@@ -182,7 +182,8 @@ def _(spark, d):
     CASE WHEN kind IN (0, 2) THEN round(count_if(c1 = actual) * 100.0 / count(*), 2) END AS accuracy_pct,
     CASE WHEN kind IN (0, 2) THEN CAST(count_if(c1 = actual) AS BIGINT) END AS accuracy_correct FROM reported WHERE kind < 3 GROUP BY report, kind""")
 def _(spark, d):
-    return reports.read_summaries(spark, report_folder(spark, d)).select("report", *reports.session_facts("text"))
+    facts = reports.summary_facts(reports.read_summaries(spark, report_folder(spark, d)))
+    return facts.select("report", "duration", "accuracy_pct", "accuracy_correct")
 
 
 def day(c="ts"):
@@ -193,6 +194,13 @@ def commas(c):
     return F.format_number(c, 0)
 
 
+def stored(spark, texts, file):
+    """Texts written as one file of each report, and read back."""
+    path = scratch_path(spark, "stage-reports")
+    reports.write_texts(texts.withColumn("file", F.lit(file)), path)
+    return reports.read_texts(spark, path, file)
+
+
 @query("j9_exploration_metrics", f"""WITH {FLOWS}, c AS (SELECT strftime(ts, '%Y-%m-%d') AS report, "Label" AS l, count(*) AS n FROM flows GROUP BY 1, 2)
     SELECT report, format('{{:,}}', CAST(sum(n) AS BIGINT)) AS total_rows, '11' AS total_columns, CAST(count(*) AS VARCHAR) AS original_classes,
     CAST(count(*) - 1 AS VARCHAR) AS consolidated_classes, printf('%.3f', round(1 - sum(CAST(n AS DOUBLE) * n) / (sum(n) * CAST(sum(n) AS DOUBLE)), 3)) AS gini_coefficient,
@@ -206,7 +214,8 @@ def _(spark, d):
         F.format_string("   Total Classes: %d", "c"), F.lit("   Imbalance Severity: LOW"), F.format_string("   Gini Coefficient: %.3f", F.round("g", 3)),
         F.format_string("   AFTER Consolidation\n     Classes: %d\n     Gini Coefficient: 0.1", F.col("c") - 1),
     )
-    return reports.stage_metrics(rows.select("report", text.alias("text")), "exploration")
+    texts = rows.select("report", text.alias("text"))
+    return reports.stage_metrics(stored(spark, texts, "exploration_results.txt"), "exploration")
 
 
 @query("j9_preprocessing_metrics", """WITH c AS (SELECT strftime(ts, '%Y-%m-%d') AS report, count(*) AS n, count_if(event_type = 'error') AS gone FROM events GROUP BY 1)
@@ -225,7 +234,8 @@ def _(spark, d):
         F.concat(F.lit("Test set:  "), commas(n * 200), F.lit(" samples")), F.concat(F.lit("Synthetic samples: "), commas(gone)),
         F.concat(F.lit("Samples after: "), commas(n * 800)), F.lit("Features selected: 40"),
     )
-    return reports.stage_metrics(e.select("report", text.alias("text")), "preprocessing")
+    texts = e.select("report", text.alias("text"))
+    return reports.stage_metrics(stored(spark, texts, "preprocessing_results.txt"), "preprocessing")
 
 
 @query("j9_training_metrics", """SELECT strftime(ts, '%Y-%m-%d') AS report, printf('%.4f', round(avg(value) / 1000, 4)) AS cv_f1_score, printf('%.1f minutes', round(max(value), 1)) AS tuning_time,
@@ -243,7 +253,8 @@ def _(spark, d):
         F.concat(F.lit("  Rank | Feature | Importance |\n  1  | Dst Port   |  "), f1, F.lit("  | 10%\n  2  | Other   |  0.1  | 20%")),
         F.lit("Top 10 features: 56.20% of total importance"),
     )
-    return reports.stage_metrics(e.select("report", text.alias("text")), "training")
+    texts = e.select("report", text.alias("text"))
+    return reports.stage_metrics(stored(spark, texts, "training_results.txt"), "training")
 
 
 def testing_texts(spark, d):
@@ -275,14 +286,14 @@ def testing_texts(spark, d):
     format('{{:,}}', count(*)) || ' samples/second' AS inference_speed, printf('%.4f', round(avg(q1), 4)) AS mean_confidence, printf('%.4f', round(avg(q1), 4)) AS binary_accuracy,
     '0.9998' AS binary_precision, '0.9992' AS binary_recall, '1.0000' AS binary_specificity, '1.0000' AS binary_auc, '0.9995' AS binary_f1 FROM scored GROUP BY 1""")
 def _(spark, d):
-    return reports.stage_metrics(testing_texts(spark, d), "testing")
+    return reports.stage_metrics(stored(spark, testing_texts(spark, d), "testing_results.txt"), "testing")
 
 
 @query("j9_testing_classes", f"""WITH {SCORED}, c AS (SELECT strftime(ts, '%Y-%m-%d') AS report, c1 AS class, count(*) AS n,
       printf('%.4f', round(avg(CAST(c1 = actual AS INT)), 4)) AS p FROM scored GROUP BY 1, 2)
     SELECT report, class, p AS precision, p AS recall, p AS f1, '1.0000' AS auc, format('{{:,}}', n) AS support FROM c""")
 def _(spark, d):
-    return reports.testing_classes(testing_texts(spark, d))
+    return reports.testing_classes(stored(spark, testing_texts(spark, d), "testing_results.txt"))
 
 
 @query("j10_metric_lines", """WITH c AS (SELECT strftime(ts, '%Y-%m-%d') AS report, count(*) AS n FROM events GROUP BY 1)
@@ -290,4 +301,4 @@ def _(spark, d):
 def _(spark, d):
     e = table(spark, d, "events").groupBy(day().alias("report")).agg(F.count(F.lit(1)).alias("n"))
     text = F.format_string("head\n  total_flows = %d\nunknown=1\n accuracy=a=b\n", "n")
-    return reports.metric_lines(e.select("report", text.alias("text")))
+    return reports.metric_lines(stored(spark, e.select("report", text.alias("text")), "metrics.txt"))

@@ -82,7 +82,7 @@ def test_index_with_all_fallbacks(spark, folder):
     assert (l.flows, l.threats, l.suspicious, l.clean) == (2, 1, None, None)
     assert (t.model, t.date, t.date_iso, t.flows) == ("default", "20240101_120000", "20240101T120000", None)
     assert (s.date, s.date_iso) == ("2024-03-05", "2024-03-05T17:23:17")
-    assert s.size == len(SUMMARY) and s.preview == SUMMARY[:200]
+    assert s.size == len(SUMMARY)
 
 
 def test_table_rows(spark, folder):
@@ -103,17 +103,17 @@ def test_breakdown_and_its_fallback(spark, folder):
 
 
 def test_session_facts(spark, folder):
-    rows = {r.report[:5]: r for r in reports.read_summaries(spark, folder).select("report", *reports.session_facts("text")).collect()}
+    rows = {r.report[:5]: r for r in reports.summary_facts(reports.read_summaries(spark, folder)).collect()}
     assert rows["simul"].duration == "95s" and rows["simul"].accuracy_pct is None
     assert (rows["batch"].accuracy_pct, rows["batch"].accuracy_correct) == (85.0, 34)
 
 
 def test_empty_text_has_no_values(spark):
     df = spark.createDataFrame([("r", ""), ("n", None)], "report string, text string")
-    for r in df.select("report", *reports.summary_totals("text"), *reports.minute_sums("text"), *reports.session_facts("text")).collect():
-        assert all(v is None for v in list(r)[1:])
+    facts = reports.summary_facts(df).collect()
+    assert len(facts) == 2 and all(v is None for r in facts for v in list(r)[1:])
     assert reports.breakdown_lines(df).count() == 0 and reports.class_lines(df).count() == 0
-    for stage in reports.STAGE_PATTERNS:
+    for stage in reports.STAGE_FIELDS:
         assert all(v is None for r in reports.stage_metrics(df, stage).collect() for v in list(r)[1:])
 
 
