@@ -47,8 +47,8 @@ def confidence_summary(df: DataFrame, confidence: str = "confidence") -> DataFra
 
 
 def confusion_counts(df: DataFrame, actual: str, predicted: str) -> DataFrame:
-    """The only pass over the rows; everything below reads these few counts."""
-    return df.groupBy(F.col(actual).alias("actual"), F.col(predicted).alias("predicted")).agg(all_rows().alias("n"))
+    """The only pass over the rows; everything below reads these few counts. Rows without a label are left out."""
+    return df.filter(F.col(actual).isNotNull()).groupBy(F.col(actual).alias("actual"), F.col(predicted).alias("predicted")).agg(all_rows().alias("n"))
 
 
 def confusion_matrix(counts: DataFrame, classes: Sequence[str]) -> DataFrame:
@@ -120,26 +120,26 @@ def label_union(df: DataFrame, actual: str, predicted: str) -> DataFrame:
 
 
 def class_scores(df: DataFrame, actual: str, classes: Sequence[str], probabilities: str = "probabilities") -> DataFrame:
-    """One-vs-rest form: (class, score, positive) with a row for each class of each flow."""
+    """One-vs-rest form: (class, score, positive) with a row for each class of each labelled flow."""
     entries = [
         F.struct(
             F.lit(c).alias("class"),
             F.get(F.col(probabilities), F.lit(i)).alias("score"),
-            F.coalesce(F.col(actual) == c, F.lit(False)).alias("positive"),
+            (F.col(actual) == c).alias("positive"),
         )
         for i, c in enumerate(classes)
     ]
-    return df.select(F.inline(F.array(*entries)))
+    return df.filter(F.col(actual).isNotNull()).select(F.inline(F.array(*entries)))
 
 
 def attack_scores(df: DataFrame, actual: str, probabilities: str = "probabilities", benign: str = BENIGN) -> DataFrame:
-    """Binary form: the score of the class ``attack`` is 1 minus the first probability."""
+    """Binary form of the labelled flows: the score of the class ``attack`` is 1 minus the first probability."""
     entry = F.struct(
         F.lit("attack").alias("class"),
         attack_score(probabilities).alias("score"),
-        F.coalesce(F.col(actual) != benign, F.lit(False)).alias("positive"),
+        (F.col(actual) != benign).alias("positive"),
     )
-    return df.select(F.inline(F.array(entry)))
+    return df.filter(F.col(actual).isNotNull()).select(F.inline(F.array(entry)))
 
 
 def roc_points(scores: DataFrame, block_rows: int = BLOCK_ROWS) -> DataFrame:

@@ -206,9 +206,10 @@ def _entries(placed: DataFrame, key: list[str], segment: list[str], width: int,
 def flow_features(marked: DataFrame, key: list[str], ts: str, value: str) -> DataFrame:
     """One row for each flow: duration, packets, and statistics of a value and of the gaps.
 
-    The same columns, from the same sums, as the streaming form.
+    The same columns, from the same sums, as the streaming form. Values that are NULL or NaN are left out.
     """
-    v, gap = F.col(value), F.col("iat")
+    v, gap = F.col(value).cast("double"), F.col("iat")
+    v = F.when(~F.isnan(v), v)
     return marked.groupBy(*key, "flow_start").agg(
         F.max(ts).alias("flow_end"),
         all_rows().alias("packets"),

@@ -133,7 +133,7 @@ def summary_texts(
     of_class = W.partitionBy(report)
     share = percent(F.col("predicted"), F.sum("predicted").over(of_class))
     rows = precision.select(
-        report, "class", "predicted", "correct",
+        report, "class", "predicted", "correct", "labelled",
         F.format_string("    %-20s: %6.2f%% (%d/%d)  |  Predicted: %6d", "class", F.round("precision_pct", 2), "correct", "labelled", "predicted").alias("hit_line"),
         F.format_string("    %-20s: %6d (%5.1f%%)", "class", "predicted", F.round(share, 1)).alias("share_line"),
     )
@@ -143,6 +143,7 @@ def summary_texts(
             F.transform(F.array_sort(F.collect_list(F.struct((-F.col("predicted")).alias("o"), "class", "share_line"))), lambda r: r["share_line"]), "\n"
         ).alias("share_lines"),
         F.sum("correct").alias("hits"),
+        F.sum("labelled").alias("labelled"),
     )
     joined = blocks.join(per_class, report)
     if seconds:
@@ -159,8 +160,8 @@ def summary_texts(
         for name, c in (("Threats Detected:", "threats"), ("Suspicious Flows:", "suspicious"), ("Clean Flows:", "clean")):
             parts.append(F.format_string(f"  {name:24s}%d", F.col(c)))
     if labelled:
-        accuracy = F.round(percent(F.col("hits"), F.col("total")), 2)
-        parts.append(F.format_string("\n  Accuracy:               %.2f%% (%d/%d)\n", accuracy, F.col("hits"), F.col("total")))
+        accuracy = F.round(percent(F.col("hits"), F.col("labelled")), 2)
+        parts.append(F.format_string("\n  Accuracy:               %.2f%% (%d/%d)\n", accuracy, F.col("hits"), F.col("labelled")))
         parts += [F.lit("  Per-Class Precision (of predicted, how many correct):"), F.col("hit_lines")]
     parts += [F.lit("\n  Classification Breakdown:"), F.col("share_lines"), F.lit("\n" + wide)]
     return joined.select(report, F.concat_ws("\n", *parts).alias("text"))
@@ -381,10 +382,11 @@ def class_lines(summaries: DataFrame, text: str = "text") -> DataFrame:
     halves = F.split("rest", r"\|")
     tail = F.trim(F.get(halves, F.lit(1)))
     rows = entries(summaries, text=text).filter((F.size(halves) == 2) & tail.startswith("Predicted:"))
-    correct = F.substring_index(_brackets(F.get(halves, F.lit(0))), "/", 1).try_cast("long")
+    counts = F.split(_brackets(F.get(halves, F.lit(0))), "/")
+    correct, labelled = (F.get(counts, F.lit(i)).try_cast("long") for i in (0, 1))
     predicted = _number(F.trim(F.substring_index(tail, ":", -1)))
-    rows = rows.select("report", F.col("label").alias("class"), correct.alias("correct"), predicted.alias("predicted"))
-    return rows.filter("correct IS NOT NULL AND predicted IS NOT NULL").withColumn("wrong", F.col("predicted") - F.col("correct"))
+    rows = rows.select("report", F.col("label").alias("class"), correct.alias("correct"), predicted.alias("predicted"), (labelled - correct).alias("wrong"))
+    return rows.filter("wrong IS NOT NULL AND predicted IS NOT NULL")
 
 
 def threats_from_classes(classes: DataFrame) -> DataFrame:
@@ -432,7 +434,7 @@ def parse_table_rows(lines: DataFrame) -> DataFrame:
         return F.round(F.trim(F.replace(cell(i), F.lit("%"), F.lit(""))).try_cast("double") / 100, 6)
 
     names = ("timestamp", "src_ip", "src_port", "dst_ip", "dst_port", "protocol", "class1", "conf1", "class2", "conf2", "class3", "conf3")
-    label = F.when(~cell(12).isin("", "-"), cell(12))
+    label = F.when(~cell(12).isin("", "-", "?"), cell(12))
     return rows.select(
         "report", "file",
         *[(confidence(i) if n.startswith("conf") else cell(i)).alias(n) for i, n in enumerate(names)],

@@ -78,7 +78,7 @@ def minute_rollup(
     predicted: str = "predicted_class",
     actual: str | None = None,
 ) -> DataFrame:
-    """Flows, levels, class counts and accuracy of each minute (and session).
+    """Flows, levels, class counts and accuracy, over labelled flows, of each minute (and session).
 
     Rows are counted by (minute, class) first, so a busy minute is combined map-side and the class map
     is built from a handful of counts.
@@ -94,6 +94,7 @@ def minute_rollup(
         *[F.sum(c).alias(c) for c in ("total", "threats", "suspicious", "clean")],
         F.map_from_entries(F.sort_array(F.collect_list(F.struct("class", "total")))).alias("by_class"),
         F.sum("correct").alias("correct"),
+        F.sum("labelled").alias("labelled"),
         percent(F.sum("correct"), F.sum("labelled")).alias("accuracy_pct"),
     )
 
@@ -101,8 +102,8 @@ def minute_rollup(
 def session_summary(minutes: DataFrame, session: str) -> DataFrame:
     """Minute rows, one total for each session and one grand total, from a minute rollup."""
     return minutes.rollup(session, "minute").agg(
-        *[F.sum(c).alias(c) for c in ("total", "threats", "suspicious", "clean", "correct")],
-        percent(F.sum("correct"), F.sum("total")).alias("accuracy_pct"),
+        *[F.sum(c).alias(c) for c in ("total", "threats", "suspicious", "clean", "correct", "labelled")],
+        percent(F.sum("correct"), F.sum("labelled")).alias("accuracy_pct"),
         F.grouping_id().alias("level"),
     )
 

@@ -66,8 +66,8 @@ def flatten_top2(df: DataFrame, top: str = "top3") -> DataFrame:
 
 
 def attack_label(index: str) -> Column:
-    """1 for every class but the first."""
-    return F.when(F.col(index) != 0, 1).otherwise(0)
+    """1 for every class but the first; NULL without a label."""
+    return (F.col(index) != 0).cast("int")
 
 
 def attack_score(probabilities: str = "probabilities") -> Column:

@@ -94,7 +94,7 @@ labelled AS (
   SELECT event_id, ts, user_id,
     CASE event_type WHEN 'view' THEN 'Benign' WHEN 'click' THEN 'Benign'
                     WHEN 'signup' THEN 'DDoS' WHEN 'purchase' THEN 'DoS' END AS actual
-  FROM events WHERE event_type <> 'error'),
+  FROM events),
 weighed AS (
   SELECT event_id, ts, user_id, actual,
     (event_id*31 + user_id*7) % 1000 + 200 + CASE WHEN actual = 'Benign' AND event_id % 10 < 7 THEN 900 ELSE 0 END AS w0,
@@ -123,7 +123,10 @@ scored AS (
 
 
 def probabilities(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """event_id, ts, user_id, actual_label and an array of five class probabilities from integer weights."""
+    """event_id, ts, user_id, actual_label and an array of five class probabilities from integer weights.
+
+    Error events are flows without a label: scored like the others, counted where no label is needed.
+    """
     return weigh(table(spark, sf_dir, "events"))
 
 
@@ -147,7 +150,7 @@ def weigh(events: DataFrame) -> DataFrame:
         weight(43, 17, 600, 1, "DDoS"),
         weight(47, 19, 600, 1, "DoS"),
     )
-    rows = events.filter(kind != "error").select("event_id", "ts", "user_id", actual.alias("actual_label"))
+    rows = events.select("event_id", "ts", "user_id", actual.alias("actual_label"))
     total = F.aggregate("w", F.lit(0).cast("long"), lambda a, x: a + x)
     return (
         rows.withColumn("w", weights)

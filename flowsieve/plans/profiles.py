@@ -289,7 +289,7 @@ def _(spark, d):
     return rounded(evaluate.confidence_summary(scored(spark, d)))
 
 
-CM = "cm AS (SELECT actual, c1 AS predicted, count(*) AS n FROM scored GROUP BY 1, 2)"
+CM = "cm AS (SELECT actual, c1 AS predicted, count(*) AS n FROM scored WHERE actual IS NOT NULL GROUP BY 1, 2)"
 NAMES = "names AS (SELECT unnest(['Benign', 'Botnet', 'Brute Force', 'DDoS', 'DoS']) AS class)"
 
 
@@ -339,7 +339,7 @@ def _(spark, d):
     return rounded(evaluate.meets_target(evaluate.overall_metrics(evaluate.class_metrics(confusion(spark, d)))))
 
 
-ROC = """sides AS (SELECT long.class, p AS score, labelled.actual = long.class AS positive FROM long JOIN labelled USING (event_id)),
+ROC = """sides AS (SELECT long.class, p AS score, labelled.actual = long.class AS positive FROM long JOIN labelled USING (event_id) WHERE labelled.actual IS NOT NULL),
     counts AS (SELECT class, score, count_if(positive) AS pos, count_if(NOT positive) AS neg FROM sides GROUP BY 1, 2),
     points AS (SELECT *, sum(pos) OVER w AS tps, sum(neg) OVER w AS fps, sum(pos) OVER (PARTITION BY class) AS np,
       sum(neg) OVER (PARTITION BY class) AS nn FROM counts WINDOW w AS (PARTITION BY class ORDER BY score DESC))"""
@@ -374,7 +374,7 @@ def _(spark, d):
 
 
 @query("d22_binary_threshold", f"""WITH {SCORED}, counts AS (SELECT 1.0::DOUBLE - p AS score, count_if(actual <> 'Benign') AS pos, count_if(actual = 'Benign') AS neg
-      FROM long JOIN labelled USING (event_id) WHERE idx = 0 GROUP BY 1),
+      FROM long JOIN labelled USING (event_id) WHERE idx = 0 AND labelled.actual IS NOT NULL GROUP BY 1),
     points AS (SELECT *, sum(pos) OVER w / CAST(sum(pos) OVER () AS DOUBLE) AS tpr, sum(neg) OVER w / CAST(sum(neg) OVER () AS DOUBLE) AS fpr,
       sum(pos) OVER w AS tps, sum(pos) OVER () AS np, sum(neg) OVER () AS nn FROM counts WINDOW w AS (ORDER BY score DESC)),
     best AS (SELECT * FROM points ORDER BY round(tpr - fpr, 12) DESC, score DESC LIMIT 1)
@@ -396,7 +396,7 @@ def _(spark, d):
 
 @query("d23_error_summary", f"""WITH {SCORED} SELECT count(*) AS total, CAST(count_if(actual <> c1) AS BIGINT) AS errors,
     CAST(count_if(actual <> c1 AND c1 = 'Benign') AS BIGINT) AS missed_attacks, CAST(count_if(actual <> c1 AND actual = 'Benign') AS BIGINT) AS false_alarms,
-    round(count_if(actual <> c1) / CAST(count(*) AS DOUBLE), 6) AS error_rate FROM scored""")
+    round(count_if(actual <> c1) / CAST(count(*) AS DOUBLE), 6) AS error_rate FROM scored WHERE actual IS NOT NULL""")
 def _(spark, d):
     return rounded(evaluate.error_summary(confusion(spark, d)))
 
@@ -423,16 +423,16 @@ def _(spark, d):
     return rollup.threat_totals(scored(spark, d))
 
 
-PRECISION = """precisions AS (SELECT c1 AS class, count(*) AS predicted, count(actual) AS labelled, count_if(c1 = actual) AS correct FROM scored GROUP BY 1)"""
+PRECISION = """precisions AS (SELECT c1 AS class, count(*) AS predicted, count(actual) AS labelled, coalesce(count_if(c1 = actual), 0) AS correct FROM scored GROUP BY 1)"""
 
 
 @query("d26_class_precision", f"""WITH {SCORED}, {PRECISION} SELECT class, predicted, labelled, CAST(correct AS BIGINT) AS correct,
-    round(correct * 100.0 / labelled, 6) AS precision_pct FROM precisions""")
+    CASE WHEN labelled = 0 THEN 0 ELSE round(correct * 100.0 / labelled, 6) END AS precision_pct FROM precisions""")
 def _(spark, d):
     return rounded(rollup.class_precision(scored(spark, d)))
 
 
-@query("d26_batch_accuracy", f"""WITH {SCORED} SELECT count(*) AS total, CAST(count_if(c1 = actual) AS BIGINT) AS correct,
+@query("d26_batch_accuracy", f"""WITH {SCORED} SELECT count(*) AS total, CAST(coalesce(count_if(c1 = actual), 0) AS BIGINT) AS correct,
     round(count_if(c1 = actual) * 100.0 / count(*), 6) AS accuracy_pct FROM scored""")
 def _(spark, d):
     return rounded(rollup.batch_accuracy(scored(spark, d)))
@@ -456,7 +456,7 @@ def _(spark, d):
 
 MINUTES = f"""minutes AS (SELECT strftime(ts, '%Y-%m-%d') AS session, strftime(ts, '%Y-%m-%d %H:%M') AS minute, {LEVELS},
     count_if(c1 = 'Benign') AS benign, count_if(c1 = 'DDoS') AS ddos, count_if(c1 = 'DoS') AS dos,
-    CAST(count_if(c1 = actual) AS BIGINT) AS correct FROM scored GROUP BY 1, 2)"""
+    CAST(coalesce(count_if(c1 = actual), 0) AS BIGINT) AS correct, count(actual) AS labelled FROM scored GROUP BY 1, 2)"""
 
 
 def minutes(spark, d):
@@ -467,7 +467,7 @@ def minutes(spark, d):
 
 
 @query("d29_minute_rollup", f"""WITH {SCORED}, {MINUTES} SELECT session, minute, total, threats, suspicious, clean, CAST(benign AS BIGINT) AS benign,
-    CAST(ddos AS BIGINT) AS ddos, CAST(dos AS BIGINT) AS dos, correct, round(correct * 100.0 / total, 6) AS accuracy_pct FROM minutes""")
+    CAST(ddos AS BIGINT) AS ddos, CAST(dos AS BIGINT) AS dos, correct, labelled, CASE WHEN labelled = 0 THEN 0 ELSE round(correct * 100.0 / labelled, 6) END AS accuracy_pct FROM minutes""")
 def _(spark, d):
     def of(c):
         return F.coalesce(F.try_element_at("by_class", F.lit(c)), F.lit(0).cast("long")).alias(c.lower())
@@ -477,7 +477,7 @@ def _(spark, d):
 
 @query("d30_session_summary", f"""WITH {SCORED}, {MINUTES} SELECT session, minute, CAST(sum(total) AS BIGINT) AS total, CAST(sum(threats) AS BIGINT) AS threats,
     CAST(sum(suspicious) AS BIGINT) AS suspicious, CAST(sum(clean) AS BIGINT) AS clean, CAST(sum(correct) AS BIGINT) AS correct,
-    round(sum(correct) * 100.0 / sum(total), 6) AS accuracy_pct, CAST(grouping(session, minute) AS BIGINT) AS level
+    CAST(sum(labelled) AS BIGINT) AS labelled, CASE WHEN sum(labelled) = 0 THEN 0 ELSE round(sum(correct) * 100.0 / sum(labelled), 6) END AS accuracy_pct, CAST(grouping(session, minute) AS BIGINT) AS level
     FROM minutes GROUP BY ROLLUP (session, minute)""")
 def _(spark, d):
     return rounded(rollup.session_summary(minutes(spark, d), "session"))

@@ -216,11 +216,11 @@ def _(spark, d):
 TOP_SQL = """event_id, c1, round(q1, 6) AS q1, c2, round(q2, 6) AS q2, c3, round(q3, 6) AS q3"""
 
 
-def flat_top(df, top="top3"):
+def flat_top(df, top="top3", *more):
     cols = []
     for n in (1, 2, 3):
         cols += [threat.nth_class(F.col(top), n).alias(f"c{n}"), threat.nth_conf(F.col(top), n).alias(f"q{n}")]
-    return rounded(df.select("event_id", *cols))
+    return rounded(df.select("event_id", *cols, *more))
 
 
 @query("c8_top_classes", f"WITH {SCORED} SELECT {TOP_SQL} FROM scored")
@@ -236,9 +236,8 @@ def _(spark, d):
     rows = scored(spark, d).withColumn(
         "top3", F.slice("top3", F.lit(1), F.when(F.col("event_id") % 2 == 0, 2).otherwise(1))
     )
-    flat = score.flatten_top2(rows).select("event_id", "top2_prediction", "top2_confidence")
-    padded = flat_top(rows.withColumn("padded", threat.pad_top(F.col("top3"))), "padded")
-    return padded.join(rounded(flat), "event_id")
+    padded = score.flatten_top2(rows).withColumn("padded", threat.pad_top(F.col("top3")))
+    return flat_top(padded, "padded", "top2_prediction", "top2_confidence")
 
 
 @query("c10_threat_level", f"WITH {SCORED} SELECT event_id, level AS threat_level FROM scored")
@@ -268,7 +267,7 @@ def _(spark, d):
     || ' | ' || rpad(c1, 14, ' ') || ' | ' || rpad(printf('%.1f%%', round(q1*100, 1)), 8, ' ')
     || ' | ' || rpad(c2, 14, ' ') || ' | ' || rpad(printf('%.1f%%', round(q2*100, 1)), 8, ' ')
     || ' | ' || rpad(c3, 14, ' ') || ' | ' || rpad(printf('%.1f%%', round(q3*100, 1)), 8, ' ')
-    || ' | ' || rpad(actual, 14, ' ') AS line FROM scored""")
+    || ' | ' || rpad(coalesce(actual, '?'), 14, ' ') AS line FROM scored""")
 def _(spark, d):
     rows = scored(spark, d).withColumn("Src IP", F.concat(F.lit("10.0.0."), F.col("user_id").cast("string")))
     return rows.select("event_id", reports.report_row(rows, "ts", "actual_label").alias("line"))

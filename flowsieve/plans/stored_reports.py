@@ -7,6 +7,7 @@ from functools import lru_cache
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
+from flowsieve.functions.values import percent
 from flowsieve.operators import lookups, reports, rollup
 from flowsieve.plans.fixtures import FLOWS, SCORED, flows, scored
 from flowsieve.plans.registry import query, rounded, table
@@ -68,7 +69,7 @@ def _written(app: str, d: str) -> str:
         precision = part.groupBy("report", F.col("predicted_class").alias("class")).agg(
             F.count(F.lit(1)).alias("predicted"), F.count("actual_label").alias("labelled"),
             F.count_if(F.col("predicted_class") == F.col("actual_label")).alias("correct"),
-        ).withColumn("precision_pct", F.col("correct") * 100.0 / F.col("labelled"))
+        ).withColumn("precision_pct", percent(F.col("correct"), F.col("labelled")))
         texts = reports.summary_texts(minutes.join(spans, "report"), precision, seconds="seconds", **style)
         named = texts.withColumn("file", F.lit(file))
         summaries = named if summaries is None else summaries.unionByName(named)
@@ -132,7 +133,7 @@ def _(spark, d):
     return reports.counts_from_rows(reports.parse_table_rows(reports.read_lines(spark, report_folder(spark, d))))
 
 
-CLASSES_SQL = """SELECT report, c1 AS class, CAST(count_if(c1 = actual) AS BIGINT) AS correct, count(*) AS predicted, CAST(count_if(c1 <> actual) AS BIGINT) AS wrong
+CLASSES_SQL = """SELECT report, c1 AS class, CAST(coalesce(count_if(c1 = actual), 0) AS BIGINT) AS correct, count(*) AS predicted, CAST(coalesce(count_if(c1 <> actual), 0) AS BIGINT) AS wrong
     FROM reported WHERE kind IN (0, 2) GROUP BY 1, 2"""
 
 
@@ -156,7 +157,7 @@ def _(spark, d):
 INDEX_SQL = f"""SELECT report AS name, CASE kind WHEN 0 THEN 'simul' WHEN 1 THEN 'batch' WHEN 2 THEN 'simul' ELSE 'live' END AS type,
     CASE kind WHEN 0 THEN 'default' WHEN 3 THEN 'default' ELSE 'all' END AS model, strftime(min(ts), '%Y-%m-%d') AS date,
     strftime(min(ts), '%Y-%m-%dT') || CASE kind WHEN 0 THEN '00:00:00' WHEN 1 THEN '10:20:30' WHEN 2 THEN '01:02:03' ELSE '05:06:07' END AS date_iso,
-    kind IN (0, 2) AS is_labeled, CASE WHEN kind IN (0, 2) THEN printf('%.2f', round(count_if(c1 = actual) * 100.0 / count(*), 2)) END AS accuracy,
+    kind IN (0, 2) AS is_labeled, CASE WHEN kind IN (0, 2) THEN printf('%.2f', round(count_if(c1 = actual) * 100.0 / count(actual), 2)) END AS accuracy,
     count(*) AS flows, CAST(count_if(level = 'RED') AS BIGINT) AS threats, CASE WHEN kind = 3 THEN NULL ELSE CAST(count_if(level = 'YELLOW') AS BIGINT) END AS suspicious,
     CASE WHEN kind = 3 THEN NULL ELSE CAST(count_if(level = 'GREEN') AS BIGINT) END AS clean FROM reported GROUP BY report, kind"""
 
@@ -179,8 +180,8 @@ def _(spark, d):
 
 
 @query("j8_session_facts", f"""WITH {SCORED}, {REPORTED} SELECT report, CAST(CAST(floor(epoch(max(ts))) AS BIGINT) - CAST(floor(epoch(min(ts))) AS BIGINT) AS VARCHAR) || 's' AS duration,
-    CASE WHEN kind IN (0, 2) THEN round(count_if(c1 = actual) * 100.0 / count(*), 2) END AS accuracy_pct,
-    CASE WHEN kind IN (0, 2) THEN CAST(count_if(c1 = actual) AS BIGINT) END AS accuracy_correct FROM reported WHERE kind < 3 GROUP BY report, kind""")
+    CASE WHEN kind IN (0, 2) THEN round(count_if(c1 = actual) * 100.0 / count(actual), 2) END AS accuracy_pct,
+    CASE WHEN kind IN (0, 2) THEN CAST(coalesce(count_if(c1 = actual), 0) AS BIGINT) END AS accuracy_correct FROM reported WHERE kind < 3 GROUP BY report, kind""")
 def _(spark, d):
     facts = reports.summary_facts(reports.read_summaries(spark, report_folder(spark, d)))
     return facts.select("report", "duration", "accuracy_pct", "accuracy_correct")
@@ -261,7 +262,7 @@ def testing_texts(spark, d):
     """A testing report for each day, with the five classes of the scored flows."""
     s = scored(spark, d).select(day().alias("report"), "predicted_class", "actual_label", "confidence")
     per_class = s.groupBy("report", F.col("predicted_class").alias("class")).agg(
-        F.count(F.lit(1)).alias("n"), F.round(F.avg((F.col("predicted_class") == F.col("actual_label")).cast("int")), 4).alias("p")
+        F.count(F.lit(1)).alias("n"), F.coalesce(F.round(F.avg((F.col("predicted_class") == F.col("actual_label")).cast("int")), 4), F.lit(0.0)).alias("p")
     )
     line = F.format_string("%-20s %.4f     %.4f     %.4f     1.0000     ", "class", "p", "p", "p")
     rows = per_class.groupBy("report").agg(
@@ -290,7 +291,7 @@ def _(spark, d):
 
 
 @query("j9_testing_classes", f"""WITH {SCORED}, c AS (SELECT strftime(ts, '%Y-%m-%d') AS report, c1 AS class, count(*) AS n,
-      printf('%.4f', round(avg(CAST(c1 = actual AS INT)), 4)) AS p FROM scored GROUP BY 1, 2)
+      printf('%.4f', coalesce(round(avg(CAST(c1 = actual AS INT)), 4), 0)) AS p FROM scored GROUP BY 1, 2)
     SELECT report, class, p AS precision, p AS recall, p AS f1, '1.0000' AS auc, format('{{:,}}', n) AS support FROM c""")
 def _(spark, d):
     return reports.testing_classes(stored(spark, testing_texts(spark, d), "testing_results.txt"))

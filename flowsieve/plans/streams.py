@@ -17,15 +17,24 @@ from flowsieve.streaming.assembly import assemble_stream, finish_flows, open_flo
 from flowsieve.streaming.detection import alerts, class_totals, level_totals, minute_totals
 from flowsieve.streaming.runs import drain, latest, progress_table, run_to_end, run_versions, start_live
 
-CHAIN = """packets AS (SELECT user_id, ts, value, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS rn FROM events),
-    chain AS (SELECT user_id, rn, ts, value, ts AS flow_start FROM packets WHERE rn = 1
-      UNION ALL SELECT p.user_id, p.rn, p.ts, p.value, CASE WHEN p.ts - c.ts >= INTERVAL 1 HOUR OR p.ts - c.flow_start >= INTERVAL 4 HOUR
-        THEN p.ts ELSE c.flow_start END FROM chain c JOIN packets p ON p.user_id = c.user_id AND p.rn = c.rn + 1),
-    gaps AS (SELECT *, epoch_us(ts) - lag(epoch_us(ts)) OVER (PARTITION BY user_id, flow_start ORDER BY rn) AS iat FROM chain)"""
-FLOW_SQL = f"""WITH RECURSIVE {CHAIN} SELECT user_id, strftime(flow_start, '%Y-%m-%d %H:%M:%S.%f') AS flow_start, strftime(max(ts), '%Y-%m-%d %H:%M:%S.%f') AS flow_end,
+KEY = ["user_id", "side"]
+CHAIN = """packets AS (SELECT user_id, CAST(event_id % 2 AS INT) AS side, ts, CASE WHEN event_id % 97 = 0 OR event_id % 83 = 0 THEN NULL ELSE value END AS value,
+      row_number() OVER (PARTITION BY user_id, event_id % 2 ORDER BY ts, event_id) AS rn FROM events),
+    chain AS (SELECT user_id, side, rn, ts, value, ts AS flow_start FROM packets WHERE rn = 1
+      UNION ALL SELECT p.user_id, p.side, p.rn, p.ts, p.value, CASE WHEN p.ts - c.ts >= INTERVAL 1 HOUR OR p.ts - c.flow_start >= INTERVAL 4 HOUR
+        THEN p.ts ELSE c.flow_start END FROM chain c JOIN packets p ON p.user_id = c.user_id AND p.side = c.side AND p.rn = c.rn + 1),
+    gaps AS (SELECT *, epoch_us(ts) - lag(epoch_us(ts)) OVER (PARTITION BY user_id, side, flow_start ORDER BY rn) AS iat FROM chain)"""
+FLOW_SQL = f"""WITH RECURSIVE {CHAIN} SELECT user_id, side, strftime(flow_start, '%Y-%m-%d %H:%M:%S.%f') AS flow_start, strftime(max(ts), '%Y-%m-%d %H:%M:%S.%f') AS flow_end,
     count(*) AS packets, round(sum(value), 6) AS value_sum, round(avg(value), 6) AS value_mean, round(stddev_samp(value), 6) AS value_std,
     min(value) AS value_min, max(value) AS value_max, round(avg(iat), 3) AS iat_mean, min(iat) AS iat_min, max(iat) AS iat_max,
-    CAST(epoch_us(max(ts)) - epoch_us(flow_start) AS BIGINT) AS duration_us FROM gaps GROUP BY user_id, flow_start"""
+    CAST(epoch_us(max(ts)) - epoch_us(flow_start) AS BIGINT) AS duration_us FROM gaps GROUP BY user_id, side, flow_start"""
+
+
+def packets(events):
+    """Events as packets of two-column keys; some have no value, NULL or NaN."""
+    n = F.col("event_id")
+    value = F.when(n % 97 == 0, F.lit(None)).when(n % 83 == 0, F.lit(float("nan"))).otherwise(F.col("value"))
+    return events.withColumns({"side": (n % 2).cast("int"), "value": value})
 
 
 def flow_rows(df):
@@ -42,7 +51,7 @@ def flow_rows(df):
 
 @query("h3_assemble_flows", FLOW_SQL)
 def _(spark, d):
-    return flow_rows(assemble_flows(table(spark, d, "events"), ["user_id"], "ts", "value", 3600, 4 * 3600))
+    return flow_rows(assemble_flows(packets(table(spark, d, "events")), KEY, "ts", "value", 3600, 4 * 3600))
 
 
 def event_files(spark, d, parts=3):
@@ -66,9 +75,9 @@ def event_stream(spark, d, files_per_trigger=8):
 
 def assembly_run(spark, d):
     schema, path = event_files(spark, d)
-    packets = stream_table(spark, path, schema, files_per_trigger=1)
+    arriving = packets(stream_table(spark, path, schema, files_per_trigger=1))
     with rocksdb_state(spark):
-        return run_to_end(assemble_stream(packets, "user_id", "ts", "value", 3600, 4 * 3600), "assembly")
+        return run_to_end(assemble_stream(arriving, KEY, "ts", "value", 3600, 4 * 3600), "assembly")
 
 
 @query("h1_stream_flow_assembly", FLOW_SQL)
@@ -76,17 +85,17 @@ def _(spark, d):
     """Closed flows of the stream and, as at shutdown, those still open in its state."""
     run = assembly_run(spark, d)
     closed = spark.read.parquet(run.output).drop("closed")
-    return flow_rows(finish_flows(closed.unionByName(open_flows(spark, run.checkpoint, "user_id")), "user_id"))
+    return flow_rows(finish_flows(closed.unionByName(open_flows(spark, run.checkpoint, KEY)), KEY))
 
 
-@query("h2_stream_sweep", f"""WITH RECURSIVE {CHAIN}, flows AS (SELECT user_id, flow_start, max(ts) AS flow_end, count(*) AS packets FROM gaps GROUP BY 1, 2),
-    swept AS (SELECT *, flow_start < max(flow_start) OVER (PARTITION BY user_id) AS followed,
+@query("h2_stream_sweep", f"""WITH RECURSIVE {CHAIN}, flows AS (SELECT user_id, side, flow_start, max(ts) AS flow_end, count(*) AS packets FROM gaps GROUP BY 1, 2, 3),
+    swept AS (SELECT *, flow_start < max(flow_start) OVER (PARTITION BY user_id, side) AS followed,
       least(flow_end + INTERVAL 1 HOUR, flow_start + INTERVAL 4 HOUR) <= max(flow_end) OVER () - INTERVAL 5 SECOND AS expired FROM flows)
-    SELECT user_id, strftime(flow_start, '%Y-%m-%d %H:%M:%S.%f') AS flow_start, packets FROM swept WHERE followed OR expired""")
+    SELECT user_id, side, strftime(flow_start, '%Y-%m-%d %H:%M:%S.%f') AS flow_start, packets FROM swept WHERE followed OR expired""")
 def _(spark, d):
     """What packets and timers have closed when the input ends; open flows stay in the state."""
-    closed = finish_flows(spark.read.parquet(assembly_run(spark, d).output), "user_id")
-    return closed.select("user_id", F.date_format("flow_start", "yyyy-MM-dd HH:mm:ss.SSSSSS").alias("flow_start"), "packets")
+    closed = finish_flows(spark.read.parquet(assembly_run(spark, d).output), KEY)
+    return closed.select(*KEY, F.date_format("flow_start", "yyyy-MM-dd HH:mm:ss.SSSSSS").alias("flow_start"), "packets")
 
 
 def scored_stream(spark, d):
@@ -105,7 +114,7 @@ def _(spark, d):
     schema, path = event_files(spark, d)
     rows = add_ranking(weigh(stream_table(spark, path, schema, files_per_trigger=1)), CLASSES)
     run = run_to_end(rows.select("event_id", "threat_level"), "micro")
-    batches = progress_table(spark, run.query).filter("input_rows > 0").count()
+    batches = progress_table(spark, run).filter("input_rows > 0").count()
     out = spark.read.parquet(run.output).groupBy("threat_level").agg(F.count(F.lit(1)).alias("n"))
     return out.withColumn("batches", F.lit(batches))
 
@@ -173,20 +182,24 @@ def _(spark, d):
     return spark.read.parquet(out.output)
 
 
-@query("h10_dead_letters", """SELECT CASE WHEN event_id % 50 = 11 THEN 'rejected' ELSE 'good' END AS status,
-    CASE WHEN event_id % 50 = 11 THEN 'value: not readable: many' END AS reason, event_id, CASE WHEN event_id % 50 = 11 THEN NULL ELSE CAST(round(value * 100) AS DOUBLE) END AS value
-    FROM events WHERE event_id % 50 NOT IN (7, 9)""")
+@query("h10_dead_letters", """SELECT CASE WHEN event_id % 50 IN (7, 9, 11) THEN 'rejected' ELSE 'good' END AS status,
+    CASE event_id % 50 WHEN 7 THEN 'wrong number of fields' WHEN 9 THEN 'wrong number of fields' WHEN 11 THEN 'value: not readable: many' END AS reason,
+    CASE WHEN event_id % 50 NOT IN (7, 9) THEN event_id END AS event_id, CASE WHEN event_id % 50 NOT IN (7, 9, 11) THEN CAST(round(value * 100) AS DOUBLE) END AS value,
+    CASE event_id % 50 WHEN 7 THEN event_id || ',' || user_id || ',' || event_type WHEN 9 THEN event_id || ',' || user_id || ',' || event_type || ',1.5,surplus' END AS line
+    FROM events""")
 def _(spark, d):
-    rows = replay_csv(spark, line_files(spark, d), LINE_HEADER)
+    """Every input line is a good row or a dead letter."""
+    rows = replay_csv(spark, line_files(spark, d), LINE_HEADER, keep_malformed=True)
     checked = typed_or_rejected(rows.drop("identifiers"), {"event_id": T.LongType(), "value": T.DoubleType()})
-    out = run_to_end(checked, "letters")
-    return spark.read.parquet(out.output).select("status", "reason", "event_id", "value")
+    out = spark.read.parquet(run_to_end(checked, "letters").output)
+    line = F.when(F.col("reason") == "wrong number of fields", F.col("raw"))
+    return out.select("status", "reason", "event_id", "value", line.alias("line"))
 
 
 @query("h11_stream_progress", "SELECT count(*) AS input_rows, CAST(0 AS BIGINT) AS late_rows FROM events")
 def _(spark, d):
     run = run_to_end(scored_stream(spark, d).select("event_id", "threat_level"), "progress")
-    return progress_table(spark, run.query).agg(
+    return progress_table(spark, run).agg(
         F.sum("input_rows").alias("input_rows"), F.sum("late_rows").alias("late_rows")
     )
 

@@ -10,14 +10,20 @@ from flowsieve.operators.clean import nest_identifiers
 from flowsieve.schema import IDENTIFIERS, is_numeric
 
 
-def stream_table(spark: SparkSession, folder: str, schema: T.StructType, pattern: str = "*.parquet", files_per_trigger: int = 1000) -> DataFrame:
-    """Parquet files of a folder, oldest first, at most ``files_per_trigger`` in a micro-batch."""
-    return (
-        spark.readStream.schema(schema)
-        .option("pathGlobFilter", pattern)
-        .option("maxFilesPerTrigger", files_per_trigger)
-        .parquet(folder)
-    )
+MALFORMED = "malformed"
+
+
+def stream_table(
+    spark: SparkSession,
+    folder: str,
+    schema: T.StructType,
+    pattern: str = "*.parquet",
+    files_per_trigger: int = 1000,
+    bytes_per_trigger: str | None = None,
+) -> DataFrame:
+    """Parquet files of a folder, oldest first; a micro-batch takes so many files, or so many bytes if given."""
+    limit = ("maxBytesPerTrigger", bytes_per_trigger) if bytes_per_trigger else ("maxFilesPerTrigger", files_per_trigger)
+    return spark.readStream.schema(schema).option("pathGlobFilter", pattern).option(*limit).parquet(folder)
 
 
 def replay_csv(
@@ -27,23 +33,28 @@ def replay_csv(
     label: str | None = "Label",
     identifiers: tuple[str, ...] = IDENTIFIERS,
     files_per_trigger: int = 1000,
+    keep_malformed: bool = False,
 ) -> DataFrame:
     """Rows of labelled CSV files as a stream of text columns.
 
-    Lines whose field count differs from the header are left out, names and labels are trimmed, the
-    label becomes ``actual_label`` and the identifiers are nested beside their flat columns.
+    Names and labels are trimmed, the label becomes ``actual_label`` and the identifiers are nested beside their flat
+    columns. Lines whose field count differs from the header are left out; with ``keep_malformed`` they stay, whole in
+    the column ``malformed``, which is NULL for the others.
     """
-    schema = T.StructType([T.StructField(c, T.StringType()) for c in header])
+    schema = T.StructType([T.StructField(c, T.StringType()) for c in (*header, MALFORMED)])
     rows = (
         spark.readStream.schema(schema)
         .option("header", "true")
-        .option("mode", "DROPMALFORMED")
+        .option("mode", "PERMISSIVE")
+        .option("columnNameOfCorruptRecord", MALFORMED)
         .option("columnPruning", "false")
         .option("enforceSchema", "true")
         .option("maxFilesPerTrigger", files_per_trigger)
         .csv(folder)
     )
-    rows = rows.select(*[F.col(f"`{c}`").alias(c.strip()) for c in header])
+    whole = F.col(MALFORMED).isNull()
+    rows = rows.filter(F.lit(True) if keep_malformed else whole)
+    rows = rows.select(*[F.col(f"`{c}`").alias(c.strip()) for c in header], *([MALFORMED] if keep_malformed else []))
     if label and label in rows.columns:
         rows = rows.withColumn("actual_label", F.trim(F.col(f"`{label}`"))).drop(label)
     return nest_identifiers(rows, identifiers)
@@ -64,12 +75,17 @@ def split_reason(df: DataFrame, types: dict[str, T.DataType]) -> Column:
 def typed_or_rejected(df: DataFrame, types: dict[str, T.DataType]) -> DataFrame:
     """Typed columns, ``status`` (good or rejected), ``reason`` and the raw row of rejected ones.
 
-    One projection for batch and stream: a bad row never fails a batch, and no row is lost.
+    One projection for batch and stream: a bad row never fails a batch, and no row is lost. A line with the wrong number
+    of fields, kept by ``replay_csv`` in the column ``malformed``, is rejected whole: which of its fields is which is
+    not known.
     """
-    reason = split_reason(df, types)
-    raw = F.to_json(F.struct(*[F.col(f"`{c}`") for c in df.columns]))
-    typed = [F.col(f"`{c}`").try_cast(t).alias(c) for c, t in types.items()]
-    others = [F.col(f"`{c}`") for c in df.columns if c not in types]
+    broken = F.col(MALFORMED).isNotNull() if MALFORMED in df.columns else F.lit(False)
+    reason = F.when(broken, "wrong number of fields").otherwise(split_reason(df, types))
+    raw = F.to_json(F.struct(*[F.col(f"`{c}`") for c in df.columns if c != MALFORMED]))
+    if MALFORMED in df.columns:
+        raw = F.coalesce(MALFORMED, raw)
+    typed = [F.when(~broken, F.col(f"`{c}`").try_cast(t)).alias(c) for c, t in types.items()]
+    others = [F.when(~broken, F.col(f"`{c}`")).alias(c) for c in df.columns if c not in types and c != MALFORMED]
     return df.select(
         *typed,
         *others,

@@ -21,6 +21,7 @@ STATE = T.StructType(
             ("start", T.LongType()),
             ("last", T.LongType()),
             ("packets", T.LongType()),
+            ("valued", T.LongType()),
             ("total", T.DoubleType()),
             ("squares", T.DoubleType()),
             ("center", T.DoubleType()),
@@ -33,7 +34,14 @@ STATE = T.StructType(
 )
 STATE_NAMES = [f.name for f in STATE.fields]
 STATE_VARIABLE = "flow"
-FLOW_SCHEMA = "{key} {key_type}, start long, last long, packets long, total double, squares double, center double, low double, high double, iat_low long, iat_high long, closed timestamp"
+
+
+def _least(*values):
+    return min((v for v in values if v is not None), default=None)
+
+
+def _most(*values):
+    return max((v for v in values if v is not None), default=None)
 
 
 class FlowAssembler(StatefulProcessor):
@@ -41,10 +49,11 @@ class FlowAssembler(StatefulProcessor):
 
     Packets of a key arrive in time order from batch to batch and are sorted inside a batch. A packet
     older than the last one joins the open flow. A timer at the earlier of the idle and the age limit
-    closes a flow that no further packet closes.
+    closes a flow that no further packet closes. Packets without a value (NULL or NaN) count as packets and
+    for the gaps; sums and extremes are over the others.
     """
 
-    def __init__(self, key: str, idle_us: int, age_us: int):
+    def __init__(self, key: list[str], idle_us: int, age_us: int):
         self.key = key
         self.idle = idle_us
         self.age = age_us
@@ -60,18 +69,19 @@ class FlowAssembler(StatefulProcessor):
     def _extend(flow: list | None, t: np.ndarray, v: np.ndarray) -> list:
         """A new flow of these packets, or the open one with them added."""
         gaps = np.diff(t) if flow is None else np.diff(t, prepend=flow[1])
-        if flow is None:
-            flow = [int(t[0]), int(t[0]), 0, 0.0, 0.0, float(v[0]), float(v[0]), float(v[0]), None, None]
-        d = v - flow[5]
-        low, high = (int(gaps.min()), int(gaps.max())) if len(gaps) else (None, None)
-        lows, highs = [x for x in (flow[8], low) if x is not None], [x for x in (flow[9], high) if x is not None]
-        return [
-            flow[0], int(t[-1]), flow[2] + len(t), flow[3] + float(d.sum()), flow[4] + float((d * d).sum()), flow[5],
-            min(flow[6], float(v.min())), max(flow[7], float(v.max())), min(lows, default=None), max(highs, default=None),
-        ]
+        start, _, packets, valued, total, squares, center, low, high, near, far = flow or [int(t[0]), 0, 0, 0, 0.0, 0.0, *[None] * 5]
+        v = v[~np.isnan(v)]
+        if len(v):
+            center = float(v[0]) if center is None else center
+            d = v - center
+            total, squares = total + float(d.sum()), squares + float((d * d).sum())
+            low, high = _least(low, float(v.min())), _most(high, float(v.max()))
+        if len(gaps):
+            near, far = _least(near, int(gaps.min())), _most(far, int(gaps.max()))
+        return [start, int(t[-1]), packets + len(t), valued + len(v), total, squares, center, low, high, near, far]
 
     def _frame(self, rows: list[tuple]) -> pd.DataFrame:
-        return pd.DataFrame(rows, columns=[self.key, *STATE_NAMES, "closed"])
+        return pd.DataFrame(rows, columns=[*self.key, *STATE_NAMES, "closed"])
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         batch = pd.concat(list(rows))
@@ -119,7 +129,7 @@ class FlowAssembler(StatefulProcessor):
 
 def assemble_stream(
     packets: DataFrame,
-    key: str,
+    key: str | list[str],
     ts: str,
     value: str,
     idle_seconds: float = IDLE_SECONDS,
@@ -129,15 +139,17 @@ def assemble_stream(
     """Closed flows of a packet stream as raw sums; ``finish_flows`` turns them into features.
 
     The lateness of the watermark takes the part of a periodic sweep: flows close when event time has
-    passed their limit by it. The state belongs in a RocksDB store (see ``rocksdb_state``).
+    passed their limit by it. The state belongs in a RocksDB store (see ``rocksdb_state``). A key's packets of one
+    micro-batch are sorted in one frame, so the source's limit for a trigger bounds a task's memory.
     """
+    key = [key] if isinstance(key, str) else list(key)
     ready = (
         packets.withColumn("ts__", F.col(ts).cast("timestamp"))
         .withWatermark("ts__", lateness)
-        .select(F.col(key), "ts__", F.unix_micros("ts__").alias("t"), F.col(value).cast("double").alias("v"))
+        .select(*key, "ts__", F.unix_micros("ts__").alias("t"), F.col(value).cast("double").alias("v"))
     )
-    schema = FLOW_SCHEMA.format(key=key, key_type=ready.schema[key].dataType.simpleString())
-    return ready.groupBy(key).transformWithStateInPandas(
+    schema = T.StructType([*[ready.schema[k] for k in key], *STATE.fields, T.StructField("closed", T.TimestampType())])
+    return ready.groupBy(*key).transformWithStateInPandas(
         statefulProcessor=FlowAssembler(key, int(idle_seconds * 1e6), int(age_seconds * 1e6)),
         outputStructType=schema,
         outputMode="Append",
@@ -157,19 +169,20 @@ def rocksdb_state(spark: SparkSession):
         spark.conf.set(name, before)
 
 
-def open_flows(spark: SparkSession, checkpoint: str, key: str) -> DataFrame:
+def open_flows(spark: SparkSession, checkpoint: str, key: str | list[str]) -> DataFrame:
     """The flows a stopped query still holds open, read from its state store: the final drain."""
     state = spark.read.format("statestore").option("stateVarName", STATE_VARIABLE).load(checkpoint)
-    return state.select(f"key.{key}", *[f"value.{n}" for n in STATE_NAMES])
+    keys = [key] if isinstance(key, str) else key
+    return state.select(*[f"key.{k}" for k in keys], *[f"value.{n}" for n in STATE_NAMES])
 
 
-def finish_flows(raw: DataFrame, key: str) -> DataFrame:
-    """Raw sums to the same columns as the batch form."""
-    n = F.col("packets").cast("double")
+def finish_flows(raw: DataFrame, key: str | list[str]) -> DataFrame:
+    """Raw sums to the same columns as the batch form; a flow without values has none to report."""
+    steps, n = F.col("packets").cast("double"), F.nullif(F.col("valued").cast("double"), F.lit(0.0))
     spread = (F.col("squares") - F.col("total") * F.col("total") / n) / F.nullif(n - 1, F.lit(0.0))
     moment = {c: F.timestamp_micros(c) for c in ("start", "last")}
     return raw.select(
-        key,
+        *([key] if isinstance(key, str) else key),
         moment["start"].alias("flow_start"),
         moment["last"].alias("flow_end"),
         "packets",
@@ -178,7 +191,7 @@ def finish_flows(raw: DataFrame, key: str) -> DataFrame:
         F.when(n > 1, F.sqrt(F.greatest(spread, F.lit(0.0)))).alias("value_std"),
         F.col("low").alias("value_min"),
         F.col("high").alias("value_max"),
-        ((F.col("last") - F.col("start")) / F.nullif(n - 1, F.lit(0.0))).alias("iat_mean"),
+        ((F.col("last") - F.col("start")) / F.nullif(steps - 1, F.lit(0.0))).alias("iat_mean"),
         F.col("iat_low").alias("iat_min"),
         F.col("iat_high").alias("iat_max"),
         (F.col("last") - F.col("start")).alias("duration_us"),

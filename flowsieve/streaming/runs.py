@@ -18,6 +18,25 @@ class Run:
     output: str
     checkpoint: str
     query: StreamingQuery
+    progress: dict[int, object]
+
+
+def follow(query: StreamingQuery, every: float = 0.2) -> dict[int, object]:
+    """Waits for the end of a query and gathers the progress of all its micro-batches.
+
+    Spark keeps the last hundred or so; they are picked up while the query runs, and a batch that was missed is an
+    error, not a shorter table.
+    """
+    seen: dict[int, object] = {}
+    done = False
+    while not done:
+        done = query.awaitTermination(every)
+        for p in query.recentProgress:
+            seen[int(p["batchId"])] = p
+    lost = set(range(min(seen, default=0), max(seen, default=-1) + 1)) - seen.keys()
+    if lost:
+        raise RuntimeError(f"progress of {len(lost)} micro-batches was dropped before it was read")
+    return seen
 
 
 def run_to_end(stream: DataFrame, name: str, fmt: str = "parquet", options: dict | None = None) -> Run:
@@ -36,8 +55,7 @@ def run_to_end(stream: DataFrame, name: str, fmt: str = "parquet", options: dict
         .trigger(availableNow=True)
         .start()
     )
-    query.awaitTermination()
-    return Run(output, checkpoint, query)
+    return Run(output, checkpoint, query, follow(query))
 
 
 def start_live(stream: DataFrame, output: str, checkpoint: str, every: str = "1 second", fmt: str = "parquet") -> StreamingQuery:
@@ -76,8 +94,7 @@ def run_versions(stream: DataFrame, name: str, mode: str = "update") -> Run:
         .trigger(availableNow=True)
         .start()
     )
-    query.awaitTermination()
-    return Run(output, checkpoint, query)
+    return Run(output, checkpoint, query, follow(query))
 
 
 def latest(spark: SparkSession, run: Run, keys: list[str]) -> DataFrame:
@@ -88,10 +105,10 @@ def latest(spark: SparkSession, run: Run, keys: list[str]) -> DataFrame:
     return rows.groupBy(*keys).agg(newest).select(*keys, "v.*")
 
 
-def progress_table(spark: SparkSession, query: StreamingQuery) -> DataFrame:
+def progress_table(spark: SparkSession, run: Run) -> DataFrame:
     """One row for each micro-batch: rows in, rate, state rows, rows dropped as late, watermark."""
     records = []
-    for p in query.recentProgress:
+    for _, p in sorted(run.progress.items()):
         state = p["stateOperators"] if isinstance(p, dict) else p.stateOperators
         records.append(
             (

@@ -72,5 +72,5 @@ def test_stream_equals_batch_and_counts_late_rows(spark):
 
     batch = assemble_flows(df, ["k"], "ts", "v", 15, 30)
     assert key(finish_flows(closed.unionByName(still_open), "k")) == key(batch)
-    progress = progress_table(spark, run.query).agg(F.sum("input_rows"), F.sum("late_rows")).first()
+    progress = progress_table(spark, run).agg(F.sum("input_rows"), F.sum("late_rows")).first()
     assert tuple(progress) == (len(rows), 0)

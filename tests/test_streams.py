@@ -42,7 +42,7 @@ def test_stream_scores_equal_batch_scores(spark, scorer):
     run = run_to_end(score_stream(stream, scorer).select(columns), "test-scores")
     got = sorted(tuple(r) for r in spark.read.parquet(run.output).collect())
     assert got == sorted(tuple(r) for r in scorer.score(rows).select(columns).collect())
-    assert progress_table(spark, run.query).filter("input_rows > 0").count() == 3
+    assert progress_table(spark, run).filter("input_rows > 0").count() == 3
 
 
 def test_saved_scorer_scores_the_same(spark, scorer):
@@ -76,7 +76,7 @@ def test_rows_behind_the_watermark_are_dropped_and_counted(spark):
     run = run_versions(minute_totals(stream_table(spark, path, df.schema, files_per_trigger=1), "ts", "5 minutes"), "late")
     rows = {r.minute: (r.total, r.threats, r.suspicious) for r in latest(spark, run, ["minute"]).collect()}
     assert rows == {zero: (1, 1, 0), zero + timedelta(minutes=1): (1, 0, 0), zero + timedelta(minutes=90): (3, 2, 1)}
-    assert progress_table(spark, run.query).agg(F.sum("late_rows")).first()[0] == 1
+    assert progress_table(spark, run).agg(F.sum("late_rows")).first()[0] == 1
 
 
 def test_rejected_rows_keep_their_reason(spark):
