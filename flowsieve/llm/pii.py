@@ -3,7 +3,7 @@
 Patterns find candidate spans. Labelers vote on each candidate (for, against, silent): a strict form check, a
 gazetteer, the words before it, and its borders. Candidates with equal votes are alike, so expectation-maximisation
 runs on the table of vote patterns, whose size does not depend on the data: it estimates how reliable each labeler is
-and how likely each pattern is personal data. A logistic span classifier is trained on these probabilities. Spans that
+and how likely each pattern is personal data. A logistic span classifier is trained on these probabilities. Both are loops inside one SQL expression over that small table. Spans that
 pass the base rules stay whatever it says; it adds those of the others that it accepts.
 """
 
@@ -11,8 +11,6 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -146,59 +144,81 @@ def vote_patterns(spans: DataFrame) -> DataFrame:
     return spans.select(F.explode("spans").alias("s")).groupBy(*[F.col(f"s.{k}").alias(k) for k in keys]).agg(F.count("*").alias("n"))
 
 
-def estimate(patterns: DataFrame, rounds: int = ROUNDS) -> Column:
-    """Probability that a pattern is personal data, by expectation-maximisation over the labelers' reliabilities.
+def marks(get) -> Column:
+    """The places that a pattern or a span has in the parameter arrays: one for each labeler's vote, its kind, its size.
 
-    Each round is one aggregate of the pattern table into the share of each vote of each labeler among the true and
-    the false, and the share of the true in each kind; the next round's probabilities are an expression of these.
+    ``get`` gives a field. Votes take three places for each labeler, then come the kinds, then the sizes.
     """
-    share = {(v, k, y): p for v in LABELERS for k, y, p in ((1, 1, 0.7), (0, 1, 0.2), (-1, 1, 0.1), (1, 0, 0.2), (0, 0, 0.2), (-1, 0, 0.6))}
-    prior = {k: 0.5 for k in KINDS}
-
-    def posterior() -> Column:
-        def weight(y: int) -> Column:
-            by_vote = [
-                F.when(F.col(v) == 1, share[v, 1, y]).when(F.col(v) == 0, share[v, 0, y]).otherwise(share[v, -1, y]) for v in LABELERS
-            ]
-            start = reduce(lambda c, k: c.when(F.col("kind") == k, prior[k] if y else 1 - prior[k]), KINDS, F.when(F.lit(False), 0.5))
-            return reduce(lambda a, b: a * b, by_vote, start)
-
-        return weight(1) / (weight(1) + weight(0))
-
-    for _ in range(rounds):
-        p = F.col("n") * posterior()
-        part = {1: p, 0: F.col("n") - p}
-        sums = [F.sum(F.when(F.col(v) == k, part[y]).otherwise(0.0)).alias(f"{v}|{k}|{y}") for v in LABELERS for k in (1, 0, -1) for y in (1, 0)]
-        sums += [F.sum(F.when(F.col("kind") == k, part[y]).otherwise(0.0)).alias(f"{k}|{y}") for k in KINDS for y in (1, 0)]
-        got = patterns.agg(*sums).head().asDict()
-        if got["email|1"] is None:
-            break
-        for v in LABELERS:
-            for y in (1, 0):
-                total = sum(got[f"{v}|{k}|{y}"] for k in (1, 0, -1))
-                share |= {(v, k, y): (got[f"{v}|{k}|{y}"] + 1) / (total + 3) for k in (1, 0, -1)}
-        prior = {k: (got[f"{k}|1"] + 1) / (got[f"{k}|1"] + got[f"{k}|0"] + 2) for k in KINDS}
-    return posterior()
-
-
-def features(get) -> dict[str, Column]:
-    """Inputs of the span classifier; ``get`` gives a field of a pattern or of a span."""
-    out = {f"is_{k}": (get("kind") == k).cast("double") for k in KINDS}
-    for v in LABELERS:
-        out |= {f"{v}_for": (get(v) == 1).cast("double"), f"{v}_against": (get(v) == -1).cast("double")}
-    return out | {"size": get("size").cast("double") / 10}
-
-
-def train_classifier(patterns: DataFrame) -> tuple[list[float], float] | None:
-    """Weights and intercept of a logistic model; every pattern counts as true and false by its probability."""
-    scored = patterns.withColumn("p", estimate(patterns))
-    rows = scored.select("*", F.explode(F.array(F.struct(F.lit(1.0).alias("label"), (F.col("n") * F.col("p")).alias("weight")), F.struct(F.lit(0.0).alias("label"), (F.col("n") * (1 - F.col("p"))).alias("weight")))).alias("c"))
-    rows = rows.select(F.col("c.label").alias("label"), F.col("c.weight").alias("weight"), *[c.alias(n) for n, c in features(F.col).items()])
-    if not rows.filter("weight > 0").take(1):
-        return None
-    assembled = VectorAssembler(inputCols=list(features(F.col)), outputCol="features").transform(rows)
-    model = LogisticRegression(weightCol="weight", regParam=1e-3, maxIter=25).fit(assembled)
-    return list(model.coefficients), model.intercept
+    votes = [F.lit(3 * i + 1) + get(v) for i, v in enumerate(LABELERS)]
+    kind = F.array_position(F.array(*[F.lit(k) for k in KINDS]), get("kind")).cast("int") - 1 + 3 * len(LABELERS)
+    return F.array(*votes, kind, get("size") + PRIORS)
+
+
+PRIORS = 3 * len(LABELERS) + len(KINDS)
+PLACES = PRIORS + 11
+
+
+def _logit(weights: Column, places: Column) -> Column:
+    return F.aggregate(places, F.lit(0.0), lambda total, j: total + F.get(weights, j))
+
+
+def _sigmoid(x: Column) -> Column:
+    return 1 / (1 + F.exp(-x))
+
+
+def _sums(rows: Column, places: int, value) -> Column:
+    """For each place: the sum of ``value`` over the rows that have it."""
+    return F.transform(
+        F.sequence(F.lit(0), F.lit(places - 1)),
+        lambda j: F.aggregate(rows, F.lit(0.0), lambda total, x: total + F.when(F.array_contains(x["at"], j), value(x)).otherwise(0.0)),
+    )
+
+
+def reliabilities(rows: Column, rounds: int = ROUNDS) -> Column:
+    """Log-odds of each place after expectation-maximisation over the vote patterns (n, at).
+
+    The expectation gives every pattern its probability, as the product of what its votes say and how common true spans
+    are in its kind. The maximisation counts each vote of each labeler among the true and among the false.
+    """
+    begin = [x for _ in LABELERS for x in (-1.8, 0.0, 1.3)] + [0.0] * (PLACES - 3 * len(LABELERS))
+
+    def step(weights: Column, _: Column) -> Column:
+        scored = F.transform(
+            rows, lambda x: F.struct(x["at"].alias("at"), (x["n"] * _sigmoid(_logit(weights, x["at"]))).alias("true"), x["n"].alias("n"))
+        )
+        true, total = _sums(scored, PRIORS, lambda x: x["true"]), _sums(scored, PRIORS, lambda x: x["n"])
+        all_true = F.aggregate(scored, F.lit(0.0), lambda a, x: a + x["true"])
+        every = F.aggregate(scored, F.lit(0.0), lambda a, x: a + x["n"])
+        votes = 3 * len(LABELERS)
+        odds = F.transform(
+            F.arrays_zip(true.alias("t"), total.alias("n")),
+            lambda x, i: F.log((x["t"] + 1) / (x["n"] - x["t"] + 1)) - F.when(i < votes, F.log((all_true + 3) / (every - all_true + 3))).otherwise(0.0),
+        )
+        return F.concat(odds, F.array(*[F.lit(0.0)] * (PLACES - PRIORS)))
+
+    return F.aggregate(F.sequence(F.lit(1), F.lit(rounds)), F.array(*[F.lit(x) for x in begin]), step)
+
+
+def fitted_classifier(rows: Column, odds: Column, steps: int = 60, ridge: float = 1.0) -> Column:
+    """Weights of a logistic model on the places, trained on the patterns' probabilities by damped Newton steps."""
+    aims = F.transform(rows, lambda x: F.struct(x["at"].alias("at"), x["n"].alias("n"), _sigmoid(_logit(odds, x["at"])).alias("aim")))
+
+    def step(weights: Column, _: Column) -> Column:
+        now = F.transform(aims, lambda x: F.struct(x["at"].alias("at"), x["n"].alias("n"), x["aim"].alias("aim"), _sigmoid(_logit(weights, x["at"])).alias("p")))
+        slope = _sums(now, PLACES, lambda x: x["n"] * (x["aim"] - x["p"]))
+        bend = _sums(now, PLACES, lambda x: x["n"] * x["p"] * (1 - x["p"]))
+        moves = F.arrays_zip(weights.alias("w"), slope.alias("g"), bend.alias("h"))
+        return F.transform(moves, lambda m: m["w"] + (m["g"] - ridge * m["w"]) / ((len(LABELERS) + 2) * (m["h"] + ridge)))
+
+    return F.aggregate(F.sequence(F.lit(1), F.lit(steps)), F.array(*[F.lit(0.0)] * PLACES), step)
+
+
+def train_classifier(patterns: DataFrame) -> list[float]:
+    """Weights of the span classifier, in one query over the table of vote patterns; all 0 without candidates."""
+    rows = patterns.select(F.struct(F.col("n").cast("double").alias("n"), marks(F.col).alias("at")).alias("r"))
+    one = materialise(rows.agg(F.sort_array(F.collect_list("r")).alias("rows")), "pii-votes")
+    odds = materialise(one.select("rows", reliabilities(F.col("rows")).alias("odds")), "pii-reliabilities")
+    return list(odds.select(fitted_classifier(F.col("rows"), F.col("odds"))).head()[0])
 
 
 def find_pii(documents: DataFrame, doc_id: str = "doc_id", text: str = "text", threshold: float = 0.5) -> DataFrame:
@@ -209,15 +229,11 @@ def find_pii(documents: DataFrame, doc_id: str = "doc_id", text: str = "text", t
     sees only the table of vote patterns.
     """
     spans = materialise(candidates(documents, doc_id, text), "pii-candidates")
-    patterns = materialise(vote_patterns(spans).coalesce(1), "pii-patterns")
-    model = train_classifier(patterns)
+    patterns = materialise(vote_patterns(spans), "pii-patterns")
+    weights = F.array(*[F.lit(w) for w in train_classifier(patterns)])
 
     def kept(s: Column) -> Column:
-        if model is None:
-            return s["base"]
-        weights, intercept = model
-        score = reduce(lambda a, b: a + b, [w * x for w, x in zip(weights, features(lambda n: s[n]).values())], F.lit(float(intercept)))
-        return s["base"] | (1 / (1 + F.exp(-score)) >= threshold)
+        return s["base"] | (_sigmoid(_logit(weights, marks(lambda n: s[n]))) >= threshold)
 
     order = lambda s: F.array_position(F.array(*[F.lit(k) for k in KINDS]), s["kind"])
     rows = F.transform(
