@@ -168,9 +168,9 @@ def count_class_pairs(documents: DataFrame, vocab, text: str = "text") -> np.nda
             yield pa.RecordBatch.from_arrays([pa.array(part.astype(np.int32)), pa.array(total[part])], names=["pair", "n"])
 
     rows = documents.select(documents[text].alias("text")).mapInArrow(count, "pair int, n long")
-    got = rows.groupBy("pair").agg(F.sum("n").alias("n")).toPandas()
+    got = rows.groupBy("pair").agg(F.sum("n").alias("n")).toArrow()
     table = np.zeros((size + 1) * size)
-    table[got["pair"].to_numpy(np.int64)] = got["n"].to_numpy(np.float64)
+    table[got["pair"].to_numpy()] = got["n"].to_numpy()
     return table.reshape(size + 1, size)
 
 
