@@ -18,7 +18,7 @@ from flowsieve.operators.sample import mark_stratified
 from flowsieve.session import materialise
 
 BLOCK_ROWS = 8192
-MAX_PIVOTS = 256
+_PLACE = 1 << 32  # cells are numbered above the blocks inside them
 QUERY_CHUNK = 256
 EXPLODE_ROWS = 10_000
 
@@ -132,13 +132,11 @@ def nearest_in_class(points: DataFrame, k: int, seed: int = 42, block_rows: int
         c = left["c"].iat[0] if len(left) else None
         return near.assign(c=c)[result.names]
 
-    if max(sizes.values(), default=0) <= block_rows:
-        return _ranked(points.groupBy("c").applyInPandas(lambda g: search(g[g["asks"]], g), result), k)
     order = seeded_hash(["id"], seed)
 
     pivots: dict = {}
     for c, n in sizes.items():
-        count = max(1, min(MAX_PIVOTS, int(sqrt(n)), ceil(n / block_rows)))
+        count = max(1, min(int(sqrt(n)), ceil(n / block_rows)))
         chosen = points.filter(F.col("c").eqNullSafe(F.lit(c))).orderBy(order, "id").limit(count)
         pivots[c] = np.array([r["v"] for r in chosen.select("v").collect()], dtype=float)
 
@@ -195,7 +193,7 @@ def nearest_in_class(points: DataFrame, k: int, seed: int = 42, block_rows: int
                         continue
                     if apart[cell] > 0 and (d[cell] ** 2 - reach**2) / (2 * apart[cell]) > slack:
                         continue
-                    hits += [cell * 1_000_000 + b for b in range(n)]
+                    hits += [cell * _PLACE + b for b in range(n)]
                 wanted.append(hits)
             yield batch[["c", "id", "v", "lane"]].assign(hits=wanted)
 
@@ -208,7 +206,7 @@ def nearest_in_class(points: DataFrame, k: int, seed: int = 42, block_rows: int
             T.StructField("hits", T.ArrayType(T.LongType())),
         ]
     )
-    place_of = F.col("cell").cast("long") * 1_000_000 + F.col("block")
+    place_of = F.col("cell").cast("long") * _PLACE + F.col("block")
     searches = (
         queries.withColumn("lane", place_of)
         .mapInPandas(targets, asked)

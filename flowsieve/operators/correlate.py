@@ -15,11 +15,17 @@ SALTS = 64
 
 
 def feature_pairs(df: DataFrame, features: list[str]) -> DataFrame:
-    """(i, j, f1, f2) for i < j: a projection over the feature names, no join."""
-    names = F.array(*[F.lit(f) for f in features])
-    first = df.agg(names.alias("f")).select("f", F.posexplode("f").alias("i", "f1"))
-    rest = first.select("i", "f1", F.posexplode(F.slice("f", F.col("i") + 2, len(features))).alias("o", "f2"))
-    return rest.select("i", (F.col("i") + F.col("o") + 1).alias("j"), "f1", "f2")
+    """(i, j, f1, f2, n) for i < j, with the rows in which both features are finite: one scan, no join."""
+    there = [F.abs(F.col(f"`{f}`").cast("double")) < F.lit(float("inf")) for f in features]
+    pairs = [
+        F.struct(
+            F.lit(i).alias("i"), F.lit(j).alias("j"), F.lit(features[i]).alias("f1"), F.lit(features[j]).alias("f2"),
+            F.count_if(there[i] & there[j]).alias("n"),
+        )
+        for i in range(len(features))
+        for j in range(i + 1, len(features))
+    ]
+    return df.agg(F.array(*pairs).alias("p")).select(F.inline("p"))
 
 
 def _moments(features: list[str], center: list[float]):

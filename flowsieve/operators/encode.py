@@ -10,8 +10,6 @@ from pyspark.sql import functions as F
 
 from flowsieve.schema import PROTOCOL_CODES
 
-MAX_CATEGORIES = 1000
-
 
 def class_table(df: DataFrame, label: str = "Label") -> DataFrame:
     """(class, class_index) in order of the class name; the window runs over distinct classes only."""
@@ -19,11 +17,9 @@ def class_table(df: DataFrame, label: str = "Label") -> DataFrame:
     return names.select("class", (F.row_number().over(W.orderBy("class")) - 1).alias("class_index"))
 
 
-def few_values(df: DataFrame, column: str, most: int = MAX_CATEGORIES) -> list:
-    """The distinct values of a categorical column, sorted; an error if there are more than ``most``."""
-    rows = df.select(F.col(f"`{column}`").alias("v")).where(F.col("v").isNotNull()).distinct().limit(most + 1).collect()
-    if len(rows) > most:
-        raise ValueError(f"{column} has more than {most} distinct values; it is no category")
+def few_values(df: DataFrame, column: str) -> list:
+    """The distinct values of a categorical column, sorted, as metadata."""
+    rows = df.select(F.col(f"`{column}`").alias("v")).where(F.col("v").isNotNull()).distinct().collect()
     return sorted(r["v"] for r in rows)
 
 

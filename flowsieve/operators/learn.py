@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from flowsieve.functions.hashing import seeded_hash
 from flowsieve.operators.evaluate import class_metrics, confusion_counts, importance_table, overall_metrics
-from flowsieve.operators.profile import class_sizes
+from flowsieve.operators.profile import class_counts
 from flowsieve.operators.sample import stratified_sample
 from flowsieve.operators.score import Scorer
 
@@ -71,13 +71,11 @@ class ForestParams:
 
 
 def with_class_weight(df: DataFrame, label: str, out: str = "weight__") -> DataFrame:
-    """rows / (classes x class rows), from one count by class."""
-    counts = class_sizes(df, label)
-    total = sum(counts.values())
-    weights = F.create_map(
-        *[x for c, n in counts.items() for x in (F.lit(c), F.lit(total / (len(counts) * n)))]
-    )
-    return df.withColumn(out, F.try_element_at(weights, F.col(label)))
+    """rows / (classes x class rows), from one count by class, joined as a table with a row for each class."""
+    counts = class_counts(df, label)
+    totals = counts.agg(F.sum("n").alias("rows"), F.count(F.lit(1)).alias("classes")).first()
+    weights = counts.select(F.col("class").alias("class__"), (F.lit(totals["rows"]) / (F.col("n") * totals["classes"])).alias(out))
+    return df.join(weights, F.col(f"`{label}`").eqNullSafe(F.col("class__")), "left").drop("class__")
 
 
 def fit_forest(df: DataFrame, features: list[str], label: str, params: ForestParams) -> PipelineModel:
@@ -192,7 +190,7 @@ def randomised_search(
             model = fit_forest(sample.filter(F.col("fold__") != fold), features, label, params)
             return float(evaluator.evaluate(model.transform(sample.filter(F.col("fold__") == fold)))), None
         except Exception as e:  # noqa: BLE001 - the failed fit scores 0 and its reason is reported
-            return 0.0, f"{type(e).__name__}: {e}"[:500]
+            return 0.0, f"{type(e).__name__}: {e}"
 
     draws = draw_parameters(space, n_iter, seed)
     jobs = [(values, fold) for values in draws for fold in range(folds)]
@@ -228,24 +226,39 @@ def forest_shape(spark: SparkSession, model: PipelineModel) -> DataFrame:
 
 
 def training_metadata(
-    spark: SparkSession, classes: list[str], best: dict, cv_score: float, rows: int, shape: DataFrame, importances: DataFrame
+    spark: SparkSession,
+    classes: list[str],
+    best: dict,
+    cv_score: float,
+    rows: int,
+    shape: DataFrame,
+    importances: DataFrame,
+    cv_std: float = 0.0,
+    iterations: int = 0,
+    folds: int = 0,
+    tuning_minutes: float = 0.0,
+    training_minutes: float = 0.0,
 ) -> DataFrame:
-    """One nested row that describes a training run."""
+    """One nested row that describes a training run; its field names are fixed by the stored record."""
     s = shape.first()
     top = importance_table(importances).filter("rank <= 10").orderBy("rank").collect()
     record = [
         (
             "RandomForestClassifier",
             list(classes),
-            {"best_params": {k: str(v) for k, v in best.items()}, "best_cv_score": {"macro_f1": str(cv_score)}},
-            (rows, s["trees"], s["nodes"], float(s["mean_depth"])),
+            len(classes),
+            importances.count(),
+            {"best_params": {k: str(v) for k, v in best.items()}, "best_cv_score": {"macro_f1": str(cv_score), "std": str(cv_std)}},
+            (iterations, folds, tuning_minutes),
+            (rows, s["trees"], s["nodes"], float(s["mean_depth"]), training_minutes),
             ([r["feature"] for r in top], float(sum(r["importance"] for r in top))),
         )
     ]
     return spark.createDataFrame(
         record,
-        "model_type string, class_names array<string>, hyperparameter_tuning map<string, map<string,string>>, "
-        "final_training struct<n_samples: long, n_estimators: long, total_nodes: long, avg_tree_depth: double>, "
+        "model_type string, class_names array<string>, n_classes int, n_features long, "
+        "hyperparameter_tuning map<string, map<string,string>>, search struct<n_iterations: int, cv_folds: int, tuning_time_minutes: double>, "
+        "final_training struct<n_samples: long, n_estimators: long, total_nodes: long, avg_tree_depth: double, training_time_minutes: double>, "
         "feature_importances struct<top_10_features: array<string>, top_10_cumulative_importance: double>",
     ).withColumn("training_date", F.current_timestamp())
 

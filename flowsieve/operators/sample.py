@@ -7,9 +7,9 @@ from math import ceil
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from flowsieve.functions.hashing import HASH_BITS, seeded_hash
-from flowsieve.functions.values import any_of
 from flowsieve.operators.profile import class_sizes
 
 MAX_BITS = 16
@@ -44,7 +44,7 @@ def mark_stratified(
     Rows are picked in the order of a seeded hash of their unique key. A large class is never ranked:
     its hashes are counted in up to 2^16 buckets, whole buckets below the cut are in, above it are out,
     and only the bucket that holds the cut is looked at again, until it is small enough
-    (``rank_rows``) to be ranked. The table itself is never shuffled.
+    (``rank_rows``) to be ranked. The table itself is never shuffled; what is known of each class is joined to it.
     """
     keys = [f"k{i}" for i in range(len(key))]
     order = F.struct(
@@ -60,44 +60,41 @@ def mark_stratified(
 
     # Per class: the bucket that holds the last picked row, rows still to pick in it, rows it holds.
     cuts = {c: (0, n, counts[c]) for c, n in quota.items() if n > 0}
+    kind = rows.schema["c"].dataType
     width = HASH_BITS
     while cuts and max(held for _, _, held in cuts.values()) > rank_rows and width > 0:
         bits = min(MAX_BITS, width, (max(held for _, _, held in cuts.values()) // rank_rows).bit_length() + 1)
-        inside = rows.filter(_inside(cuts, width))
+        inside = _inside(rows, _cut_table(df, cuts, kind), width)
         width -= bits
-        cuts = _cut_buckets(inside.groupBy("c", F.shiftright("h", width).alias("b")).agg(F.count(F.lit(1)).alias("n")), cuts)
+        buckets = inside.groupBy("c", "left", F.shiftright("h", width).alias("b")).agg(F.count(F.lit(1)).alias("n"))
+        cuts = _cut_buckets(buckets, cuts)
     rank = F.row_number().over(W.partitionBy("c").orderBy("h", *keys))
-    last = (
-        rows.filter(_inside(cuts, width))
-        .withColumn("rank", rank)
-        .filter(any_of([_is(c) & (F.col("rank") == left) for c, (_, left, _) in cuts.items()]))
-        .collect()
-        if cuts
-        else []
-    )
+    inside = _inside(rows, _cut_table(df, cuts, kind), width)
+    last = inside.withColumn("rank", rank).filter(F.col("rank") == F.col("left")).select("c", "h", *keys).collect() if cuts else []
 
-    types = dict(rows.dtypes)
-    picked = F.lit(False)
-    for r in last:
-        bound = F.struct(*[F.lit(r[n]).cast(types[n]).alias(n) for n in ("h", *keys)])
-        picked = F.when(F.col(f"`{label}`").eqNullSafe(F.lit(r["c"])), order <= bound).otherwise(picked)
-    return df.withColumn(flag, picked)
+    # The last picked row of each class, as a table that Spark broadcasts by its own size rule.
+    bound = T.StructType([T.StructField("c__", kind), T.StructField("h", T.LongType()), *[T.StructField(k, rows.schema[k].dataType) for k in keys]])
+    bounds = df.sparkSession.createDataFrame([tuple(r) for r in last], bound).select("c__", F.struct("h", *keys).alias("bound__"))
+    joined = df.join(bounds, F.col(f"`{label}`").eqNullSafe(F.col("c__")), "left")
+    return joined.withColumn(flag, F.coalesce(order <= F.col("bound__"), F.lit(False))).drop("c__", "bound__")
 
 
-def _is(c):
-    return F.col("c").eqNullSafe(F.lit(c))
+def _cut_table(df: DataFrame, cuts: dict, kind: T.DataType) -> DataFrame:
+    schema = T.StructType([T.StructField("k", kind), T.StructField("bucket", T.LongType()), T.StructField("left", T.LongType())])
+    return df.sparkSession.createDataFrame([(c, b, n) for c, (b, n, _) in cuts.items()], schema)
 
 
-def _inside(cuts: dict, width: int):
-    return any_of([_is(c) & (F.shiftright("h", width) == b) for c, (b, _, _) in cuts.items()])
+def _inside(rows: DataFrame, cuts: DataFrame, width: int) -> DataFrame:
+    """The rows in the buckets that hold a cut, with the number of rows still to pick there."""
+    same = rows["c"].eqNullSafe(cuts["k"]) & (F.shiftright(rows["h"], width) == cuts["bucket"])
+    return rows.join(cuts, same).drop("k", "bucket")
 
 
 def _cut_buckets(buckets: DataFrame, cuts: dict) -> dict:
     """The bucket that holds the last picked row of each class; the window runs over bucket counts."""
     upto = F.sum("n").over(W.partitionBy("c").orderBy("b"))
-    reached = buckets.withColumn("upto", upto).filter(
-        any_of([_is(c) & (F.col("upto") >= n) & (F.col("upto") - F.col("n") < n) for c, (_, n, _) in cuts.items()])
-    )
+    need = F.col("left")
+    reached = buckets.withColumn("upto", upto).filter((F.col("upto") >= need) & (F.col("upto") - F.col("n") < need))
     return {r["c"]: (r["b"], cuts[r["c"]][1] - (r["upto"] - r["n"]), r["n"]) for r in reached.collect()}
 
 

@@ -143,8 +143,8 @@ def _(spark, d):
     return rounded(profile.initial_statistics(plain(spark, d)))
 
 
-@query("d7_dtype_counts", """SELECT * FROM (SELECT 'bigint' AS dtype, CAST(2 AS BIGINT) AS columns UNION ALL SELECT 'string', 4
-    UNION ALL SELECT 'int', 1 UNION ALL SELECT 'double', 3)""")
+@query("d7_dtype_counts", f"""WITH {FLOWS}, u AS ({column_union(COLUMNS, lambda c: f"'{TYPES[COLUMNS.index(c)]}' AS dtype, count(*) - {missing_of(c)} AS filled")})
+    SELECT dtype, count(*) AS columns, CAST(sum(filled) AS BIGINT) AS filled_cells FROM u GROUP BY 1""")
 def _(spark, d):
     return profile.dtype_counts(plain(spark, d))
 

@@ -34,7 +34,7 @@ def _(spark, d):
     return rounded(scored(spark, d).select("event_id", "user_id", "actual_label", "predicted_class", "confidence"))
 
 
-@query("f4_feature_pairs", f"""WITH {WIDE}, {PAIRS} SELECT i, j, f1, f2 FROM pairs""")
+@query("f4_feature_pairs", f"""WITH {WIDE}, {PAIRS} SELECT i, j, f1, f2, n FROM pairs""")
 def _(spark, d):
     return correlate.feature_pairs(wide(spark, d), WIDE_FEATURES)
 

@@ -8,13 +8,15 @@ from pyspark.sql import types as T
 
 from flowsieve.operators.flows import assemble_flows
 from flowsieve.operators.score import add_ranking
-from flowsieve.plans.fixtures import CLASSES, SCORED, weigh
+from flowsieve.operators import learn
+from flowsieve.plans.fixtures import CLASSES, SCORED, flows, weigh
 from flowsieve.plans.profiles import MINUTES
 from flowsieve.plans.registry import query, rounded, table
+from flowsieve.plans.training import small_scorer, twice
 from flowsieve.session import scratch_path
 from flowsieve.sources.replay import replay_csv, stream_table, typed_or_rejected
 from flowsieve.streaming.assembly import assemble_stream, finish_flows, open_flows, rocksdb_state
-from flowsieve.streaming.detection import alerts, class_totals, level_totals, minute_totals
+from flowsieve.streaming.detection import alerts, class_totals, level_totals, minute_totals, score_stream
 from flowsieve.streaming.runs import drain, latest, progress_table, run_to_end, run_versions, start_live
 
 KEY = ["user_id", "side"]
@@ -108,6 +110,19 @@ def _(spark, d):
     return rounded(spark.read.parquet(run_to_end(rows, "scores").output))
 
 
+@query("h5_stream_model_scores", "SELECT event_id, true AS same_as_batch FROM events")
+def _(spark, d):
+    """Preparation and scoring of a stream with a stored forest, row by row as in the batch."""
+    scorer, store, path = small_scorer(spark, d), scratch_path(spark, "stream-scorer"), scratch_path(spark, "stream-flows")
+    learn.save_scorer(spark, scorer, store)
+    rows = flows(spark, d)
+    rows.write.option("maxRecordsPerFile", 2000).parquet(path)
+    columns = ["event_id", "predicted_class", "threat_level", F.round("confidence", 9).alias("confidence")]
+    stream = score_stream(stream_table(spark, path, rows.schema, files_per_trigger=2), learn.load_scorer(spark, store))
+    live = spark.read.parquet(run_to_end(stream.select(*columns), "model-scores").output)
+    return twice(live.unionByName(scorer.score(rows).select(*columns)), "event_id", "same_as_batch")
+
+
 @query("h4_micro_batches", f"""WITH {SCORED} SELECT level AS threat_level, count(*) AS n, 3 AS batches FROM scored GROUP BY 1""")
 def _(spark, d):
     """One file for each micro-batch gives the same rows as any other batch size."""

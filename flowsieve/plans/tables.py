@@ -9,7 +9,7 @@ from flowsieve.plans.fixtures import FLOWS, IMPORTANCES, MAPPED, SCORED, flows,
 from flowsieve.plans.profiles import PICK, TEST_ROWS, consolidated
 from flowsieve.plans.registry import query, rounded, table
 from flowsieve.plans.streams import line_files
-from flowsieve.plans.training import SMALL, small_prepared, small_scorer
+from flowsieve.plans.training import SMALL, SPLIT, TWINS, small_prepared, small_scorer, twice
 from flowsieve.operators.sample import stratified_split
 from flowsieve.session import scratch_path
 from flowsieve.sources import csv_flows, tables
@@ -106,26 +106,32 @@ def _(spark, d):
     return rounded(learn.read_importances(spark, path))
 
 
-@query("a12_scorer_round_trip")
+@query("a12_scorer_round_trip", "SELECT event_id, true AS same_after_reload FROM events")
 def _(spark, d):
     path = scratch_path(spark, "scorer")
-    learn.save_scorer(spark, small_scorer(spark, d), path)
-    out = learn.load_scorer(spark, path).score(flows(spark, d).drop("ts"))
-    return out.groupBy("predicted_class", "threat_level").agg(F.count(F.lit(1)).alias("n"))
+    scorer = small_scorer(spark, d)
+    learn.save_scorer(spark, scorer, path)
+    columns = ["event_id", "predicted_class", "threat_level", F.round("confidence", 9).alias("confidence")]
+    both = [s.score(flows(spark, d).drop("ts")).select(*columns) for s in (scorer, learn.load_scorer(spark, path))]
+    return twice(both[0].unionByName(both[1]), "event_id", "same_after_reload")
 
 
-@query("a13_training_metadata")
+@query("a13_training_metadata", f"""WITH {FLOWS}, {MAPPED}, {SPLIT}, {TWINS} SELECT 'RandomForestClassifier' AS model_type, string_agg(cls, ',' ORDER BY cls) AS classes,
+    CAST(count(*) AS INT) AS n_classes, CAST(8 - (SELECT CAST(gone AS INT) FROM twins) AS BIGINT) AS n_features, 3 AS n_iterations, 2 AS cv_folds, CAST(sum(n - test) AS BIGINT) AS n_samples, CAST(10 AS BIGINT) AS n_estimators FROM split""")
 def _(spark, d):
     p = small_prepared(spark, d, balance=False)
     model = learn.fit_forest(p.train, p.features, "y", SMALL)
     record = learn.training_metadata(
         spark, p.classes, {"n_estimators": 10}, 0.0, p.train.count(), learn.forest_shape(spark, model),
-        learn.forest_importances(spark, model, p.features),
+        learn.forest_importances(spark, model, p.features), iterations=3, folds=2,
     )
     path = scratch_path(spark, "metadata")
     record.write.json(path)
     row = spark.read.schema(record.schema).json(path)
-    return row.select("model_type", F.array_join("class_names", ",").alias("classes"), "final_training.n_samples", "final_training.n_estimators")
+    return row.select(
+        "model_type", F.array_join("class_names", ",").alias("classes"), "n_classes", "n_features", "search.n_iterations", "search.cv_folds",
+        "final_training.n_samples", "final_training.n_estimators",
+    )
 
 
 @query("a14_preview", """SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_orderkey LIMIT 20""")
@@ -136,9 +142,9 @@ def _(spark, d):
 @query("a14_inspect", """SELECT (SELECT count(*) FROM documents) AS rows, position, "column", dtype, nulls FROM (
     SELECT 0 AS position, 'doc_id' AS "column", 'bigint' AS dtype, count_if(doc_id IS NULL) AS nulls FROM documents
     UNION ALL SELECT 1, 'text', 'string', count_if(text IS NULL) FROM documents UNION ALL SELECT 2, 'lang', 'string', count_if(lang IS NULL) FROM documents
-    UNION ALL SELECT 3, 'source', 'string', count_if(source IS NULL) FROM documents)""")
+    UNION ALL SELECT 3, 'source', 'string', count_if(source IS NULL) FROM documents UNION ALL SELECT 4, 'n_chars', 'bigint', count_if(n_chars IS NULL) FROM documents)""")
 def _(spark, d):
-    return tables.inspect(table(spark, d, "documents").select("doc_id", "text", "lang", "source"))
+    return tables.inspect(table(spark, d, "documents"))
 
 
 @query("a14_file_shapes", """SELECT event_type AS file, count(*) AS rows, 3 AS cols FROM events GROUP BY 1""")
@@ -167,11 +173,14 @@ def _(spark, d):
     return spark.read.schema(rows.schema).json(path)
 
 
-@query("a18_estimated_rows")
+@query("a18_estimated_rows", "SELECT count(*) AS rows, true AS within_5_percent FROM events")
 def _(spark, d):
     path = scratch_path(spark, "estimate")
     table(spark, d, "events").drop("ts").write.option("header", "true").csv(path)
-    return csv_flows.estimate_rows(spark, path).agg(F.sum("estimated_rows").alias("estimated_rows"))
+    guess = csv_flows.estimate_rows(spark, path).agg(F.sum("estimated_rows").alias("guess"))
+    rows = spark.read.option("header", "true").csv(path).agg(F.count(F.lit(1)).alias("rows"))
+    one = guess.unionByName(rows, allowMissingColumns=True).agg(F.max("guess").alias("guess"), F.max("rows").alias("rows"))
+    return one.select("rows", (F.abs(F.col("guess") - F.col("rows")) <= 0.05 * F.col("rows")).alias("within_5_percent"))
 
 
 @query("a19_seeded_shuffle", """SELECT doc_id, lang, CAST('0x' || substr(md5(CAST(doc_id AS VARCHAR) || '|42'), 1, 15) AS BIGINT) AS shuffle_key FROM documents""")

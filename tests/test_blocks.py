@@ -6,7 +6,9 @@ from pyspark.sql import functions as F
 
 from flowsieve.functions.values import ordered_bits
 from flowsieve.operators.balance import distinct_points, nearest_in_class, synthetic_rows
+from flowsieve.operators.encode import class_list, encode_label
 from flowsieve.operators.evaluate import auc_by_class, roc_points
+from flowsieve.operators.learn import with_class_weight
 from flowsieve.operators.running import exact_quantiles, running_sums
 from flowsieve.operators.sample import mark_stratified, stratified_quota, stratified_split
 
@@ -127,3 +129,17 @@ def test_marks_per_class_numbers(spark):
     marked = mark_stratified(df, "label", ["id"], {"0": 3, "1": 500}).filter("picked").groupBy("label").count()
     assert {r.label: r["count"] for r in marked.collect()} == {"0": 3, "1": 50}
     assert mark_stratified(df, "label", ["id"], {"0": 0}).filter("picked").count() == 0
+
+
+def test_splits_with_many_classes(spark):
+    """1,500 classes: what is known of each is a joined table, not an expression."""
+    rows = spark.range(9_000).select(F.col("id"), F.concat(F.lit("c"), (F.col("id") % 1500).cast("string")).alias("label"))
+    train, test = stratified_split(rows, "label", ["id"], 0.25)
+    assert (train.count(), test.count()) == (6_750, 2_250)
+    sizes = {r["count"] for r in test.groupBy("label").count().collect()}
+    assert sizes == {1, 2}
+    weighed = with_class_weight(rows.union(spark.createDataFrame([(9_999, "c0")], rows.schema)), "label")
+    got = {r.label: r.weight__ for r in weighed.filter("label IN ('c0', 'c1')").collect()}
+    assert got["c0"] == pytest.approx(9_001 / (1500 * 7)) and got["c1"] == pytest.approx(9_001 / (1500 * 6))
+    classes = class_list(rows, "label")
+    assert len(classes) == 1500 and encode_label(rows, classes, "label").filter("label_index IS NULL").count() == 0
