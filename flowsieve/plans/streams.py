@@ -154,11 +154,13 @@ def _(spark, d):
     return latest(spark, run, ["threat_level"])
 
 
-@query("h7_stream_minute_totals", f"""WITH {SCORED}, {MINUTES} SELECT minute, total, threats, suspicious, clean FROM minutes""")
+@query("h7_stream_minute_totals", f"""WITH {SCORED}, {MINUTES} SELECT minute, total, threats, suspicious, clean, CAST(benign AS BIGINT) AS benign, CAST(ddos AS BIGINT) AS ddos,
+    correct, labelled, CASE WHEN labelled = 0 THEN 0 ELSE round(correct * 100.0 / labelled, 6) END AS accuracy_pct FROM minutes""")
 def _(spark, d):
-    run = run_versions(minute_totals(scored_stream(spark, d), "ts", lateness="1 day"), "minutes")
-    rows = latest(spark, run, ["minute"])
-    return rows.withColumn("minute", F.date_format("minute", "yyyy-MM-dd HH:mm"))
+    totals = minute_totals(scored_stream(spark, d), "ts", "1 day", classes=CLASSES, actual="actual_label")
+    rows = latest(spark, run_versions(totals, "minutes"), ["minute"])
+    by_class = [F.col("by_class")[c].alias(c.lower()) for c in ("Benign", "DDoS")]
+    return rounded(rows.select("*", *by_class).drop("by_class").withColumn("minute", F.date_format("minute", "yyyy-MM-dd HH:mm")))
 
 
 @query("h8_stream_session_totals", f"""WITH {SCORED} SELECT strftime(ts, '%Y-%m-%d') AS session, c1 AS class, count(*) AS n FROM scored GROUP BY 1, 2""")

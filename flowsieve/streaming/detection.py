@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from flowsieve.functions.values import percent
 from flowsieve.operators.rollup import level_counts
 from flowsieve.operators.score import Scorer
 
@@ -29,14 +32,31 @@ def class_totals(scored: DataFrame, session: list[str] = (), predicted: str = "p
 
 
 def minute_totals(
-    scored: DataFrame, ts: str, lateness: str = "1 minute", session: list[str] = (), level: str = "threat_level"
+    scored: DataFrame,
+    ts: str,
+    lateness: str = "1 minute",
+    session: list[str] = (),
+    level: str = "threat_level",
+    classes: Sequence[str] = (),
+    predicted: str = "predicted_class",
+    actual: str | None = None,
 ) -> DataFrame:
     """Tumbling minutes by event time. Rows later than the watermark are dropped and counted by the query.
 
+    With ``classes`` there is a map of flows by predicted class, with ``actual`` the correct and the labelled flows and
+    the accuracy in percent.
+
     The session, if any, is part of the group, and counts combine before the shuffle: a busy minute is
     one row for each input task.
     """
     timed = scored.withColumn("ts__", F.col(ts).cast("timestamp")).withWatermark("ts__", lateness)
-    return timed.groupBy(*session, F.window("ts__", "1 minute").alias("w")).agg(*level_counts(level)).select(
-        *session, F.col("w.start").alias("minute"), "total", "threats", "suspicious", "clean"
-    )
+    more, shown = [], []
+    if classes:
+        counts = [F.count_if(F.col(predicted) == c) for c in classes]
+        more.append(F.create_map(*[x for c, n in zip(classes, counts) for x in (F.lit(c), n)]).alias("by_class"))
+        shown.append("by_class")
+    if actual:
+        more += [F.count_if(F.col(predicted) == F.col(actual)).alias("correct"), F.count(actual).alias("labelled")]
+        shown += ["correct", "labelled", percent(F.col("correct"), F.col("labelled")).alias("accuracy_pct")]
+    grouped = timed.groupBy(*session, F.window("ts__", "1 minute").alias("w")).agg(*level_counts(level), *more)
+    return grouped.select(*session, F.col("w.start").alias("minute"), "total", "threats", "suspicious", "clean", *shown)
