@@ -93,17 +93,16 @@ def nearest(
     take no part, nor do rows with a NULL id. Vectors meet those of their own length only. An id stands for one query;
     repeated rows are candidates each. With fewer than ``k`` candidates all are returned; an empty table gives none.
     """
-    spark = vectors.sparkSession
     own = vectors.select(
         vectors[vec_id].cast("long").alias("id"),
         F.when(usable(vectors[vector]), vectors[vector].cast("array<double>")).alias("v"),
         is_query.alias("q"),
     ).filter("v IS NOT NULL AND id IS NOT NULL")
     own = own.withColumn("dim", F.size("v"))
-    # one row for each length of vector, so a few
-    sizes = own.groupBy("dim").agg(F.count("*").alias("n")).select("dim", F.ceil(F.col("n") / shard_rows).cast("int").alias("shards"))
-    sizes = spark.createDataFrame(sizes.collect(), sizes.schema)
-    own = own.join(sizes, "dim")
+    # one number for each length of vector, as an expression: a join on the length would be a join on one hot key
+    sizes = own.groupBy("dim").agg(F.ceil(F.count("*") / shard_rows).cast("int").alias("shards")).collect()
+    shards = F.create_map(*[F.lit(x) for r in sizes for x in (r["dim"], r["shards"])]) if sizes else F.create_map().cast("map<int,int>")
+    own = own.withColumn("shards", F.try_element_at(shards, F.col("dim")))
     data = own.select("dim", F.pmod(F.xxhash64("id", "v"), "shards").cast("int").alias("shard"), F.lit(0).alias("kind"), "id", "v")
     queries = own.filter("q").dropDuplicates(["id"])
     queries = queries.select("dim", F.explode(F.sequence(F.lit(0), F.col("shards") - 1)).alias("shard"), F.lit(1).alias("kind"), "id", "v")
