@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections import defaultdict
-from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -60,21 +59,32 @@ def _reader(spark: SparkSession, names: tuple[str, ...], mode: str):
     )
 
 
-def scan_csv_dir(spark: SparkSession, folder: str, threads: int = 16) -> ParsedFlows:
+def first_lines(spark: SparkSession, folder: str, pattern: str = "*.csv") -> DataFrame:
+    """(path, line): the first line of each file that is not empty, for all files in one job."""
+    lines = spark.read.option("pathGlobFilter", pattern).option("recursiveFileLookup", "true").text(folder)
+    path = F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B")))
+    begin = lines.filter((F.col("_metadata.file_block_start") == 0) & (F.trim("value") != ""))
+    numbered = begin.select(path.alias("path"), "value", F.monotonically_increasing_id().alias("no"))
+    return numbered.groupBy("path").agg(F.min_by("value", "no").alias("line"))
+
+
+def scan_csv_dir(spark: SparkSession, folder: str) -> ParsedFlows:
     """Every ``*.csv`` below a folder, unioned by column name, all columns as text.
 
     Files are grouped by their header line, because one read of files with different column orders
-    would map them by position. Only file names and header lines reach the driver.
+    would map them by position. Only file names and header lines reach the driver, from one job for all files;
+    a header is parsed once, however many files have it. Files without a line are left out.
     """
-    paths = sorted(r.path for r in list_files(spark, folder).select("path").collect())
-    if not paths:
+    by_line: dict[str, list[str]] = defaultdict(list)
+    for r in first_lines(spark, folder).collect():
+        by_line[r["line"]].append(r["path"])
+    if not by_line:
         raise FileNotFoundError(f"no CSV files in {folder}")
-    with ThreadPoolExecutor(threads) as pool:
-        headers = list(pool.map(lambda p: read_header(spark, p), paths))
     groups: dict[tuple[str, ...], list[str]] = defaultdict(list)
-    for path, header in zip(paths, headers):
+    for paths in by_line.values():
+        header = read_header(spark, min(paths))
         require_header(list(header))
-        groups[header].append(path)
+        groups[header] += sorted(paths)
 
     good, rejected = None, None
     for header, members in groups.items():

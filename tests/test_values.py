@@ -9,7 +9,7 @@ from flowsieve.functions import threat
 from flowsieve.operators import clean, encode, evaluate, profile, rollup
 from flowsieve.operators.balance import oversampling_targets
 from flowsieve.schema import detect_label_last, require_header
-from flowsieve.sources.csv_flows import coerce_numeric, field_count
+from flowsieve.sources.csv_flows import coerce_numeric, field_count, scan_csv_dir
 
 INF, NAN = float("inf"), float("nan")
 
@@ -126,3 +126,22 @@ def test_header_helpers():
     with pytest.raises(ValueError):
         require_header(["1", "2.5"])
     require_header(["1", "x"])
+
+
+def test_csv_folder_jobs_do_not_follow_the_files(spark, tmp_path):
+    def jobs(n):
+        folder = tmp_path / f"f{n}"
+        folder.mkdir()
+        for i in range(n):
+            head, row = ("a,Label", f"{i},x") if i % 2 else ("Label,a", f"x,{i}")
+            (folder / f"part +{i} %.csv").write_text(f"\n{head}\n{row}\n")
+        (folder / "empty.csv").write_text("")
+        group = f"jobs-{n}"
+        spark.sparkContext.setJobGroup(group, group)
+        parsed = scan_csv_dir(spark, str(folder))
+        made = len(spark.sparkContext.statusTracker().getJobIdsForGroup(group))
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+        assert sorted(tuple(r) for r in parsed.good.select("Label", F.col("a").cast("int")).collect()) == [("x", i) for i in range(n)]
+        return made
+
+    assert jobs(4) == jobs(24)
