@@ -2,7 +2,7 @@
 
 Vectors are dealt to shards of bounded size. A shard keeps, for each of many random projections, its vectors in a
 sorted array. A query opens a window around its own projection in every array; virtual rehashing widens all windows
-with the search radius, and only the newly covered parts are counted. A vector that collides with the query in enough
+with the search radius. A vector that collides with the query in enough
 arrays is verified with its exact cosine. A query is done in a shard once it has enough verified vectors within the
 radius; beyond the largest radius all vectors left are verified. There is no limit on candidates. Queries visit the
 shards in blocks; the best of all shards are merged.
@@ -34,8 +34,11 @@ class Shard:
         self.norms = np.sqrt((vectors * vectors).sum(1))
         self.directions = np.random.default_rng(seed).normal(size=(PROJECTIONS, vectors.shape[1]))
         values = ((vectors / self.norms[:, None]) @ self.directions.T).T
-        self.order = np.argsort(values, axis=1).astype(np.int32)
-        self.values = np.take_along_axis(values, self.order, axis=1)
+        order = np.argsort(values, axis=1)
+        self.values = np.take_along_axis(values, order, axis=1)
+        # The place of each vector in each sorted array: a window is an interval of places.
+        self.places = np.empty(values.shape, np.uint16 if len(ids) < 1 << 16 else np.uint32)
+        np.put_along_axis(self.places, order, np.arange(len(ids), dtype=self.places.dtype)[None, :], axis=1)
         chance = math.erf(HALF_WINDOW / math.sqrt(2))
         self.needed = max(1, int(PROJECTIONS * chance - SLACK * math.sqrt(PROJECTIONS * chance * (1 - chance))))
 
@@ -44,11 +47,8 @@ class Shard:
 
     def search(self, ids: np.ndarray, queries: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
         """(place of the query, ids, cosines) of its best vectors here, best first, its own left out."""
-        n, norms = len(self.ids), np.sqrt((queries * queries).sum(1))
+        norms = np.sqrt((queries * queries).sum(1))
         centre = (queries / norms[:, None]) @ self.directions.T
-        counts = np.zeros((len(queries), n), np.int32)
-        left = np.stack([np.searchsorted(v, c) for v, c in zip(self.values, centre.T)], axis=1)
-        right = left.copy()
         open_ = [self.ids != i for i in ids]  # not yet verified
         found = [(np.empty(0, np.int64), np.empty(0)) for _ in ids]
         active, radius = list(range(len(ids))), FIRST_RADIUS
@@ -56,18 +56,19 @@ class Shard:
             last = radius >= 2
             if not last:
                 half = HALF_WINDOW * radius
-                low = np.stack([np.searchsorted(v, c - half, "left") for v, c in zip(self.values, centre[active].T)], axis=1)
-                high = np.stack([np.searchsorted(v, c + half, "right") for v, c in zip(self.values, centre[active].T)], axis=1)
+                near = list(zip(self.values, centre[active].T))
+                low = np.stack([np.searchsorted(v, c - half, "left") for v, c in near], axis=1).astype(self.places.dtype)
+                high = np.stack([np.searchsorted(v, c + half, "right") for v, c in near], axis=1).astype(self.places.dtype)
+                width = high - low
             still = []
             for at, q in enumerate(active):
                 if last:
                     rows = np.flatnonzero(open_[q])
                 else:
-                    new = [o[a:b] for o, a, b in zip(self.order, low[at].tolist(), left[q].tolist())]
-                    new += [o[a:b] for o, a, b in zip(self.order, right[q].tolist(), high[at].tolist())]
-                    counts[q] += np.bincount(np.concatenate(new), minlength=n).astype(np.int32)
-                    left[q], right[q] = np.minimum(left[q], low[at]), np.maximum(right[q], high[at])
-                    rows = np.flatnonzero(open_[q] & (counts[q] >= self.needed))
+                    # Unsigned: a place below the window wraps around and is outside, too.
+                    inside = self.places - low[at][:, None] < width[at][:, None]
+                    collisions = np.add.reduce(inside.view(np.uint8), axis=0, dtype=np.uint8)  # fewer than 256 arrays
+                    rows = np.flatnonzero(open_[q] & (collisions >= self.needed))
                 open_[q][rows] = False
                 found[q] = (np.append(found[q][0], rows), np.append(found[q][1], self.cosines(queries[q], norms[q], rows)))
                 if not last and (found[q][1] >= 1 - radius * radius / 2).sum() < self.k:
