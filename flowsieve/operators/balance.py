@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from math import ceil, sqrt
 
 import numpy as np
@@ -21,6 +22,8 @@ BLOCK_ROWS = 8192
 _PLACE = 1 << 32  # cells are numbered above the blocks inside them
 QUERY_CHUNK = 256
 EXPLODE_ROWS = 10_000
+#: Sorted orders of the hashed search, and signs that make one.
+HASH_TABLES, HASH_BITS = 8, 48
 
 
 def second_largest(df: DataFrame, label: str) -> DataFrame:
@@ -56,6 +59,18 @@ def oversampling_targets(
     )
 
 
+def _class(c):
+    """A class as Spark names it: pandas turns NULL into NaN."""
+    return None if pd.isna(c) else c
+
+
+def _rows_by_class(batch: pd.DataFrame):
+    """(class, places of its rows) for each class of a batch."""
+    codes, names = pd.factorize(batch["c"], use_na_sentinel=False)
+    for i, c in enumerate(names):
+        yield _class(c), np.flatnonzero(codes == i)
+
+
 def _matrix(column: pd.Series) -> np.ndarray:
     return np.stack(column.to_numpy()) if len(column) else np.zeros((0, 0))
 
@@ -147,7 +162,7 @@ def nearest_in_class(points: DataFrame, k: int, seed: int = 42, block_rows: int
     def assign(batches):
         for batch in batches:
             cell, reach = np.zeros(len(batch), dtype=int), np.zeros(len(batch))
-            for c, rows in batch.reset_index(drop=True).groupby("c", dropna=False).groups.items():
+            for c, rows in _rows_by_class(batch):
                 x = _matrix(batch["v"].iloc[rows])
                 best, own = np.full(len(x), np.inf), np.zeros(len(x), dtype=int)
                 for i, p in enumerate(pivots[c]):
@@ -158,15 +173,19 @@ def nearest_in_class(points: DataFrame, k: int, seed: int = 42, block_rows: int
             yield batch.assign(cell=cell, reach=reach)
 
     placed = materialise(points.mapInPandas(assign, celled), "knn-cells")
-    cells: dict = {}
-    for r in placed.groupBy("c", "cell").agg(all_rows().alias("n"), F.max("reach").alias("radius")).collect():
-        cells.setdefault(r["c"], {})[r["cell"]] = (ceil(r["n"] / block_rows), r["radius"])
-    block_count = F.create_map(
-        *[x for c, by in cells.items() for cell, (n, _) in by.items() for x in (F.lit(f"{c}\x1f{cell}"), F.lit(n))]
-    )
+    made = placed.groupBy("c", "cell").agg(all_rows().alias("n"), F.max("reach").alias("radius"))
+    made = materialise(made.withColumn("blocks", F.ceil(F.col("n") / block_rows).cast("int")), "knn-cell-sizes")
+    by_class: dict = {}
+    for r in made.collect():
+        by_class.setdefault(r["c"], []).append((r["cell"], r["blocks"], r["radius"]))
+    cells = {c: pd.DataFrame(sorted(rows), columns=["cell", "blocks", "radius"]) for c, rows in by_class.items()}
     spread = seeded_hash(["id"], seed + 1)
-    cell_key = F.concat(F.col("c").cast("string"), F.lit("\x1f"), F.col("cell").cast("string"))
-    blocked = placed.withColumn("block", (spread % F.try_element_at(block_count, cell_key)).cast("int"))
+    sized = made.select(F.col("c").alias("c__"), F.col("cell").alias("cell__"), "blocks")
+    blocked = (
+        placed.join(sized, F.col("c").eqNullSafe(F.col("c__")) & (F.col("cell") == F.col("cell__")))
+        .withColumn("block", (spread % F.col("blocks")).cast("int"))
+        .drop("c__", "cell__", "blocks")
+    )
 
     bounded_schema = T.StructType(blocked.schema.fields + [T.StructField("bound", T.DoubleType())])
 
@@ -181,21 +200,16 @@ def nearest_in_class(points: DataFrame, k: int, seed: int = 42, block_rows: int
 
     def targets(batches):
         for batch in batches:
-            wanted = []
-            for c, v, own, reach, bound in zip(batch["c"], batch["v"], batch["cell"], batch["reach"], batch["bound"]):
-                p = pivots[c]
-                d = np.sqrt(((p - np.asarray(v)) ** 2).sum(axis=1))
-                apart = np.sqrt(((p - p[own]) ** 2).sum(axis=1))
-                slack = 1e-9 * (1.0 + d.max()) + bound * (1 + 1e-9) if np.isfinite(bound) else np.inf
-                hits = []
-                for cell, (n, radius) in cells[c].items():
-                    if d[cell] - radius > slack:
-                        continue
-                    if apart[cell] > 0 and (d[cell] ** 2 - reach**2) / (2 * apart[cell]) > slack:
-                        continue
-                    hits += [cell * _PLACE + b for b in range(n)]
-                wanted.append(hits)
-            yield batch[["c", "id", "v", "lane"]].assign(hits=wanted)
+            hits = np.empty(len(batch), dtype=object)
+            for c, rows in _rows_by_class(batch):
+                table = cells[c]
+                for start in range(0, len(rows), QUERY_CHUNK):
+                    part = rows[start : start + QUERY_CHUNK]
+                    wanted = _cells_in_reach(batch.iloc[part], pivots[c], table)
+                    blocks = [np.arange(n) + cell * _PLACE for cell, n in zip(table["cell"].astype("int64"), table["blocks"])]
+                    for at, row in zip(part, wanted):
+                        hits[at] = np.concatenate([np.empty(0, np.int64), *(blocks[j] for j in np.flatnonzero(row))])
+            yield batch[["c", "id", "v", "lane"]].assign(hits=hits)
 
     asked = T.StructType(
         [
@@ -213,22 +227,109 @@ def nearest_in_class(points: DataFrame, k: int, seed: int = 42, block_rows: int
         .select("c", "id", "v", "lane", F.explode("hits").alias("place"))
     )
     needed = searches.groupBy("c", "place", F.col("lane").alias("asker")).agg(all_rows().alias("queries"))
-    stores = blocked.select("c", "id", "v", "copies", place_of.alias("place")).join(
-        needed.select("c", "place", (F.col("asker") + 0).alias("lane")), ["c", "place"]
-    )
+    wanted = needed.select(F.col("c").alias("c__"), F.col("place").alias("place__"), (F.col("asker") + 0).alias("lane"))
+    stored = blocked.select("c", "id", "v", "copies", place_of.alias("place"))
+    stores = stored.join(wanted, F.col("c").eqNullSafe(F.col("c__")) & (F.col("place") == F.col("place__"))).drop("c__", "place__")
     place = ["c", "place", "lane"]
     found = searches.groupBy(*place).cogroup(stores.groupBy(*place)).applyInPandas(search, result)
     return _ranked(found, k)
 
 
+def _cells_in_reach(asking: pd.DataFrame, pivots: np.ndarray, cells: pd.DataFrame) -> np.ndarray:
+    """For each query and cell: whether the triangle inequality lets the cell hold a point within the query's bound."""
+    x, own = _matrix(asking["v"]), asking["cell"].to_numpy()
+    reach, bound = asking["reach"].to_numpy()[:, None], asking["bound"].to_numpy()[:, None]
+    centres, radius = pivots[cells["cell"].to_numpy()], cells["radius"].to_numpy()[None, :]
+    d = np.stack([np.sqrt(((x - p) ** 2).sum(axis=1)) for p in centres], axis=1)
+    apart = np.stack([np.sqrt(((pivots[own] - p) ** 2).sum(axis=1)) for p in centres], axis=1)
+    slack = bound * (1 + 1e-9) + 1e-9 * (1.0 + d.max(axis=1, keepdims=True))
+    with np.errstate(divide="ignore", invalid="ignore"):
+        beyond = (apart > 0) & ((d * d - reach * reach) / (2 * apart) > slack)
+    return (d - radius <= slack) & ~beyond
+
+
 def _ranked(found: DataFrame, k: int) -> DataFrame:
-    """The k nearest of what the searched blocks found for each point, at most k from each."""
-    best = F.slice(F.sort_array(F.collect_list(F.struct("distance", "neighbour", "copies"))), 1, k)
-    merged = found.groupBy("c", "id").agg(best.alias("best"))
-    return merged.select("c", "id", F.posexplode("best").alias("pos", "b")).select(
-        "c", "id", F.col("b.neighbour").alias("neighbour"), F.col("b.distance").alias("distance"),
-        F.col("b.copies").alias("copies"), (F.col("pos") + 1).alias("rank"),
+    """The k nearest of what the searches found for each point; no list of all that was found is made."""
+    order = W.partitionBy("c", "id").orderBy("distance", "neighbour")
+    ranked = found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
+    return ranked.select("c", "id", "neighbour", "distance", "copies", "rank")
+
+
+def hashed_neighbours(
+    points: DataFrame, k: int, seed: int = 42, block_rows: int = BLOCK_ROWS, tables: int = HASH_TABLES
+) -> DataFrame:
+    """(c, id, neighbour, distance, copies, rank): k near other points of the same class, by hashed order.
+
+    For classes too large for the exact search of ``nearest_in_class``: work grows with the rows, not their square.
+    Each table sorts the points of a class by the signs of random directions around the class mean, so that near
+    points tend to stand together, and compares runs of ``block_rows`` points that overlap by half. Distances are
+    exact; some nearest points may be missed. ``tables`` raises recall, at proportional cost. Runs begin where Spark's
+    range partitions do, so another partitioning may find others. Points with ``asks`` ask, and all of them get ``k``.
+    """
+    id_type, class_type = points.schema["id"].dataType, points.schema["c"].dataType
+    at = F.posexplode("v").alias("axis", "x")
+    means = points.select("c", at).groupBy("c", "axis").agg(F.avg("x").alias("mean"))
+    centre = materialise(
+        means.groupBy("c").agg(F.transform(F.sort_array(F.collect_list(F.struct("axis", "mean"))), lambda m: m["mean"]).alias("centre")),
+        "hash-centres",
+    ).withColumnRenamed("c", "c__")
+    placed = points.join(centre, F.col("c").eqNullSafe(F.col("c__"))).drop("c__")
+    coded_schema = T.StructType(points.schema.fields + [T.StructField("part", T.IntegerType()), T.StructField("code", T.LongType())])
+
+    def encode(batches):
+        for batch in batches:
+            if not len(batch):
+                continue
+            x = _matrix(batch["v"]) - _matrix(batch["centre"])
+            for part in range(tables):
+                directions = np.random.default_rng([seed, part]).normal(size=(x.shape[1], HASH_BITS))
+                code = (x @ directions > 0) @ (1 << np.arange(HASH_BITS, dtype=np.int64)[::-1])
+                yield batch.drop(columns="centre").assign(part=part, code=code)
+
+    def search(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        return _nearest_block(rows[rows["asks"]], rows, k).assign(c=key[1])[["c", "id", "neighbour", "distance", "copies"]]
+
+    def compare(batches):
+        here, held = None, None
+        for batch in batches:
+            for (part, c), rows in batch.groupby(["part", "c"], dropna=False, sort=False):
+                if (part, _class(c)) != here:
+                    if held is not None:
+                        yield search(here, held)
+                    here, held = (part, _class(c)), rows
+                else:
+                    held = pd.concat([held, rows], ignore_index=True)
+                while len(held) > block_rows:
+                    yield search(here, held.iloc[:block_rows])
+                    held = held.iloc[block_rows // 2 :]
+        if held is not None:
+            yield search(here, held)
+
+    result = T.StructType(
+        [
+            T.StructField("c", class_type),
+            T.StructField("id", id_type),
+            T.StructField("neighbour", id_type),
+            T.StructField("distance", T.DoubleType()),
+            T.StructField("copies", T.LongType()),
+        ]
+    )
+    sorted_points = (
+        placed.mapInPandas(encode, coded_schema)
+        .repartitionByRange("part", "c", "code", "id")
+        .sortWithinPartitions("part", "c", "code", "id")
     )
+    found = materialise(_ranked(sorted_points.mapInPandas(compare, result).distinct(), k), "hashed-neighbours")
+    # A point alone in its runs, as at the edge of a partition, is asked again exactly.
+    due = points.groupBy(F.col("c").alias("c__")).agg(F.least(F.count(F.lit(1)) - 1, F.lit(k)).alias("due"))
+    got = found.groupBy(F.col("id").alias("id__")).agg(all_rows().alias("got"))
+    counted = points.join(due, F.col("c").eqNullSafe(F.col("c__"))).join(got, F.col("id") == F.col("id__"), "left")
+    short = F.col("asks") & (F.coalesce("got", F.lit(0)) < F.col("due"))
+    rest = materialise(counted.select(*[c for c in points.columns if c != "asks"], short.alias("asks")), "hashed-rest")
+    if rest.filter("asks").isEmpty():
+        return found
+    again = nearest_in_class(rest, k, seed, block_rows)
+    return found.join(rest.filter("asks").select("id"), "id", "left_anti").select(*again.columns).unionAll(again)
 
 
 def synthetic_rows(
@@ -241,12 +342,13 @@ def synthetic_rows(
     seed: int = 42,
     portable: bool = False,
     block_rows: int = BLOCK_ROWS,
+    neighbours: Callable[..., DataFrame] = nearest_in_class,
 ) -> DataFrame:
     """Exactly ``extra[class]`` rows x + g (y - x), y one of the k nearest neighbours of x in its class.
 
     Every row of a class is a seed equally often, the remainder going to rows in hash order; the
     neighbour and the gap g come from hashes of the seed and its repetition. A copy of the seed is a
-    neighbour at distance 0.
+    neighbour at distance 0. ``neighbours`` is the search: exact, or ``hashed_neighbours`` for very large classes.
     """
     if not extra:
         raise ValueError("no class to enlarge")
@@ -272,7 +374,7 @@ def synthetic_rows(
         "smote-points",
     )
     asking = points.select("c", "v", "id", "copies", (F.col("quota") > 0).alias("asks"))
-    near = nearest_in_class(asking, k, seed, block_rows)
+    near = neighbours(asking, k, seed, block_rows)
     ladder = near.groupBy("c", "id").agg(
         F.sort_array(F.collect_list(F.struct("rank", "neighbour", "copies"))).alias("ladder")
     )

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from flowsieve.functions.hashing import seeded_hash
 from flowsieve.functions.values import everything
 from flowsieve.operators import clean, encode, evaluate, learn, sample
-from flowsieve.operators.balance import distinct_points, nearest_in_class, oversample, oversampling_targets, synthetic_rows
+from flowsieve.operators.balance import distinct_points, hashed_neighbours, nearest_in_class, oversample, oversampling_targets, synthetic_rows
 from flowsieve.operators.correlate import correlated_features_to_drop, correlation_pairs
 from flowsieve.operators.score import Scorer
 from flowsieve.plans.fixtures import FLOWS, MAPPED, flows
@@ -135,6 +135,21 @@ def _(spark, d):
     return rounded(near.select("c", "id", "neighbour", "distance", F.col("rank").cast("long").alias("rank")))
 
 
+@query("e4_hashed_neighbours", """SELECT label AS c, count(*) AS points, 5 * count(*) AS pairs, true AS measured FROM embeddings GROUP BY 1""")
+def _(spark, d):
+    """Five other points of the same class for every point, at their true distances, from runs of 128 points."""
+    points = distinct_points(vectors(spark, d), "label", "vec_id", AXES)
+    near = hashed_neighbours(points, 5, block_rows=128)
+    own = points.select(F.col("c").alias("kind"), "id", F.col("v").alias("own"))
+    other = points.select(F.col("c").alias("other_kind"), F.col("id").alias("neighbour"), F.col("v").alias("other"))
+    square = F.aggregate(F.zip_with("own", "other", lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda a, b: a + b)
+    true_one = (F.abs(F.sqrt(square) - F.col("distance")) < 1e-9) & (F.col("kind") == F.col("other_kind")) & (F.col("id") != F.col("neighbour"))
+    checked = near.join(own, "id").join(other, "neighbour").withColumn("true_one", true_one)
+    return checked.groupBy("c").agg(
+        F.count_distinct("id").alias("points"), F.count_distinct("id", "neighbour").alias("pairs"), F.every("true_one").alias("measured")
+    )
+
+
 MD5 = "CAST('0x' || substr(md5({0}), 1, 15) AS BIGINT)"
 
 

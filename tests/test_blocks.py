@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from flowsieve.functions.values import ordered_bits
-from flowsieve.operators.balance import distinct_points, nearest_in_class, synthetic_rows
+from flowsieve.operators.balance import distinct_points, hashed_neighbours, nearest_in_class, synthetic_rows
 from flowsieve.operators.encode import class_list, encode_label
 from flowsieve.operators.evaluate import auc_by_class, roc_points
 from flowsieve.operators.learn import with_class_weight
@@ -90,6 +90,32 @@ def test_neighbours_equal_brute_force(spark, block_rows):
         assert [n for n, _ in mine] == [j for _, j in want]
 
 
+def clusters(spark, n=3000, dims=12, seed=8):
+    """Three classes of unequal size around common centres; one class has no name."""
+    rng = np.random.default_rng(seed)
+    centres = rng.normal(size=(60, dims)) * 3
+    rows = [(i, [None, "a", "a", "a", "b"][i % 5], [float(x) for x in centres[i % 60] + rng.normal(size=dims) * 0.4]) for i in range(n)]
+    return rows, spark.createDataFrame([(c, v, i, 1, i % 2 == 0) for i, c, v in rows], "c string, v array<double>, id long, copies long, asks boolean")
+
+
+def test_hashed_neighbours_find_most_and_enough(spark):
+    rows, df = clusters(spark)
+    want = {(r.id, r.neighbour): r.distance for r in nearest_in_class(df, 5, block_rows=200).collect()}
+    got = {(r.id, r.neighbour): r.distance for r in hashed_neighbours(df, 5, block_rows=200).collect()}
+    assert len(got) == len(want) == 5 * 1500
+    assert len(got.keys() & want.keys()) >= 0.9 * len(want)
+    v = {i: np.array(x) for i, _, x in rows}
+    assert all(abs(d - np.linalg.norm(v[a] - v[b])) < 1e-9 for (a, b), d in got.items())
+    tiny = df.filter("id < 23")
+    assert hashed_neighbours(tiny, 5, block_rows=4).groupBy("id").count().filter("count < 3").isEmpty()
+
+
+def test_synthetic_rows_with_hashed_neighbours(spark):
+    rows, df, axes = points(spark)
+    made = synthetic_rows(df, "label", "id", axes, {"s": 131, "m": 7}, block_rows=16, neighbours=hashed_neighbours)
+    assert {r.label: r["count"] for r in made.groupBy("label").count().collect()} == {"s": 131, "m": 7}
+
+
 def test_synthetic_rows_are_exact_in_number_and_between_neighbours(spark):
     rows, df, axes = points(spark)
     made = synthetic_rows(df, "label", "id", axes, {"s": 131, "m": 7}, block_rows=16).collect()
