@@ -22,8 +22,8 @@ from pyspark.sql import types as T
 
 from flowsieve.llm.text import plain_words, raw_texts, shingle_hashes, slices
 
-#: Words of items that go to the tasks at once; more items take further passes over the documents.
-BLOCK_WORDS = 1_000_000
+#: Bytes of items that go to the tasks at once; more items take further passes over the documents.
+BLOCK_BYTES = 6_000_000
 _BUCKETS_PER_SHINGLE = 8
 #: Chance that one shared shingle is not the smallest of its bucket, at that many buckets.
 _HIDDEN = 0.06
@@ -113,7 +113,7 @@ def find_leaks(
     characters, A-Z lowered) that the document has. A shorter text is one shingle, its whole word sequence; texts
     that are NULL or have no words contain and are contained in nothing. Repeated documents and repeated items give
     a row each; ids may be NULL. Only the named columns are read. Documents stay where they are: items go to the
-    tasks in blocks of at most ``BLOCK_WORDS`` words (an item that alone has more is a block of its own).
+    tasks in blocks of about ``BLOCK_BYTES`` bytes, whatever stands between their words.
     """
     spark = documents.sparkSession
     docs = documents.select(documents[doc_id].alias("doc_id"), documents[text].alias("text"))
@@ -132,9 +132,9 @@ def find_leaks(
 
 
 def _blocks(items: DataFrame) -> Iterator[list[tuple[int, bytes]]]:
-    """The items in blocks of about ``BLOCK_WORDS`` words, each small enough to go to every task."""
-    total = items.agg(F.sum(F.size(F.split("text", " ")))).head()[0] or 0
-    blocks = math.ceil(total / BLOCK_WORDS)
+    """The items in blocks of about ``BLOCK_BYTES`` bytes, each small enough to go to every task."""
+    total = items.agg(F.sum(F.octet_length("text"))).head()[0] or 0
+    blocks = math.ceil(total / BLOCK_BYTES)
     key = F.pmod(F.xxhash64("item_id", "text"), F.lit(max(blocks, 1)))
     for block in range(blocks):
         yield [(r[0], (r[1] or "").encode()) for r in items.filter(key == block).collect()]

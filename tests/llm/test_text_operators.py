@@ -82,7 +82,7 @@ def test_leaks(spark, odd, empty):
 def test_leaks_in_blocks_of_items(spark, documents, monkeypatch):
     items = spark.read.parquet(f"{SF}/benchmark.parquet")
     whole = pairs(leaks.find_leaks(documents, items), "doc_id", "item_id")
-    monkeypatch.setattr(leaks, "BLOCK_WORDS", 300)
+    monkeypatch.setattr(leaks, "BLOCK_BYTES", 2000)
     assert pairs(leaks.find_leaks(documents, items), "doc_id", "item_id") == whole and whole
 
 
@@ -243,6 +243,17 @@ def test_packing_matches_trying_every_bin():
     assert got == want
 
 
+def test_repeated_rows_are_spread_over_groups(spark, monkeypatch):
+    monkeypatch.setattr(packing, "RUN_ROWS", 64)
+    docs = spark.createDataFrame([(None, "the same words", None)] * 500 + [(7, "x y", "s")], "doc_id long, text string, source string")
+    got = packing.pack(docs, capacity=8, group_rows=50).collect()
+    sizes = {}
+    for r in got:
+        group = r.bin_id.split(":")[0]
+        sizes[group] = sizes.get(group, 0) + 1
+    assert len(got) == 501 and len(sizes) == 11 and max(sizes.values()) < 100
+
+
 def test_packing_keeps_every_token(spark, odd, empty):
     docs = odd[1]
     got = packing.pack(docs, capacity=64, group_rows=40).collect()
