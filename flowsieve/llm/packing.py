@@ -4,7 +4,7 @@ Bins are kept ordered by what is left in them. Each carries a bitmap of the sour
 it holds. A piece, longest first, looks up the first bin that has room for it and goes on to the next larger rest until
 it finds one with neither its source nor its cluster: the tightest compatible bin. Documents are dealt to groups of
 bounded size by a hash of their id, so every source and every cluster is spread over all groups, and each group is
-packed by itself.
+packed by itself. Rows that are alike in all of this are numbered first and dealt by their number, too.
 """
 
 from __future__ import annotations
@@ -20,6 +20,8 @@ from pyspark.sql import types as T
 
 CAPACITY = 2048
 GROUP_ROWS = 2048
+#: Repeats of a row that are numbered in one piece.
+RUN_ROWS = 10_000
 
 
 def words(text: Column) -> Column:
@@ -75,7 +77,11 @@ def pack(
         documents[doc_id].alias("doc_id"), n.alias("n"), documents[source].cast("string").alias("source"), alike.cast("string").alias("cluster")
     )
     groups = max(1, math.ceil(documents.count() / group_rows))
-    dealt = rows.withColumn("group", F.pmod(F.xxhash64("doc_id", "cluster"), F.lit(groups)))
+    alike_rows = rows.groupBy("doc_id", "n", "source", "cluster").agg(F.count("*").alias("times"))
+    runs = alike_rows.withColumn("run", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("times") - 1) / RUN_ROWS))))
+    first = F.col("run") * RUN_ROWS
+    each = runs.withColumn("copy", F.explode(F.sequence(first, F.least(first + RUN_ROWS, F.col("times")) - 1)))
+    dealt = each.select("doc_id", "n", "source", "cluster", F.pmod(F.xxhash64("doc_id", "cluster", "copy"), F.lit(groups)).alias("group"))
     schema = T.StructType(
         [
             T.StructField("doc_id", documents.schema[doc_id].dataType),
