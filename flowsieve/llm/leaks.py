@@ -19,6 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from flowsieve.llm.text import plain_words, raw_texts, shingle_hashes, slices
 
@@ -141,6 +142,8 @@ def _blocks(items: DataFrame) -> Iterator[list[tuple[int, bytes]]]:
 
 
 def _searcher(rows: list[tuple[int, bytes]], width: int, threshold: float, miss: float, schema: T.StructType):
+    out = to_arrow_schema(schema)
+
     def search(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index = ItemIndex(rows, width, threshold, miss)
         for part in slices(batches, "text"):
@@ -152,8 +155,8 @@ def _searcher(rows: list[tuple[int, bytes]], width: int, threshold: float, miss:
             if found:
                 columns = list(zip(*found))
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("doc_id").take(pa.array(at, pa.int64())), *(pa.array(list(c)) for c in columns)],
-                    names=schema.names,
+                    [part.column("doc_id").take(pa.array(at, pa.int64())), *(pa.array(c, k) for c, k in zip(columns, out.types[1:]))],
+                    names=out.names,
                 )
 
     return search

@@ -17,6 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 CAPACITY = 2048
 GROUP_ROWS = 2048
@@ -97,15 +98,16 @@ def pack(
         for batch in batches:
             for row in zip(*(batch.column(c).to_pylist() for c in ("group", "doc_id", "n", "source", "cluster"))):
                 if row[0] != here:
-                    yield from _packed(here, held, capacity, schema)
+                    yield from _packed(here, held, capacity, out)
                     here, held = row[0], []
                 held.append(row[1:])
-        yield from _packed(here, held, capacity, schema)
+        yield from _packed(here, held, capacity, out)
 
+    out = to_arrow_schema(schema)
     return dealt.repartition("group").sortWithinPartitions("group", F.desc("n"), "doc_id", "cluster", "source").mapInArrow(fill, schema)
 
 
-def _packed(group: int | None, rows: list[tuple], capacity: int, schema: T.StructType) -> Iterator[pa.RecordBatch]:
+def _packed(group: int | None, rows: list[tuple], capacity: int, schema: pa.Schema) -> Iterator[pa.RecordBatch]:
     """One group, its rows longest first. Whole bins come from long documents, rests are packed with the others."""
     if group is None:
         return
@@ -123,5 +125,4 @@ def _packed(group: int | None, rows: list[tuple], capacity: int, schema: T.Struc
     out = [(d, p, n, f"{group}:{begun + i}", 0) for i, (d, p, n) in enumerate(full)]
     out += [(p[0], p[1], p[2], f"{group}:{b}", o) for p, (b, o) in zip(parts, places)]
     columns = list(zip(*out))
-    kinds = [pa.int64(), pa.int64(), pa.string(), pa.int64()]
-    yield pa.RecordBatch.from_arrays([pa.array(columns[0]), *(pa.array(c, k) for c, k in zip(columns[1:], kinds))], names=schema.names)
+    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, schema.types)], schema=schema)

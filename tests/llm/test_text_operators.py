@@ -86,6 +86,17 @@ def test_leaks_in_blocks_of_items(spark, documents, monkeypatch):
     assert pairs(leaks.find_leaks(documents, items), "doc_id", "item_id") == whole and whole
 
 
+def test_ids_of_other_types_or_none_at_all(spark):
+    docs = spark.createDataFrame([(None, "one two three four five six seven", None)] * 3, "doc_id int, text string, source string")
+    for kind in ("int", "string", "long"):
+        items = spark.createDataFrame([(None, "two three four five six")], f"item_id {kind}, text string")
+        rows_ = leaks.find_leaks(docs, items).collect()
+        assert [(r.doc_id, r.item_id, r.n_item, r.n_shared, r.containment) for r in rows_] == [(None, None, 1, 1, 1.0)] * 3
+    items = spark.createDataFrame([(4, "two three four five six")], "item_id int, text string")
+    assert [r.item_id for r in leaks.find_leaks(docs, items).collect()] == [4] * 3
+    assert packing.pack(docs).agg({"n_tokens": "sum"}).head()[0] == 21
+
+
 def test_short_items_are_searched_under_several_orders():
     index = leaks.ItemIndex([(i, f"t{i}a t{i}b t{i}c t{i}d t{i}e".encode()) for i in range(300)], 5, 0.8, 1e-6)
     assert len(index.orders) >= 4
