@@ -18,7 +18,7 @@ from flowsieve.session import materialise, scratch_path
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with a language; those without one (``und``) go. Learned from the training fold of the documents."""
+    """Documents with a letter, ``lang`` their predicted language. Learned from the training fold of the documents."""
     model = languages.train(docs.filter(~languages.held_out(F.col("doc_id"))))
     return languages.keep_identified(docs, model)
 

@@ -174,11 +174,23 @@ def identify(documents: DataFrame, model: LanguageModel, doc_id: str = "doc_id",
 
 
 def keep_identified(documents: DataFrame, model: LanguageModel) -> DataFrame:
-    """The documents, all columns, without those whose language is ``und``."""
+    """The documents with a letter, all columns; ``lang``, where there is one, becomes the predicted language.
+
+    Labels give way to the prediction, right or wrong. If no language was learned nothing is predicted: documents with
+    a letter stay, labels as they are.
+    """
 
     def keep(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, "text"):
-            yield part.filter(pa.array([model.predict(raw)[0] != UNKNOWN for raw in raw_texts(part, "text")], pa.bool_()))
+            raws = raw_texts(part, "text")
+            if not model.languages:
+                yield part.filter(pa.array([has_letter(raw) for raw in raws], pa.bool_()))
+                continue
+            found = [model.predict(raw)[0] for raw in raws]
+            if "lang" in part.schema.names:
+                at = part.schema.get_field_index("lang")
+                part = part.set_column(at, part.schema.field(at), pa.array(found, pa.string()).cast(part.schema.field(at).type))
+            yield part.filter(pa.array([x != UNKNOWN for x in found], pa.bool_()))
 
     return documents.mapInArrow(keep, documents.schema)
 
