@@ -13,6 +13,7 @@ from flowsieve.llm import language_model, languages
 from flowsieve.llm.collision_search import nearest
 from flowsieve.llm.leaks import find_leaks, leaks_sql
 from flowsieve.llm.licences import licence_digest, licences_sql, scan_licences
+from flowsieve.llm.near_copies import near_copy_clusters
 from flowsieve.llm.packing import pack
 from flowsieve.llm.pii import find_pii, pii_digest
 from flowsieve.llm.secrets import scan_history, span_digest
@@ -68,7 +69,8 @@ def op8_pii_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pack(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "source"))
+    documents = near_copy_clusters(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return pack(documents, cluster=documents["cluster"], length=documents["n"])
 
 
 def op10_benchmark_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
