@@ -18,9 +18,12 @@ from flowsieve.session import materialise, scratch_path
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with a letter, ``lang`` their predicted language. Learned from the training fold of the documents."""
+    """Documents with a letter, ``lang`` their predicted language. Learned from the training fold of the documents.
+
+    If that has no label, no language can be told: labels stay as they are.
+    """
     model = languages.train(docs.filter(~languages.held_out(F.col("doc_id"))))
-    return languages.keep_identified(docs, model)
+    return languages.keep_identified(docs, model) if model.languages else languages.keep_letters(docs)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

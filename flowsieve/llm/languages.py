@@ -176,17 +176,13 @@ def identify(documents: DataFrame, model: LanguageModel, doc_id: str = "doc_id",
 def keep_identified(documents: DataFrame, model: LanguageModel) -> DataFrame:
     """The documents with a letter, all columns; ``lang``, where there is one, becomes the predicted language.
 
-    Labels give way to the prediction, right or wrong. If no language was learned nothing is predicted: documents with
-    a letter stay, labels as they are.
+    Labels give way to the prediction, right or wrong. If no language was learned all are ``und`` and none is left;
+    ``keep_letters`` is for that case.
     """
 
     def keep(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, "text"):
-            raws = raw_texts(part, "text")
-            if not model.languages:
-                yield part.filter(pa.array([has_letter(raw) for raw in raws], pa.bool_()))
-                continue
-            found = [model.predict(raw)[0] for raw in raws]
+            found = [model.predict(raw)[0] for raw in raw_texts(part, "text")]
             if "lang" in part.schema.names:
                 at = part.schema.get_field_index("lang")
                 part = part.set_column(at, part.schema.field(at), pa.array(found, pa.string()).cast(part.schema.field(at).type))
@@ -195,6 +191,16 @@ def keep_identified(documents: DataFrame, model: LanguageModel) -> DataFrame:
     return documents.mapInArrow(keep, documents.schema)
 
 
+def keep_letters(documents: DataFrame) -> DataFrame:
+    """The documents with a letter, as they are."""
+
+    def keep(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in slices(batches, "text"):
+            yield part.filter(pa.array([has_letter(raw) for raw in raw_texts(part, "text")], pa.bool_()))
+
+    return documents.mapInArrow(keep, documents.schema)
+
+
 def in_training(doc_id: object, folds: int) -> bool:
     """The fold rule on one id, as the tests use it."""
     return doc_id is not None and zlib.crc32(str(doc_id).encode()) % folds != 0
