@@ -15,6 +15,7 @@ from flowsieve.llm.leaks import find_leaks, leaks_sql
 from flowsieve.llm.licences import licence_digest, licences_sql, scan_licences
 from flowsieve.llm.near_copies import near_copy_clusters
 from flowsieve.llm.packing import pack
+from flowsieve.llm.periodic import find_runs, run_digest, with_repeated_tails
 from flowsieve.llm.pii import find_pii, pii_digest
 from flowsieve.llm.secrets import scan_history, span_digest
 from flowsieve.llm.simhash import fingerprint_groups
@@ -77,6 +78,10 @@ def op10_benchmark_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_leaks(_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return run_digest(find_runs(with_repeated_tails(_documents(spark, sf_dir))))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = (
         op1_log_bilinear_scores,
@@ -89,6 +94,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         op8_pii_spans,
         op9_best_fit_packing,
         op10_benchmark_leaks,
+        op11_periodic_runs,
     )
     return {f.__name__: f for f in found} | {"pipeline": corpus_pipeline.run}
 

@@ -127,3 +127,19 @@ def best_fit(pieces, capacity):
         b["s"] |= s
         b["c"] |= c
     return out
+
+
+def runs(words, least=12, repeats=2):
+    """(start, length, period) of maximal stretches under every lag, the smallest lag for each stretch."""
+    n, found = len(words), {}
+    for q in range(1, n // repeats + 1):
+        i = q
+        while i < n:
+            a = i
+            while i < n and words[i] == words[i - q]:
+                i += 1
+            length = i - a + q
+            if i > a and length >= max(least, repeats * q):
+                found.setdefault((a - q, length), q)
+            i += i == a
+    return sorted((s, length, q) for (s, length), q in found.items())
