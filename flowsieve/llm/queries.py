@@ -10,7 +10,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from flowsieve.llm import language_model, languages
+from flowsieve.llm.centroids import cluster_digest, cluster_vectors, clusters_sql
 from flowsieve.llm.collision_search import nearest
+from flowsieve.llm.kd_shards import shard_documents
 from flowsieve.llm.leaks import find_leaks, leaks_sql
 from flowsieve.llm.licences import licence_digest, licences_sql, scan_licences
 from flowsieve.llm.near_copies import near_copy_clusters
@@ -82,6 +84,15 @@ def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return run_digest(find_runs(with_repeated_tails(_documents(spark, sf_dir))))
 
 
+def op12_centroid_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", "embedding")
+    return cluster_digest(*cluster_vectors(vectors))
+
+
+def op13_kd_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shard_documents(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = (
         op1_log_bilinear_scores,
@@ -95,10 +106,12 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         op9_best_fit_packing,
         op10_benchmark_leaks,
         op11_periodic_runs,
+        op12_centroid_clusters,
+        op13_kd_shards,
     )
     return {f.__name__: f for f in found} | {"pipeline": corpus_pipeline.run}
 
 
 def oracle_sql() -> dict[str, str]:
-    own = {"op5_license_scan": licences_sql(), "op10_benchmark_leaks": leaks_sql()}
+    own = {"op5_license_scan": licences_sql(), "op10_benchmark_leaks": leaks_sql(), "op12_centroid_clusters": clusters_sql()}
     return own | ({"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {})
