@@ -7,15 +7,18 @@ from math import ceil
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from flowsieve.functions.values import all_rows
+from flowsieve.session import materialise
 
 IDLE_SECONDS = 15.0
 AGE_SECONDS = 30.0
-CHUNK_ROWS = 2_000_000
-LANE_ROWS = 500_000
+#: Packets of a block, and step functions that one task composes.
+BLOCK_ROWS = 500_000
+FAN = 16
 NEVER = np.iinfo(np.int64).max
 
 
@@ -31,56 +34,61 @@ def _starts_after(t: np.ndarray, idle: int, age: int) -> np.ndarray:
     return np.minimum(by_gap, np.searchsorted(t, t + age, side="left"))
 
 
-def _last_starts(t: np.ndarray, following: np.ndarray) -> list[int]:
+def _last_starts(t: np.ndarray, following: np.ndarray) -> np.ndarray:
     """For a flow that starts at packet i: the start time of the last flow it leads to."""
     times, nxt, n = t.tolist(), following.tolist(), len(t)
     last = times[:]
     for i in range(n - 1, -1, -1):
         if nxt[i] < n:
             last[i] = last[nxt[i]]
-    return last
+    return np.asarray(last, np.int64)
 
 
-def _summarise(t: np.ndarray, begin: int, idle: int, age: int) -> tuple[list[int], list[int], int]:
-    """What a chunk does to a flow that is open when it begins.
+class Steps:
+    """What a stretch of packets without an idle gap does to a flow that is open when it begins.
 
-    An open flow of start s is cut at the first packet at or after s + age, or at the first idle gap.
-    Returned are the cut times that matter and the start of the flow that is open afterwards, and the
-    latter for a flow that starts at the chunk's first packet.
+    A flow of start s is cut at the first packet at or after s + age. ``times`` are such moments, ascending: the flow
+    that is open at the end is ``exits[i]`` for the first i with s + age <= times[i]. After the last one the flow stays.
+    Moments with the same exit are one step.
     """
-    last = _last_starts(t, _starts_after(t, idle, age))
-    gaps = np.flatnonzero(np.diff(t) >= idle) + 1
-    stop = int(gaps[0]) if len(gaps) else len(t)
-    reach = min(stop, int(np.searchsorted(t, begin + age, side="left")) + 1)
-    times, exits = [], []
-    for j in range(reach):
-        if times and exits[-1] == last[j]:
-            times[-1] = int(t[j])
-        else:
-            times.append(int(t[j]))
-            exits.append(last[j])
-    if len(gaps):
-        times.append(int(NEVER))
-        exits.append(last[stop])
-    return times, exits, last[0]
-
-
-def chunk_width(packets: DataFrame, key: list[str], age: int, chunk_rows: int) -> int | None:
-    """Widest multiple of the age limit for which no key has more than ``chunk_rows`` packets in a chunk.
-
-    None if no key has more than that in all, which needs no chunks.
-    """
-    fine = packets.groupBy(*key, F.floor(F.col("t__") / age).alias("b")).agg(all_rows().alias("n")).persist()
 
-    def worst(*more) -> int:
-        return fine.groupBy(*key, *more).agg(F.sum("n").alias("n")).agg(F.max("n")).first()[0] or 0
-
-    width = None
-    if worst() > chunk_rows:
-        fits = (f for f in (4096, 512, 64, 8) if worst(F.floor(F.col("b") / f).alias("w")) <= chunk_rows)
-        width = next(fits, 1) * age
-    fine.unpersist()
-    return width
+    def __init__(self, times: np.ndarray, exits: np.ndarray):
+        # of neighbours with one exit, the later moment stands for both
+        kept = np.append(exits[1:] != exits[:-1], True) if len(exits) else np.empty(0, bool)
+        self.times, self.exits = times[kept], exits[kept]
+
+    @classmethod
+    def of(cls, t: np.ndarray, last: np.ndarray, age: int) -> Steps:
+        """``last`` are the last starts of the packets. Flows that are open began before the first packet."""
+        reach = int(np.searchsorted(t, t[0] + age, side="left")) + 1
+        return cls(t[:reach], last[:reach])
+
+    def before(self, moment: int) -> Steps:
+        """Without the steps that no start + age before ``moment`` reaches."""
+        reach = int(np.searchsorted(self.times, moment, side="left")) + 1
+        return Steps(self.times[:reach], self.exits[:reach])
+
+    def __call__(self, start: np.ndarray, age: int) -> np.ndarray:
+        at = np.searchsorted(self.times, start + age, side="left")
+        return np.where(at < len(self.times), np.append(self.exits, 0)[at], start)
+
+    def then(self, later: Steps, age: int) -> Steps:
+        """This stretch followed by another one."""
+        if not len(self.times):
+            return later
+        more = later.times > self.times[-1]
+        return Steps(np.append(self.times, later.times[more]), np.append(later(self.exits, age), later.exits[more]))
+
+
+def _ordered(pdf: pd.DataFrame, key: list[str]) -> tuple[pd.DataFrame, np.ndarray]:
+    """The rows of a block in order, and where each key begins."""
+    pdf = pdf.sort_values("order__", ignore_index=True)
+    fresh = np.zeros(len(pdf), bool)
+    fresh[:1] = True
+    for k in key:
+        codes = pd.factorize(pdf[k])[0]
+        fresh[1:] |= codes[1:] != codes[:-1]
+    return pdf, np.flatnonzero(fresh)
 
 
 def mark_flows(
@@ -89,118 +97,146 @@ def mark_flows(
     ts: str,
     idle_seconds: float = IDLE_SECONDS,
     age_seconds: float = AGE_SECONDS,
-    chunk_rows: int = CHUNK_ROWS,
+    block_rows: int = BLOCK_ROWS,
+    fan: int = FAN,
 ) -> DataFrame:
     """Adds ``flow_start`` and ``iat`` (microseconds; iat is NULL on a flow's first packet).
 
-    A packet opens a flow when it comes ``idle_seconds`` or more after the key's last packet, or
-    ``age_seconds`` or more after the start of the open flow. The second rule chains through all of a
-    key's packets, yet no task holds a large key: its time is cut into chunks, each chunk is reduced to
-    what it does to an open flow, those small summaries are folded for each key, and the chunks are then
-    marked independently of each other. Many small keys share a task and are marked in one go.
+    A packet opens a flow when it comes ``idle_seconds`` or more after the key's last packet, or ``age_seconds`` or more
+    after the start of the open flow. The second rule chains through all of a key's packets, yet nothing but the order
+    of the packets decides where they are cut into tasks: Spark's range partitioning deals (key, time) to blocks of
+    about ``block_rows`` packets, however many a key has, or an instant. Where a key goes on from block to block
+    without an idle gap, each block is a step function from the start of the flow that is open before it to that of
+    the flow open after it. These functions are composed ``fan`` at a time, up a tree and down again, which gives each
+    block the flow it begins with; then the blocks are marked independently. A function has at most as many steps as
+    there are packets of different time within ``age_seconds``. Packets without a time are left out.
     """
     idle, age = int(idle_seconds * 1e6), int(age_seconds * 1e6)
-    rows = packets.withColumn("t__", micros(ts))
-    width = chunk_width(rows.select(*key, "t__"), key, age, chunk_rows)
-    chunk = F.lit(0).cast("long") if width is None else F.floor(F.col("t__") / width)
-    segment = [*key, "chunk__"]
-    lanes = max(rows.sparkSession.sparkContext.defaultParallelism, ceil(rows.count() / LANE_ROWS))
-    lane = F.pmod(F.xxhash64(*segment), F.lit(lanes)).cast("int")
-    placed = rows.withColumn("chunk__", chunk).withColumn("lane__", lane)
+    rows = packets.withColumn("t__", micros(ts)).filter("t__ IS NOT NULL")
+    blocks = max(rows.sparkSession.sparkContext.defaultParallelism, ceil(rows.count() / block_rows))
+    order = [*key, "t__", "order__"]
+    dealt = rows.withColumn("order__", F.monotonically_increasing_id()).repartitionByRange(blocks, *order).sortWithinPartitions(*order)
+    dealt = dealt.withColumns({"order__": F.monotonically_increasing_id(), "block__": F.spark_partition_id()})
+    placed = materialise(dealt, "packets")
     marked = T.StructType([*rows.schema.fields, T.StructField("start__", T.LongType()), T.StructField("iat", T.LongType())])
 
-    def mark(left: pd.DataFrame, entry: pd.DataFrame | None) -> pd.DataFrame:
-        seg = left.groupby(segment, sort=False, dropna=False).ngroup().to_numpy()
-        order = np.lexsort((left["t__"].to_numpy(), seg))
-        pdf = left.iloc[order].reset_index(drop=True)
-        t, seg = pdf["t__"].to_numpy(), seg[order]
-        n = len(t)
-        heads = np.flatnonzero(np.diff(seg, prepend=-1))
-        # All segments on one axis: an idle gap, whatever its length, and a change of segment count as idle.
+    def mark(left: pd.DataFrame, entry: pd.DataFrame) -> pd.DataFrame:
+        pdf, heads = _ordered(left, key)
+        t, n = pdf["t__"].to_numpy(), len(pdf)
+        if not n:
+            return left.assign(start__=0, iat=0)[marked.names]
+        # All keys on one axis: an idle gap, whatever its length, and a change of key count as idle.
         steps = np.minimum(np.diff(t, prepend=t[0]), idle)
         steps[heads] = idle
-        line = np.cumsum(steps)
-        following = _starts_after(line, idle, age).tolist()
+        following = _starts_after(np.cumsum(steps), idle, age).tolist()
         ends = np.append(heads[1:], n).tolist()
-        open_start, open_last = np.full(len(heads), NEVER), np.full(len(heads), NEVER)
-        first = heads.copy()
-        if entry is not None and len(entry):
-            known = pdf.loc[heads, segment].merge(entry, on=segment, how="left")
-            has = known["open_start"].notna().to_numpy()
-            open_start[has] = known.loc[has, "open_start"].astype("int64")
-            open_last[has] = known.loc[has, "open_last"].astype("int64")
-            has &= t[heads] - np.where(has, open_last, 0) < idle
-            open_start[~has] = NEVER
-            for s in np.flatnonzero(has):
-                lo, hi = heads[s], ends[s]
-                gap = np.flatnonzero(np.diff(t[lo:hi]) >= idle)
-                cut = int(np.searchsorted(t[lo:hi], open_start[s] + age, side="left"))
-                first[s] = lo + min(int(gap[0]) + 1 if len(gap) else hi - lo, cut)
+        first = heads.tolist()
+        open_start, open_last = (int(entry[c].iloc[0]) for c in ("open_start", "open_last")) if len(entry) else (0, 0)
+        if len(entry):
+            gap = np.flatnonzero(np.diff(t[: ends[0]]) >= idle)
+            cut = int(np.searchsorted(t[: ends[0]], open_start + age, side="left"))
+            first[0] = min(int(gap[0]) + 1 if len(gap) else ends[0], cut)
         starts = []
-        for at, end in zip(first.tolist(), ends):
+        for at, end in zip(first, ends):
             while at < end:
                 starts.append(at)
                 at = following[at]
         is_start = np.zeros(n, dtype=bool)
         is_start[starts] = True
-        which = np.searchsorted(heads, np.arange(n), side="right") - 1
         origin = np.maximum.accumulate(np.where(is_start, np.arange(n), -1))
-        inside = origin >= heads[which]
-        start = np.where(inside, t[np.maximum(origin, 0)], open_start[which])
-        before = np.concatenate([[0], t[:-1]])
-        before[heads] = open_last
-        iat = pd.array(t - before, dtype="Int64")
+        start = np.where(origin >= 0, t[np.maximum(origin, 0)], open_start)
+        iat = pd.array(np.diff(t, prepend=open_last), dtype="Int64")
         iat[is_start] = pd.NA
-        return pdf.drop(columns=["chunk__", "lane__"]).assign(start__=start, iat=iat)
-
-    if width is None:
-        done = placed.groupBy("lane__").applyInPandas(lambda pdf: mark(pdf, None), marked)
-    else:
-        entries = _entries(placed, key, segment, width, idle, age).withColumn("lane__", lane)
-        done = placed.groupBy("lane__").cogroup(entries.groupBy("lane__")).applyInPandas(
-            lambda left, right: mark(left, right) if len(left) else left.assign(start__=0, iat=0)[marked.names], marked
-        )
+        return pdf.drop(columns=["order__", "block__"]).assign(start__=start, iat=iat)
+
+    entries = _entries(placed, key, idle, age, fan)
+    done = placed.groupBy("block__").cogroup(entries.groupBy("block__")).applyInPandas(mark, marked)
     start = F.timestamp_micros("start__").cast(packets.schema[ts].dataType)
     return done.withColumn("flow_start", start).drop("t__", "start__")
 
 
-def _entries(placed: DataFrame, key: list[str], segment: list[str], width: int, idle: int, age: int) -> DataFrame:
-    """(key, chunk, open_start, open_last): the flow that is open when a chunk begins."""
-    longs = [T.StructField(c, T.LongType()) for c in ("chunk__", "first", "last", "fresh")]
-    arrays = [T.StructField(c, T.ArrayType(T.LongType())) for c in ("times", "exits")]
+def _entries(placed: DataFrame, key: list[str], idle: int, age: int, fan: int) -> DataFrame:
+    """(block__, open_start, open_last) of the blocks whose first packet follows one of the same key without an idle gap."""
     keys = [placed.schema[k] for k in key]
+    longs = [T.StructField(c, T.LongType()) for c in ("chunk", "first", "last", "fresh")]
+    arrays = [T.StructField(c, T.ArrayType(T.LongType())) for c in ("times", "exits")]
 
     def summarise(pdf: pd.DataFrame) -> pd.DataFrame:
+        """The first and the last key of a block: no other goes on elsewhere. Without steps its last flow is known."""
+        pdf, heads = _ordered(pdf, key)
+        all_t, n = pdf["t__"].to_numpy(), len(pdf)
+        out = []
+        for which, (lo, hi) in enumerate(dict.fromkeys([(0, int(np.append(heads, n)[1])), (int(heads[-1]), n)])):
+            t = all_t[lo:hi]
+            last = _last_starts(t, _starts_after(t, idle, age))
+            whole = lo == 0 and not (np.diff(t) >= idle).any()
+            steps = Steps.of(t, last, age) if whole else None
+            ids = [pdf[k].iloc[lo] for k in key]
+            chunk = 2 * int(pdf["block__"].iloc[0]) + which
+            out.append((*ids, chunk, t[0], t[-1], last[0], steps.times if whole else None, steps.exits if whole else None))
+        return pd.DataFrame(out, columns=[*key, "chunk", "first", "last", "fresh", "times", "exits"])
+
+    chunks = placed.select(*key, "t__", "order__", "block__").groupBy("block__").applyInPandas(summarise, T.StructType([*keys, *longs, *arrays]))
+    along = W.partitionBy(*key).orderBy("chunk")
+    goes_on = F.coalesce(F.col("first") - F.col("before") < idle, F.lit(False))
+    chunks = chunks.withColumn("before", F.lag("last").over(along)).withColumn("joined", goes_on)
+    # A chunk with known outcome begins a chain; those that go on from it without a gap have its number.
+    chain = F.when(~F.col("joined") | F.col("times").isNull(), F.col("chunk"))
+    chunks = chunks.withColumn("chain", F.last(chain, ignorenulls=True).over(along.rowsBetween(W.unboundedPreceding, 0)))
+    chunks = chunks.withColumn("place", F.row_number().over(W.partitionBy("chain").orderBy("chunk")) - 2)
+    chunks = materialise(chunks, "chunks")
+    functions = chunks.filter("place >= 0").select("chain", F.col("place").cast("long").alias("place"), "first", "times", "exits")
+    levels = [functions]
+    while (levels[-1].agg(F.max("place")).first()[0] or 0) >= fan:
+        levels.append(materialise(_composed(levels[-1], age, fan), "steps"))
+    known = chunks.filter("place = -1").select("chain", F.lit(0).cast("long").alias("place"), F.col("fresh").alias("start"))
+    for level in reversed(levels):
+        fed = _fed(level, known, age, fan)
+        known = fed.select("chain", "place", "start")
+    outcome = chunks.join(fed.select("chain", "place", "outcome"), ["chain", "place"], "left")
+    outcome = outcome.withColumn("open_start", F.lag(F.coalesce("outcome", "fresh")).over(along))
+    joined = outcome.filter("joined").select(F.floor(F.col("chunk") / 2).cast("int").alias("block__"), "open_start", F.col("before").alias("open_last"))
+    return joined
+
+
+def _steps(rows: pd.DataFrame) -> list[Steps]:
+    rows = rows.sort_values("place")
+    return [Steps(np.asarray(t, np.int64), np.asarray(e, np.int64)) for t, e in zip(rows["times"], rows["exits"])]
+
+
+def _composed(level: DataFrame, age: int, fan: int) -> DataFrame:
+    """The functions of ``fan`` neighbours of a chain as one, numbered anew."""
+
+    columns = level.columns
+
+    def compose(pdf: pd.DataFrame) -> pd.DataFrame:
+        whole, *rest = _steps(pdf)
+        for later in rest:
+            whole = whole.then(later, age)
+        first = int(pdf["first"].min())
+        whole = whole.before(first + age)
+        return pd.DataFrame([(pdf["chain"].iloc[0], pdf["place"].min() // fan, first, whole.times, whole.exits)], columns=columns)
+
+    return level.groupBy("chain", F.floor(F.col("place") / fan)).applyInPandas(compose, level.schema)
+
+
+def _fed(level: DataFrame, known: DataFrame, age: int, fan: int) -> DataFrame:
+    """(chain, place, start, outcome) of each function, from the start that is known for each ``fan`` of them."""
+
+    def feed(functions: pd.DataFrame, given: pd.DataFrame) -> pd.DataFrame:
         out = []
-        for values, part in pdf.groupby(segment, sort=False, dropna=False)["t__"]:
-            t = np.sort(part.to_numpy())
-            times, exits, fresh = _summarise(t, int(values[-1]) * width, idle, age)
-            out.append((*values, t[0], t[-1], fresh, times, exits))
-        return pd.DataFrame(out, columns=[*segment, "first", "last", "fresh", "times", "exits"])
-
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("chunk__", ignore_index=True)
-        starts, lasts = [], []
-        start = last = None
-        for first, end, times, exits, fresh in zip(pdf["first"], pdf["last"], pdf["times"], pdf["exits"], pdf["fresh"]):
-            starts.append(start)
-            lasts.append(last)
-            if start is None or first - last >= idle:
-                start = fresh
-            else:
-                at = int(np.searchsorted(np.asarray(times), start + age, side="left"))
-                if at < len(times):
-                    start = int(exits[at])
-            last = end
-        return pdf[segment].assign(
-            open_start=pd.array(starts, dtype="Int64"), open_last=pd.array(lasts, dtype="Int64")
-        )
-
-    summaries = placed.select(*segment, "t__", "lane__").groupBy("lane__").applyInPandas(
-        summarise, T.StructType([*keys, *longs, *arrays])
+        if len(functions):
+            now = np.asarray([given["start"].iloc[0]], np.int64)
+            for place, steps in zip(sorted(functions["place"]), _steps(functions)):
+                then = steps(now, age)
+                out.append((functions["chain"].iloc[0], place, int(now[0]), int(then[0])))
+                now = then
+        return pd.DataFrame(out, columns=["chain", "place", "start", "outcome"])
+
+    grouped = level.groupBy("chain", F.floor(F.col("place") / fan).alias("g"))
+    return grouped.cogroup(known.groupBy("chain", F.col("place").alias("g"))).applyInPandas(
+        feed, "chain long, place long, start long, outcome long"
     )
-    opened = [T.StructField(c, T.LongType()) for c in ("chunk__", "open_start", "open_last")]
-    return summaries.groupBy(*key).applyInPandas(fold, T.StructType([*keys, *opened]))
 
 
 def flow_features(marked: DataFrame, key: list[str], ts: str, value: str) -> DataFrame:
@@ -231,7 +267,7 @@ def assemble_flows(
     value: str,
     idle_seconds: float = IDLE_SECONDS,
     age_seconds: float = AGE_SECONDS,
-    chunk_rows: int = CHUNK_ROWS,
+    block_rows: int = BLOCK_ROWS,
 ) -> DataFrame:
     rows = packets.select(*key, ts, value)
-    return flow_features(mark_flows(rows, key, ts, idle_seconds, age_seconds, chunk_rows), key, ts, value)
+    return flow_features(mark_flows(rows, key, ts, idle_seconds, age_seconds, block_rows), key, ts, value)

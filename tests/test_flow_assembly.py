@@ -3,10 +3,11 @@
 import random
 from datetime import datetime, timedelta
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from flowsieve.operators.flows import assemble_flows, mark_flows
+from flowsieve.operators.flows import Steps, _last_starts, _starts_after, assemble_flows, mark_flows
 from flowsieve.session import scratch_path
 from flowsieve.sources.replay import stream_table
 from flowsieve.streaming.assembly import assemble_stream, finish_flows, open_flows, rocksdb_state
@@ -38,11 +39,63 @@ def by_loop(rows, idle, age):
     return out
 
 
-@pytest.mark.parametrize("seed, chunk_rows", [(1, 1), (2, 50), (3, 10**6)])
-def test_chunked_marks_equal_the_loop(spark, seed, chunk_rows):
+@pytest.mark.parametrize("seed, block_rows, fan", [(1, 3, 2), (2, 20, 3), (3, 70, 16), (4, 10**6, 16)])
+def test_block_marks_equal_the_loop(spark, seed, block_rows, fan):
     rows = packets(seed)
     df = spark.createDataFrame(rows, SCHEMA)
-    got = {r.id: r.flow_start for r in mark_flows(df, ["k"], "ts", 15, 30, chunk_rows).collect()}
+    got = mark_flows(df, ["k"], "ts", 15, 30, block_rows, fan).collect()
+    want = by_loop(rows, 15, 30)
+    assert {r.id: r.flow_start for r in got} == want
+    assert sum(r.iat is None for r in got) == len({(r.k, r.flow_start) for r in got})
+    spans = {}
+    for i, k, ts, _ in rows:
+        low, high = spans.get((k, want[i]), (ts, ts))
+        spans[k, want[i]] = (min(low, ts), max(high, ts))
+    assert sum(r.iat or 0 for r in got) == sum(int((b - a).total_seconds() * 1e6 + 0.5) for a, b in spans.values())
+
+
+def random_steps(rng, begin, age, idle):
+    """Times of a stretch without an idle gap, from shortly after ``begin``."""
+    t = begin + np.cumsum(rng.integers(0, idle, rng.integers(1, 30)))
+    return t, Steps.of(t, _last_starts(t, _starts_after(t, idle, age)), age)
+
+
+def test_composed_steps_equal_the_walk():
+    rng, age = np.random.default_rng(8), 100
+    for trial in range(300):
+        idle = int(rng.integers(2, 100))
+        begin, stretches = 1_000, []
+        for _ in range(rng.integers(2, 6)):
+            stretches.append(random_steps(rng, begin, age, idle))
+            begin = int(stretches[-1][0][-1])
+        whole = stretches[0][1]
+        for _, steps in stretches[1:]:
+            whole = whole.then(steps, age)
+        whole = whole.before(int(stretches[0][0][0]) + age)
+        for start in rng.integers(1_000 - age, 1_001, 20).tolist():
+            now = start
+            for t in np.concatenate([t for t, _ in stretches]).tolist():
+                now = t if t >= now + age else now
+            if start < stretches[0][0][0]:
+                assert whole(np.asarray([start]), age)[0] == now
+
+
+def test_one_key_with_a_million_packets_inside_one_age_limit(spark):
+    """Blocks are cut at any packet: no block holds much more than its share, and every packet finds its flow."""
+    n = 1_000_000
+    at = F.col("id") * 45 + F.pmod(F.xxhash64("id"), F.lit(40))
+    df = spark.range(n).select("id", F.lit("hot").alias("k"), F.timestamp_micros(at).alias("ts"))
+    marked = mark_flows(df, ["k"], "ts", 15, 30, block_rows=50_000, fan=4)
+    got = marked.groupBy("flow_start").agg(F.count("*").alias("n"), F.min("ts").alias("lo"), F.max("ts").alias("hi")).orderBy("flow_start").collect()
+    times = sorted(r.t for r in df.select(F.unix_micros("ts").alias("t")).collect())
+    second = next(i for i, t in enumerate(times) if t >= times[0] + 30_000_000)
+    assert [r.n for r in got] == [second, n - second] and all(r.flow_start == r.lo for r in got)
+
+
+def test_identical_packets_and_missing_times(spark):
+    rows = [(i, None, ZERO, 1.0) for i in range(60)] + [(100 + i, "a", ZERO + timedelta(seconds=i), None) for i in range(60)]
+    df = spark.createDataFrame([*rows, (999, "a", None, 1.0)], SCHEMA)
+    got = {r.id: r.flow_start for r in mark_flows(df, ["k"], "ts", 15, 30, 7, 2).collect()}
     assert got == by_loop(rows, 15, 30)
 
 
