@@ -132,11 +132,11 @@ def kd_shards(
     Give either the number of shards or the bytes that a shard should have. ``dims`` are numeric or text columns;
     ``tie`` are the columns that order rows at one place. Shards differ by few rows: each cut is next to the row that
     holds the asked number of bytes. One row larger than a shard's share is a shard that large. NULL sizes count as
-    none; if no row has bytes, all are in shard 0. Rows that are alike in all columns are dealt one by one. Slots follow
+    none; if no row has bytes, rows are counted instead. Rows that are alike in all columns are dealt one by one. Slots follow
     the order in which Spark reads the rows. Columns named ``shard`` or ``slot`` are replaced; an empty table gives none.
     The rows are written once for each level, so leave out columns, such as texts, that need not come along.
     """
-    if (shards is None) == (target_bytes is None) or min(shards or 1, target_bytes or 1) < 1 or not dims:
+    if (shards is None) == (target_bytes is None) or (shards or target_bytes or 0) < 1 or not dims:
         raise ValueError("give the number of shards or their bytes, 1 at least, and a dimension")
     weight = F.greatest(F.coalesce(F.col(size).cast("long"), F.lit(0).cast("long")), F.lit(0).cast("long"))
     kept = [c for c in rows.columns if c not in ("shard", "slot")]
@@ -145,6 +145,8 @@ def kd_shards(
     bounds = [f(F.when(_finite(F.col(d)), F.col(d).cast("double"))) for d in numeric for f in (F.min, F.max)]
     found = own.agg(F.sum(weight), *bounds).head()
     total = found[0] or 0
+    if not total:
+        weight = F.lit(1).cast("long")
     leaves = shards or max(1, -(-total // target_bytes))
     ranges = {d: (found[1 + 2 * i], found[2 + 2 * i]) if found[1 + 2 * i] is not None else None for i, d in enumerate(numeric)}
     tree = KdTree(list(dims), ranges, [[Node(leaves, 0)]])

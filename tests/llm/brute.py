@@ -7,6 +7,7 @@ import math
 import re
 import zlib
 from collections import Counter
+from fractions import Fraction
 
 import xxhash
 
@@ -143,3 +144,29 @@ def runs(words, least=12, repeats=2):
                 found.setdefault((a - q, length), q)
             i += i == a
     return sorted((s, length, q) for (s, length), q in found.items())
+
+
+def nearest_row(rows, point):
+    """(number, squared distance) of the nearest row, ties to the smaller number."""
+    distances = [sum((a - b) ** 2 for a, b in zip(point, row)) for row in rows]
+    return distances.index(min(distances)), min(distances)
+
+
+def clusters(data, dim=64, k=8, rounds=10, scale=1024):
+    """(vec_id, cluster, distance, cluster inertia, inertia, digest) of (vec_id, vector) rows."""
+    kept = [(i, [math.floor(Fraction(x) * scale) for x in v]) for i, v in data if v and len(v) == dim and all(x is not None and math.isfinite(x) for x in v)]
+    name = lambda i: "~" if i is None else hashlib.sha256(f"3:{i}".encode()).hexdigest()
+    rows = [v for _, v in sorted(kept, key=lambda r: (name(r[0]), r[1]))[:k]]
+    for _ in range(rounds):
+        homes = [nearest_row(rows, v)[0] for _, v in kept]
+        for c in set(homes):
+            own = [v for (_, v), h in zip(kept, homes) if h == c]
+            rows[c] = [sum(x) // len(own) for x in zip(*own)]
+    last = [nearest_row(rows, v) for _, v in kept]
+    sums = [sum(d for h, d in last if h == c) for c in range(len(rows))]
+    long = lambda x, parts: x if x < 1 << 63 and all(d < 1 << 63 for d in parts) else None
+    digests = [hashlib.sha256(",".join(map(str, r)).encode()).hexdigest() for r in rows]
+    every = [d for _, d in last]
+    return [
+        (i, h, long(d, []), long(sums[h], [x for c, x in last if c == h]), long(sum(every), every), digests[h]) for (i, _), (h, d) in zip(kept, last)
+    ]
