@@ -415,10 +415,19 @@ def synthetic_rows(
 
 
 def oversample(
-    train: DataFrame, label: str, key: str, features: list[str], strategy: str = "dynamic", k: int = 5, seed: int = 42, **rule
+    train: DataFrame,
+    label: str,
+    key: str,
+    features: list[str],
+    strategy: str = "dynamic",
+    k: int = 5,
+    seed: int = 42,
+    neighbours: Callable[..., DataFrame] = nearest_in_class,
+    **rule,
 ) -> DataFrame:
     """The training rows with their synthetic ones; ``synthetic`` tells them apart.
 
+    ``neighbours`` is the search: exact, or ``neighbour_graph`` for classes so large that work must be linear in them.
     The key becomes text: a synthetic row is named by its seed and its number among the seed's rows.
     """
     extra = {r["class"]: r["extra"] for r in oversampling_targets(train, label, strategy, **rule).collect()}
@@ -426,6 +435,6 @@ def oversample(
     real = train.select(F.col(key).cast("string").alias(key), *columns, F.lit(False).alias("synthetic"))
     if not extra:
         return real
-    made = synthetic_rows(train, label, key, features, extra, k, seed)
+    made = synthetic_rows(train, label, key, features, extra, k, seed, neighbours=neighbours)
     name = F.concat_ws("#", F.col("seed_id").cast("string"), F.col("draw").cast("string"))
     return real.unionByName(made.select(name.alias(key), *columns, F.lit(True).alias("synthetic")))

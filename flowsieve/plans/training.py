@@ -14,6 +14,7 @@ from flowsieve.functions.values import everything
 from flowsieve.operators import clean, encode, evaluate, learn, sample
 from flowsieve.operators.balance import distinct_points, hashed_neighbours, nearest_in_class, oversample, oversampling_targets, synthetic_rows
 from flowsieve.operators.correlate import correlated_features_to_drop, correlation_pairs
+from flowsieve.operators.neighbour_graph import neighbour_graph
 from flowsieve.operators.score import Scorer
 from flowsieve.plans.fixtures import FLOWS, MAPPED, flows
 from flowsieve.plans.registry import query, rounded, table
@@ -135,9 +136,16 @@ def _(spark, d):
     return rounded(near.select("c", "id", "neighbour", "distance", F.col("rank").cast("long").alias("rank")))
 
 
-@query("e4_hashed_neighbours", """SELECT label AS c, count(*) AS points, 5 * count(*) AS pairs, true AS measured FROM embeddings GROUP BY 1""")
+@query("e4_hashed_neighbours")
 def _(spark, d):
-    """Five other points of the same class for every point, at their true distances, from runs of 128 points."""
+    """Five other points of the same class for every point, from runs of 128 points."""
+    near = hashed_neighbours(distinct_points(vectors(spark, d), "label", "vec_id", AXES), 5, block_rows=128)
+    return rounded(near.select("c", "id", "neighbour", "distance", F.col("rank").cast("long").alias("rank")))
+
+
+@query("e4_hashed_neighbours_invariants", """SELECT label AS c, count(*) AS points, 5 * count(*) AS pairs, true AS measured FROM embeddings GROUP BY 1""")
+def _(spark, d):
+    """How many pairs there are, and whether all of them are of one class and at their true distance."""
     points = distinct_points(vectors(spark, d), "label", "vec_id", AXES)
     near = hashed_neighbours(points, 5, block_rows=128)
     own = points.select(F.col("c").alias("kind"), "id", F.col("v").alias("own"))
@@ -150,6 +158,24 @@ def _(spark, d):
     )
 
 
+@query("e4_neighbour_graph")
+def _(spark, d):
+    """Five near points of the same class for every point; runs of 64 points make the classes large."""
+    near = neighbour_graph(distinct_points(vectors(spark, d), "label", "vec_id", AXES), 5, run_rows=64)
+    return rounded(near.select("c", "id", "neighbour", "distance", F.col("rank").cast("long").alias("rank")))
+
+
+@query("e4_neighbour_graph_recall", """SELECT label AS c, count(*) AS points, 5 * count(*) AS pairs, true AS recall_95 FROM embeddings GROUP BY 1""")
+def _(spark, d):
+    """The graph against the exact neighbours, by class: at least 95 of 100 are found."""
+    points = distinct_points(vectors(spark, d), "label", "vec_id", AXES)
+    exact = nearest_in_class(points, 5).select(F.col("id").alias("i"), F.col("neighbour").alias("n"))
+    near = neighbour_graph(points, 5, run_rows=64)
+    both = near.join(exact, (F.col("id") == F.col("i")) & (F.col("neighbour") == F.col("n")), "left")
+    found = F.count("i") >= 0.95 * F.count(F.lit(1))
+    return both.groupBy("c").agg(F.count_distinct("id").alias("points"), F.count(F.lit(1)).alias("pairs"), found.alias("recall_95"))
+
+
 MD5 = "CAST('0x' || substr(md5({0}), 1, 15) AS BIGINT)"
 
 
@@ -184,24 +210,50 @@ def _(spark, d):
     )
 
 
-@query("e6_forest_importances", f"""WITH {FLOWS}, {MAPPED}, {KEPT}, {TWINS}, names AS (
+def small_importances(spark, d):
+    p = small_prepared(spark, d, balance=False)
+    return learn.select_by_importance(p.train, p.features, "y", ["event_id"], SMALL, smallest=3, largest=5)
+
+
+@query("e6_forest_importances")
+def _(spark, d):
+    """Importance of each feature, and whether it is selected."""
+    importances, chosen = small_importances(spark, d)
+    return importances.select("feature", "importance", F.col("feature").isin(*chosen).alias("selected"))
+
+
+@query("e6_forest_importances_invariants", f"""WITH {FLOWS}, {MAPPED}, {KEPT}, {TWINS}, names AS (
       SELECT unnest(['Dst Port', 'Protocol_0', 'Protocol_17', 'Protocol_6', 'hr', 'k', 'user_id', 'value']) AS feature)
     SELECT feature, true AS in_range, true AS sum_is_one FROM names, twins WHERE NOT (gone AND feature = 'Dst Port')""")
 def _(spark, d):
-    p = small_prepared(spark, d, balance=False)
-    importances, _ = learn.select_by_importance(p.train, p.features, "y", ["event_id"], SMALL, smallest=3, largest=5)
+    importances, _ = small_importances(spark, d)
     total = F.sum("importance").over(everything())
     return importances.select("feature", F.col("importance").between(0, 1).alias("in_range"), (F.abs(total - 1) < 1e-9).alias("sum_is_one"))
 
 
-@query("e7_randomised_search", """SELECT unnest([0, 1, 2]) AS trial, true AS in_space, true AS in_range, true AS fitted""")
-def _(spark, d):
+SPACE = {"n_estimators": [5, 10], "max_depth": [4, 6], "min_samples_leaf": [1, 4], "max_features": ["sqrt"]}
+
+
+def small_search(spark, d):
     p = small_prepared(spark, d, balance=False)
-    space = {"n_estimators": [5, 10], "max_depth": [4, 6], "min_samples_leaf": [1, 4], "max_features": ["sqrt"]}
-    results, _ = learn.randomised_search(p.train, p.features, "y", ["event_id"], space, n_iter=3, folds=3, fraction=0.5)
-    drawn = reduce(and_, [F.col("params")[k].isin(*map(str, v)) for k, v in space.items()])
+    return p, learn.randomised_search(p.train, p.features, "y", ["event_id"], SPACE, n_iter=3, folds=3, fraction=0.5)[0]
+
+
+@query("e7_randomised_search")
+def _(spark, d):
+    """The drawn parameters with their mean macro-F1 over the folds."""
+    results = small_search(spark, d)[1]
+    return results.select("trial", *[F.col("params")[k].alias(k) for k in SPACE], "mean_score", "std_score", "failure")
+
+
+@query("e7_randomised_search_invariants", f"""WITH {FLOWS}, {MAPPED}, {SPLIT} SELECT unnest([0, 1, 2]) AS trial, (SELECT count(*) FROM split) AS classes,
+    true AS in_space, true AS in_range, true AS fitted""")
+def _(spark, d):
+    p, results = small_search(spark, d)
+    drawn = reduce(and_, [F.col("params")[k].isin(*map(str, v)) for k, v in SPACE.items()])
     fair = (F.col("mean_score") > 0) & (F.col("mean_score") <= 1) & (F.col("std_score") >= 0)
-    return results.select("trial", drawn.alias("in_space"), fair.alias("in_range"), F.col("failure").isNull().alias("fitted"))
+    kinds = F.lit(len(p.classes)).cast("long").alias("classes")
+    return results.select("trial", kinds, drawn.alias("in_space"), fair.alias("in_range"), F.col("failure").isNull().alias("fitted"))
 
 
 def shape_facts(shape, rows, depth):
@@ -210,36 +262,71 @@ def shape_facts(shape, rows, depth):
     return shape.select(F.lit(rows).cast("long").alias("training_rows"), "trees", (F.col("max_depth") <= depth).alias("within_depth"), binary.alias("binary"))
 
 
-@query("e8_final_fit_shape", f"{TRAINED}, CAST(10 AS BIGINT) AS trees, true AS within_depth, true AS binary FROM split")
-def _(spark, d):
+def final_shape(spark, d):
+    """(shape, real training rows) of a forest fitted to the balanced training table."""
     p = small_prepared(spark, d)
-    model = learn.fit_forest(p.train, p.features, "y", SMALL)
-    return shape_facts(learn.forest_shape(spark, model), p.train.filter(~F.col("synthetic")).count(), SMALL.max_depth)
+    return learn.forest_shape(spark, learn.fit_forest(p.train, p.features, "y", SMALL)), p.train.filter(~F.col("synthetic")).count()
 
 
-@query("d36_forest_shape", f"{TRAINED}, CAST(5 AS BIGINT) AS trees, true AS within_depth, true AS binary FROM split")
+@query("e8_final_fit_shape")
 def _(spark, d):
+    shape, rows = final_shape(spark, d)
+    return shape.withColumn("training_rows", F.lit(rows).cast("long"))
+
+
+@query("e8_final_fit_invariants", f"{TRAINED}, CAST(10 AS BIGINT) AS trees, true AS within_depth, true AS binary FROM split")
+def _(spark, d):
+    return shape_facts(*final_shape(spark, d), SMALL.max_depth)
+
+
+def weighted_shape(spark, d):
+    """(shape, training rows) of a forest with class weights."""
     p = small_prepared(spark, d, balance=False)
     params = learn.ForestParams(n_estimators=5, max_depth=8, class_weight="balanced_subsample")
-    return shape_facts(learn.forest_shape(spark, learn.fit_forest(p.train, p.features, "y", params)), p.train.count(), 8)
+    return learn.forest_shape(spark, learn.fit_forest(p.train, p.features, "y", params)), p.train.count()
+
+
+@query("d36_forest_shape")
+def _(spark, d):
+    shape, rows = weighted_shape(spark, d)
+    return shape.withColumn("training_rows", F.lit(rows).cast("long"))
 
 
-@query("d18_held_out_metrics", f"""WITH {FLOWS}, {MAPPED}, {SPLIT} SELECT cls AS class, test AS support, true AS consistent FROM split WHERE test > 0""")
+@query("d36_forest_invariants", f"{TRAINED}, CAST(5 AS BIGINT) AS trees, true AS within_depth, true AS binary FROM split")
 def _(spark, d):
+    return shape_facts(*weighted_shape(spark, d), 8)
+
+
+def held_out_metrics(spark, d):
     """A forest fitted to the training part and judged on the part it has not seen."""
     p = small_prepared(spark, d)
     said = learn.fit_forest(p.train, p.features, "y", SMALL).transform(p.test)
     named = encode.decode_label(encode.decode_label(said, p.classes, "y", "actual"), p.classes, "prediction", "predicted")
-    metrics = evaluate.class_metrics(evaluate.confusion_counts(named, "actual", "predicted"))
+    return evaluate.class_metrics(evaluate.confusion_counts(named, "actual", "predicted"))
+
+
+@query("d18_held_out_metrics")
+def _(spark, d):
+    return held_out_metrics(spark, d)
+
+
+@query("d18_held_out_invariants", f"""WITH {FLOWS}, {MAPPED}, {SPLIT} SELECT cls AS class, test AS support, true AS consistent FROM split WHERE test > 0""")
+def _(spark, d):
     shares = reduce(and_, [F.col(c).between(0, 1) for c in ("precision", "recall", "f1")])
-    return metrics.select("class", "support", (shares & (F.col("correct") <= F.least("support", "predicted"))).alias("consistent"))
+    return held_out_metrics(spark, d).select("class", "support", (shares & (F.col("correct") <= F.least("support", "predicted"))).alias("consistent"))
 
 
 def small_scorer(spark, d):
     return train_scorer(small_prepared(spark, d), "event_id", SMALL, SMALL, smallest=3, largest=6)[0]
 
 
-@query("e10_scored_flows", f"""WITH {FLOWS} SELECT event_id, "Label", true AS scored FROM flows""")
+@query("e10_scored_flows")
+def _(spark, d):
+    scorer = small_scorer(spark, d)
+    return scorer.score(flows(spark, d).drop("ts")).select("event_id", "Label", "predicted_class", "confidence", "threat_level")
+
+
+@query("e10_scored_flows_invariants", f"""WITH {FLOWS} SELECT event_id, "Label", true AS scored FROM flows""")
 def _(spark, d):
     scorer = small_scorer(spark, d)
     out = scorer.score(flows(spark, d).drop("ts"))
@@ -257,7 +344,14 @@ def lineitem_scorer(spark, d, params=SMALL) -> Scorer:
     return Scorer(scaler, LINE_FEATURES, classes, model)
 
 
-@query("e10_scored_lineitem", "SELECT l_returnflag, count(*) AS n, true AS scored FROM lineitem GROUP BY 1")
+@query("e10_scored_lineitem")
+def _(spark, d):
+    """Confusion counts of all order lines, with the mean confidence of each cell."""
+    out = lineitem_scorer(spark, d).score(table(spark, d, "lineitem"))
+    return out.groupBy("l_returnflag", "predicted_class").agg(F.count(F.lit(1)).alias("n"), F.avg("confidence").alias("mean_confidence"))
+
+
+@query("e10_scored_lineitem_invariants", "SELECT l_returnflag, count(*) AS n, true AS scored FROM lineitem GROUP BY 1")
 def _(spark, d):
     scorer = lineitem_scorer(spark, d)
     sound = F.col("predicted_class").isin(*scorer.classes) & F.col("confidence").between(1 / len(scorer.classes), 1)
