@@ -15,7 +15,7 @@ from flowsieve.plans.registry import query, rounded, table
 from flowsieve.plans.training import small_scorer, twice
 from flowsieve.session import scratch_path
 from flowsieve.sources.replay import replay_csv, stream_table, typed_or_rejected
-from flowsieve.streaming.assembly import assemble_stream, finish_flows, open_flows, rocksdb_state
+from flowsieve.streaming.assembly import assemble_stream, finish_flows, remaining_flows, rocksdb_state
 from flowsieve.streaming.detection import alerts, class_totals, level_totals, minute_totals, score_stream
 from flowsieve.streaming.runs import drain, latest, progress_table, run_to_end, run_versions, start_live
 
@@ -84,10 +84,11 @@ def assembly_run(spark, d):
 
 @query("h1_stream_flow_assembly", FLOW_SQL)
 def _(spark, d):
-    """Closed flows of the stream and, as at shutdown, those still open in its state."""
+    """Closed flows of the stream and, as at shutdown, those that its state still holds."""
     run = assembly_run(spark, d)
     closed = spark.read.parquet(run.output).drop("closed")
-    return flow_rows(finish_flows(closed.unionByName(open_flows(spark, run.checkpoint, KEY)), KEY))
+    rest = remaining_flows(spark, run.checkpoint, KEY, 3600, 4 * 3600).drop("followed")
+    return flow_rows(finish_flows(closed.unionByName(rest), KEY))
 
 
 @query("h2_stream_sweep", f"""WITH RECURSIVE {CHAIN}, flows AS (SELECT user_id, side, flow_start, max(ts) AS flow_end, count(*) AS packets FROM gaps GROUP BY 1, 2, 3),
@@ -95,8 +96,10 @@ def _(spark, d):
       least(flow_end + INTERVAL 1 HOUR, flow_start + INTERVAL 4 HOUR) <= max(flow_end) OVER () - INTERVAL 5 SECOND AS expired FROM flows)
     SELECT user_id, side, strftime(flow_start, '%Y-%m-%d %H:%M:%S.%f') AS flow_start, packets FROM swept WHERE followed OR expired""")
 def _(spark, d):
-    """What packets and timers have closed when the input ends; open flows stay in the state."""
-    closed = finish_flows(spark.read.parquet(assembly_run(spark, d).output), KEY)
+    """What packets and timers have closed when the input ends; flows that nothing has followed stay in the state."""
+    run = assembly_run(spark, d)
+    followed = remaining_flows(spark, run.checkpoint, KEY, 3600, 4 * 3600).filter("followed").drop("followed")
+    closed = finish_flows(spark.read.parquet(run.output).drop("closed").unionByName(followed), KEY)
     return closed.select(*KEY, F.date_format("flow_start", "yyyy-MM-dd HH:mm:ss.SSSSSS").alias("flow_start"), "packets")
 
 

@@ -33,7 +33,12 @@ STATE = T.StructType(
     ]
 )
 STATE_NAMES = [f.name for f in STATE.fields]
-STATE_VARIABLE = "flow"
+FRACTIONS = {f.name for f in STATE.fields if isinstance(f.dataType, T.DoubleType)}
+STATE_VARIABLE, BUFFER_VARIABLE = "flow", "pieces"
+PIECE_KEY = T.StructType([T.StructField("first", T.LongType()), T.StructField("number", T.LongType())])
+PIECE = T.StructType([T.StructField("times", T.ArrayType(T.LongType())), T.StructField("values", T.ArrayType(T.DoubleType()))])
+#: Packets of a piece of the reorder buffer.
+PIECE_ROWS = 2048
 
 
 def _least(*values):
@@ -44,84 +49,123 @@ def _most(*values):
     return max((v for v in values if v is not None), default=None)
 
 
+def extended(flow: list | None, t: np.ndarray, v: np.ndarray) -> list:
+    """A new flow of these packets, or the open one with them added."""
+    gaps = np.diff(t) if flow is None else np.diff(t, prepend=flow[1])
+    start, _, packets, valued, total, squares, center, low, high, near, far = flow or [int(t[0]), 0, 0, 0, 0.0, 0.0, *[None] * 5]
+    v = v[~np.isnan(v)]
+    if len(v):
+        center = float(v[0]) if center is None else center
+        d = v - center
+        total, squares = total + float(d.sum()), squares + float((d * d).sum())
+        low, high = _least(low, float(v.min())), _most(high, float(v.max()))
+    if len(gaps):
+        near, far = _least(near, int(gaps.min())), _most(far, int(gaps.max()))
+    return [start, int(t[-1]), packets + len(t), valued + len(v), total, squares, center, low, high, near, far]
+
+
+def walk(flow: list | None, times: np.ndarray, values: np.ndarray, idle: int, age: int) -> tuple[list | None, list[list]]:
+    """(open flow, closed flows) after packets in time order, none of them before the last one of the open flow."""
+    n, at, closed = len(times), 0, []
+    following = _starts_after(times, idle, age)
+    if n and flow is not None and times[0] - flow[1] < idle:
+        gaps = np.flatnonzero(np.diff(times) >= idle)
+        cut = int(np.searchsorted(times, flow[0] + age, side="left"))
+        at = min(int(gaps[0]) + 1 if len(gaps) else n, cut)
+    if at > 0:
+        flow = extended(flow, times[:at], values[:at])
+    while at < n:
+        if flow is not None:
+            closed.append(flow)
+        end = int(following[at])
+        flow = extended(None, times[at:end], values[at:end])
+        at = end
+    return flow, closed
+
+
 class FlowAssembler(StatefulProcessor):
-    """One open flow for each key: running sums, never packets.
+    """A reorder buffer and one open flow for each key.
 
-    Packets of a key arrive in time order from batch to batch and are sorted inside a batch. A packet
-    older than the last one joins the open flow. A timer at the earlier of the idle and the age limit
-    closes a flow that no further packet closes. Packets without a value (NULL or NaN) count as packets and
-    for the gaps; sums and extremes are over the others.
+    Packets wait in the state until the watermark has passed them: then all that are not late have arrived, in whatever
+    order, and they enter the flow in time order. The buffer is a map of sorted pieces of bounded size, named by
+    their first time. Frames of a micro-batch become pieces one by one, and a release merges only the pieces that overlap
+    in time, so neither a key's micro-batch nor its buffer is ever one frame. The flow is running sums. A timer at the
+    first packet that waits, or at the earlier of the idle and the age limit, goes on when no packet comes.
+    Packets without a value (NULL or NaN) count as packets and for the gaps; sums and extremes are over the others.
     """
 
-    def __init__(self, key: list[str], idle_us: int, age_us: int):
+    def __init__(self, key: list[str], idle_us: int, age_us: int, piece_rows: int = PIECE_ROWS):
         self.key = key
         self.idle = idle_us
         self.age = age_us
+        self.piece_rows = piece_rows
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
         self.flow = handle.getValueState(STATE_VARIABLE, STATE)
+        self.pieces = handle.getMapState(BUFFER_VARIABLE, PIECE_KEY, PIECE)
 
-    def _close(self, key, flow: list) -> tuple:
-        return (*key, *flow, pd.Timestamp(flow[1], unit="us"))
-
-    @staticmethod
-    def _extend(flow: list | None, t: np.ndarray, v: np.ndarray) -> list:
-        """A new flow of these packets, or the open one with them added."""
-        gaps = np.diff(t) if flow is None else np.diff(t, prepend=flow[1])
-        start, _, packets, valued, total, squares, center, low, high, near, far = flow or [int(t[0]), 0, 0, 0, 0.0, 0.0, *[None] * 5]
-        v = v[~np.isnan(v)]
-        if len(v):
-            center = float(v[0]) if center is None else center
-            d = v - center
-            total, squares = total + float(d.sum()), squares + float((d * d).sum())
-            low, high = _least(low, float(v.min())), _most(high, float(v.max()))
-        if len(gaps):
-            near, far = _least(near, int(gaps.min())), _most(far, int(gaps.max()))
-        return [start, int(t[-1]), packets + len(t), valued + len(v), total, squares, center, low, high, near, far]
-
-    def _frame(self, rows: list[tuple]) -> pd.DataFrame:
-        return pd.DataFrame(rows, columns=[*self.key, *STATE_NAMES, "closed"])
+    def _store(self, waiting: list[tuple[int, int]], times: np.ndarray, values: np.ndarray) -> None:
+        """Packets in time order as pieces, each with a number of its own."""
+        number = max((n for _, n in waiting), default=-1)
+        for at in range(0, len(times), self.piece_rows):
+            number += 1
+            name = (int(times[at]), number)
+            self.pieces.updateValue(name, (times[at : at + self.piece_rows].tolist(), values[at : at + self.piece_rows].tolist()))
+            waiting.append(name)
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        batch = pd.concat(list(rows))
-        order = np.argsort(batch["t"].to_numpy(), kind="stable")
-        times, values = batch["t"].to_numpy()[order], batch["v"].to_numpy(dtype=float)[order]
+    def _released(self, waiting: list[tuple[int, int]], moment: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """The packets up to ``moment`` in time order, as runs; ``waiting`` keeps the pieces that stay."""
+        waiting.sort()
+        times, values = np.empty(0, np.int64), np.empty(0)
+        while waiting and waiting[0][0] <= moment:
+            t, v = self.pieces.getValue(waiting[0])
+            self.pieces.removeKey(waiting.pop(0))
+            times, values = np.append(times, np.asarray(t, np.int64)), np.append(values, np.asarray(v, float))
+            order = np.argsort(times, kind="stable")
+            times, values = times[order], values[order]
+            ready = int(np.searchsorted(times, min(moment, waiting[0][0] if waiting else moment), side="right"))
+            if ready:
+                yield times[:ready], values[:ready]
+                times, values = times[ready:], values[ready:]
+        self._store(waiting, times, values)
+
+    def _advance(self, key, moment: int, frames: Iterator[pd.DataFrame] = iter(())) -> Iterator[pd.DataFrame]:
+        """Flows that are closed at ``moment``; then the frames are stored and the next timer is set."""
         flow = list(self.flow.get()) if self.flow.exists() else None
-        if flow is not None:
-            times = np.maximum(times, flow[1])
-        n = len(times)
-        following = _starts_after(times, self.idle, self.age)
-        at = 0
-        if flow is not None and times[0] - flow[1] < self.idle:
-            gaps = np.flatnonzero(np.diff(times) >= self.idle)
-            cut = int(np.searchsorted(times, flow[0] + self.age, side="left"))
-            at = min(int(gaps[0]) + 1 if len(gaps) else n, cut)
-        if at > 0:
-            flow = self._extend(flow, times[:at], values[:at])
-        closed = []
-        while at < n:
-            if flow is not None:
-                closed.append(self._close(key, flow))
-            end = int(following[at])
-            flow = self._extend(None, times[at:end], values[at:end])
-            at = end
-        self.flow.update(tuple(flow))
+        waiting = [(int(first), int(number)) for first, number in self.pieces.keys()]
+        for times, values in self._released(waiting, moment):
+            flow, closed = walk(flow, times, values, self.idle, self.age)
+            if closed:
+                yield self._frame(key, closed)
+        if flow is not None and self._limit(flow) <= moment:
+            yield self._frame(key, [flow])
+            flow = None
+        for frame in frames:
+            order = np.argsort(frame["t"].to_numpy(), kind="stable")
+            self._store(waiting, frame["t"].to_numpy()[order], frame["v"].to_numpy(dtype=float)[order])
+        if flow is None:
+            self.flow.clear()
+        else:
+            self.flow.update(tuple(flow))
         for timer in list(self.handle.listTimers()):
             self.handle.deleteTimer(timer)
-        self.handle.registerTimer(self._deadline(flow))
-        if closed:
-            yield self._frame(closed)
+        due = [first for first, _ in waiting] + ([] if flow is None else [self._limit(flow)])
+        if due:
+            self.handle.registerTimer(-(-min(due) // 1000))
 
-    def _deadline(self, flow: list) -> int:
-        return -(-min(flow[1] + self.idle, flow[0] + self.age) // 1000)
+    def _limit(self, flow: list) -> int:
+        return min(flow[1] + self.idle, flow[0] + self.age)
+
+    def _frame(self, key, closed: list[list]) -> pd.DataFrame:
+        rows = [(*key, *flow, pd.Timestamp(flow[1], unit="us")) for flow in closed]
+        return pd.DataFrame(rows, columns=[*self.key, *STATE_NAMES, "closed"])
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        yield from self._advance(key, timerValues.getCurrentWatermarkInMs() * 1000, rows)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        if self.flow.exists():
-            flow = list(self.flow.get())
-            if self._deadline(flow) <= expiredTimerInfo.getExpiryTimeInMs():
-                self.flow.clear()
-                yield self._frame([self._close(key, flow)])
+        yield from self._advance(key, max(timerValues.getCurrentWatermarkInMs(), expiredTimerInfo.getExpiryTimeInMs()) * 1000)
 
     def close(self) -> None:
         pass
@@ -135,12 +179,14 @@ def assemble_stream(
     idle_seconds: float = IDLE_SECONDS,
     age_seconds: float = AGE_SECONDS,
     lateness: str = "5 seconds",
+    piece_rows: int = PIECE_ROWS,
 ) -> DataFrame:
     """Closed flows of a packet stream as raw sums; ``finish_flows`` turns them into features.
 
     The lateness of the watermark takes the part of a periodic sweep: flows close when event time has
-    passed their limit by it. The state belongs in a RocksDB store (see ``rocksdb_state``). A key's packets of one
-    micro-batch are sorted in one frame, so the source's limit for a trigger bounds a task's memory.
+    passed their limit by it. Packets that come out of order, but within the lateness, are put in their place; those
+    that come later are dropped and counted by Spark. The state belongs in a RocksDB store (see ``rocksdb_state``).
+    ``remaining_flows`` has what a stopped stream still holds.
     """
     key = [key] if isinstance(key, str) else list(key)
     ready = (
@@ -150,7 +196,7 @@ def assemble_stream(
     )
     schema = T.StructType([*[ready.schema[k] for k in key], *STATE.fields, T.StructField("closed", T.TimestampType())])
     return ready.groupBy(*key).transformWithStateInPandas(
-        statefulProcessor=FlowAssembler(key, int(idle_seconds * 1e6), int(age_seconds * 1e6)),
+        statefulProcessor=FlowAssembler(key, int(idle_seconds * 1e6), int(age_seconds * 1e6), piece_rows),
         outputStructType=schema,
         outputMode="Append",
         timeMode="EventTime",
@@ -169,11 +215,51 @@ def rocksdb_state(spark: SparkSession):
         spark.conf.set(name, before)
 
 
-def open_flows(spark: SparkSession, checkpoint: str, key: str | list[str]) -> DataFrame:
-    """The flows a stopped query still holds open, read from its state store: the final drain."""
-    state = spark.read.format("statestore").option("stateVarName", STATE_VARIABLE).load(checkpoint)
-    keys = [key] if isinstance(key, str) else key
-    return state.select(*[f"key.{k}" for k in keys], *[f"value.{n}" for n in STATE_NAMES])
+def remaining_flows(
+    spark: SparkSession, checkpoint: str, key: str | list[str], idle_seconds: float = IDLE_SECONDS, age_seconds: float = AGE_SECONDS
+) -> DataFrame:
+    """The final drain: flows that a stopped query holds, as raw sums, with ``followed``: whether a later one has begun.
+
+    The open flows and the packets that wait are read from the state store, sorted by key and time, and walked as they
+    come; a key is never one frame.
+    """
+    keys = [key] if isinstance(key, str) else list(key)
+    idle, age = int(idle_seconds * 1e6), int(age_seconds * 1e6)
+    states = [spark.read.format("statestore").option("stateVarName", v).load(checkpoint) for v in (STATE_VARIABLE, BUFFER_VARIABLE)]
+    named = [F.col(f"key.{k}") for k in keys]
+    opened = states[0].select(*named, *[F.col(f"value.{n}").alias(n) for n in STATE_NAMES])
+    both = F.explode(F.arrays_zip("user_map_value.times", "user_map_value.values")).alias("p")
+    waiting = states[1].select(*named, both).select(*keys, F.col("p.times").alias("t__"), F.col("p.values").alias("v__"))
+    rows = opened.unionByName(waiting, allowMissingColumns=True)
+    order = [*keys, F.asc_nulls_first("t__")]
+    schema = T.StructType([*opened.schema.fields, T.StructField("followed", T.BooleanType())])
+
+    def finish(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        here, flow = None, None
+        for batch in batches:
+            if not len(batch):
+                continue
+            codes = np.stack([pd.factorize(batch[k])[0] for k in keys])
+            heads = [0, *(np.flatnonzero((np.diff(codes, axis=1) != 0).any(0)) + 1).tolist(), len(batch)]
+            out = []
+            for a, b in zip(heads, heads[1:]):
+                part = batch.iloc[a:b]
+                name = tuple(None if pd.isna(x) else x for x in part[keys].iloc[0])
+                if name != here:
+                    if flow is not None:
+                        out.append((*here, *flow, False))
+                    here, flow = name, None
+                if pd.isna(part["t__"].iloc[0]):
+                    whole = dict(zip(STATE_NAMES, part[STATE_NAMES].iloc[0]))
+                    flow = [None if pd.isna(x) else float(x) if n in FRACTIONS else int(x) for n, x in whole.items()]
+                    part = part.iloc[1:]
+                flow, closed = walk(flow, part["t__"].to_numpy(dtype=np.int64), part["v__"].to_numpy(dtype=float), idle, age)
+                out += [(*here, *c, True) for c in closed]
+            yield pd.DataFrame(out, columns=schema.names)
+        if flow is not None:
+            yield pd.DataFrame([(*here, *flow, False)], columns=schema.names)
+
+    return rows.repartition(*keys).sortWithinPartitions(*order).mapInPandas(finish, schema)
 
 
 def finish_flows(raw: DataFrame, key: str | list[str]) -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from flowsieve.operators.flows import Steps, _last_starts, _starts_after, assemble_flows, mark_flows
 from flowsieve.session import scratch_path
 from flowsieve.sources.replay import stream_table
-from flowsieve.streaming.assembly import assemble_stream, finish_flows, open_flows, rocksdb_state
+from flowsieve.streaming.assembly import assemble_stream, finish_flows, remaining_flows, rocksdb_state
 from flowsieve.streaming.runs import progress_table, run_to_end
 
 ZERO = datetime(2024, 1, 1)
@@ -103,6 +103,23 @@ def test_empty_packet_table(spark):
     assert assemble_flows(spark.createDataFrame([], SCHEMA), ["k"], "ts", "v").count() == 0
 
 
+def flow_key(df):
+    return sorted(
+        (r.k, r.flow_start, r.flow_end, r.packets, round(r.value_sum, 6), round(r.value_std or -1, 6), r.iat_min, r.iat_max, r.duration_us)
+        for r in df.collect()
+    )
+
+
+def streamed(spark, path, schema, lateness, piece_rows=2048):
+    """(closed flows, those that remain, progress) of the files of a folder, one for each micro-batch."""
+    stream = stream_table(spark, path, schema, files_per_trigger=1)
+    with rocksdb_state(spark):
+        run = run_to_end(assemble_stream(stream, "k", "ts", "v", 15, 30, lateness, piece_rows), "test-assembly")
+    closed = spark.read.parquet(run.output).drop("closed")
+    progress = progress_table(spark, run).agg(F.sum("input_rows"), F.sum("late_rows")).first()
+    return closed, remaining_flows(spark, run.checkpoint, "k", 15, 30), tuple(progress)
+
+
 def test_stream_equals_batch_and_counts_late_rows(spark):
     rows = sorted(packets(5), key=lambda r: r[2])
     df = spark.createDataFrame(rows, SCHEMA)
@@ -110,20 +127,49 @@ def test_stream_equals_batch_and_counts_late_rows(spark):
     for lo, hi in ((0, 200), (200, 400), (400, 601)):
         bound = [F.lit(ZERO + timedelta(seconds=s)) for s in (lo, hi)]
         df.filter((F.col("ts") >= bound[0]) & (F.col("ts") < bound[1])).coalesce(1).write.mode("append").parquet(path)
-    stream = stream_table(spark, path, df.schema, files_per_trigger=1)
-    with rocksdb_state(spark):
-        run = run_to_end(assemble_stream(stream, "k", "ts", "v", 15, 30, "5 seconds"), "test-assembly")
-    closed = spark.read.parquet(run.output).drop("closed")
-    still_open = open_flows(spark, run.checkpoint, "k")
-    assert closed.count() > still_open.count() > 0
+    closed, rest, progress = streamed(spark, path, df.schema, "5 seconds")
+    assert closed.count() > rest.count() > 0
+    batch = assemble_flows(df, ["k"], "ts", "v", 15, 30)
+    assert flow_key(finish_flows(closed.unionByName(rest.drop("followed")), "k")) == flow_key(batch)
+    assert progress == (len(rows), 0)
 
-    def key(df):
-        return sorted(
-            (r.k, r.flow_start, r.flow_end, r.packets, round(r.value_sum, 6), round(r.value_std or -1, 6), r.iat_min, r.iat_max, r.duration_us)
-            for r in df.collect()
-        )
 
+@pytest.mark.parametrize("piece_rows", [5, 2048])
+def test_packets_out_of_order_within_the_lateness(spark, piece_rows):
+    """Batches that overlap in time and are shuffled inside give the flows of the sorted table; later ones are dropped."""
+    rng = random.Random(6)
+    rows = packets(6)
+    late = {r[0]: (r[2] - ZERO).total_seconds() + rng.uniform(0, 55) for r in rows}
+    arriving = sorted(rows, key=lambda r: late[r[0]])
+    path = scratch_path(spark, "packets")
+    size = 75
+    for at in range(0, len(arriving), size):
+        part = arriving[at : at + size]
+        rng.shuffle(part)
+        spark.createDataFrame(part, SCHEMA).coalesce(1).write.mode("append").parquet(path)
+    too_late = [(10_000, "hot", ZERO, 1.0)]
+    spark.createDataFrame(too_late, SCHEMA).coalesce(1).write.mode("append").parquet(path)
+    df = spark.createDataFrame(rows, SCHEMA)
+    closed, rest, progress = streamed(spark, path, df.schema, "60 seconds", piece_rows)
+    assert closed.count() > 20
     batch = assemble_flows(df, ["k"], "ts", "v", 15, 30)
-    assert key(finish_flows(closed.unionByName(still_open), "k")) == key(batch)
-    progress = progress_table(spark, run).agg(F.sum("input_rows"), F.sum("late_rows")).first()
-    assert tuple(progress) == (len(rows), 0)
+    assert flow_key(finish_flows(closed.unionByName(rest.drop("followed")), "k")) == flow_key(batch)
+    assert progress == (len(rows) + 1, 1)
+
+
+def test_hot_key_of_one_micro_batch_is_no_frame(spark):
+    """Many more packets of a key than a frame holds, backwards, in one batch and out by timers of the next."""
+    n = 30_000
+    df = spark.range(n).select("id", F.lit("hot").alias("k"), F.timestamp_micros((n - F.col("id")) * 1_700).alias("ts"), F.lit(1.0).alias("v"))
+    path = scratch_path(spark, "packets")
+    df.coalesce(1).write.mode("append").parquet(path)
+    last = [(n, "other", datetime(1970, 1, 1) + timedelta(seconds=400), 1.0)]
+    spark.createDataFrame(last, SCHEMA).coalesce(1).write.mode("append").parquet(path)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "3000")
+    try:
+        closed, rest, _ = streamed(spark, path, df.schema, "60 seconds", 512)
+        assert closed.filter("k = 'hot'").count() == 2 and rest.filter("k = 'hot'").isEmpty()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    batch = assemble_flows(df, ["k"], "ts", "v", 15, 30)
+    assert flow_key(finish_flows(closed, "k")) == flow_key(batch)
