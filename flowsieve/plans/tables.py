@@ -45,6 +45,25 @@ def _(spark, d):
     return csv_flows.scan_csv_dir(spark, line_files(spark, d)).rejected
 
 
+def broken_csv(spark, d):
+    """Events in CSV files whose notes hold line breaks, quotes and commas; quotes are doubled."""
+    n = F.col("event_id")
+    note = F.when(n % 3 == 0, F.concat(F.lit("seen\nby "), F.col("user_id"), F.lit(', "twice"\n\nand "again"'))).when(
+        n % 3 == 1, F.concat(F.lit('5" disk, '), n)
+    )
+    path = scratch_path(spark, "broken")
+    writer = table(spark, d, "events").select("event_id", note.alias("note"), "event_type").write
+    writer.option("header", "true").option("escape", '"').option("maxRecordsPerFile", 2000).csv(path)
+    return path
+
+
+@query("a2_quoted_breaks", """SELECT event_id, CASE event_id % 3 WHEN 0 THEN concat('seen', chr(10), 'by ', user_id, ', "twice"', chr(10), chr(10), 'and "again"')
+    WHEN 1 THEN concat('5" disk, ', event_id) END AS note, event_type FROM events""")
+def _(spark, d):
+    rows = csv_flows.scan_csv_dir(spark, broken_csv(spark, d), escape='"').good
+    return rows.withColumn("event_id", F.col("event_id").cast("long"))
+
+
 def mixed_texts(spark, d):
     """Text columns of which all, 60 % and 40 % of the rows are numbers."""
     n = F.col("event_id")

@@ -16,6 +16,7 @@ from flowsieve.schema import (
     detect_column,
     require_header,
 )
+from flowsieve.sources import records
 
 RAW_LINE = "_raw_line"
 
@@ -43,9 +44,10 @@ def read_header(spark: SparkSession, path: str) -> tuple[str, ...]:
     return tuple(spark.read.option("header", "true").csv(path).columns)
 
 
-def field_count(line: Column) -> Column:
+def field_count(line: Column, escape: str = "\\") -> Column:
     """Number of comma-separated fields of a line, commas inside quotes not counted."""
-    return F.size(F.split(F.regexp_replace(line, r'"([^"]|"")*"', ""), ","))
+    quoted = r'"([^"]|"")*"' if escape == '"' else r'"([^"\\]|\\.|"")*"'
+    return F.size(F.split(F.regexp_replace(line, f"(?s){quoted}", ""), ","))
 
 
 def _reader(spark: SparkSession, names: tuple[str, ...], mode: str):
@@ -59,48 +61,65 @@ def _reader(spark: SparkSession, names: tuple[str, ...], mode: str):
     )
 
 
-def first_lines(spark: SparkSession, folder: str, pattern: str = "*.csv") -> DataFrame:
-    """(path, line): the first line of each file that is not empty, for all files in one job."""
-    lines = spark.read.option("pathGlobFilter", pattern).option("recursiveFileLookup", "true").text(folder)
-    path = F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B")))
-    begin = lines.filter((F.col("_metadata.file_block_start") == 0) & (F.trim("value") != ""))
-    numbered = begin.select(path.alias("path"), "value", F.monotonically_increasing_id().alias("no"))
-    return numbered.groupBy("path").agg(F.min_by("value", "no").alias("line"))
+def first_lines(spark: SparkSession, folder: str, pattern: str = "*.csv", escape: str = "\\") -> DataFrame:
+    """(path, line, broken): the first line of each file that is not empty, and whether a quoted field goes on over a line end.
+
+    One job for all files.
+    """
+    lines = records.text_lines(spark, folder, pattern).withColumn("value", F.regexp_replace("value", "\r$", ""))
+    first = F.min_by("value", F.when((F.col("block") == 0) & (F.trim("value") != ""), F.col("no")))
+    found = lines.groupBy("path").agg(first.alias("line"), F.bool_or(records.opens(F.col("value"), escape)).alias("broken"))
+    return found.filter("line IS NOT NULL")
 
 
-def scan_csv_dir(spark: SparkSession, folder: str) -> ParsedFlows:
+def scan_csv_dir(spark: SparkSession, folder: str, escape: str = "\\") -> ParsedFlows:
     """Every ``*.csv`` below a folder, unioned by column name, all columns as text.
 
     Files are grouped by their header line, because one read of files with different column orders
     would map them by position. Only file names and header lines reach the driver, from one job for all files;
-    a header is parsed once, however many files have it. Files without a line are left out.
+    a header is parsed once, however many files have it. Files without a line are left out. Files with a quoted field
+    that goes on over a line end are put together from their lines first (``csv_records``), so they stay split like the
+    others. ``escape`` stands before a quote inside quotes: a backslash, or a quote for files that double them.
     """
-    by_line: dict[str, list[str]] = defaultdict(list)
-    for r in first_lines(spark, folder).collect():
-        by_line[r["line"]].append(r["path"])
+    by_line: dict[tuple[str, bool], list[str]] = defaultdict(list)
+    for r in first_lines(spark, folder, escape=escape).collect():
+        by_line[r["line"], r["broken"]].append(r["path"])
     if not by_line:
         raise FileNotFoundError(f"no CSV files in {folder}")
-    groups: dict[tuple[str, ...], list[str]] = defaultdict(list)
-    for paths in by_line.values():
-        header = read_header(spark, min(paths))
-        require_header(list(header))
-        groups[header] += sorted(paths)
+    groups: dict[tuple[tuple[str, ...], bool], list[str]] = defaultdict(list)
+    headers: dict[str, tuple[str, ...]] = {}
+    for (line, broken), paths in by_line.items():
+        if line not in headers:
+            headers[line] = read_header(spark, min(paths))
+            require_header(list(headers[line]))
+        groups[headers[line], broken] += sorted(paths)
 
     good, rejected = None, None
-    for header, members in groups.items():
-        rows = _reader(spark, header, "PERMISSIVE").csv(members)
-        too_long = F.coalesce(field_count(F.col(RAW_LINE)) > len(header), F.lit(False))
+    for (header, broken), members in groups.items():
+        if broken:
+            texts = records.csv_records(spark, members, escape).select("record")
+            rows = _parsed(texts, header, escape)
+        else:
+            texts = spark.read.text(members).select(F.col("value").alias("record"))
+            rows = _reader(spark, header, "PERMISSIVE").option("escape", escape).csv(members)
+        too_long = F.coalesce(field_count(F.col(RAW_LINE), escape) > len(header), F.lit(False))
         part = rows.filter(~too_long).select(*[F.col(f"`{c}`").alias(c.strip()) for c in header])
-        bad = (
-            spark.read.text(members)
-            .filter(field_count(F.col("value")) > len(header))
-            .select(F.col("value").alias("line"), F.lit(len(header)).alias("expected_fields"))
+        bad = texts.filter(field_count(F.col("record"), escape) > len(header)).select(
+            F.col("record").alias("line"), F.lit(len(header)).alias("expected_fields")
         )
         good = part if good is None else good.unionByName(part, allowMissingColumns=True)
         rejected = bad if rejected is None else rejected.unionByName(bad)
     return ParsedFlows(good, rejected)
 
 
+def _parsed(texts: DataFrame, header: tuple[str, ...], escape: str) -> DataFrame:
+    """Whole records as rows of the header's columns and the raw record of those that do not fit."""
+    names = [*header, RAW_LINE]
+    schema = ", ".join(f"`{n.replace('`', '``')}` STRING" for n in names)
+    options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": RAW_LINE, "escape": escape, "columnPruning": "false"}
+    return texts.select(F.from_csv("record", schema, options).alias("r")).select(*[F.col("r")[n].alias(n) for n in names])
+
+
 def coerce_numeric(
     df: DataFrame, exclude: tuple[str, ...] = NEVER_COERCED, min_ratio: float = 0.5
 ) -> DataFrame:
