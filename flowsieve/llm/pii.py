@@ -22,7 +22,7 @@ KINDS = (*BASE_KINDS, "iban", "ssn")
 PATTERNS = {
     "email": r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++",
     "ip": r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++",
-    "card": r"[0-9](?:[\x20-]?[0-9])++",
+    "card": r"[0-9](?:[\x20-]?[0-9]){13,}+",  # a shorter run has too few digits, and so has every part of it
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
     "iban": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:[A-Z0-9]{11,30})(?![A-Za-z0-9])",
     "ssn": r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])",
@@ -45,6 +45,8 @@ COUNTRY_CODES = "1 7 20 27 30 31 32 33 34 36 39 40 41 43 44 45 46 47 48 49 51 52
 IBAN_COUNTRIES = "AT BE CH CZ DE DK ES FI FR GB GR HU IE IT LU NL NO PL PT SE".split()
 LABELERS = ("form", "gazetteer", "context", "border")
 ROUNDS = 12
+#: Matches whose places are summed up in one piece.
+SLICE_MATCHES = 256
 _FOUND = "array<struct<start:bigint,end:bigint,m:string,before:string,after:string>>"
 
 
@@ -54,25 +56,46 @@ def matches(text: Column, kind: str) -> Column:
     return F.when(F.contains(text, F.lit(NEEDED[kind])), found).otherwise(F.array().cast("array<string>")) if kind in NEEDED else found
 
 
+def _bound(value: Column, use) -> Column:
+    """``use`` of a value that is computed once, although it is read inside a lambda."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def placed(text: Column, found: Column, kind: str) -> Column:
-    """Start and end in code points of each match, with the text around it: lengths of gaps and matches, summed up."""
+    """Start and end in code points of each match, with the text around it: lengths of gaps and matches, summed up.
+
+    Sums run inside slices of the matches and then over the slices, so an array is grown within a slice alone and work
+    is linear in the matches of a text.
+    """
     gaps, n = F.split(text, PATTERNS[kind], -1), F.size(found)
     rows = F.zip_with(
         found, F.zip_with(F.slice(gaps, F.lit(1), n), F.slice(gaps, F.lit(2), n), lambda g, h: F.struct(g.alias("g"), h.alias("h"))),
-        lambda m, x: F.struct(m.alias("m"), x["g"].alias("g"), x["h"].alias("h")),
+        lambda m, x: F.struct(
+            F.length(x["g"]).alias("gap"), F.length(m).alias("length"), m.alias("m"),
+            F.lower(F.right(x["g"], F.lit(CONTEXT_CHARS))).alias("before"), F.left(x["h"], F.lit(1)).alias("after"),
+        ),
     )
+    begin = lambda kind: F.struct(F.lit(0).cast("bigint").alias("at"), F.array().cast(kind).alias("out"))
 
     def step(acc: Column, x: Column) -> Column:
-        start = acc["at"] + F.length(x["g"])
-        end = start + F.length(x["m"])
-        span = F.struct(
-            start.alias("start"), end.alias("end"), x["m"].alias("m"),
-            F.lower(F.right(x["g"], F.lit(CONTEXT_CHARS))).alias("before"), F.left(x["h"], F.lit(1)).alias("after"),
-        )
+        start = acc["at"] + x["gap"]
+        end = start + x["length"]
+        span = F.struct(start.alias("start"), end.alias("end"), x["m"].alias("m"), x["before"].alias("before"), x["after"].alias("after"))
         return F.struct(end.cast("bigint").alias("at"), F.concat(acc["out"], F.array(span)).alias("out"))
 
-    begin = F.struct(F.lit(0).cast("bigint").alias("at"), F.array().cast(_FOUND).alias("out"))
-    return F.when(n > 0, F.aggregate(rows, begin, step, lambda acc: acc["out"])).otherwise(F.array().cast(_FOUND))
+    def shift(acc: Column, part: Column) -> Column:
+        return F.struct((acc["at"] + part["at"]).alias("at"), F.concat(acc["out"], F.array(acc["at"])).alias("out"))
+
+    def moved(part: Column, by: Column) -> Column:
+        return F.transform(
+            part["out"],
+            lambda s: F.struct((s["start"] + by).alias("start"), (s["end"] + by).alias("end"), s["m"].alias("m"), s["before"].alias("before"), s["after"].alias("after")),
+        )
+
+    firsts = F.sequence(F.lit(1), n, F.lit(SLICE_MATCHES))
+    slices = _bound(rows, lambda r: F.transform(firsts, lambda i: F.aggregate(F.slice(r, i, F.lit(SLICE_MATCHES)), begin(_FOUND), step)))
+    whole = _bound(slices, lambda p: F.flatten(F.zip_with(p, F.aggregate(p, begin("array<bigint>"), shift, lambda acc: acc["out"]), moved)))
+    return F.when(n > 0, whole).otherwise(F.array().cast(_FOUND))
 
 
 def _digits(m: Column) -> Column:
