@@ -1,10 +1,15 @@
-"""Clusters of near copies: a join of word-shingle sets at a Jaccard similarity, and the components of its links.
+"""Clusters of near copies: word-shingle sets at a Jaccard similarity, and the components of their links.
 
 Texts with one set of shingles are one node. Sets meet in a band if four minima of seeded hashes agree; with 26 bands a
-pair at 0.8 is missed by a chance of about 1e-6, one of more likeness by less. Pairs that meet, and differ in few enough of
-the bits that stand for all minima (missed: less than 1e-6 again), are verified on the sets.
-Members of a band are compared with its smallest first, and then all those that are not yet connected with each other,
-so a group of near copies costs links, not pairs; a band of sets that are not alike costs all its pairs.
+pair at 0.8 is missed by a chance of about 1e-6, one of more likeness by less. Most sets meet no other: only the bands
+that two share are followed, and only the sets that meet another one are cut from their texts again, once for each set.
+
+Those sets get 512 more minima of which one bit each is kept. A task goes through a band's sets and grows parts from
+one set by those that differ in few enough bits (at 0.8 one in ten differs, more than 86 by a chance below 1e-6), so a
+band gives a forest of possible links, never its pairs. The sets connected by possible links are compared in one place:
+each with the others whose bits are near, until it is linked to their part by the shingles themselves. Again a forest comes
+out, so no set is sent more than once for a group that fits a task. Larger groups are cut into blocks by hash, and each pair of
+blocks is a task, so memory is bounded, no link is lost, and only there a set is sent more than once.
 """
 
 from __future__ import annotations
@@ -19,6 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from flowsieve.llm.components import components
+from flowsieve.llm.simhash import spanning
 from flowsieve.llm.text import mixed, raw_texts, shingle_hashes, slices, space_words
 from flowsieve.session import materialise
 
@@ -26,13 +32,20 @@ WIDTH = 5
 #: Jaccard similarity from which sets are near copies, as a fraction.
 LEAST, OF = 4, 5
 BANDS, ROWS = 26, 4
-#: Bits of the minima in which a pair may differ; at 0.8 one in ten differs, 29 of 104 by a chance below 1e-6.
-MOST_BITS = 28
+#: Minima of which a bit is kept, and the bits in which a pair may differ.
+SKETCH, MOST_BITS = 512, 86
+#: Sets of a band, and bytes of sets of a group, that one block holds.
+BLOCK_ROWS, BLOCK_BYTES = 65_536, 32 << 20
+#: Texts that are asked for are told from most others by a table of so many bits.
+FILTER_BITS = 1 << 23
 _rng = np.random.default_rng(11)
 _FLIPS = _rng.integers(0, 1 << 32, (BANDS * ROWS, 1), np.uint32)
 _FACTORS = _rng.integers(0, 1 << 32, (BANDS * ROWS, 1), np.uint32) | np.uint32(1)
 _ORDER = np.arange(BANDS * ROWS, dtype=np.uint64)
-_PIECE = 4_096
+_MORE_FLIPS = _rng.integers(0, 1 << 32, (SKETCH, 1), np.uint32)
+_MORE_FACTORS = _rng.integers(0, 1 << 32, (SKETCH, 1), np.uint32) | np.uint32(1)
+_MORE_ORDER = np.arange(SKETCH, dtype=np.uint64)
+_PIECE = 512
 
 
 def shingle_set(words: list[bytes]) -> np.ndarray:
@@ -45,83 +58,194 @@ def set_key(own: np.ndarray, raw: bytes) -> int:
     return int(np.uint64(xxhash.xxh64_intdigest(own.tobytes() if len(own) else raw)).view(np.int64))
 
 
-def bands(own: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """One value for each band of a set that is not empty, and a bit for each of the minima, as signed longs."""
-    least = np.full(BANDS * ROWS, np.iinfo(np.uint32).max, np.uint32)
+def _minima(own: np.ndarray, flips: np.ndarray, factors: np.ndarray, order: np.ndarray) -> np.ndarray:
+    """The least value of a set under each seeded hash, as even 64-bit numbers."""
+    least = np.full(len(order), np.iinfo(np.uint32).max, np.uint32)
     high = (own >> np.uint64(32)).astype(np.uint32)
-    for at in range(0, len(own), _PIECE):
-        np.minimum(least, ((high[None, at : at + _PIECE] ^ _FLIPS) * _FACTORS).min(1), out=least)
-    least = mixed(least.astype(np.uint64) + (_ORDER << np.uint64(32)))
+    for at in range(0, len(high), _PIECE):
+        hashed = high[None, at : at + _PIECE] ^ flips
+        hashed *= factors
+        np.minimum(least, hashed.min(1), out=least)
+    return mixed(least.astype(np.uint64) + (order << np.uint64(32)))
+
+
+def bands(own: np.ndarray) -> np.ndarray:
+    """One value for each band of a set that is not empty, as signed longs."""
+    least = _minima(own, _FLIPS, _FACTORS, _ORDER)
     value = np.arange(BANDS, dtype=np.uint64)
     for column in least.reshape(BANDS, ROWS).T:
         value = mixed(value * np.uint64(0x9E3779B97F4A7C15) + column)
-    bits = np.packbits(np.append((least >> np.uint64(63)).astype(np.uint8), np.zeros(24, np.uint8)))
-    return value.view(np.int64), bits.view(np.int64)
+    return value.view(np.int64)
+
+
+def sketch_bits(own: np.ndarray) -> bytes:
+    """A bit for each of further minima of a set."""
+    least = _minima(own, _MORE_FLIPS, _MORE_FACTORS, _MORE_ORDER)
+    return np.packbits((least >> np.uint64(63)).astype(np.uint8)).tobytes()
 
 
 def sketches(documents: DataFrame, doc_id: str, text: str, source: str) -> DataFrame:
-    """doc_id, source, n (words), key, size (of the set), bands, bits, hash (of the text): one row per document row; NULL texts have no key."""
+    """doc_id, source, n (words), key, size (of the set), bands, hash (of the text): one row per document row; NULL texts have no key."""
 
     def sketch(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, "text"):
-            n, keys, sizes, found, bits = [], [], [], [], []
+            n, keys, sizes, found = [], [], [], []
             for raw, known in zip(raw_texts(part, "text"), part.column("text").is_valid().to_pylist()):
                 words = space_words(raw)
                 own = shingle_set(words)
                 n.append(len(words))
                 keys.append(set_key(own, raw) if known else None)
                 sizes.append(len(own))
-                met, marks = bands(own) if len(own) else ([], [])
-                found.append(met)
-                bits.append(marks)
-            longs = pa.list_(pa.int64())
-            made = [pa.array(n, pa.int64()), pa.array(keys, pa.int64()), pa.array(sizes, pa.int64()), pa.array(found, longs), pa.array(bits, longs)]
+                found.append(bands(own) if len(own) else [])
+            made = [pa.array(n, pa.int64()), pa.array(keys, pa.int64()), pa.array(sizes, pa.int64()), pa.array(found, pa.list_(pa.int64()))]
             yield pa.RecordBatch.from_arrays(
                 [part.column("doc_id"), part.column("source"), *made, part.column("hash")],
-                names=["doc_id", "source", "n", "key", "size", "bands", "bits", "hash"],
+                names=["doc_id", "source", "n", "key", "size", "bands", "hash"],
             )
 
     schema = T.StructType([T.StructField("doc_id", documents.schema[doc_id].dataType), T.StructField("source", T.StringType())])
-    schema = schema.add("n", T.LongType()).add("key", T.LongType()).add("size", T.LongType()).add("bands", T.ArrayType(T.LongType())).add("bits", T.ArrayType(T.LongType()))
+    schema = schema.add("n", T.LongType()).add("key", T.LongType()).add("size", T.LongType()).add("bands", T.ArrayType(T.LongType()))
     rows = documents.select(
         documents[doc_id].alias("doc_id"), documents[text].alias("text"), documents[source].cast("string").alias("source"), F.xxhash64(documents[text]).alias("hash")
     )
     return rows.mapInArrow(sketch, schema.add("hash", T.LongType()))
 
 
+def _filtered(rows: DataFrame, asked: DataFrame, column: str) -> DataFrame:
+    """The rows but most of those whose long is not asked for: a table of bits of a fixed size, whatever is asked."""
+    place = lambda c: F.pmod(F.xxhash64(c), F.lit(FILTER_BITS))
+    bit = lambda p: F.call_function("shiftleft", F.lit(1), p.bitwiseAND(F.lit(7).cast("long")).cast("int"))
+    cells = asked.select(place(F.col(column)).alias("p")).groupBy(F.shiftright("p", 3).alias("cell"))
+    table = bytearray(FILTER_BITS // 8)
+    for r in cells.agg(F.bit_or(bit(F.col("p"))).alias("bits")).collect():
+        table[r.cell] = r.bits
+    at = place(F.col(column))
+    byte = F.conv(F.hex(F.substring(F.lit(table), (F.shiftright(at, 3) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
+    return rows.filter(byte.bitwiseAND(bit(at)) != 0)
+
+
 def shingle_sets(documents: DataFrame, text: str, asked: DataFrame) -> DataFrame:
-    """key, own (the set as bytes) of the texts with words whose ``hash`` is asked for."""
+    """key, size, bits, own (the set as bytes) of the texts with words whose ``hash`` is asked for; equal texts once."""
 
     def collect(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, "text"):
             sets = [own for raw in raw_texts(part, "text") if len(own := shingle_set(space_words(raw)))]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([set_key(s, b"") for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], names=["key", "own"]
-            )
+            columns = [[set_key(s, b"") for s in sets], [len(s) for s in sets], [sketch_bits(s) for s in sets], [s.tobytes() for s in sets]]
+            kinds = (pa.int64(), pa.int64(), pa.binary(), pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=["key", "size", "bits", "own"])
 
     rows = documents.select(documents[text].alias("text"), F.xxhash64(documents[text]).alias("hash"))
-    return rows.join(asked, "hash", "left_semi").select("text").mapInArrow(collect, "key long, own binary")
+    rows = _filtered(rows, asked, "hash").join(asked, "hash", "left_semi").groupBy("hash").agg(F.any_value("text").alias("text"))
+    return rows.select("text").mapInArrow(collect, "key long, size long, bits binary, own binary")
+
+
+def _in_blocks(rows: DataFrame, group: str, blocks: Column) -> DataFrame:
+    """Rows for each pair of the blocks that their group is cut into; a group of one block has one."""
+    own = F.pmod(F.xxhash64("key", F.lit(5)), F.col("blocks__"))
+    other = F.filter(F.sequence(F.lit(0).cast("long"), F.col("blocks__") - 1), lambda b: (F.col("blocks__") == 1) | (b != F.col("own__")))
+    out = rows.withColumn("blocks__", blocks.cast("long")).withColumn("own__", own).withColumn("other__", F.explode(other))
+    task = [F.least("own__", "other__").alias("low__"), F.greatest("own__", "other__").alias("high__")]
+    out = out.select(*rows.columns, *task)
+    return out.repartition(group, "low__", "high__").sortWithinPartitions(group, "low__", "high__", "key")
 
 
-def _alike(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _grouped(batches: Iterable[pa.RecordBatch], group: str) -> Iterator[list[pa.RecordBatch]]:
+    """The batches of each task of ``_in_blocks``."""
+    held: list[pa.RecordBatch] = []
+    before = None
     for batch in batches:
-        rows = []
-        for a, b, x, y in zip(*(batch.column(c).to_pylist() for c in ("a", "b", "x", "y"))):
-            x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-            shared = len(x) + len(y) - len(np.union1d(x, y))
-            if OF * shared >= LEAST * (len(x) + len(y) - shared):
-                rows.append((a, b))
-        yield pa.RecordBatch.from_pydict({"a": [r[0] for r in rows], "b": [r[1] for r in rows]}, schema=pa.schema([("a", pa.int64()), ("b", pa.int64())]))
+        if not batch.num_rows:
+            continue
+        names = np.stack([batch.column(c).to_numpy().astype(np.int64) for c in (group, "low__", "high__")])
+        cuts = (np.flatnonzero((np.diff(names, axis=1) != 0).any(0)) + 1).tolist()
+        for a, b in zip([0, *cuts], [*cuts, batch.num_rows]):
+            here = names[:, a].tolist()
+            if here != before and held:
+                yield held
+                held = []
+            held.append(batch.slice(a, b - a))
+            before = here
+    if held:
+        yield held
+
+
+def _columns(parts: list[pa.RecordBatch]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(keys, sizes, bits as rows of longs) of a group."""
+    keys, sizes = (np.concatenate([p.column(c).to_numpy() for p in parts]) for c in ("key", "size"))
+    bits = np.frombuffer(b"".join(x for p in parts for x in p.column("bits").to_pylist()), np.uint64).reshape(len(keys), -1)
+    return keys, sizes, bits
+
 
+def _near(size: int, bits: np.ndarray, sizes: np.ndarray, others: np.ndarray) -> np.ndarray:
+    """Whether sets may be near copies of one, by their sizes and bits."""
+    lengths = (OF * size >= LEAST * sizes) & (OF * sizes >= LEAST * size)
+    return lengths & (np.bitwise_count(others ^ bits).sum(1) <= MOST_BITS)
 
-def _verified(pairs: DataFrame, nodes: DataFrame, documents: DataFrame, text: str, name: str) -> DataFrame:
-    """The pairs whose sets are near copies. Only one text of each asked key is cut into shingles again, and its copies."""
-    keys = pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct()
-    asked = materialise(nodes.join(keys, "key", "left_semi").select("hash"), f"{name}-keys")
-    sets = materialise(shingle_sets(documents, text, asked).dropDuplicates(["key"]), f"{name}-sets")
-    first = pairs.join(sets.select(F.col("key").alias("a"), F.col("own").alias("x")), "a")
-    both = first.join(sets.select(F.col("key").alias("b"), F.col("own").alias("y")), "b")
-    return materialise(both.select("a", "b", "x", "y").mapInArrow(_alike, "a long, b long"), f"{name}-links")
+
+def possible_links(keys: np.ndarray, sizes: np.ndarray, bits: np.ndarray) -> Iterator[tuple[int, int]]:
+    """A forest over the sets that may be near copies: parts are grown from one set by the near ones not yet reached."""
+    rest = np.arange(len(keys))
+    while len(rest) > 1:
+        queue, rest = [int(rest[0])], rest[1:]
+        while queue and len(rest):
+            here = queue.pop()
+            near = _near(sizes[here], bits[here], sizes[rest], bits[rest])
+            if near.any():
+                reached = rest[near].tolist()
+                rest = rest[~near]
+                queue.extend(reached)
+                yield from ((int(keys[here]), int(keys[r])) for r in reached)
+
+
+def exact_links(keys: np.ndarray, sizes: np.ndarray, bits: np.ndarray, sets: list[np.ndarray]) -> Iterator[tuple[int, int]]:
+    """A forest over the sets that are near copies: a set is compared with near ones of other parts until it joins them."""
+    part = np.arange(len(keys))
+    for here in range(1, len(keys)):
+        left = np.flatnonzero(_near(sizes[here], bits[here], sizes[:here], bits[:here]))
+        while len(left):
+            left = left[part[left] != part[here]]
+            for at, other in enumerate(left.tolist()):
+                shared = _shared(sets[here], sets[other])
+                if OF * shared >= LEAST * (sizes[here] + sizes[other] - shared):
+                    part[part == part[other]] = part[here]
+                    yield int(keys[here]), int(keys[other])
+                    left = left[at + 1 :]
+                    break
+            else:
+                break
+
+
+def _shared(a: np.ndarray, b: np.ndarray) -> int:
+    """Members that two sorted sets have in common."""
+    if len(a) > len(b):
+        a, b = b, a
+    at = np.searchsorted(b, a)
+    at[at == len(b)] = 0
+    return int(np.count_nonzero(b[at] == a))
+
+
+_LINKS = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+
+
+def _forest(links: Iterable[tuple[int, int]]) -> pa.RecordBatch:
+    kept = spanning(list(links))
+    return pa.RecordBatch.from_arrays([pa.array([x[i] for x in kept], pa.int64()) for i in (0, 1)], schema=_LINKS)
+
+
+def _possible(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    held: list[tuple[int, int]] = []
+    for parts in _grouped(batches, "band"):
+        held += possible_links(*_columns(parts))
+        if len(held) > 100_000:
+            yield _forest(held)
+            held = []
+    yield _forest(held)
+
+
+def _exact(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for parts in _grouped(batches, "root"):
+        sets = [np.frombuffer(x, np.uint64) for p in parts for x in p.column("own").to_pylist()]
+        yield _forest(exact_links(*_columns(parts), sets))
 
 
 def near_copy_clusters(documents: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
@@ -129,32 +253,26 @@ def near_copy_clusters(documents: DataFrame, doc_id: str = "doc_id", text: str =
 
     Texts are near copies if the sets of their five-word shingles have a Jaccard similarity of at least 0.8; clusters
     are connected by them. A text that stands alone has a cluster of its own. NULL texts have none; texts without
-    words are alike only if equal. Ids may be NULL or repeated.
+    words are alike only if equal. Ids may be NULL or repeated, repeated rows stay, an empty table gives an empty one;
+    columns other than the three named are not read. A text is held whole, with its set, in one task.
     """
     rows = materialise(sketches(documents, doc_id, text, source), "near-sketches")
-    nodes = rows.filter("size > 0").groupBy("key").agg(F.min_by(F.struct("size", "bands", "bits", "hash"), "hash").alias("r")).select("key", "r.*")
+    nodes = rows.filter("size > 0").groupBy("key").agg(F.min_by(F.struct("bands", "hash"), "hash").alias("r")).select("key", "r.*")
     nodes = materialise(nodes, "near-nodes")
-    met = nodes.select("key", "size", "bits", F.explode("bands").alias("band"))
-    least = met.groupBy("band").agg(F.min("key").alias("first"), F.min_by(F.struct("size", "bits"), "key").alias("r"), F.count("*").alias("n"))
-    least = materialise(least.filter("n > 1").select("band", "first", F.col("r.size").alias("first_size"), F.col("r.bits").alias("first_bits")), "near-firsts")
-    members = materialise(met.join(least, "band").filter("key <> first"), "near-members")
-
-    def near(size: str, bits: str, other_size: str, other_bits: str) -> Column:
-        lengths = (OF * F.col(size) >= LEAST * F.col(other_size)) & (OF * F.col(other_size) >= LEAST * F.col(size))
-        differ = [F.bit_count(F.col(bits)[i].bitwiseXOR(F.col(other_bits)[i])) for i in (0, 1)]
-        return lengths & (differ[0] + differ[1] <= MOST_BITS)
-
-    pairs = members.filter(near("size", "bits", "first_size", "first_bits")).select(F.col("first").alias("a"), F.col("key").alias("b")).distinct()
-    links = _verified(materialise(pairs, "near-pairs"), nodes, documents, text, "near-firsts")
-    groups = components(links)
-    rooted = members.join(groups, members["key"] == groups["node"], "left").select("band", "key", "size", "bits", F.coalesce("root", "key").alias("root"))
-    rooted = materialise(rooted, "near-rooted")
-    several = materialise(rooted.groupBy("band").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo < hi").select("band"), "near-several")
-    left = materialise(rooted.join(several, "band", "left_semi"), "near-left")
-    other = left.select("band", F.col("key").alias("b"), F.col("size").alias("other_size"), F.col("bits").alias("other_bits"), F.col("root").alias("other_root"))
-    apart = (F.col("key") < F.col("b")) & (F.col("root") != F.col("other_root"))
-    rest = left.join(other, "band").filter(apart & near("size", "bits", "other_size", "other_bits"))
-    rest = materialise(rest.select(F.col("key").alias("a"), "b").distinct(), "near-rest")
-    if not rest.isEmpty():
-        groups = components(links.unionAll(_verified(rest, nodes, documents, text, "near-rest")))
-    return rows.join(groups, rows["key"] == groups["node"], "left").select("doc_id", "source", "n", F.coalesce("root", "key").alias("cluster"))
+    met = nodes.select("key", F.explode("bands").alias("band"))
+    common = materialise(met.groupBy("band").agg(F.count("*").alias("n")).filter("n > 1"), "near-bands")
+    shared = materialise(met.join(common, "band"), "near-shared")
+    asked = materialise(nodes.join(shared.select("key").distinct(), "key", "left_semi").select("hash"), "near-asked")
+    sets = materialise(shingle_sets(documents, text, asked), "near-sets")
+
+    held = shared.join(sets.select("key", "size", "bits"), "key")
+    tasks = _in_blocks(held, "band", F.ceil(F.col("n") / BLOCK_ROWS))
+    possible = materialise(tasks.select("band", "low__", "high__", "key", "size", "bits").mapInArrow(_possible, "a long, b long").distinct(), "near-possible")
+    groups = components(possible).withColumnsRenamed({"node": "key"})
+    members = sets.join(groups, "key")
+    sums = members.groupBy("root").agg(F.sum(F.octet_length("own").cast("long")).alias("bytes"))
+    members = members.join(sums, "root")
+    tasks = _in_blocks(members, "root", F.ceil(F.col("bytes") / BLOCK_BYTES))
+    links = materialise(tasks.select("root", "low__", "high__", "key", "size", "bits", "own").mapInArrow(_exact, "a long, b long"), "near-links")
+    alike = components(links)
+    return rows.join(alike, rows["key"] == alike["node"], "left").select("doc_id", "source", "n", F.coalesce("root", "key").alias("cluster"))
