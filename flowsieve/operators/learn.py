@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import itertools
 import random
 from concurrent.futures import ThreadPoolExecutor
@@ -296,6 +297,41 @@ def load_scorer(spark: SparkSession, path: str) -> Scorer:
     )
 
 
+def content_fingerprint(df: DataFrame, columns: list[str]) -> str:
+    """A name of the rows of a table, whatever their order and partitions: equal for equal rows, equally often.
+
+    Two sums of independent 64-bit row hashes and the number of rows, from one aggregate; types and names count, too.
+    """
+    cells = [x for c in columns for x in (F.col(f"`{c}`"), F.col(f"`{c}`").isNull())]
+    sums = [F.sum(F.xxhash64(F.lit(seed), *cells).cast("decimal(38,0)")) for seed in (1, 2)]
+    known = df.agg(F.count(F.lit(1)), *sums).first()
+    kinds = [(c, df.schema[c].dataType.simpleString()) for c in columns]
+    return hashlib.sha256(repr((kinds, [str(x) for x in known])).encode()).hexdigest()
+
+
+def cached_search(
+    train: DataFrame, features: list[str], label: str, key: list[str], store: str, space: dict[str, list] = SEARCH_SPACE, **options
+) -> tuple[DataFrame, dict, bool]:
+    """(results, best parameters, whether they were stored): ``randomised_search``, once for the same content.
+
+    Results lie below ``store``, under a name made from the content of the training columns, the space and all options.
+    The same rows in another order or partitioning fit nothing again; one changed value, row or option does. A search
+    that was cut off left no complete results and is run again.
+    """
+    spark = train.sparkSession
+    columns = sorted({*features, label, *key})
+    asked = repr((content_fingerprint(train, columns), list(features), label, list(key), sorted(space.items()), sorted(options.items())))
+    path = f"{store.rstrip('/')}/{hashlib.sha256(asked.encode()).hexdigest()}"
+    done = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/best/_SUCCESS")
+    known = done.getFileSystem(spark._jsc.hadoopConfiguration()).exists(done)
+    if not known:
+        results, best = randomised_search(train, features, label, key, space, **options)
+        results.write.mode("overwrite").parquet(f"{path}/results")
+        save_best_parameters(spark, best, f"{path}/best")
+    results = spark.read.parquet(f"{path}/results")
+    return results, load_best_parameters(spark, f"{path}/best"), known
+
+
 def save_best_parameters(spark: SparkSession, best: dict, path: str) -> None:
     """Search outcome kept for later fits."""
     spark.createDataFrame([(k, repr(v)) for k, v in best.items()], "name string, value string").write.mode(

@@ -166,6 +166,17 @@ def _(spark, d):
     return rounded(rows.select("*", *by_class).drop("by_class").withColumn("minute", F.date_format("minute", "yyyy-MM-dd HH:mm")))
 
 
+@query("h7_closed_minutes", f"""WITH {SCORED}, {MINUTES} SELECT minute, total, threats, suspicious, clean, CAST(benign AS BIGINT) AS benign, CAST(ddos AS BIGINT) AS ddos,
+    correct, labelled, CASE WHEN labelled = 0 THEN 0 ELSE round(correct * 100.0 / labelled, 6) END AS accuracy_pct FROM minutes
+    WHERE strptime(minute, '%Y-%m-%d %H:%M') + INTERVAL 1 MINUTE <= (SELECT max(ts) - INTERVAL 1 DAY FROM events)""")
+def _(spark, d):
+    """Minutes that the watermark has passed, each written once by an append run and never changed."""
+    totals = minute_totals(scored_stream(spark, d), "ts", "1 day", classes=CLASSES, actual="actual_label")
+    rows = spark.read.parquet(run_to_end(totals, "closed-minutes").output)
+    by_class = [F.col("by_class")[c].alias(c.lower()) for c in ("Benign", "DDoS")]
+    return rounded(rows.select("*", *by_class).drop("by_class").withColumn("minute", F.date_format("minute", "yyyy-MM-dd HH:mm")))
+
+
 @query("h8_stream_session_totals", f"""WITH {SCORED} SELECT strftime(ts, '%Y-%m-%d') AS session, c1 AS class, count(*) AS n FROM scored GROUP BY 1, 2""")
 def _(spark, d):
     rows = scored_stream(spark, d).withColumn("session", F.date_format("ts", "yyyy-MM-dd"))

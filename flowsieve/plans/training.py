@@ -19,7 +19,7 @@ from flowsieve.operators.score import Scorer
 from flowsieve.plans.fixtures import FLOWS, MAPPED, flows
 from flowsieve.plans.registry import query, rounded, table
 from flowsieve.schema import FIVE_CLASSES, Variant, numeric_columns
-from flowsieve.session import materialise
+from flowsieve.session import materialise, scratch_path
 
 
 @dataclass(frozen=True)
@@ -262,6 +262,27 @@ def shape_facts(shape, rows, depth):
     return shape.select(F.lit(rows).cast("long").alias("training_rows"), "trees", (F.col("max_depth") <= depth).alias("within_depth"), binary.alias("binary"))
 
 
+@query("e8_parameter_cache", f"""WITH {FLOWS}, {MAPPED}, {SPLIT}, rows AS (SELECT CAST(sum(n - test) AS BIGINT) AS n FROM split)
+    SELECT unnest(['first', 'other order', 'a row less', 'other space']) AS search, unnest([n, n, n - 1, n]) AS training_rows,
+      unnest([false, true, false, false]) AS stored, unnest([CAST(2 AS BIGINT), 2, 2, 1]) AS trials FROM rows""")
+def _(spark, d):
+    """Searches on one training table, on its rows in another order, without one of them, and over another space."""
+    p = small_prepared(spark, d, balance=False)
+    store, space = scratch_path(spark, "parameters"), {"n_estimators": [3], "max_depth": [2, 3]}
+    first = p.train.agg(F.min("event_id")).first()[0]
+    tables = [
+        ("first", p.train, space),
+        ("other order", p.train.repartition(7, "event_id"), space),
+        ("a row less", p.train.filter(F.col("event_id") != first), space),
+        ("other space", p.train, space | {"max_depth": [2]}),
+    ]
+    found = []
+    for name, train, asked in tables:
+        results, _, stored = learn.cached_search(train, p.features, "y", ["event_id"], store, asked, n_iter=2, folds=2)
+        found.append((name, train.count(), stored, results.count()))
+    return spark.createDataFrame(found, "search string, training_rows long, stored boolean, trials long")
+
+
 def final_shape(spark, d):
     """(shape, real training rows) of a forest fitted to the balanced training table."""
     p = small_prepared(spark, d)

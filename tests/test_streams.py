@@ -110,3 +110,55 @@ def test_best_parameters_are_kept(spark):
     best = {"n_estimators": 150, "max_features": "sqrt", "class_weight": None, "bootstrap": True}
     learn.save_best_parameters(spark, best, path)
     assert learn.load_best_parameters(spark, path) == best
+
+
+def test_progress_of_many_fast_batches_is_complete(spark):
+    path = scratch_path(spark, "many")
+    spark.range(3_000).repartition(300).write.parquet(path)
+    stream = stream_table(spark, path, spark.range(1).schema, files_per_trigger=1)
+    run = run_to_end(stream, "many")
+    rows = progress_table(spark, run).collect()
+    assert sorted(r.batch_id for r in rows if r.input_rows) == list(range(300))
+    assert sum(r.input_rows for r in rows) == 3_000
+
+
+def test_closed_minutes_are_written_once_and_late_rows_counted(spark):
+    zero = datetime(2024, 1, 1)
+    # late rows are measured against the watermark that the batch before started with
+    parts = [[(0, "RED"), (1, "GREEN")], [(20, "RED")], [(20, "GREEN")], [(0, "RED"), (20, "YELLOW")], [(50, "RED")]]
+    path = scratch_path(spark, "minutes")
+    for part in parts:
+        rows = [(zero + timedelta(minutes=m), level) for m, level in part]
+        spark.createDataFrame(rows, "ts timestamp, threat_level string").coalesce(1).write.mode("append").parquet(path)
+    schema = spark.createDataFrame([], "ts timestamp, threat_level string").schema
+    run = run_to_end(minute_totals(stream_table(spark, path, schema, files_per_trigger=1), "ts", "5 minutes"), "minutes")
+    got = sorted((r.minute, r.total, r.threats, r.suspicious) for r in spark.read.parquet(run.output).collect())
+    assert got == [(zero, 1, 1, 0), (zero + timedelta(minutes=1), 1, 0, 0), (zero + timedelta(minutes=20), 3, 1, 1)]
+    assert progress_table(spark, run).agg(F.sum("late_rows")).first()[0] == 1
+
+
+def test_a_search_on_the_same_content_fits_nothing(spark, monkeypatch):
+    rows = [(i, float(i % 7), None if i % 11 == 0 else float(i % 5), float(i % 2)) for i in range(200)]
+    df = spark.createDataFrame(rows, "id long, a double, b double, y double").fillna(0.0)
+    store, space = scratch_path(spark, "store"), {"n_estimators": [2], "max_depth": [2, 3]}
+    fits, plain = [], learn.fit_forest
+    monkeypatch.setattr(learn, "fit_forest", lambda *a, **k: fits.append(1) or plain(*a, **k))
+
+    def search(table, **options):
+        before = len(fits)
+        results, best, stored = learn.cached_search(table, ["a", "b"], "y", ["id"], store, space, n_iter=2, folds=2, fraction=1.0, **options)
+        return len(fits) - before, best, stored, sorted((r.trial, r.mean_score) for r in results.collect())
+
+    first = search(df)
+    again = search(df.orderBy(F.desc("b")).repartition(5))
+    assert first[0] == 4 and not first[2] and again[0] == 0 and again[2] and first[1:2] + first[3:] == again[1:2] + again[3:]
+    assert search(df.withColumn("a", F.when(F.col("id") == 9, 0.5).otherwise(F.col("a"))))[0] == 4
+    assert search(df.unionAll(df.limit(1)))[0] == 4
+    assert search(df, seed=7)[0] == 4
+
+
+def test_fingerprint_tells_nulls_and_types_apart(spark):
+    name = lambda rows, schema: learn.content_fingerprint(spark.createDataFrame(rows, schema), ["a", "b"])
+    schema = "a long, b long"
+    prints = [name([(1, None)], schema), name([(None, 1)], schema), name([(1, 1)], schema), name([(1, 1)] * 2, schema), name([(1, 1)], "a int, b long"), name([], schema)]
+    assert len(set(prints)) == 6 and name([(1, 2), (3, 4)], schema) == name([(3, 4), (1, 2)], schema)
