@@ -14,7 +14,7 @@ blocks is a task, so memory is bounded, no link is lost, and only there a set is
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -22,6 +22,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from flowsieve.llm.components import components
 from flowsieve.llm.simhash import spanning
@@ -36,8 +37,10 @@ BANDS, ROWS = 26, 4
 SKETCH, MOST_BITS = 512, 86
 #: Sets of a band, and bytes of sets of a group, that one block holds.
 BLOCK_ROWS, BLOCK_BYTES = 65_536, 32 << 20
-#: Texts that are asked for are told from most others by a table of so many bits.
-FILTER_BITS = 1 << 23
+#: What is asked for is told from most of the rest by a table of so many bits.
+FILTER_BITS = 1 << 25
+#: Texts that a task remembers.
+SEEN = 1_000_000
 _rng = np.random.default_rng(11)
 _FLIPS = _rng.integers(0, 1 << 32, (BANDS * ROWS, 1), np.uint32)
 _FACTORS = _rng.integers(0, 1 << 32, (BANDS * ROWS, 1), np.uint32) | np.uint32(1)
@@ -114,29 +117,51 @@ def sketches(documents: DataFrame, doc_id: str, text: str, source: str) -> DataF
 def _filtered(rows: DataFrame, asked: DataFrame, column: str) -> DataFrame:
     """The rows but most of those whose long is not asked for: a table of bits of a fixed size, whatever is asked."""
     place = lambda c: F.pmod(F.xxhash64(c), F.lit(FILTER_BITS))
-    bit = lambda p: F.call_function("shiftleft", F.lit(1), p.bitwiseAND(F.lit(7).cast("long")).cast("int"))
-    cells = asked.select(place(F.col(column)).alias("p")).groupBy(F.shiftright("p", 3).alias("cell"))
-    table = bytearray(FILTER_BITS // 8)
-    for r in cells.agg(F.bit_or(bit(F.col("p"))).alias("bits")).collect():
-        table[r.cell] = r.bits
+    bit = lambda p, of, one: F.call_function("shiftleft", one, p.bitwiseAND(F.lit(of - 1).cast("long")).cast("int"))
+    words = asked.select(place(F.col(column)).alias("p")).groupBy(F.shiftright("p", 6).cast("int").alias("word"))
+    found = words.agg(F.bit_or(bit(F.col("p"), 64, F.lit(1).cast("long"))).alias("bits")).toPandas()
+    table = np.zeros(FILTER_BITS // 64, "<i8")
+    table[found["word"].to_numpy()] = found["bits"].to_numpy()
     at = place(F.col(column))
-    byte = F.conv(F.hex(F.substring(F.lit(table), (F.shiftright(at, 3) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
-    return rows.filter(byte.bitwiseAND(bit(at)) != 0)
+    byte = F.conv(F.hex(F.substring(F.lit(bytearray(table.tobytes())), (F.shiftright(at, 3) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
+    return rows.filter(byte.bitwiseAND(bit(at, 8, F.lit(1))) != 0)
 
 
-def shingle_sets(documents: DataFrame, text: str, asked: DataFrame) -> DataFrame:
-    """key, size, bits, own (the set as bytes) of the texts with words whose ``hash`` is asked for; equal texts once."""
+def _asked_sets(documents: DataFrame, text: str, asked: DataFrame, schema: str, columns: Callable[[np.ndarray], tuple]) -> DataFrame:
+    """``columns`` of the sets of the texts with words whose ``hash`` is asked for, and of a few others.
+
+    A text comes at most once from a stretch of rows that a task reads, so thousands of copies are a row for each task.
+    """
 
     def collect(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
         for part in slices(batches, "text"):
-            sets = [own for raw in raw_texts(part, "text") if len(own := shingle_set(space_words(raw)))]
-            columns = [[set_key(s, b"") for s in sets], [len(s) for s in sets], [sketch_bits(s) for s in sets], [s.tobytes() for s in sets]]
-            kinds = (pa.int64(), pa.int64(), pa.binary(), pa.binary())
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=["key", "size", "bits", "own"])
+            out = []
+            for raw, name in zip(raw_texts(part, "text"), part.column("hash").to_pylist()):
+                if name not in seen:
+                    seen.add(name)
+                    own = shingle_set(space_words(raw))
+                    if len(own):
+                        out.append((set_key(own, b""), *columns(own)))
+            if len(seen) > SEEN:
+                seen = set()
+            fields = to_arrow_schema(kinds)
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out) if out else [[]] * len(fields), fields)], schema=fields)
 
     rows = documents.select(documents[text].alias("text"), F.xxhash64(documents[text]).alias("hash"))
-    rows = _filtered(rows, asked, "hash").join(asked, "hash", "left_semi").groupBy("hash").agg(F.any_value("text").alias("text"))
-    return rows.select("text").mapInArrow(collect, "key long, size long, bits binary, own binary")
+    kinds = T.StructType.fromDDL(schema)
+    return _filtered(rows, asked, "hash").mapInArrow(collect, kinds)
+
+
+def _packed(own: np.ndarray) -> bytes:
+    """A sorted set as the upper 40 bits of its hashes: two of a pair's shingles agree by chance in a pair of a million."""
+    return own.astype("<u8").view(np.uint8).reshape(-1, 8)[:, 3:].tobytes()
+
+
+def _unpacked(raw: bytes) -> np.ndarray:
+    cells = np.zeros((len(raw) // 5, 8), np.uint8)
+    cells[:, 3:] = np.frombuffer(raw, np.uint8).reshape(-1, 5)
+    return cells.view("<u8").ravel()
 
 
 def _in_blocks(rows: DataFrame, group: str, blocks: Column) -> DataFrame:
@@ -244,7 +269,7 @@ def _possible(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _exact(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for parts in _grouped(batches, "root"):
-        sets = [np.frombuffer(x, np.uint64) for p in parts for x in p.column("own").to_pylist()]
+        sets = [_unpacked(x) for p in parts for x in p.column("own").to_pylist()]
         yield _forest(exact_links(*_columns(parts), sets))
 
 
@@ -261,18 +286,19 @@ def near_copy_clusters(documents: DataFrame, doc_id: str = "doc_id", text: str =
     nodes = materialise(nodes, "near-nodes")
     met = nodes.select("key", F.explode("bands").alias("band"))
     common = materialise(met.groupBy("band").agg(F.count("*").alias("n")).filter("n > 1"), "near-bands")
-    shared = materialise(met.join(common, "band"), "near-shared")
+    shared = materialise(_filtered(met, common, "band").join(common, "band"), "near-shared")
     asked = materialise(nodes.join(shared.select("key").distinct(), "key", "left_semi").select("hash"), "near-asked")
-    sets = materialise(shingle_sets(documents, text, asked), "near-sets")
+    sketched = _asked_sets(documents, text, asked, "key long, size long, bits binary", lambda own: (len(own), sketch_bits(own)))
+    sketched = materialise(sketched.dropDuplicates(["key"]), "near-bits")
 
-    held = shared.join(sets.select("key", "size", "bits"), "key")
-    tasks = _in_blocks(held, "band", F.ceil(F.col("n") / BLOCK_ROWS))
+    tasks = _in_blocks(shared.join(sketched, "key"), "band", F.ceil(F.col("n") / BLOCK_ROWS))
     possible = materialise(tasks.select("band", "low__", "high__", "key", "size", "bits").mapInArrow(_possible, "a long, b long").distinct(), "near-possible")
-    groups = components(possible).withColumnsRenamed({"node": "key"})
-    members = sets.join(groups, "key")
-    sums = members.groupBy("root").agg(F.sum(F.octet_length("own").cast("long")).alias("bytes"))
-    members = members.join(sums, "root")
-    tasks = _in_blocks(members, "root", F.ceil(F.col("bytes") / BLOCK_BYTES))
+    groups = components(possible).withColumnsRenamed({"node": "key"}).join(sketched, "key")
+    sums = groups.groupBy("root").agg(F.sum("size").alias("shingles"))
+    groups = materialise(groups.join(sums, "root"), "near-groups")
+    asked = materialise(nodes.join(groups, "key", "left_semi").select("hash"), "near-asked")
+    sets = _asked_sets(documents, text, asked, "key long, own binary", lambda own: (_packed(own),)).dropDuplicates(["key"])
+    tasks = _in_blocks(sets.join(groups, "key"), "root", F.ceil(F.col("shingles") * 8 / BLOCK_BYTES))
     links = materialise(tasks.select("root", "low__", "high__", "key", "size", "bits", "own").mapInArrow(_exact, "a long, b long"), "near-links")
     alike = components(links)
     return rows.join(alike, rows["key"] == alike["node"], "left").select("doc_id", "source", "n", F.coalesce("root", "key").alias("cluster"))
