@@ -114,17 +114,36 @@ def sketches(documents: DataFrame, doc_id: str, text: str, source: str) -> DataF
     return rows.mapInArrow(sketch, schema.add("hash", T.LongType()))
 
 
-def _filtered(rows: DataFrame, asked: DataFrame, column: str) -> DataFrame:
-    """The rows but most of those whose long is not asked for: a table of bits of a fixed size, whatever is asked."""
-    place = lambda c: F.pmod(F.xxhash64(c), F.lit(FILTER_BITS))
-    bit = lambda p, of, one: F.call_function("shiftleft", one, p.bitwiseAND(F.lit(of - 1).cast("long")).cast("int"))
-    words = asked.select(place(F.col(column)).alias("p")).groupBy(F.shiftright("p", 6).cast("int").alias("word"))
-    found = words.agg(F.bit_or(bit(F.col("p"), 64, F.lit(1).cast("long"))).alias("bits")).toPandas()
-    table = np.zeros(FILTER_BITS // 64, "<i8")
-    table[found["word"].to_numpy()] = found["bits"].to_numpy()
-    at = place(F.col(column))
-    byte = F.conv(F.hex(F.substring(F.lit(bytearray(table.tobytes())), (F.shiftright(at, 3) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
-    return rows.filter(byte.bitwiseAND(bit(at, 8, F.lit(1))) != 0)
+class Asked:
+    """Tells the hashes that are asked for from most others, by a table of bits of a fixed size, whatever is asked."""
+
+    def __init__(self, asked: DataFrame, column: str):
+        place = F.col(column).bitwiseAND(F.lit(FILTER_BITS - 1).cast("long"))
+        bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.col("p").bitwiseAND(F.lit(63).cast("long")).cast("int"))
+        words = asked.select(place.alias("p")).groupBy(F.shiftright("p", 6).cast("int").alias("word")).agg(F.bit_or(bit).alias("bits")).toPandas()
+        table = np.zeros(FILTER_BITS // 64, np.int64)
+        table[words["word"].to_numpy()] = words["bits"].to_numpy()
+        self.table = asked.sparkSession.sparkContext.broadcast(table)
+
+    def among(self, values: np.ndarray) -> np.ndarray:
+        at = values & (FILTER_BITS - 1)
+        return (self.table.value[at >> 6] >> (at & 63)) & 1 == 1
+
+
+def _met(nodes: DataFrame, asked: Asked | None = None) -> DataFrame:
+    """key, band: the bands of the sets, those that are asked for and a few others."""
+
+    def explode(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                band = batch.column("bands").flatten().to_numpy()
+                key = np.repeat(batch.column("key").to_numpy(), BANDS)
+                on = asked.among(band)
+                yield pa.RecordBatch.from_arrays([pa.array(key[on]), pa.array(band[on])], names=["key", "band"])
+
+    if asked is None:
+        return nodes.select("key", F.explode("bands").alias("band"))
+    return nodes.select("key", "bands").mapInArrow(explode, "key long, band long")
 
 
 def _asked_sets(documents: DataFrame, text: str, asked: DataFrame, schema: str, columns: Callable[[np.ndarray], tuple]) -> DataFrame:
@@ -133,9 +152,12 @@ def _asked_sets(documents: DataFrame, text: str, asked: DataFrame, schema: str,
     A text comes at most once from a stretch of rows that a task reads, so thousands of copies are a row for each task.
     """
 
+    wanted = Asked(asked, "hash")
+
     def collect(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
         for part in slices(batches, "text"):
+            part = part.filter(pa.array(wanted.among(part.column("hash").to_numpy())))
             out = []
             for raw, name in zip(raw_texts(part, "text"), part.column("hash").to_pylist()):
                 if name not in seen:
@@ -150,7 +172,7 @@ def _asked_sets(documents: DataFrame, text: str, asked: DataFrame, schema: str,
 
     rows = documents.select(documents[text].alias("text"), F.xxhash64(documents[text]).alias("hash"))
     kinds = T.StructType.fromDDL(schema)
-    return _filtered(rows, asked, "hash").mapInArrow(collect, kinds)
+    return rows.mapInArrow(collect, kinds)
 
 
 def _packed(own: np.ndarray) -> bytes:
@@ -284,9 +306,8 @@ def near_copy_clusters(documents: DataFrame, doc_id: str = "doc_id", text: str =
     rows = materialise(sketches(documents, doc_id, text, source), "near-sketches")
     nodes = rows.filter("size > 0").groupBy("key").agg(F.min_by(F.struct("bands", "hash"), "hash").alias("r")).select("key", "r.*")
     nodes = materialise(nodes, "near-nodes")
-    met = nodes.select("key", F.explode("bands").alias("band"))
-    common = materialise(met.groupBy("band").agg(F.count("*").alias("n")).filter("n > 1"), "near-bands")
-    shared = materialise(_filtered(met, common, "band").join(common, "band"), "near-shared")
+    common = materialise(_met(nodes).groupBy("band").agg(F.count("*").alias("n")).filter("n > 1"), "near-bands")
+    shared = materialise(_met(nodes, Asked(common, "band")).join(common, "band"), "near-shared")
     asked = materialise(nodes.join(shared.select("key").distinct(), "key", "left_semi").select("hash"), "near-asked")
     sketched = _asked_sets(documents, text, asked, "key long, size long, bits binary", lambda own: (len(own), sketch_bits(own)))
     sketched = materialise(sketched.dropDuplicates(["key"]), "near-bits")

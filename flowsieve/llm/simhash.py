@@ -180,14 +180,18 @@ def fingerprint_groups(documents: DataFrame, doc_id: str = "doc_id", text: str =
 
 
 def one_of_each(documents: DataFrame) -> DataFrame:
-    """Documents with one kept of each group, the smallest id; all columns.
+    """Documents with one row kept of each group of linked fingerprints; all columns.
 
-    Rows that share an id are one document, of which the smallest text stays. Rows with a NULL id cannot be named by a
-    group and stay.
+    The row with the smallest id stays; NULL ids come last, and rows of one id are told apart by a hash of 128 bits of
+    all their columns. So rows of one id with different texts are documents of their own, and rows without an id are
+    dealt with like any others.
     """
-    kept_ids = fingerprint_groups(documents).select(F.col("component_id").alias("_id")).filter("_id IS NOT NULL").distinct()
-    kept = documents.join(kept_ids, documents["doc_id"] == kept_ids["_id"], "left_semi")
-    others = [c for c in documents.columns if c not in ("doc_id", "text")]
-    row = F.min(F.struct("text", *[F.col(f"`{c}`") for c in others])).alias("_row")
-    one = kept.groupBy("doc_id").agg(row).select(*[F.col("doc_id") if c == "doc_id" else F.col("_row")[c].alias(c) for c in documents.columns])
-    return one.unionAll(documents.filter("doc_id IS NULL"))
+    names = [F.col(f"`{c}`") for c in documents.columns]
+    cells = [x for c in names for x in (c, c.isNull())]
+    row = F.struct(*[F.xxhash64(F.lit(seed), *cells).alias(f"h{seed}") for seed in (1, 2)])
+    place = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), row.alias("row"))
+    groups = fingerprint_groups(documents.select(place.alias("doc_id"), "text"))
+    kept = groups.select(F.col("component_id.row.h1").alias("h1__"), F.col("component_id.row.h2").alias("h2__")).distinct()
+    hashed = documents.select(row["h1"].alias("h1__"), row["h2"].alias("h2__"), F.struct(*names).alias("row__"))
+    one = hashed.join(kept, ["h1__", "h2__"], "left_semi").groupBy("h1__", "h2__").agg(F.any_value("row__").alias("row__"))
+    return one.select(*[F.col("row__")[c].alias(c) for c in documents.columns])

@@ -77,7 +77,15 @@ def test_fingerprint_groups(spark, source):
     assert got == sorted([(data[i][0], fps[i], least[root[i]]) for i in range(len(data))], key=str)
     kept = simhash.one_of_each(docs)
     assert kept.columns == docs.columns
-    assert sorted([r.doc_id for r in kept.collect()], key=str) == sorted({x for x in least.values() if x is not None}, key=str) + [None] * sum(i is None for i, _ in data)
+    assert sorted([r.doc_id for r in kept.collect()], key=str) == sorted(least.values(), key=str)
+
+
+def test_one_of_each_with_clashing_and_missing_ids(spark):
+    text = lambda i: " ".join(f"w{i}x{j}" for j in range(30))
+    rows = [(1, text(0), "a"), (1, text(1), "a"), (2, text(1), "b"), (None, text(2), "c"), (None, text(2), "c"), (None, text(3), "d"), (None, text(0), "e"), (3, None, "f"), (3, "", "f")]
+    kept = simhash.one_of_each(spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(4)).collect()
+    assert sorted([tuple(r) for r in kept if r.doc_id != 3], key=str) == sorted([rows[0], rows[1], rows[3], rows[5]], key=str)
+    assert [(r.doc_id, r.source) for r in kept if r.doc_id == 3] == [(3, "f")]
 
 
 def test_empty_groups(spark):
