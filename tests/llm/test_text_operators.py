@@ -114,15 +114,22 @@ def test_licences(spark, odd, empty):
         "redistribution and use in source and binary forms",
         "permission is hereby granted free charge to any person obtaining copy of this software",
     ]
+    # whole paragraphs, wherever they stand, with a word in ten lost; notices that name another license
+    notices = list(licences.TEMPLATES)
+    paragraphs = [n.split() for n in notices if len(n.split()) > 40]
+    texts += ["q " * k + " ".join(x for i, x in enumerate(p) if i % 10 != 4) + " r" * 30 for p in paragraphs for k in (0, 33, 200)]
+    texts += ["Released under the BSD License", "Licensed under the Mozilla Public License, Version 2.0", "Released under the XYZ License"]
     got = {r.doc_id: r for r in licences.licence_digest(licences.scan_licences(spark.createDataFrame(rows(texts), SCHEMA))).collect()}
     for i, t in enumerate(texts):
         w = brute.plain_words(t)
         at = [(j, x) for p, x in licences.PHRASES.items() for j in range(len(w)) if w[j : j + len(p.split())] == p.split()]
-        blocks = [set(w[b : b + 64]) for b in range(0, len(w), 32)]
         more = {}
-        for notice, x in licences.TEMPLATES.items():
-            own = set(brute.plain_words(notice))
-            best = max((len(own & b) / len(own) for b in blocks), default=0)
+        for notice, (x, naming) in licences.TEMPLATES.items():
+            own, names, length = set(brute.plain_words(notice)), set(naming.split()), 64
+            while length < 2 * len(brute.plain_words(notice)):
+                length *= 2
+            blocks = [set(w[b : b + length]) for b in range(0, len(w), length // 2)]
+            best = max((len(own & b) / len(own) for b in blocks if names <= b), default=0)
             if best >= 0.8:
                 more[x] = max(best, more.get(x, 0))
         base = sorted({x for _, x in at})
@@ -130,7 +137,14 @@ def test_licences(spark, odd, empty):
         r = got[i]
         assert (r.n_words, r.n_base, r.first_word, r.last_word, r.base_labels, r.labels) == want
         assert r.score == pytest.approx(1.0 if at else max(more.values(), default=0.0))
-    assert [got[len(texts) - k].labels for k in (5, 4, 3, 2, 1)] == ["apache,gpl", "bsd", "cc", "", "mit"]
+    first = len(odd[0])
+    assert [got[first + k].labels for k in (1, 2, 3, 4, 5)] == ["apache,gpl", "bsd", "cc", "", "mit"]
+    assert [got[len(texts) - k].labels for k in (3, 2, 1)] == ["bsd", "mpl", ""]
+    label = {" ".join(n.split()): x for n, (x, _) in licences.TEMPLATES.items()}
+    for j, p in enumerate(paragraphs):
+        assert all(label[" ".join(p)] in got[first + 6 + 3 * j + k].labels.split(",") for k in range(3))
+    found = licences.scan_licences(spark.createDataFrame([(1, "q " * 200 + " ".join(paragraphs[0]))], "doc_id int, text string")).head()
+    assert [(m.label, m.containment, m.word) for m in found.matches] == [("mit", 1.0, 128)]
     assert licences.scan_licences(empty).count() == 0
 
 
