@@ -120,7 +120,7 @@ class Asked:
     def __init__(self, asked: DataFrame, column: str):
         place = F.col(column).bitwiseAND(F.lit(FILTER_BITS - 1).cast("long"))
         bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.col("p").bitwiseAND(F.lit(63).cast("long")).cast("int"))
-        words = asked.select(place.alias("p")).groupBy(F.shiftright("p", 6).cast("int").alias("word")).agg(F.bit_or(bit).alias("bits")).toPandas()
+        words = asked.select(place.alias("p")).groupBy(F.shiftright("p", 6).cast("int").alias("word")).agg(F.bit_or(bit).alias("bits")).toArrow()
         table = np.zeros(FILTER_BITS // 64, np.int64)
         table[words["word"].to_numpy()] = words["bits"].to_numpy()
         self.table = asked.sparkSession.sparkContext.broadcast(table)
