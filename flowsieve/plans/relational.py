@@ -11,7 +11,8 @@ from flowsieve.plans.fixtures import (
 )
 from flowsieve.plans.profiles import CM, FINITE, PAIRS, R6, RANKED, VARIANCES, confusion, pairs
 from flowsieve.plans.registry import query, rounded, table
-from flowsieve.sources.tables import preview, split_roles
+from flowsieve.session import scratch_path
+from flowsieve.sources.tables import preview, save_bucketed, split_roles
 
 
 @query("f1_label_lookup", f"""WITH {FLOWS}, {MAPPED} SELECT event_id, "Label" AS raw_label, cls AS class FROM mapped""")
@@ -27,6 +28,17 @@ def _(spark, d):
     return lookups.align_rows(roles.features, roles.labels, ["event_id"])
 
 
+@query("f2_bucketed_stage_tables", f"""WITH {FLOWS} SELECT event_id, k, hr, "Label" FROM flows""")
+def _(spark, d):
+    """The same from two stored stage tables, whose rows already lie together."""
+    return lookups.align_rows(*bucketed_views(spark, d), ["event_id"])
+
+
+def bucketed_views(spark, d, buckets=8):
+    roles = split_roles(flows(spark, d).select("event_id", "Flow ID", "k", "hr", "Label"), ["event_id"])
+    return [save_bucketed(view, scratch_path(spark, "bucketed"), ["event_id"], buckets) for view in (roles.features, roles.labels)]
+
+
 @query("f3_predictions_with_identifiers", f"""WITH {SCORED} SELECT event_id, user_id, actual AS actual_label, c1 AS predicted_class,
     round(q1, 6) AS confidence FROM scored""")
 def _(spark, d):

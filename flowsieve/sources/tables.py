@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import json
 from dataclasses import dataclass
 
@@ -90,6 +91,38 @@ def read_split(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     return spark.read.parquet(f"{path}/train"), spark.read.parquet(f"{path}/test")
 
 
+def save_bucketed(df: DataFrame, path: str, key: list[str], buckets: int) -> DataFrame:
+    """A stage table whose rows lie in buckets by the hash of their key, sorted by it; as it is read back.
+
+    Two such tables of the same number of buckets are joined or grouped by the key without an exchange, as often as they
+    are used. Take so many buckets that one fits a task: they do not change with the session's settings.
+    """
+    spark, spec = df.sparkSession, {"key": list(key), "buckets": buckets}
+    writer = df.repartition(buckets, *key).write.mode("overwrite").format("parquet").option("path", f"{path}/rows")
+    writer.bucketBy(buckets, *key).sortBy(*key).saveAsTable(_table_name(path))
+    spark.createDataFrame([(json.dumps(spec),)], "spec string").write.mode("overwrite").text(f"{path}/spec")
+    return spark.table(_table_name(path))
+
+
+def load_bucketed(spark: SparkSession, path: str) -> DataFrame:
+    """A table of ``save_bucketed``, in this session or another one."""
+    name = _table_name(path)
+    if not spark.catalog.tableExists(name):
+        spec = json.loads(spark.read.text(f"{path}/spec").first().value)
+        rows = spark.read.parquet(f"{path}/rows")
+        key = ", ".join(f"`{k}`" for k in spec["key"])
+        columns = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema)
+        where = f"{path}/rows".replace("'", "\\'")
+        spark.sql(
+            f"CREATE TABLE {name} ({columns}) USING parquet CLUSTERED BY ({key}) SORTED BY ({key}) INTO {spec['buckets']} BUCKETS LOCATION '{where}'"
+        )
+    return spark.table(name)
+
+
+def _table_name(path: str) -> str:
+    return f"bucketed_{hashlib.sha256(path.rstrip('/').encode()).hexdigest()[:24]}"
+
+
 def export_csv(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").option("header", "true").csv(path)
 

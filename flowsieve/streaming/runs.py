@@ -73,7 +73,7 @@ class ProgressLog(StreamingQueryListener):
 
     def flush(self) -> None:
         rows, self.rows = self.rows, []
-        self.spark.createDataFrame(rows, PROGRESS).coalesce(1).write.mode("append").json(self.path)
+        self.spark.createDataFrame(rows, PROGRESS).write.mode("append").json(self.path)
 
 
 def logged(spark: SparkSession, name: str, start: Callable[[str], StreamingQuery]) -> tuple[StreamingQuery, str]:
