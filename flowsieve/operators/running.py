@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -14,6 +14,8 @@ BLOCK_ROWS = 1_000_000
 #: Bits by which a bucket is refined in a pass, and the values of a bucket that are ranked at last.
 BUCKET_BITS = 10
 RANK_ROWS = 100_000
+#: Of the sketches: one over the relative error of a rank, and how far around a quantile they are asked.
+ACCURACY, MARGIN = 2000, 0.001
 
 
 def running_sums(
@@ -50,67 +52,110 @@ def exact_quantiles(
 ) -> DataFrame:
     """(name, p, value): linearly interpolated quantiles of the finite values of each column.
 
-    No value is shuffled but by its count. Doubles map to integers of the same order; these are counted in buckets by
-    their leading bits, for all columns in one pass, and only the buckets that hold an asked rank are looked at again
-    under more bits. A bucket of at most ``rank_rows`` values is ranked by itself, with equal values counted first.
-    What goes to the driver is a few bucket counts for each column and probability. A column without values is absent.
+    Spark's own sketches give a narrow range of values around each quantile, in the pass that counts the values. A second
+    pass counts what lies below and inside each range, which proves it right or, if a sketch was wrong, leaves it open.
+    Only values inside the ranges are looked at again and ranked, equal values counted first. A range that still
+    holds more than ``rank_rows`` values is cut in buckets by leading bits of integers of the same order, until the
+    bucket of each asked rank is small. What goes to the driver is a few counts for each column and probability.
+    A column without values is absent.
     """
-    spark = df.sparkSession
     value = {c: F.col(f"`{c}`").cast("double") for c in columns}
     finite = {c: F.when(F.abs(v) < F.lit(float("inf")), v) for c, v in value.items()}
-    sizes = df.agg(*[F.count(v).alias(f"n{i}") for i, v in enumerate(finite.values())]).head() if columns else []
-    asked = {}
-    for c, n in zip(columns, sizes):
+    spread = sorted({min(1.0, max(0.0, p + d * MARGIN)) for p in probabilities for d in (-1, 1)})
+    seen = df.agg(*[x for v in finite.values() for x in (F.count(v), F.percentile_approx(v, spread, ACCURACY))]).head() if columns else []
+    asked, ranges = {}, {}
+    for c, n, marks in zip(columns, seen[::2], seen[1::2]):
+        sketch = dict(zip(spread, marks or []))
         for p in probabilities if n else []:
             low, part = divmod(p * (n - 1), 1)
             asked[c, p] = (int(low), min(int(low) + 1, n - 1), part)
-    # For each asked rank of a column: leading bits of its bucket, rank inside, values inside.
-    at = {(c, r): (0, r, n) for c, n in zip(columns, sizes) for (d, _), (lo, hi, _) in asked.items() if d == c for r in (lo, hi)}
+            ranges.setdefault(c, set()).add((sketch[max(0.0, p - MARGIN)], sketch[min(1.0, p + MARGIN)]))
+    slots = [(c, lo, hi) for c, found in ranges.items() for lo, hi in _merged(sorted(found))]
+    counts = [x for c, lo, hi in slots for x in (F.count_if(finite[c] < lo), F.count_if(finite[c].between(lo, hi)))]
+    counted = df.agg(*counts).head() if slots else []
+    inside, place = {}, {}
+    for i, (c, lo, hi) in enumerate(slots):
+        below, held = counted[2 * i], counted[2 * i + 1]
+        inside[i] = (F.when(finite[c].between(lo, hi), finite[c]), held)
+        for (d, p), (first, second, _) in asked.items():
+            if d == c and below <= first and second < below + held:
+                place[c, p] = (i, below)
+    for at, c in enumerate(columns):
+        missed = [p for d, p in asked if d == c and (c, p) not in place]
+        if missed:
+            inside[len(slots) + at] = (finite[c], seen[2 * at])
+            place |= {(c, p): (len(slots) + at, 0) for p in missed}
+    wanted = {i: {r - place[k][1] for k, (a, b, _) in asked.items() if place[k][0] == i for r in (a, b)} for i in inside}
+    found = _ranked_values(df, inside, wanted, rank_rows)
+    rows = []
+    for (c, p), (a, b, part) in asked.items():
+        i, below = place[c, p]
+        low, high = found[i, a - below], found[i, b - below]
+        rows.append((c, float(p), low + part * (high - low)))
+    schema = T.StructType().add("name", T.StringType()).add("p", T.DoubleType()).add("value", T.DoubleType())
+    return df.sparkSession.createDataFrame(rows, schema)
+
+
+def _merged(ranges: list[tuple[float, float]]) -> list[tuple[float, float]]:
+    """Ranges in ascending order, those that overlap as one."""
+    out: list[tuple[float, float]] = []
+    for lo, hi in ranges:
+        if out and lo <= out[-1][1]:
+            out[-1] = (out[-1][0], max(hi, out[-1][1]))
+        else:
+            out.append((lo, hi))
+    return out
+
+
+def _ranked_values(
+    df: DataFrame, inside: dict[int, tuple[Column, int]], wanted: dict[int, set[int]], rank_rows: int
+) -> dict[tuple[int, int], float]:
+    """The value at each wanted rank of each column expression, of which the number of values is known."""
+    # For each rank of a slot: leading bits of its bucket, rank inside, values inside.
+    at = {(i, r): (0, r, inside[i][1]) for i, ranks in wanted.items() for r in ranks}
     known: int | None = None  # bits that the buckets leave open
 
-    def inside() -> DataFrame:
-        """The values in the buckets of the asked ranks."""
-        entries = []
-        for c in dict.fromkeys(c for c, _ in at):
-            code, buckets = ordered_bits(finite[c]), {b for (d, _), (b, _, _) in at.items() if d == c}
+    def entries() -> DataFrame:
+        """The values in the buckets of the wanted ranks."""
+        out = []
+        for i in dict.fromkeys(i for i, _ in at):
+            v = inside[i][0]
+            code, buckets = ordered_bits(v), {b for (d, _), (b, _, _) in at.items() if d == i}
             held = F.lit(True) if known is None else F.shiftright(code, known).isin(*buckets)
-            entry = F.struct(F.lit(c).alias("name"), code.alias("code"), finite[c].alias("value"))
-            entries.append(F.when(finite[c].isNotNull() & held, entry))
-        return df.select(F.explode(F.array_compact(F.array(*entries))).alias("e")).select("e.*")
+            entry = F.struct(F.lit(i).alias("slot"), code.alias("code"), v.alias("value"))
+            out.append(F.when(v.isNotNull() & held, entry))
+        return df.select(F.explode(F.array_compact(F.array(*out))).alias("e")).select("e.*")
 
     for width in (52, *range(52 - BUCKET_BITS, 0, -BUCKET_BITS), 0):
         if max((held for _, _, held in at.values()), default=0) <= rank_rows:
             break
-        counted = inside().groupBy("name", F.shiftright("code", width).alias("b")).agg(F.count(F.lit(1)).alias("n")).collect()
-        for (c, r), (bucket, rank, _) in list(at.items()):
-            for b, n in sorted((x["b"], x["n"]) for x in counted if x["name"] == c):
+        counted = entries().groupBy("slot", F.shiftright("code", width).alias("b")).agg(F.count(F.lit(1)).alias("n")).collect()
+        for (i, r), (bucket, rank, _) in list(at.items()):
+            for b, n in sorted((x["b"], x["n"]) for x in counted if x["slot"] == i):
                 if known is not None and b >> (known - width) != bucket:
                     continue
                 if rank < n:
-                    at[c, r] = (b, rank, n)
+                    at[i, r] = (b, rank, n)
                     break
                 rank -= n
         known = width
-    found = {}
+    found: dict[tuple[int, int], float] = {}
     if at:
-        order = W.partitionBy("name", "b").orderBy("code")
+        order = W.partitionBy("slot", "b").orderBy("code")
         ranked = (
-            inside()
-            .groupBy("name", (F.lit(0).cast("long") if known is None else F.shiftright("code", known)).alias("b"), "code")
+            entries()
+            .groupBy("slot", (F.lit(0).cast("long") if known is None else F.shiftright("code", known)).alias("b"), "code")
             .agg(F.count(F.lit(1)).alias("n"), F.min("value").alias("value"))
             .withColumn("upto", F.sum("n").over(order))
         )
         hits = any_of(
             [
-                (F.col("name") == c) & (F.col("b") == b) & (F.col("upto") > rank) & (F.col("upto") - F.col("n") <= rank)
-                for (c, _), (b, rank, _) in at.items()
+                (F.col("slot") == i) & (F.col("b") == b) & (F.col("upto") > rank) & (F.col("upto") - F.col("n") <= rank)
+                for (i, _), (b, rank, _) in at.items()
             ]
         )
         for r in ranked.filter(hits).collect():
-            for (c, rank_of), (b, rank, _) in at.items():
-                if c == r["name"] and b == r["b"] and r["upto"] - r["n"] <= rank < r["upto"]:
-                    found[c, rank_of] = r["value"]
-    rows = [(c, float(p), found[c, lo] + part * (found[c, hi] - found[c, lo])) for (c, p), (lo, hi, part) in asked.items()]
-    schema = T.StructType().add("name", T.StringType()).add("p", T.DoubleType()).add("value", T.DoubleType())
-    return spark.createDataFrame(rows, schema)
-
+            for (i, rank_of), (b, rank, _) in at.items():
+                if i == r["slot"] and b == r["b"] and r["upto"] - r["n"] <= rank < r["upto"]:
+                    found[i, rank_of] = r["value"]
+    return found

@@ -9,6 +9,7 @@ from flowsieve.operators.balance import distinct_points, hashed_neighbours, near
 from flowsieve.operators.encode import class_list, encode_label
 from flowsieve.operators.evaluate import auc_by_class, roc_points
 from flowsieve.operators.learn import with_class_weight
+from flowsieve.operators import running
 from flowsieve.operators.running import exact_quantiles, running_sums
 from flowsieve.operators.sample import mark_stratified, stratified_quota, stratified_split
 
@@ -36,6 +37,20 @@ def test_exact_quantiles(spark, rank_rows):
         assert got[p] == pytest.approx(float(np.quantile(finite, p)))
 
 
+@pytest.mark.parametrize("margin", [0.0, 0.02, 0.5])
+def test_quantiles_with_sketches_of_any_kind(spark, monkeypatch, margin):
+    """Ranges that are too narrow, right, or overlap; ties that hold a third of all values."""
+    monkeypatch.setattr(running, "MARGIN", margin)
+    rng = np.random.default_rng(6)
+    x = np.concatenate([np.full(3_000, 2.5), rng.normal(size=6_001)]).tolist()
+    df = spark.createDataFrame([(a, float(i % 4)) for i, a in enumerate(x)], "x double, y double").repartition(5)
+    probes = [0.0, 0.01, 0.33, 0.5, 0.77, 0.999, 1.0]
+    got = {(r.name, r.p): r.value for r in exact_quantiles(df, ["x", "y"], probes, 50).collect()}
+    for name, values in (("x", x), ("y", [float(i % 4) for i in range(len(x))])):
+        for p in probes:
+            assert got[name, p] == pytest.approx(float(np.quantile(values, p)))
+
+
 def test_ordered_bits_keep_the_order(spark):
     rng = np.random.default_rng(7)
     values = np.concatenate([rng.normal(size=300) * 10.0 ** rng.integers(-320, 300, 300), 2.0 ** np.arange(-1074, 1024, 7), [0.0, 5e-324, 1.7976931348623157e308]])
