@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from flowsieve.llm import languages
 from flowsieve.llm.leaks import without_leaks
+from flowsieve.llm.near_copies import near_copy_clusters
 from flowsieve.llm.packing import pack
 from flowsieve.llm.secrets import mask_secrets
 from flowsieve.llm.simhash import one_of_each
@@ -27,7 +28,7 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each SimHash group: the one with the smallest id."""
+    """One row of each SimHash group: the one with the smallest id."""
     return one_of_each(docs)
 
 
@@ -42,8 +43,9 @@ def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Where each piece of each document lies in the bins."""
-    return pack(docs)
+    """Where each piece of each document lies in the bins; near copies that are left do not share one."""
+    documents = near_copy_clusters(docs)
+    return pack(documents, cluster=documents["cluster"], length=documents["n"])
 
 
 STAGES = [
