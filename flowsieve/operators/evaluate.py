@@ -12,6 +12,7 @@ from flowsieve.functions.values import all_rows, everything, percent, ratio
 from flowsieve.operators.running import BLOCK_ROWS, exact_quantiles, running_sums
 from flowsieve.operators.score import attack_score
 from flowsieve.schema import BENIGN
+from flowsieve.session import materialise
 
 
 def five_numbers(df: DataFrame, value: str) -> DataFrame:
@@ -145,14 +146,15 @@ def attack_scores(df: DataFrame, actual: str, probabilities: str = "probabilitie
 def roc_points(scores: DataFrame, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """(class, score, tps, fps, tpr, fpr): a point for each distinct score, all rows at or above it positive.
 
-    Equal scores collapse to one row first. The sums then run from the highest score down, block by block.
+    Equal scores collapse to one row first, which is written: the flows are scored once, whatever reads the counts
+    after that. The sums then run from the highest score down, block by block.
     """
     counts = scores.groupBy("class", "score").agg(
         F.count_if("positive").alias("pos"), F.count_if(~F.col("positive")).alias("neg")
     )
-    down = counts.withColumn("down", -F.col("score"))
+    down = materialise(counts.withColumn("down", -F.col("score")), "score-counts")
     run = running_sums(down, ["class"], "down", ["pos", "neg"], block_rows)
-    totals = run.groupBy("class").agg(F.sum("pos").alias("p"), F.sum("neg").alias("n"))
+    totals = down.groupBy("class").agg(F.sum("pos").alias("p"), F.sum("neg").alias("n"))
     return run.join(totals, "class").select(
         "class", "score", "pos", "neg", "p", "n",
         F.col("run_pos").alias("tps"),

@@ -107,7 +107,7 @@ def _started(points: DataFrame, width: int, seed: int, run_rows: int, tables: in
                 yield batch.drop(columns="centre").assign(part=part, code=code)[kept][coded.names]
 
     codes = placed.mapInPandas(encode, coded).select("*", F.struct("code", "id").alias("order__"), F.lit(1).alias("one"))
-    ranked = running_sums(codes, ["part", "c"], "order__", ["one"])
+    ranked = running_sums(materialise(codes, "graph-codes"), ["part", "c"], "order__", ["one"])
     half = run_rows // 2
     here = F.floor((F.col("run_one") - 1) / half)
     last = F.greatest(F.ceil(F.col("n__") / half) - 2, F.lit(0))
