@@ -8,8 +8,10 @@ from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
 from flowsieve.functions.values import percent
-from flowsieve.operators import lookups, reports, rollup
-from flowsieve.plans.fixtures import FLOWS, SCORED, flows, scored
+from flowsieve.operators import evaluate, lookups, profile, reports, rollup, sample, stage_texts
+from flowsieve.operators.balance import oversampling_targets
+from flowsieve.plans.fixtures import CLASSES, FLOWS, MAPPED, SCORED, flows, probabilities, scored
+from flowsieve.plans.profiles import COUNTS, IMPACT, INFINITE, METRICS, MISSING, ROC, SUMMARY, confusion
 from flowsieve.plans.registry import query, rounded, table
 from flowsieve.session import scratch_path
 
@@ -297,6 +299,79 @@ def _(spark, d):
     return reports.testing_classes(stored(spark, testing_texts(spark, d), "testing_results.txt"))
 
 
+@query("j9_exploration_report", f"""WITH {FLOWS}, {MAPPED}, {IMPACT}, s AS ({SUMMARY})
+    SELECT 'run' AS report, format('{{:,}}', rows) AS total_rows, '11' AS total_columns, CAST(classes AS VARCHAR) AS original_classes,
+    (SELECT CAST(classes AS VARCHAR) FROM impact WHERE stage = 'after') AS consolidated_classes, printf('%.3f', round(gini_impurity, 3)) AS gini_coefficient,
+    severity AS imbalance_severity, '2 parts' AS memory_usage FROM s""")
+def _(spark, d):
+    """A report written from the profile of the flows, and read back."""
+    rows = flows(spark, d)
+    text = stage_texts.exploration_text("run", profile.class_summary(rows), profile.consolidation_impact(rows), len(rows.columns), "2 parts")
+    return reports.stage_metrics(stored(spark, text, "exploration_results.txt"), "exploration")
+
+
+@query("j9_preprocessing_report", f"""WITH {FLOWS}, ruled AS (SELECT "Protocol", hr, value, "Label", "Label" = 'Label' OR {MISSING} OR {INFINITE} AS bad FROM flows),
+    clean AS (SELECT count(*) AS n FROM (SELECT DISTINCT "Protocol", hr, value, "Label" FROM ruled WHERE NOT bad)), every AS (SELECT count(*) AS n FROM flows),
+    {COUNTS}, second AS (SELECT n AS reference FROM (SELECT n, row_number() OVER (ORDER BY n DESC, class) AS rn FROM counts) WHERE rn = 2),
+    made AS (SELECT CAST(sum(floor(n + (reference - n) / 2.0) - n) AS BIGINT) AS m FROM counts, second WHERE n < reference),
+    held AS (SELECT CAST(ceil(0.2 * n) AS BIGINT) AS t FROM every)
+    SELECT 'run' AS report, format('{{:,}}', e.n) AS initial_rows, format('{{:,}}', c.n) AS final_rows, format('{{:,}}', e.n - c.n) AS rows_removed,
+    printf('%.3f', round((e.n - c.n) * 100.0 / e.n, 3)) AS data_loss_pct, format('{{:,}}', e.n - t + m) AS training_samples, format('{{:,}}', t) AS test_samples,
+    format('{{:,}}', m) AS smote_samples, '4' AS features_selected FROM every e, clean c, held, made""")
+def _(spark, d):
+    """A report written from the cleaning steps, an exact split and the oversampling targets, and read back."""
+    rows = flows(spark, d)
+    steps = profile.cleaning_waterfall(rows.select("Flow ID", "Protocol", "hr", "value", "Label"))
+    train, test = sample.stratified_split(rows, "Label", ["event_id"], 0.2)
+    parts = train.agg(F.count(F.lit(1)).alias("train")).unionByName(test.agg(F.count(F.lit(1)).alias("test")), allowMissingColumns=True)
+    made = oversampling_targets(rows, "Label").agg(F.sum("extra").alias("synthetic"))
+    split = parts.agg(F.max("train").alias("train"), F.max("test").alias("test"))
+    text = stage_texts.preprocessing_text("run", steps, split, made, 4)
+    return reports.stage_metrics(stored(spark, text, "preprocessing_results.txt"), "preprocessing")
+
+
+def testing_report(spark, d):
+    """A report written from the metrics of the scored flows, as if scored in half a second."""
+    s, p = scored(spark, d), probabilities(spark, d)
+    text = stage_texts.testing_text(
+        "run",
+        evaluate.class_metrics(confusion(spark, d)),
+        evaluate.auc_by_class(evaluate.roc_points(evaluate.class_scores(p, "actual_label", CLASSES))),
+        evaluate.binary_metrics(s, "actual_label", "predicted_class"),
+        evaluate.auc_by_class(evaluate.roc_points(evaluate.attack_scores(p, "actual_label"))),
+        evaluate.confidence_summary(s),
+        0.5,
+    )
+    return stored(spark, text, "testing_results.txt")
+
+
+ROC_AREAS = ROC.replace("sides", "roc_sides").replace("counts", "roc_counts") + """,
+    areas AS (SELECT class, CASE WHEN np > 0 AND nn > 0 THEN sum(neg * (tps - pos / 2.0)) / (CAST(np AS DOUBLE) * nn) END AS auc FROM points GROUP BY class, np, nn)"""
+ATTACKS = """attack_counts AS (SELECT 1.0::DOUBLE - p AS score, count_if(actual <> 'Benign') AS pos, count_if(actual = 'Benign') AS neg
+      FROM long JOIN labelled USING (event_id) WHERE idx = 0 AND labelled.actual IS NOT NULL GROUP BY 1),
+    attack_points AS (SELECT *, sum(pos) OVER (ORDER BY score DESC) AS tps, sum(pos) OVER () AS np, sum(neg) OVER () AS nn FROM attack_counts),
+    attack_area AS (SELECT sum(neg * (tps - pos / 2.0)) / (CAST(max(np) AS DOUBLE) * max(nn)) AS auc FROM attack_points),
+    sides_of AS (SELECT count_if(actual = 'Benign' AND c1 = 'Benign') AS tn, count_if(actual = 'Benign' AND c1 <> 'Benign') AS fp,
+      count_if(actual <> 'Benign' AND c1 = 'Benign') AS fn, count_if(actual <> 'Benign' AND c1 <> 'Benign') AS tp FROM scored)"""
+
+
+@query("j9_testing_report", f"""WITH {SCORED}, {METRICS}, {ATTACKS}, o AS (SELECT sum(correct) / CAST(sum(support) AS DOUBLE) AS a, avg(f1) AS f, sum(support) AS n FROM metrics)
+    SELECT 'run' AS report, printf('%.4f', round(a, 4)) AS accuracy, printf('%.4f', round(f, 4)) AS macro_f1, format('{{:,}}', CAST(n * 2 AS BIGINT)) || ' samples/second' AS inference_speed,
+    (SELECT printf('%.4f', round(avg(q1), 4)) FROM scored) AS mean_confidence, printf('%.4f', round((tp+tn)/CAST(tp+tn+fp+fn AS DOUBLE), 4)) AS binary_accuracy,
+    printf('%.4f', round(tp/CAST(tp+fp AS DOUBLE), 4)) AS binary_precision, printf('%.4f', round(tp/CAST(tp+fn AS DOUBLE), 4)) AS binary_recall,
+    printf('%.4f', round(tn/CAST(tn+fp AS DOUBLE), 4)) AS binary_specificity, printf('%.4f', round(auc, 4)) AS binary_auc,
+    printf('%.4f', round(2*tp/CAST(2*tp+fp+fn AS DOUBLE), 4)) AS binary_f1 FROM o, sides_of, attack_area""")
+def _(spark, d):
+    return reports.stage_metrics(testing_report(spark, d), "testing")
+
+
+@query("j9_testing_report_classes", f"""WITH {SCORED}, {METRICS}, {ROC_AREAS} SELECT 'run' AS report, class, printf('%.4f', round(precision, 4)) AS precision,
+    printf('%.4f', round(recall, 4)) AS recall, printf('%.4f', round(f1, 4)) AS f1, printf('%.4f', round(coalesce(auc, 0), 4)) AS auc,
+    format('{{:,}}', CAST(support AS BIGINT)) AS support FROM metrics LEFT JOIN areas USING (class)""")
+def _(spark, d):
+    return reports.testing_classes(testing_report(spark, d))
+
+
 @query("j10_metric_lines", """WITH c AS (SELECT strftime(ts, '%Y-%m-%d') AS report, count(*) AS n FROM events GROUP BY 1)
     SELECT report, 'total_flows' AS key, CAST(n AS VARCHAR) AS value FROM c UNION ALL SELECT report, 'accuracy', 'a=b' FROM c""")
 def _(spark, d):
