@@ -125,6 +125,10 @@ class Asked:
         table[words["word"].to_numpy()] = words["bits"].to_numpy()
         self.table = asked.sparkSession.sparkContext.broadcast(table)
 
+    def drop(self) -> None:
+        """Frees the table on all executors; what was read by it must be written."""
+        self.table.destroy()
+
     def among(self, values: np.ndarray) -> np.ndarray:
         at = values & (FILTER_BITS - 1)
         return (self.table.value[at >> 6] >> (at & 63)) & 1 == 1
@@ -146,14 +150,12 @@ def _met(nodes: DataFrame, asked: Asked | None = None) -> DataFrame:
     return nodes.select("key", "bands").mapInArrow(explode, "key long, band long")
 
 
-def _asked_sets(documents: DataFrame, text: str, asked: DataFrame, schema: str, columns: Callable[[np.ndarray], tuple]) -> DataFrame:
+def _asked_sets(documents: DataFrame, text: str, wanted: Asked, schema: str, columns: Callable[[np.ndarray], tuple]) -> DataFrame:
     """``columns`` of the sets of the texts with words whose ``hash`` is asked for, and of a few others.
 
     A text comes at most once from a stretch of rows that a task reads, so thousands of copies are a row for each task.
     """
 
-    wanted = Asked(asked, "hash")
-
     def collect(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
         for part in slices(batches, "text"):
@@ -307,19 +309,23 @@ def near_copy_clusters(documents: DataFrame, doc_id: str = "doc_id", text: str =
     nodes = rows.filter("size > 0").groupBy("key").agg(F.min_by(F.struct("bands", "hash"), "hash").alias("r")).select("key", "r.*")
     nodes = materialise(nodes, "near-nodes")
     common = materialise(_met(nodes).groupBy("band").agg(F.count("*").alias("n")).filter("n > 1"), "near-bands")
-    shared = materialise(_met(nodes, Asked(common, "band")).join(common, "band"), "near-shared")
-    asked = materialise(nodes.join(shared.select("key").distinct(), "key", "left_semi").select("hash"), "near-asked")
+    asked = Asked(common, "band")
+    shared = materialise(_met(nodes, asked).join(common, "band"), "near-shared")
+    asked.drop()
+    asked = Asked(nodes.join(shared.select("key").distinct(), "key", "left_semi"), "hash")
     sketched = _asked_sets(documents, text, asked, "key long, size long, bits binary", lambda own: (len(own), sketch_bits(own)))
     sketched = materialise(sketched.dropDuplicates(["key"]), "near-bits")
+    asked.drop()
 
     tasks = _in_blocks(shared.join(sketched, "key"), "band", F.ceil(F.col("n") / BLOCK_ROWS))
     possible = materialise(tasks.select("band", "low__", "high__", "key", "size", "bits").mapInArrow(_possible, "a long, b long").distinct(), "near-possible")
     groups = components(possible).withColumnsRenamed({"node": "key"}).join(sketched, "key")
     sums = groups.groupBy("root").agg(F.sum("size").alias("shingles"))
     groups = materialise(groups.join(sums, "root"), "near-groups")
-    asked = materialise(nodes.join(groups, "key", "left_semi").select("hash"), "near-asked")
+    asked = Asked(nodes.join(groups, "key", "left_semi"), "hash")
     sets = _asked_sets(documents, text, asked, "key long, own binary", lambda own: (_packed(own),)).dropDuplicates(["key"])
     tasks = _in_blocks(sets.join(groups, "key"), "root", F.ceil(F.col("shingles") * 8 / BLOCK_BYTES))
     links = materialise(tasks.select("root", "low__", "high__", "key", "size", "bits", "own").mapInArrow(_exact, "a long, b long"), "near-links")
+    asked.drop()
     alike = components(links)
     return rows.join(alike, rows["key"] == alike["node"], "left").select("doc_id", "source", "n", F.coalesce("root", "key").alias("cluster"))
