@@ -61,29 +61,30 @@ def set_key(own: np.ndarray, raw: bytes) -> int:
     return int(np.uint64(xxhash.xxh64_intdigest(own.tobytes() if len(own) else raw)).view(np.int64))
 
 
-def _minima(own: np.ndarray, flips: np.ndarray, factors: np.ndarray, order: np.ndarray) -> np.ndarray:
-    """The least value of a set under each seeded hash, as even 64-bit numbers."""
-    least = np.full(len(order), np.iinfo(np.uint32).max, np.uint32)
+def _minima(own: np.ndarray, flips: np.ndarray, factors: np.ndarray) -> np.ndarray:
+    """The least value of a set under each seeded hash."""
+    least = np.full(len(flips), np.iinfo(np.uint32).max, np.uint32)
     high = (own >> np.uint64(32)).astype(np.uint32)
     for at in range(0, len(high), _PIECE):
         hashed = high[None, at : at + _PIECE] ^ flips
         hashed *= factors
         np.minimum(least, hashed.min(1), out=least)
-    return mixed(least.astype(np.uint64) + (order << np.uint64(32)))
+    return least
 
 
-def bands(own: np.ndarray) -> np.ndarray:
-    """One value for each band of a set that is not empty, as signed longs."""
-    least = _minima(own, _FLIPS, _FACTORS, _ORDER)
-    value = np.arange(BANDS, dtype=np.uint64)
-    for column in least.reshape(BANDS, ROWS).T:
-        value = mixed(value * np.uint64(0x9E3779B97F4A7C15) + column)
+def bands(sets: list[np.ndarray]) -> np.ndarray:
+    """A row for each set that is not empty: one value for each band, as signed longs."""
+    least = np.stack([_minima(own, _FLIPS, _FACTORS) for own in sets]) if sets else np.empty((0, BANDS * ROWS), np.uint32)
+    least = mixed(least.astype(np.uint64) + (_ORDER << np.uint64(32))).reshape(-1, BANDS, ROWS)
+    value = np.broadcast_to(np.arange(BANDS, dtype=np.uint64), least.shape[:2])
+    for row in range(ROWS):
+        value = mixed(value * np.uint64(0x9E3779B97F4A7C15) + least[:, :, row])
     return value.view(np.int64)
 
 
 def sketch_bits(own: np.ndarray) -> bytes:
     """A bit for each of further minima of a set."""
-    least = _minima(own, _MORE_FLIPS, _MORE_FACTORS, _MORE_ORDER)
+    least = mixed(_minima(own, _MORE_FLIPS, _MORE_FACTORS).astype(np.uint64) + (_MORE_ORDER << np.uint64(32)))
     return np.packbits((least >> np.uint64(63)).astype(np.uint8)).tobytes()
 
 
@@ -92,15 +93,16 @@ def sketches(documents: DataFrame, doc_id: str, text: str, source: str) -> DataF
 
     def sketch(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, "text"):
-            n, keys, sizes, found = [], [], [], []
+            n, keys, sets = [], [], []
             for raw, known in zip(raw_texts(part, "text"), part.column("text").is_valid().to_pylist()):
                 words = space_words(raw)
-                own = shingle_set(words)
+                sets.append(shingle_set(words))
                 n.append(len(words))
-                keys.append(set_key(own, raw) if known else None)
-                sizes.append(len(own))
-                found.append(bands(own) if len(own) else [])
-            made = [pa.array(n, pa.int64()), pa.array(keys, pa.int64()), pa.array(sizes, pa.int64()), pa.array(found, pa.list_(pa.int64()))]
+                keys.append(set_key(sets[-1], raw) if known else None)
+            sizes = np.array([len(own) for own in sets], np.int64)
+            ends = np.concatenate(([0], np.cumsum(np.where(sizes > 0, BANDS, 0)))).astype(np.int32)
+            found = pa.ListArray.from_arrays(pa.array(ends), pa.array(bands([own for own in sets if len(own)]).ravel()))
+            made = [pa.array(n, pa.int64()), pa.array(keys, pa.int64()), pa.array(sizes), found]
             yield pa.RecordBatch.from_arrays(
                 [part.column("doc_id"), part.column("source"), *made, part.column("hash")],
                 names=["doc_id", "source", "n", "key", "size", "bands", "hash"],
