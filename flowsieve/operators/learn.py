@@ -32,6 +32,8 @@ SEARCH_SPACE = {
     "bootstrap": [True],
     "class_weight": ["balanced_subsample", None],
 }
+#: Rows that one task keeps, binned and with a count and a node for each tree, while a forest grows.
+TASK_ROWS = 250_000
 
 
 @dataclass(frozen=True)
@@ -79,6 +81,15 @@ def with_class_weight(df: DataFrame, label: str, out: str = "weight__") -> DataF
     return df.join(weights, F.col(f"`{label}`").eqNullSafe(F.col("class__")), "left").drop("class__")
 
 
+def deal_rows(rows: DataFrame, task_rows: int = TASK_ROWS) -> DataFrame:
+    """The rows in parts of at most about ``task_rows``, if there are more than that.
+
+    MLlib keeps the partitions that it is given, and a file of compressed numbers is many times as large in its cache.
+    """
+    n = rows.count()
+    return rows if n <= task_rows else rows.repartition(max(ceil(n / task_rows), rows.sparkSession.sparkContext.defaultParallelism))
+
+
 def fit_forest(df: DataFrame, features: list[str], label: str, params: ForestParams) -> PipelineModel:
     """Assembler and forest as one pipeline, with balanced weights where the parameters ask for them."""
     weight = None
@@ -92,7 +103,7 @@ def fit_forest(df: DataFrame, features: list[str], label: str, params: ForestPar
         *([F.col(weight)] if weight else []),
     )
     assembler = VectorAssembler(inputCols=features, outputCol="features__", handleInvalid="error")
-    return Pipeline(stages=[assembler, params.classifier(label, weight)]).fit(rows)
+    return Pipeline(stages=[assembler, params.classifier(label, weight)]).fit(deal_rows(rows))
 
 
 def forest_of(model: PipelineModel) -> RandomForestClassificationModel:
