@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from math import ceil
+
 from pyspark.sql import functions as F
 
 from pyspark.sql import types as T
@@ -56,8 +58,16 @@ def _(spark, d):
     return flow_rows(assemble_flows(packets(table(spark, d, "events")), KEY, "ts", "value", 3600, 4 * 3600))
 
 
-def event_files(spark, d, parts=3):
-    """The events as files of growing time, written one after the other as a capture would."""
+#: Events of a file, as a capture would close it.
+FILE_ROWS = 500_000
+
+
+def event_files(spark, d, parts=3, file_rows=FILE_ROWS):
+    """(schema, folder, files of a part): the events in parts of growing time, written one after the other as a capture would.
+
+    All parts have the same number of files, so a micro-batch of so many is a whole part: a file for itself would
+    let the watermark pass the other files of its part.
+    """
     e = table(spark, d, "events")
     path = scratch_path(spark, "events")
     cuts = e.select(F.unix_micros(F.col("ts").cast("timestamp")).cast("double").alias("t")).approxQuantile(
@@ -65,19 +75,21 @@ def event_files(spark, d, parts=3):
     )
     t = F.unix_micros(F.col("ts").cast("timestamp"))
     edges = [float("-inf"), *cuts, float("inf")]
+    files = ceil(e.count() / parts / file_rows)
     for low, high in zip(edges, edges[1:]):
-        e.filter((t > F.lit(low)) & (t <= F.lit(high))).write.mode("append").parquet(path)
-    return e.schema, path
+        part = e.filter((t > F.lit(low)) & (t <= F.lit(high)))
+        (part.coalesce(1) if files <= 1 else part.repartition(files)).write.mode("append").parquet(path)
+    return e.schema, path, max(files, 1)
 
 
 def event_stream(spark, d, files_per_trigger=8):
-    schema, path = event_files(spark, d)
+    schema, path, _ = event_files(spark, d)
     return stream_table(spark, path, schema, files_per_trigger=files_per_trigger)
 
 
 def assembly_run(spark, d):
-    schema, path = event_files(spark, d)
-    arriving = packets(stream_table(spark, path, schema, files_per_trigger=1))
+    schema, path, files = event_files(spark, d)
+    arriving = packets(stream_table(spark, path, schema, files_per_trigger=files))
     with rocksdb_state(spark):
         return run_to_end(assemble_stream(arriving, KEY, "ts", "value", 3600, 4 * 3600), "assembly")
 
@@ -113,24 +125,32 @@ def _(spark, d):
     return rounded(spark.read.parquet(run_to_end(rows, "scores").output))
 
 
+def flow_files(rows):
+    """(rows of a file, files of a micro-batch): eight micro-batches or so, while a file has 2,000 to 200,000 rows."""
+    n = rows.count()
+    size = min(max(2000, ceil(n / 192)), 200_000)
+    return size, max(2, min(n // size // 8, 24))
+
+
 @query("h5_stream_model_scores", "SELECT event_id, true AS same_as_batch FROM events")
 def _(spark, d):
     """Preparation and scoring of a stream with a stored forest, row by row as in the batch."""
     scorer, store, path = small_scorer(spark, d), scratch_path(spark, "stream-scorer"), scratch_path(spark, "stream-flows")
     learn.save_scorer(spark, scorer, store)
     rows = flows(spark, d)
-    rows.write.option("maxRecordsPerFile", 2000).parquet(path)
+    size, files = flow_files(rows)
+    rows.write.option("maxRecordsPerFile", size).parquet(path)
     columns = ["event_id", "predicted_class", "threat_level", F.round("confidence", 9).alias("confidence")]
-    stream = score_stream(stream_table(spark, path, rows.schema, files_per_trigger=2), learn.load_scorer(spark, store))
+    stream = score_stream(stream_table(spark, path, rows.schema, files_per_trigger=files), learn.load_scorer(spark, store))
     live = spark.read.parquet(run_to_end(stream.select(*columns), "model-scores").output)
     return twice(live.unionByName(scorer.score(rows).select(*columns)), "event_id", "same_as_batch")
 
 
 @query("h4_micro_batches", f"""WITH {SCORED} SELECT level AS threat_level, count(*) AS n, 3 AS batches FROM scored GROUP BY 1""")
 def _(spark, d):
-    """One file for each micro-batch gives the same rows as any other batch size."""
-    schema, path = event_files(spark, d)
-    rows = add_ranking(weigh(stream_table(spark, path, schema, files_per_trigger=1)), CLASSES)
+    """One part for each micro-batch gives the same rows as any other batch size."""
+    schema, path, files = event_files(spark, d)
+    rows = add_ranking(weigh(stream_table(spark, path, schema, files_per_trigger=files)), CLASSES)
     run = run_to_end(rows.select("event_id", "threat_level"), "micro")
     batches = progress_table(spark, run).filter("input_rows > 0").count()
     out = spark.read.parquet(run.output).groupBy("threat_level").agg(F.count(F.lit(1)).alias("n"))
