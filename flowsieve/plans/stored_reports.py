@@ -61,7 +61,7 @@ def _written(app: str, d: str) -> str:
         1: ("batch_summary.txt", dict(title="BATCH SUMMARY", minute_section=False)),
         2: ("session_summary.txt", dict(labelled=True, totals=False)),
     }
-    summaries = None
+    # each style by itself: joined to one write, the sorts and groupings of all would hold their memory in one task
     for kind, (file, style) in styles.items():
         part = rows.filter(F.col("kind") == kind)
         minutes = rollup.minute_rollup(part, "ts", session=["report"], actual="actual_label")
@@ -73,9 +73,7 @@ def _written(app: str, d: str) -> str:
             F.count_if(F.col("predicted_class") == F.col("actual_label")).alias("correct"),
         ).withColumn("precision_pct", percent(F.col("correct"), F.col("labelled")))
         texts = reports.summary_texts(minutes.join(spans, "report"), precision, seconds="seconds", **style)
-        named = texts.withColumn("file", F.lit(file))
-        summaries = named if summaries is None else summaries.unionByName(named)
-    reports.write_texts(summaries, path)
+        reports.write_texts(texts.withColumn("file", F.lit(file)), path)
     return path
 
 
