@@ -54,9 +54,9 @@ def exact_quantiles(
 
     Spark's own sketches give a narrow range of values around each quantile, in the pass that counts the values. A second
     pass counts what lies below and inside each range, which proves it right or, if a sketch was wrong, leaves it open.
-    Only values inside the ranges are looked at again and ranked, equal values counted first. A range that still
-    holds more than ``rank_rows`` values is cut in buckets by leading bits of integers of the same order, until the
-    bucket of each asked rank is small. What goes to the driver is a few counts for each column and probability.
+    Only values inside the ranges are looked at again and ranked, equal values counted first; a range of one value is
+    not. If a range still holds more than ``rank_rows`` values, those inside are written to the shared folder and cut in
+    buckets by leading bits of integers of the same order, until the bucket of each asked rank is small or one value. What goes to the driver is a few counts for each column and probability.
     A column without values is absent.
     """
     value = {c: F.col(f"`{c}`").cast("double") for c in columns}
@@ -86,7 +86,10 @@ def exact_quantiles(
             inside[len(slots) + at] = (finite[c], seen[2 * at])
             place |= {(c, p): (len(slots) + at, 0) for p in missed}
     wanted = {i: {r - place[k][1] for k, (a, b, _) in asked.items() if place[k][0] == i for r in (a, b)} for i in inside}
-    found = _ranked_values(df, inside, wanted, rank_rows)
+    # a range of one value needs no ranking, however many rows hold it
+    single = {i: lo for i, (_, lo, hi) in enumerate(slots) if lo == hi and i in wanted}
+    found = {(i, r): v for i, v in single.items() for r in wanted[i]}
+    found |= _ranked_values(df, inside, {i: r for i, r in wanted.items() if r and i not in single}, rank_rows)
     rows = []
     for (c, p), (a, b, part) in asked.items():
         i, below = place[c, p]
@@ -113,33 +116,44 @@ def _ranked_values(
     """The value at each wanted rank of each column expression, of which the number of values is known."""
     # For each rank of a slot: leading bits of its bucket, rank inside, values inside.
     at = {(i, r): (0, r, inside[i][1]) for i, ranks in wanted.items() for r in ranks}
+    found: dict[tuple[int, int], float] = {}
     known: int | None = None  # bits that the buckets leave open
+    out = []
+    for i in wanted:
+        v = inside[i][0]
+        out.append(F.when(v.isNotNull(), F.struct(F.lit(i).alias("slot"), ordered_bits(v).alias("code"), v.alias("value"))))
+    rows = df.select(F.explode(F.array_compact(F.array(*out))).alias("e")).select("e.*") if out else None
+
+    def left() -> bool:
+        return max((held for _, _, held in at.values()), default=0) > rank_rows
+
+    if left():
+        # read once for every BUCKET_BITS; the table itself is not read again
+        rows = materialise(rows, "quantile-ranges")
 
     def entries() -> DataFrame:
         """The values in the buckets of the wanted ranks."""
-        out = []
-        for i in dict.fromkeys(i for i, _ in at):
-            v = inside[i][0]
-            code, buckets = ordered_bits(v), {b for (d, _), (b, _, _) in at.items() if d == i}
-            held = F.lit(True) if known is None else F.shiftright(code, known).isin(*buckets)
-            entry = F.struct(F.lit(i).alias("slot"), code.alias("code"), v.alias("value"))
-            out.append(F.when(v.isNotNull() & held, entry))
-        return df.select(F.explode(F.array_compact(F.array(*out))).alias("e")).select("e.*")
+        buckets = {i: {b for (d, _), (b, _, _) in at.items() if d == i} for i, _ in at}
+        held = [(F.col("slot") == i) & (F.lit(True) if known is None else F.shiftright("code", known).isin(*b)) for i, b in buckets.items()]
+        return rows.filter(any_of(held))
 
     for width in (52, *range(52 - BUCKET_BITS, 0, -BUCKET_BITS), 0):
-        if max((held for _, _, held in at.values()), default=0) <= rank_rows:
+        if not left():
             break
-        counted = entries().groupBy("slot", F.shiftright("code", width).alias("b")).agg(F.count(F.lit(1)).alias("n")).collect()
+        ends = (F.min("code").alias("first"), F.max("code").alias("last"), F.min("value").alias("value"))
+        counted = entries().groupBy("slot", F.shiftright("code", width).alias("b")).agg(F.count(F.lit(1)).alias("n"), *ends).collect()
         for (i, r), (bucket, rank, _) in list(at.items()):
-            for b, n in sorted((x["b"], x["n"]) for x in counted if x["slot"] == i):
-                if known is not None and b >> (known - width) != bucket:
+            for x in sorted((x for x in counted if x["slot"] == i), key=lambda x: x["b"]):
+                if known is not None and x["b"] >> (known - width) != bucket:
                     continue
-                if rank < n:
-                    at[i, r] = (b, rank, n)
+                if rank < x["n"]:
+                    at[i, r] = (x["b"], rank, x["n"])
+                    if x["first"] == x["last"]:  # copies of one value, however many
+                        found[i, r] = x["value"]
+                        del at[i, r]
                     break
-                rank -= n
+                rank -= x["n"]
         known = width
-    found: dict[tuple[int, int], float] = {}
     if at:
         order = W.partitionBy("slot", "b").orderBy("code")
         ranked = (
