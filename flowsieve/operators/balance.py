@@ -21,6 +21,8 @@ from flowsieve.session import materialise
 BLOCK_ROWS = 8192
 _PLACE = 1 << 32  # cells are numbered above the blocks inside them
 QUERY_CHUNK = 256
+#: Distances that a search measures at a time: a handful of such matrices is what a worker holds.
+CHUNK_CELLS = 1 << 18
 EXPLODE_ROWS = 10_000
 #: Sorted orders of the hashed search, and signs that make one.
 HASH_TABLES, HASH_BITS = 8, 48
@@ -88,8 +90,9 @@ def _nearest_block(queries: pd.DataFrame, points: pd.DataFrame, k: int) -> pd.Da
         names = np.argsort(np.argsort(ids, kind="stable"), kind="stable")
         norms = (x * x).sum(axis=1)
         all_q, all_id = _matrix(queries["v"]), queries["id"].to_numpy()
-        for start in range(0, len(queries), QUERY_CHUNK):
-            q, qid = all_q[start : start + QUERY_CHUNK], all_id[start : start + QUERY_CHUNK]
+        chunk = max(1, min(QUERY_CHUNK, CHUNK_CELLS // len(points)))
+        for start in range(0, len(queries), chunk):
+            q, qid = all_q[start : start + chunk], all_id[start : start + chunk]
             scale = (q * q).sum(axis=1)[:, None] + norms[None, :]
             rough = scale - 2.0 * (q @ x.T)
             slack = 1e-9 * scale + 1e-12
@@ -200,16 +203,16 @@ def nearest_in_class(points: DataFrame, k: int, seed: int = 42, block_rows: int
 
     def targets(batches):
         for batch in batches:
-            hits = np.empty(len(batch), dtype=object)
             for c, rows in _rows_by_class(batch):
                 table = cells[c]
+                blocks = [np.arange(n) + cell * _PLACE for cell, n in zip(table["cell"].astype("int64"), table["blocks"])]
                 for start in range(0, len(rows), QUERY_CHUNK):
-                    part = rows[start : start + QUERY_CHUNK]
-                    wanted = _cells_in_reach(batch.iloc[part], pivots[c], table)
-                    blocks = [np.arange(n) + cell * _PLACE for cell, n in zip(table["cell"].astype("int64"), table["blocks"])]
-                    for at, row in zip(part, wanted):
+                    part = batch.iloc[rows[start : start + QUERY_CHUNK]]
+                    hits = np.empty(len(part), dtype=object)
+                    for at, row in enumerate(_cells_in_reach(part, pivots[c], table)):
                         hits[at] = np.concatenate([np.empty(0, np.int64), *(blocks[j] for j in np.flatnonzero(row))])
-            yield batch[["c", "id", "v", "lane"]].assign(hits=hits)
+                    # the lists of a few queries at a time: they grow with the class
+                    yield part[["c", "id", "v", "lane"]].assign(hits=hits)
 
     asked = T.StructType(
         [
