@@ -78,35 +78,75 @@ def _matrix(column: pd.Series) -> np.ndarray:
 
 
 def _nearest_block(queries: pd.DataFrame, points: pd.DataFrame, k: int) -> pd.DataFrame:
-    """The k nearest points of each query in one block, ties by point id.
+    """The k nearest points of each query in one block, ties by point id."""
+    asking = _matrix(queries["v"]), queries["id"].to_numpy()
+    return _nearest_points(*asking, _matrix(points["v"]), points["id"].to_numpy(), points["copies"].to_numpy(), k)
+
+
+def _nearest_points(
+    asking: np.ndarray, asking_ids: np.ndarray, x: np.ndarray, ids: np.ndarray, copies: np.ndarray, k: int
+) -> pd.DataFrame:
+    """The k nearest points of each query, ties by point id.
 
     Squared distances by the dot-product expansion only preselect; every pair that rounding could bring
-    into the first k is measured again from the differences.
+    into the first k is measured again from the differences. One product, a row for each point, gives upper bounds
+    of a chunk, without the query's own square, which all its pairs share.
     """
     columns = ["id", "neighbour", "distance", "copies"]
     parts = []
-    if len(points) and len(queries):
-        x, ids, copies = _matrix(points["v"]), points["id"].to_numpy(), points["copies"].to_numpy()
-        names = np.argsort(np.argsort(ids, kind="stable"), kind="stable")
+    if len(x) and len(asking):
+        by_id = np.argsort(ids, kind="stable")
+        names = np.argsort(by_id, kind="stable")
         norms = (x * x).sum(axis=1)
-        all_q, all_id = _matrix(queries["v"]), queries["id"].to_numpy()
-        chunk = max(1, min(QUERY_CHUNK, CHUNK_CELLS // len(points)))
-        for start in range(0, len(queries), chunk):
-            q, qid = all_q[start : start + chunk], all_id[start : start + chunk]
-            scale = (q * q).sum(axis=1)[:, None] + norms[None, :]
-            rough = scale - 2.0 * (q @ x.T)
-            slack = 1e-9 * scale + 1e-12
-            rough[qid[:, None] == ids[None, :]] = np.inf
-            kth = min(k, len(ids)) - 1
-            limit = np.partition(rough + slack, kth, axis=1)[:, kth]
-            row, col = np.nonzero((rough - slack <= limit[:, None]) & np.isfinite(rough))
+        bad = np.flatnonzero(~np.isfinite(norms))
+        slack = 1e-9 * norms + 1e-12
+        terms = np.column_stack([-2.0 * x, norms + slack])
+        terms[bad], slack[bad] = 0.0, 0.0
+        widest = slack.max()
+        chunk = max(1, min(QUERY_CHUNK, CHUNK_CELLS // len(x)))
+        for start in range(0, len(asking), chunk):
+            q, qid = asking[start : start + chunk], asking_ids[start : start + chunk]
+            own = (q * q).sum(axis=1)
+            upper = terms @ np.column_stack([q, np.ones(len(q))]).T
+            upper[bad] = np.inf
+            upper[:, ~np.isfinite(own)] = np.inf
+            upper[_same_ids(qid, ids, by_id)] = np.inf
+            limit = _kth_bound(upper, k) + 2e-9 * own
+            col, row = np.divmod(np.flatnonzero(upper <= limit + 2 * widest), len(q))
+            at = upper[col, row]
+            kept = np.isfinite(at) & (at - 2 * slack[col] <= limit[row])
+            row, col = row[kept], col[kept]
             d = np.sqrt(((x[col] - q[row]) ** 2).sum(axis=1))
             order = np.lexsort((names[col], d, row))
             row, col, d = row[order], col[order], d[order]
             place = np.arange(len(row)) - np.searchsorted(row, row)
             row, col, d = row[place < k], col[place < k], d[place < k]
-            parts.append(pd.DataFrame({"id": qid[row], "neighbour": ids[col], "distance": d, "copies": copies[col]}))
-    return pd.concat(parts, ignore_index=True) if parts else pd.DataFrame([], columns=columns)
+            parts.append((qid[row], ids[col], d, copies[col]))
+    found = [np.concatenate(p) for p in zip(*parts)]
+    return pd.DataFrame(dict(zip(columns, found)), columns=columns)
+
+
+def _same_ids(qid: np.ndarray, ids: np.ndarray, by_id: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(places of points, places of queries) of the pairs of the same id; ``by_id`` sorts the ids."""
+    first = np.searchsorted(ids, qid, "left", sorter=by_id)
+    many = np.searchsorted(ids, qid, "right", sorter=by_id) - first
+    row = np.repeat(np.arange(len(qid)), many)
+    col = by_id[np.arange(len(row)) + np.repeat(first - (np.cumsum(many) - many), many)]
+    equal = ids[col] == qid[row]  # a missing id is found, but equals none
+    return col[equal], row[equal]
+
+
+def _kth_bound(values: np.ndarray, k: int) -> np.ndarray:
+    """For each column a number that at least k of its values do not exceed, close to the smallest such number.
+
+    The k smallest of many values mostly lie in different groups of rows, so the least of each group are enough.
+    """
+    groups = 32 * k
+    many = len(values) // groups
+    if many >= 4:
+        values = values[: many * groups].reshape(many, groups, -1).min(axis=0)
+    kth = min(k, len(values)) - 1
+    return np.partition(values, kth, axis=0)[kth]
 
 
 def distinct_points(df: DataFrame, label: str, key: str, features: list[str]) -> DataFrame:
@@ -146,9 +186,13 @@ def nearest_in_class(points: DataFrame, k: int, seed: int = 42, block_rows: int
     )
 
     def search(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        near = _nearest_block(left, right, k)
-        c = left["c"].iat[0] if len(left) else None
-        return near.assign(c=c)[result.names]
+        asking = _matrix(left["v"])
+        if not len(left) or not len(right):
+            return pd.DataFrame([], columns=result.names)
+        ids, copies = np.asarray(right["ids"].iat[0]), np.asarray(right["copies"].iat[0])
+        x = np.asarray(right["flat"].iat[0]).reshape(len(ids), -1)
+        near = _nearest_points(asking, left["id"].to_numpy(), x, ids, copies, k)
+        return near.assign(c=left["c"].iat[0])[result.names]
 
     order = seeded_hash(["id"], seed)
 
@@ -224,14 +268,16 @@ def nearest_in_class(points: DataFrame, k: int, seed: int = 42, block_rows: int
         ]
     )
     place_of = F.col("cell").cast("long") * _PLACE + F.col("block")
-    searches = (
-        queries.withColumn("lane", place_of)
-        .mapInPandas(targets, asked)
-        .select("c", "id", "v", "lane", F.explode("hits").alias("place"))
-    )
+    # Written, because the searches are read twice; finding them costs a search of every own block.
+    aimed = materialise(queries.withColumn("lane", place_of).mapInPandas(targets, asked), "knn-searches")
+    searches = aimed.select("c", "id", "v", "lane", F.explode("hits").alias("place"))
     needed = searches.groupBy("c", "place", F.col("lane").alias("asker")).agg(all_rows().alias("queries"))
     wanted = needed.select(F.col("c").alias("c__"), F.col("place").alias("place__"), (F.col("asker") + 0).alias("lane"))
-    stored = blocked.select("c", "id", "v", "copies", place_of.alias("place"))
+    # A block is sent to all that ask it, as one row.
+    packed = blocked.groupBy("c", place_of.alias("place")).agg(F.collect_list(F.struct("id", "copies", "v")).alias("p"))
+    stored = packed.select(
+        "c", "place", F.col("p.id").alias("ids"), F.col("p.copies").alias("copies"), F.flatten("p.v").alias("flat")
+    )
     stores = stored.join(wanted, F.col("c").eqNullSafe(F.col("c__")) & (F.col("place") == F.col("place__"))).drop("c__", "place__")
     place = ["c", "place", "lane"]
     found = searches.groupBy(*place).cogroup(stores.groupBy(*place)).applyInPandas(search, result)
