@@ -11,6 +11,7 @@ from pyspark.sql import types as T
 
 from flowsieve.functions.hashing import HASH_BITS, seeded_hash
 from flowsieve.operators.profile import class_sizes
+from flowsieve.session import materialise
 
 MAX_BITS = 16
 RANK_ROWS = 100_000
@@ -58,24 +59,28 @@ def mark_stratified(
         total = ceil(take * sum(counts.values())) if isinstance(take, float) else take
         quota = stratified_quota(counts, min(total, sum(counts.values())))
 
+    def known(facts: DataFrame) -> DataFrame:
+        """What is known of each class; for a large table written, so that Spark sees how small it is and moves no rows."""
+        return materialise(facts, "sample-cuts") if sum(counts.values()) > rank_rows else facts
+
     # Per class: the bucket that holds the last picked row, rows still to pick in it, rows it holds.
     cuts = {c: (0, n, counts[c]) for c, n in quota.items() if n > 0}
     kind = rows.schema["c"].dataType
     width = HASH_BITS
     while cuts and max(held for _, _, held in cuts.values()) > rank_rows and width > 0:
         bits = min(MAX_BITS, width, (max(held for _, _, held in cuts.values()) // rank_rows).bit_length() + 1)
-        inside = _inside(rows, _cut_table(df, cuts, kind), width)
+        inside = _inside(rows, known(_cut_table(df, cuts, kind)), width)
         width -= bits
         buckets = inside.groupBy("c", "left", F.shiftright("h", width).alias("b")).agg(F.count(F.lit(1)).alias("n"))
         cuts = _cut_buckets(buckets, cuts)
     rank = F.row_number().over(W.partitionBy("c").orderBy("h", *keys))
-    inside = _inside(rows, _cut_table(df, cuts, kind), width)
+    inside = _inside(rows, known(_cut_table(df, cuts, kind)), width)
     last = inside.withColumn("rank", rank).filter(F.col("rank") == F.col("left")).select("c", "h", *keys).collect() if cuts else []
 
     # The last picked row of each class, as a table that Spark broadcasts by its own size rule.
     bound = T.StructType([T.StructField("c__", kind), T.StructField("h", T.LongType()), *[T.StructField(k, rows.schema[k].dataType) for k in keys]])
     bounds = df.sparkSession.createDataFrame([tuple(r) for r in last], bound).select("c__", F.struct("h", *keys).alias("bound__"))
-    joined = df.join(bounds, F.col(f"`{label}`").eqNullSafe(F.col("c__")), "left")
+    joined = df.join(known(bounds), F.col(f"`{label}`").eqNullSafe(F.col("c__")), "left")
     return joined.withColumn(flag, F.coalesce(order <= F.col("bound__"), F.lit(False))).drop("c__", "bound__")
 
 

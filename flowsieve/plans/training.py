@@ -54,7 +54,9 @@ def prepare(
     columns = [c for c in rows.columns if c != key]
     rows = rows.groupBy(*[F.col(f"`{c}`") for c in columns]).agg(F.min(key).alias(key))
     rows = clean.drop_classes(clean.consolidate(clean.standardise_port_protocol(rows), label), label, variant)
-    rows = materialise(encode.one_hot_all(rows) if "Protocol" in rows.columns else rows, "clean")
+    # Written before the protocols are looked up, or all rows would be grouped twice.
+    rows = materialise(rows, "clean")
+    rows = encode.one_hot_all(rows) if "Protocol" in rows.columns else rows
 
     classes = encode.class_list(rows, label)
     coded = encode.encode_label(rows, classes, label, "y")
