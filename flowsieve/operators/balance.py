@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from math import ceil, sqrt
+from functools import reduce
+from math import ceil
+from operator import or_
 
 import numpy as np
 import pandas as pd
@@ -12,6 +14,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from flowsieve.functions.hashing import HASH_BITS as KEY_BITS
 from flowsieve.functions.hashing import seeded_hash, unit
 from flowsieve.functions.values import all_rows, everything
 from flowsieve.operators.profile import class_counts, class_sizes
@@ -19,6 +22,12 @@ from flowsieve.operators.sample import mark_stratified
 from flowsieve.session import materialise
 
 BLOCK_ROWS = 8192
+#: Points of a leaf: inside a block only leaves near a query are measured.
+LEAF_ROWS = 256
+#: Queries that meet a block of points in one task, in blocks.
+ASKING_BLOCKS = 4
+#: Points that choose the cuts of a class: for each cell that is wanted, and at most.
+CUT_POINTS, MAX_CUT_POINTS = 16, 1 << 16
 _PLACE = 1 << 32  # cells are numbered above the blocks inside them
 QUERY_CHUNK = 256
 #: Distances that a search measures at a time: a handful of such matrices is what a worker holds.
@@ -86,44 +95,158 @@ def _nearest_block(queries: pd.DataFrame, points: pd.DataFrame, k: int) -> pd.Da
 def _nearest_points(
     asking: np.ndarray, asking_ids: np.ndarray, x: np.ndarray, ids: np.ndarray, copies: np.ndarray, k: int
 ) -> pd.DataFrame:
-    """The k nearest points of each query, ties by point id.
+    """The k nearest points of each query, ties by point id."""
+    row, col, d = _nearest_pairs(asking, asking_ids, x, ids, k)
+    return pd.DataFrame({"id": asking_ids[row], "neighbour": ids[col], "distance": d, "copies": copies[col]})
+
+
+def _no_pairs() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    return np.zeros(0, dtype=int), np.zeros(0, dtype=int), np.zeros(0)
+
+
+def _joined(parts: list[tuple]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    return tuple(np.concatenate(p) for p in zip(_no_pairs(), *parts))
+
+
+def _first_of_each(row: np.ndarray, col: np.ndarray, d: np.ndarray, names: np.ndarray, k: int) -> tuple:
+    """The k nearest pairs of each query in order, ties by the names of the points."""
+    order = np.lexsort((names[col], d, row))
+    row, col, d = row[order], col[order], d[order]
+    first = np.arange(len(row)) - np.searchsorted(row, row) < k
+    return row[first], col[first], d[first]
+
+
+def _nearest_pairs(
+    asking: np.ndarray, asking_ids: np.ndarray, x: np.ndarray, ids: np.ndarray, k: int, bound: np.ndarray | None = None
+) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(places of queries, places of points, distances): the k nearest points of each query, ties by point id.
 
     Squared distances by the dot-product expansion only preselect; every pair that rounding could bring
     into the first k is measured again from the differences. One product, a row for each point, gives upper bounds
-    of a chunk, without the query's own square, which all its pairs share.
+    of a chunk, without the query's own square, which all its pairs share. Where ``bound`` is known for all queries
+    of a chunk, points farther away are left out, and no k-th smallest value is looked for.
     """
-    columns = ["id", "neighbour", "distance", "copies"]
+    if not len(x) or not len(asking):
+        return _no_pairs()
     parts = []
-    if len(x) and len(asking):
-        by_id = np.argsort(ids, kind="stable")
-        names = np.argsort(by_id, kind="stable")
-        norms = (x * x).sum(axis=1)
-        bad = np.flatnonzero(~np.isfinite(norms))
-        slack = 1e-9 * norms + 1e-12
-        terms = np.column_stack([-2.0 * x, norms + slack])
-        terms[bad], slack[bad] = 0.0, 0.0
-        widest = slack.max()
-        chunk = max(1, min(QUERY_CHUNK, CHUNK_CELLS // len(x)))
-        for start in range(0, len(asking), chunk):
-            q, qid = asking[start : start + chunk], asking_ids[start : start + chunk]
-            own = (q * q).sum(axis=1)
-            upper = terms @ np.column_stack([q, np.ones(len(q))]).T
-            upper[bad] = np.inf
-            upper[:, ~np.isfinite(own)] = np.inf
-            upper[_same_ids(qid, ids, by_id)] = np.inf
-            limit = _kth_bound(upper, k) + 2e-9 * own
-            col, row = np.divmod(np.flatnonzero(upper <= limit + 2 * widest), len(q))
-            at = upper[col, row]
-            kept = np.isfinite(at) & (at - 2 * slack[col] <= limit[row])
-            row, col = row[kept], col[kept]
-            d = np.sqrt(((x[col] - q[row]) ** 2).sum(axis=1))
-            order = np.lexsort((names[col], d, row))
-            row, col, d = row[order], col[order], d[order]
-            place = np.arange(len(row)) - np.searchsorted(row, row)
-            row, col, d = row[place < k], col[place < k], d[place < k]
-            parts.append((qid[row], ids[col], d, copies[col]))
-    found = [np.concatenate(p) for p in zip(*parts)]
-    return pd.DataFrame(dict(zip(columns, found)), columns=columns)
+    by_id = np.argsort(ids, kind="stable")
+    names = np.argsort(by_id, kind="stable")
+    norms = (x * x).sum(axis=1)
+    bad = np.flatnonzero(~np.isfinite(norms))
+    slack = 1e-9 * norms + 1e-12
+    terms = np.column_stack([-2.0 * x, norms + slack])
+    terms[bad], slack[bad] = 0.0, 0.0
+    widest = slack.max()
+    chunk = max(1, min(QUERY_CHUNK, CHUNK_CELLS // len(x)))
+    for start in range(0, len(asking), chunk):
+        q, qid = asking[start : start + chunk], asking_ids[start : start + chunk]
+        own = (q * q).sum(axis=1)
+        upper = terms @ np.column_stack([q, np.ones(len(q))]).T
+        upper[bad] = np.inf
+        upper[:, ~np.isfinite(own)] = np.inf
+        upper[_same_ids(qid, ids, by_id)] = np.inf
+        limit = np.full(len(q), np.inf) if bound is None else bound[start : start + chunk] ** 2 - own
+        if not np.isfinite(limit).all():
+            limit = np.fmin(limit, _kth_bound(upper, k))
+        limit = limit + 2e-9 * own
+        col, row = np.divmod(np.flatnonzero(upper <= limit + 2 * widest), len(q))
+        at = upper[col, row]
+        kept = np.isfinite(at) & (at - 2 * slack[col] <= limit[row])
+        row, col = row[kept], col[kept]
+        d = np.sqrt(((x[col] - q[row]) ** 2).sum(axis=1))
+        row, col, d = _first_of_each(row, col, d, names, k)
+        parts.append((row + start, col, d))
+    return _joined(parts)
+
+
+def _leaves(x: np.ndarray, rows: int) -> list[np.ndarray]:
+    """The places of the points in halves of halves along the axis of most variance, of at most ``rows``."""
+    done, rest = [], [np.arange(len(x))]
+    while rest:
+        places = rest.pop()
+        if len(places) <= rows:
+            done.append(places)
+            continue
+        half = len(places) // 2
+        order = np.argpartition(x[places, x[places].var(axis=0).argmax()], half)
+        rest += [places[order[:half]], places[order[half:]]]
+    return done
+
+
+def _boxes_in_reach(x: np.ndarray, bound: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+    """For each query and box: whether the box holds a place within the query's bound."""
+    apart = np.zeros((len(x), len(low)))
+    for axis in range(x.shape[1]):
+        at = x[:, axis, None]
+        apart += np.maximum(np.maximum(low[:, axis] - at, at - high[:, axis]), 0.0) ** 2
+    return apart <= (bound * bound * (1 + 1e-9) + 1e-300)[:, None]
+
+
+def _nearest_in_leaves(
+    asking: np.ndarray, asking_ids: np.ndarray, x: np.ndarray, ids: np.ndarray, k: int, bound: np.ndarray | None = None
+) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """``_nearest_pairs`` within ``bound``, measuring only the leaves of the points whose boxes are in reach of a query.
+
+    Without a bound, a query gets one from the leaf that is nearest to it.
+    """
+    if not len(x) or not len(asking):
+        return _no_pairs()
+    leaves = _leaves(x, LEAF_ROWS)
+    low, high = np.stack([x[p].min(axis=0) for p in leaves]), np.stack([x[p].max(axis=0) for p in leaves])
+    names = np.argsort(np.argsort(ids, kind="stable"), kind="stable")
+    if bound is None:
+        bound, nearest = np.full(len(asking), np.inf), np.zeros(len(asking), dtype=int)
+        for start in range(0, len(asking), QUERY_CHUNK):
+            q = asking[start : start + QUERY_CHUNK]
+            apart = sum(np.maximum(np.maximum(low[:, a] - q[:, a, None], q[:, a, None] - high[:, a]), 0.0) ** 2 for a in range(x.shape[1]))
+            nearest[start : start + QUERY_CHUNK] = apart.argmin(axis=1)
+        for i, places in enumerate(leaves):
+            own = np.flatnonzero(nearest == i)
+            row, _, d = _nearest_pairs(asking[own], asking_ids[own], x[places], ids[places], k)
+            last = np.flatnonzero(np.arange(len(row)) - np.searchsorted(row, row) == k - 1)
+            bound[own[row[last]]] = d[last]
+    found = []
+    chunk = max(QUERY_CHUNK, CHUNK_CELLS // len(leaves) // 4)
+    for start in range(0, len(asking), chunk):
+        near = _boxes_in_reach(asking[start : start + chunk], bound[start : start + chunk], low, high)
+        parts = []
+        for i, places in enumerate(leaves):
+            own = np.flatnonzero(near[:, i]) + start
+            row, col, d = _nearest_pairs(asking[own], asking_ids[own], x[places], ids[places], k, bound[own])
+            parts.append((own[row], places[col], d))
+        found.append(_first_of_each(*_joined(parts), names, k))
+    return _joined(found)
+
+
+def _cuts(sample: np.ndarray, share: float, rows: float) -> list:
+    """A tree of (axis, cut, tree below, tree from the cut on): each leaf, [], stands for at most ``rows`` points.
+
+    Each point of the sample stands for ``share`` points; a cut needs eight of them.
+    """
+    spread = sample.var(axis=0) if len(sample) >= 8 and len(sample) * share > rows else np.zeros(0)
+    if not spread.size or not spread.max() > 0:
+        return []
+    axis = int(spread.argmax())
+    values = np.sort(sample[:, axis])
+    cut = values[len(values) // 2]
+    cut = values[values > values[0]][0] if cut == values[0] else cut
+    below = sample[:, axis] < cut
+    return [axis, cut, _cuts(sample[below], share, rows), _cuts(sample[~below], share, rows)]
+
+
+def _cell_numbers(x: np.ndarray, tree: list) -> np.ndarray:
+    """The number of the leaf of each point, in the order of the tree."""
+    cell, number, rest = np.zeros(len(x), dtype=int), 0, [(tree, np.arange(len(x)))]
+    while rest:
+        node, places = rest.pop()
+        if node:
+            axis, cut, low, high = node
+            below = x[places, axis] < cut
+            rest += [(high, places[~below]), (low, places[below])]
+        else:
+            cell[places] = number
+            number += 1
+    return cell
 
 
 def _same_ids(qid: np.ndarray, ids: np.ndarray, by_id: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -165,13 +288,12 @@ def nearest_in_class(points: DataFrame, k: int, seed: int = 42, block_rows: int
 
     Every point may be a neighbour; those with ``asks`` are given theirs.
 
-    A class is cut into the cells of a few pivot points and large cells into blocks of bounded size.
-    Each query gets a first bound from its own block. A cell is then searched only if the triangle
-    inequality lets it hold something closer (published as the pivot-based kNN join). The queries of a
-    block travel together and meet a block of points only if one of them needs it, so a task holds at
-    most about ``block_rows`` of each.
+    A class is cut into cells along the axes, at medians of a hashed sample, and cells that are still large into blocks
+    of bounded size. Each query gets a first bound from its own block. Then a cell is searched only if its bounding box
+    has a place within that bound, and in it only such leaves (a k-d tree of two levels). The cuts decide the work, not
+    the result. The queries of a block of points come in lanes of at most about ``ASKING_BLOCKS`` blocks, so a task
+    holds no more of them, and a block of points is sent once for each lane.
     """
-    spark = points.sparkSession
     sizes = class_sizes(points, "c")
     id_type = points.schema["id"].dataType
     class_type = points.schema["c"].dataType
@@ -186,115 +308,104 @@ def nearest_in_class(points: DataFrame, k: int, seed: int = 42, block_rows: int
     )
 
     def search(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        asking = _matrix(left["v"])
         if not len(left) or not len(right):
             return pd.DataFrame([], columns=result.names)
+        asking, asking_ids = _matrix(left["v"]), left["id"].to_numpy()
         ids, copies = np.asarray(right["ids"].iat[0]), np.asarray(right["copies"].iat[0])
         x = np.asarray(right["flat"].iat[0]).reshape(len(ids), -1)
-        near = _nearest_points(asking, left["id"].to_numpy(), x, ids, copies, k)
-        return near.assign(c=left["c"].iat[0])[result.names]
-
-    order = seeded_hash(["id"], seed)
-
-    pivots: dict = {}
-    for c, n in sizes.items():
-        count = max(1, min(int(sqrt(n)), ceil(n / block_rows)))
-        chosen = points.filter(F.col("c").eqNullSafe(F.lit(c))).orderBy(order, "id").limit(count)
-        pivots[c] = np.array([r["v"] for r in chosen.select("v").collect()], dtype=float)
-
-    celled = T.StructType(
-        points.schema.fields + [T.StructField("cell", T.IntegerType()), T.StructField("reach", T.DoubleType())]
-    )
+        row, col, d = _nearest_in_leaves(asking, asking_ids, x, ids, k, left["bound"].to_numpy())
+        near = {"c": left["c"].iat[0], "id": asking_ids[row], "neighbour": ids[col], "distance": d, "copies": copies[col]}
+        return pd.DataFrame(near, columns=result.names)
+
+    # Not the hash that a split of the rows by their keys is made of, or a part would hold none of the sample.
+    order = seeded_hash([F.col("id"), F.lit("cuts")], seed)
+    wanted = {c: min(n, CUT_POINTS * ceil(n / block_rows), MAX_CUT_POINTS) for c, n in sizes.items() if n > block_rows}
+    trees: dict = {c: [] for c in sizes}
+    if wanted:
+        chosen = [F.col("c").eqNullSafe(F.lit(c)) & (order < F.lit(int(wanted[c] / sizes[c] * (1 << KEY_BITS)))) for c in wanted]
+        drawn = points.filter(reduce(or_, chosen)).select("c", "v").toPandas()
+        for c, rows in _rows_by_class(drawn):
+            x = _finite(np.array(drawn["v"].iloc[rows].tolist(), dtype=float))[0]
+            # A fifth less than a block, because a sample is not exact.
+            trees[c] = _cuts(x, sizes[c] / max(1, len(x)), 0.8 * block_rows)
+
+    celled = T.StructType(points.schema.fields + [T.StructField("cell", T.IntegerType())])
 
     def assign(batches):
         for batch in batches:
-            cell, reach = np.zeros(len(batch), dtype=int), np.zeros(len(batch))
             for c, rows in _rows_by_class(batch):
-                x = _matrix(batch["v"].iloc[rows])
-                best, own = np.full(len(x), np.inf), np.zeros(len(x), dtype=int)
-                for i, p in enumerate(pivots[c]):
-                    d = np.sqrt(((x - p) ** 2).sum(axis=1))
-                    own[d < best] = i
-                    best = np.minimum(best, d)
-                cell[rows], reach[rows] = own, best
-            yield batch.assign(cell=cell, reach=reach)
+                # what has no finite square is nobody's neighbour and has none
+                x, finite = _finite(_matrix(batch["v"].iloc[rows]))
+                yield batch.iloc[rows[finite]].assign(cell=_cell_numbers(x, trees[c]))
 
     placed = materialise(points.mapInPandas(assign, celled), "knn-cells")
-    made = placed.groupBy("c", "cell").agg(all_rows().alias("n"), F.max("reach").alias("radius"))
-    made = materialise(made.withColumn("blocks", F.ceil(F.col("n") / block_rows).cast("int")), "knn-cell-sizes")
+    axes = range(placed.agg(F.max(F.size("v"))).first()[0] or 1)
+    box = [F.array(*[f(F.get("v", F.lit(i))) for i in axes]).alias(name) for name, f in (("low", F.min), ("high", F.max))]
+    made = placed.groupBy("c", "cell").agg(all_rows().alias("n"), *box)
+    made = materialise(made.withColumn("blocks", F.ceil(F.col("n") / block_rows).cast("int")), "knn-cell-boxes")
     by_class: dict = {}
     for r in made.collect():
-        by_class.setdefault(r["c"], []).append((r["cell"], r["blocks"], r["radius"]))
-    cells = {c: pd.DataFrame(sorted(rows), columns=["cell", "blocks", "radius"]) for c, rows in by_class.items()}
+        by_class.setdefault(r["c"], []).append((r["cell"], r["blocks"], r["low"], r["high"]))
+    cells = {
+        c: ([np.arange(n) + cell * _PLACE for cell, n, _, _ in rows], np.array([r[2] for r in rows]), np.array([r[3] for r in rows]))
+        for c, rows in by_class.items()
+    }
     spread = seeded_hash(["id"], seed + 1)
     sized = made.select(F.col("c").alias("c__"), F.col("cell").alias("cell__"), "blocks")
-    blocked = (
-        placed.join(sized, F.col("c").eqNullSafe(F.col("c__")) & (F.col("cell") == F.col("cell__")))
-        .withColumn("block", (spread % F.col("blocks")).cast("int"))
-        .drop("c__", "cell__", "blocks")
-    )
+    place_of = F.col("cell").cast("long") * _PLACE + spread % F.col("blocks")
+    blocked = placed.join(sized, F.col("c").eqNullSafe(F.col("c__")) & (F.col("cell") == F.col("cell__")))
+    blocked = blocked.select("c", "id", "v", "copies", "asks", place_of.alias("place"))
 
-    bounded_schema = T.StructType(blocked.schema.fields + [T.StructField("bound", T.DoubleType())])
+    bounded = T.StructType([*(points.schema[f] for f in ("c", "id", "v")), T.StructField("bound", T.DoubleType())])
 
     def first_bound(group: pd.DataFrame) -> pd.DataFrame:
-        asking = group[group["asks"]]
-        near = _nearest_block(asking, group, k)
-        far = near.groupby("id")["distance"].agg(["max", "size"])
-        full = far["max"].where(far["size"] >= k, np.inf)
-        return asking.assign(bound=asking["id"].map(full).astype(float).fillna(np.inf))
+        asking = np.flatnonzero(group["asks"])
+        x, ids, bound = _matrix(group["v"]), group["id"].to_numpy(), np.full(len(asking), np.inf)
+        row, _, d = _nearest_in_leaves(x[asking], ids[asking], x, ids, k)
+        last = np.flatnonzero(np.arange(len(row)) - np.searchsorted(row, row) == k - 1)
+        bound[row[last]] = d[last]
+        return group.iloc[asking][["c", "id", "v"]].assign(bound=bound)
 
-    queries = blocked.groupBy("c", "cell", "block").applyInPandas(first_bound, bounded_schema)
+    queries = blocked.groupBy("c", "place").applyInPandas(first_bound, bounded)
 
     def targets(batches):
         for batch in batches:
             for c, rows in _rows_by_class(batch):
-                table = cells[c]
-                blocks = [np.arange(n) + cell * _PLACE for cell, n in zip(table["cell"].astype("int64"), table["blocks"])]
+                blocks, low, high = cells[c]
                 for start in range(0, len(rows), QUERY_CHUNK):
                     part = batch.iloc[rows[start : start + QUERY_CHUNK]]
                     hits = np.empty(len(part), dtype=object)
-                    for at, row in enumerate(_cells_in_reach(part, pivots[c], table)):
-                        hits[at] = np.concatenate([np.empty(0, np.int64), *(blocks[j] for j in np.flatnonzero(row))])
+                    for at, row in enumerate(_boxes_in_reach(_matrix(part["v"]), part["bound"].to_numpy(), low, high)):
+                        hits[at] = np.concatenate([blocks[j] for j in np.flatnonzero(row)])
                     # the lists of a few queries at a time: they grow with the class
-                    yield part[["c", "id", "v", "lane"]].assign(hits=hits)
+                    yield part.assign(hits=hits)
 
-    asked = T.StructType(
-        [
-            points.schema["c"],
-            points.schema["id"],
-            points.schema["v"],
-            T.StructField("lane", T.LongType()),
-            T.StructField("hits", T.ArrayType(T.LongType())),
-        ]
-    )
-    place_of = F.col("cell").cast("long") * _PLACE + F.col("block")
+    asked = T.StructType(bounded.fields + [T.StructField("hits", T.ArrayType(T.LongType()))])
     # Written, because the searches are read twice; finding them costs a search of every own block.
-    aimed = materialise(queries.withColumn("lane", place_of).mapInPandas(targets, asked), "knn-searches")
-    searches = aimed.select("c", "id", "v", "lane", F.explode("hits").alias("place"))
-    needed = searches.groupBy("c", "place", F.col("lane").alias("asker")).agg(all_rows().alias("queries"))
-    wanted = needed.select(F.col("c").alias("c__"), F.col("place").alias("place__"), (F.col("asker") + 0).alias("lane"))
-    # A block is sent to all that ask it, as one row.
-    packed = blocked.groupBy("c", place_of.alias("place")).agg(F.collect_list(F.struct("id", "copies", "v")).alias("p"))
-    stored = packed.select(
-        "c", "place", F.col("p.id").alias("ids"), F.col("p.copies").alias("copies"), F.flatten("p.v").alias("flat")
+    aimed = materialise(queries.mapInPandas(targets, asked), "knn-searches")
+    searches = aimed.select("c", "id", "v", "bound", F.explode("hits").alias("place"))
+    lanes = F.ceil(all_rows() / (ASKING_BLOCKS * block_rows)).alias("lanes")
+    # Written, so that Spark sees how small it is and moves no rows for it.
+    needed = materialise(searches.groupBy(F.col("c").alias("c__"), F.col("place").alias("place__")).agg(lanes), "knn-lanes")
+    met = F.col("c").eqNullSafe(F.col("c__")) & (F.col("place") == F.col("place__"))
+    lane = (seeded_hash(["id"], seed + 2) % F.col("lanes")).alias("lane")
+    searches = searches.join(needed, met).select("c", "id", "v", "bound", "place", lane)
+    # A block is sent to all lanes that ask it, as one row.
+    packed = blocked.groupBy("c", "place").agg(F.collect_list(F.struct("id", "copies", "v")).alias("p"))
+    stores = packed.join(needed, met).select(
+        "c", "place", F.explode(F.sequence(F.lit(0).cast("long"), F.col("lanes") - 1)).alias("lane"),
+        F.col("p.id").alias("ids"), F.col("p.copies").alias("copies"), F.flatten("p.v").alias("flat"),
     )
-    stores = stored.join(wanted, F.col("c").eqNullSafe(F.col("c__")) & (F.col("place") == F.col("place__"))).drop("c__", "place__")
     place = ["c", "place", "lane"]
     found = searches.groupBy(*place).cogroup(stores.groupBy(*place)).applyInPandas(search, result)
     return _ranked(found, k)
 
 
-def _cells_in_reach(asking: pd.DataFrame, pivots: np.ndarray, cells: pd.DataFrame) -> np.ndarray:
-    """For each query and cell: whether the triangle inequality lets the cell hold a point within the query's bound."""
-    x, own = _matrix(asking["v"]), asking["cell"].to_numpy()
-    reach, bound = asking["reach"].to_numpy()[:, None], asking["bound"].to_numpy()[:, None]
-    centres, radius = pivots[cells["cell"].to_numpy()], cells["radius"].to_numpy()[None, :]
-    d = np.stack([np.sqrt(((x - p) ** 2).sum(axis=1)) for p in centres], axis=1)
-    apart = np.stack([np.sqrt(((pivots[own] - p) ** 2).sum(axis=1)) for p in centres], axis=1)
-    slack = bound * (1 + 1e-9) + 1e-9 * (1.0 + d.max(axis=1, keepdims=True))
-    with np.errstate(divide="ignore", invalid="ignore"):
-        beyond = (apart > 0) & ((d * d - reach * reach) / (2 * apart) > slack)
-    return (d - radius <= slack) & ~beyond
+def _finite(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(the rows whose sum of squares is finite, their places)."""
+    with np.errstate(over="ignore", invalid="ignore"):
+        places = np.flatnonzero(np.isfinite((x * x).sum(axis=1)))
+    return x[places], places
 
 
 def _ranked(found: DataFrame, k: int) -> DataFrame:
