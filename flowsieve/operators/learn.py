@@ -13,6 +13,7 @@ from pyspark.ml.classification import RandomForestClassificationModel, RandomFor
 from pyspark.ml.evaluation import Evaluator
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.pipeline import Pipeline, PipelineModel
+from pyspark.storagelevel import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -103,7 +104,16 @@ def fit_forest(df: DataFrame, features: list[str], label: str, params: ForestPar
         *([F.col(weight)] if weight else []),
     )
     assembler = VectorAssembler(inputCols=features, outputCol="features__", handleInvalid="error")
-    return Pipeline(stages=[assembler, params.classifier(label, weight)]).fit(deal_rows(rows))
+    stages = Pipeline(stages=[assembler, params.classifier(label, weight)])
+    dealt = deal_rows(rows)
+    if dealt is rows:
+        return stages.fit(rows)
+    # MLlib asks for its input three times and would deal the rows anew each time.
+    dealt.persist(StorageLevel.DISK_ONLY)
+    try:
+        return stages.fit(dealt)
+    finally:
+        dealt.unpersist()
 
 
 def forest_of(model: PipelineModel) -> RandomForestClassificationModel:

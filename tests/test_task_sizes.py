@@ -21,6 +21,21 @@ def test_a_forest_grows_on_dealt_rows(spark, monkeypatch):
     assert len(asked) == 1
 
 
+def test_a_forest_deals_its_rows_once(spark, monkeypatch):
+    """The rows are read to count them and to deal them, not again each time MLlib asks for them."""
+    read, deal = spark.sparkContext.accumulator(0), learn.deal_rows
+    monkeypatch.setattr(learn, "deal_rows", lambda rows: deal(rows, task_rows=100))
+
+    def counted(batches):
+        for batch in batches:
+            read.add(len(batch))
+            yield batch
+
+    rows = spark.range(1000).select((F.col("id") % 2).alias("y"), (F.col("id") % 7).alias("x"))
+    learn.fit_forest(rows.mapInPandas(counted, rows.schema), ["x"], "y", learn.ForestParams(n_estimators=2, max_depth=2))
+    assert read.value == 2 * 1000
+
+
 def test_a_large_table_is_marked_without_moving_its_rows(spark):
     """What is known of each class is written, so Spark sees that it is small: the rows are joined where they are."""
     rows = spark.range(3000).select("id", (F.col("id") % 3).alias("y"))
