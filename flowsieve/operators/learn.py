@@ -144,14 +144,12 @@ def select_by_importance(
     threshold: float = 0.005,
     smallest: int = 40,
     largest: int = 45,
-    subset_above: int = 5_000_000,
-    subset_rows: int = 2_000_000,
 ) -> tuple[DataFrame, list[str]]:
-    """(importances, selected features) of a forest; large tables are represented by a stratified sample."""
-    rows = train
-    if train.count() > subset_above:
-        rows = stratified_sample(train, label, key, subset_rows)
-    model = fit_forest(rows, features, label, params)
+    """(importances, selected features) of a forest that grows on all rows, however many there are.
+
+    ``key`` decides nothing; it stays for callers that name it.
+    """
+    model = fit_forest(train, features, label, params)
     importances = forest_importances(train.sparkSession, model, features)
     chosen = clamp_selection(importances, threshold, smallest, largest).orderBy("rank").collect()
     return importances, [r.feature for r in chosen]

@@ -83,7 +83,7 @@ def train_scorer(
     smallest: int = 40,
     largest: int = 45,
 ) -> tuple[Scorer, DataFrame]:
-    """(scorer, importances): importance selection, then the final fit on the whole training table."""
+    """(scorer, importances): importance selection and the final fit, both on the whole training table."""
     importances, chosen = learn.select_by_importance(
         prepared.train, prepared.features, "y", [key], importance, smallest=smallest, largest=largest
     )
