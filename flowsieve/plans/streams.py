@@ -75,11 +75,11 @@ def event_files(spark, d, parts=3, file_rows=FILE_ROWS):
     )
     t = F.unix_micros(F.col("ts").cast("timestamp"))
     edges = [float("-inf"), *cuts, float("inf")]
-    files = ceil(e.count() / parts / file_rows)
+    files = max(ceil(e.count() / parts / file_rows), 1)
     for low, high in zip(edges, edges[1:]):
         part = e.filter((t > F.lit(low)) & (t <= F.lit(high)))
-        (part.coalesce(1) if files <= 1 else part.repartition(files)).write.mode("append").parquet(path)
-    return e.schema, path, max(files, 1)
+        part.repartition(files).write.mode("append").parquet(path)
+    return e.schema, path, files
 
 
 def event_stream(spark, d, files_per_trigger=8):
