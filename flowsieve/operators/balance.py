@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
 from functools import reduce
 from math import ceil
@@ -323,11 +324,19 @@ def nearest_in_class(points: DataFrame, k: int, seed: int = 42, block_rows: int
     trees: dict = {c: [] for c in sizes}
     if wanted:
         chosen = [F.col("c").eqNullSafe(F.lit(c)) & (order < F.lit(int(wanted[c] / sizes[c] * (1 << KEY_BITS)))) for c in wanted]
-        drawn = points.filter(reduce(or_, chosen)).select("c", "v").toPandas()
-        for c, rows in _rows_by_class(drawn):
-            x = _finite(np.array(drawn["v"].iloc[rows].tolist(), dtype=float))[0]
+
+        def cut(drawn: pd.DataFrame) -> pd.DataFrame:
+            c = _class(drawn["c"].iat[0])
+            x = _finite(_matrix(drawn["v"]))[0]
             # A fifth less than a block, because a sample is not exact.
-            trees[c] = _cuts(x, sizes[c] / max(1, len(x)), 0.8 * block_rows)
+            tree = _cuts(x, sizes[c] / max(1, len(x)), 0.8 * block_rows)
+            return pd.DataFrame({"c": drawn["c"].iloc[:1], "tree": json.dumps(tree)})
+
+        # The sample of a class is one task; only its cuts come to the driver.
+        cut_type = T.StructType([T.StructField("c", class_type), T.StructField("tree", T.StringType())])
+        drawn = points.filter(reduce(or_, chosen)).select("c", "v")
+        for r in drawn.groupBy("c").applyInPandas(cut, cut_type).collect():
+            trees[r["c"]] = json.loads(r["tree"])
 
     celled = T.StructType(points.schema.fields + [T.StructField("cell", T.IntegerType())])
 
